@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, quality
+from . import bpe, langid, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe": bpe.op8_bpe,
     "op10_language": langid.op10_language,
 }
