@@ -45,3 +45,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     order = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(label), F.col("doc_id")), "doc_id")
     chosen = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n")
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("y").cast("int"))
+
+
+def joined_small(df: DataFrame, keys: DataFrame, on, how: str = "inner", limit: int = 2_000_000) -> DataFrame:
+    """Join with a side that is broadcast only if it has at most ``limit`` rows, else shuffled.
+
+    ``keys`` should be narrow and cheap to count (a checkpoint).
+    """
+    return df.join(F.broadcast(keys) if keys.count() <= limit else keys.hint("merge"), on, how)

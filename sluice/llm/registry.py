@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, langid, mixing, quality, toxicity
+from . import bpe, fingerprint, langid, mixing, neardup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
+    "op2_neardup": neardup.op2_neardup,
     "op3_fingerprint": fingerprint.op3_fingerprint,
     "op4_mixing": mixing.op4_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
