@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, langid, mixing, neardup, pii, quality, toxicity
+from . import bpe, fingerprint, langid, mixing, neardup, pii, quality, repeats, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprint": fingerprint.op3_fingerprint,
     "op4_mixing": mixing.op4_mixing,
     "op5_pii": pii.op5_pii,
+    "op6_repeats": repeats.op6_repeats,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe": bpe.op8_bpe,
     "op10_language": langid.op10_language,
