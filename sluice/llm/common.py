@@ -39,11 +39,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     ``usable`` (a condition on doc_id) are not learned from; a document that is
     labelled twice counts with its smallest label.
     """
-    from pyspark.sql import Window
-
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & usable).groupBy("doc_id").agg(F.min(label).alias("y"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(label), F.col("doc_id")), "doc_id")
-    chosen = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n")
+    lowest = [known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(label), F.col("doc_id")), "doc_id").limit(per_class) for y in (0, 1)]
+    chosen = lowest[0].union(lowest[1])
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("y").cast("int"))
 
 
