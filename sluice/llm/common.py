@@ -18,16 +18,21 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; set here only where it is unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/sluice-checkpoints"))
+    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there. Only where none is set (tests, a laptop)
     a local folder is used.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/sluice-checkpoints"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

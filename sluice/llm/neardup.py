@@ -147,14 +147,13 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
 
     Texts without words (null, empty, blank) have an empty set, link with nothing and are kept.
     Rows of equal sets share a component. A doc_id is taken to name one document: rows that
-    repeat it are links of it. A row without doc_id takes the component of its class, null if
-    no row of the class has an id, and is kept only then. Very long texts count in whole;
-    other columns are not read; an empty table gives an empty one.
+    repeat it are links of it. A row without doc_id takes no part: its component is null and
+    it is kept. Very long texts count in whole; other columns are not read; an empty table
+    gives an empty one.
     """
     base = checkpointed(signed(documents, words))
-    classes = checkpointed(base.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id")))
-    ids = classes.where(F.col("id").isNotNull())
-    chosen = base.join(ids, ["k1", "k2", "n"]).where(F.col("doc_id") == F.col("id")).dropDuplicates(["id", "k1"])
+    classes = checkpointed(base.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id")))
+    chosen = base.join(classes, ["k1", "k2", "n"]).where(F.col("doc_id") == F.col("id")).dropDuplicates(["id", "k1"])
     keyed = chosen.select("id", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     buckets = checkpointed(keyed.join(shared, "bucket"))
@@ -180,9 +179,37 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
 
     named = classes.join(labels, "id", "left").select("k1", "k2", "n", F.coalesce("label", "id").alias("_component"))
     out = base.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("_component"))
+    component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``documents`` with one row of each group of near duplicates, that of the smallest doc_id.
+
+    All columns stay. Of rows that repeat a kept doc_id one stays; rows without doc_id stay.
+    """
+    found = checkpointed(near_duplicates(documents, words, percent))
+    kept = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    twice = checkpointed(kept.where("rows > 1").select("doc_id"))
+    gone = checkpointed(found.where(~F.col("kept")).select("doc_id").union(twice).distinct())
+    once = joined_small(documents, gone, "doc_id", "left_anti")
+    return once.unionByName(joined_small(documents, twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])) if twice.count() else once
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 3], ' ') END AS sh
+      FROM d, LATERAL unnest(range(1, greatest(len(w) - 2, 2))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS c FROM d UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.c),
+m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.id = d.doc_id
+"""

@@ -22,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_neardup": neardup.OP2_SQL,
     "op9_topk": topk.OP9_SQL,
 }
