@@ -90,7 +90,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     n, n_queries = vectors.count(), vectors.where(is_query).count()
     blocks, supers = 1 + n // CANDIDATES, 1 + n_queries // QUERIES
     sample = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(PIVOT_SAMPLE).select("dim", "v").collect()
-    pivots = spark.sparkContext.broadcast({dim: pick_pivots(np.array([r["v"] for r in sample if r["dim"] == dim], float).reshape(-1, dim), PIVOTS) for dim in {r["dim"] for r in sample}})
+    pivots = spark.sparkContext.broadcast({dim: pick_pivots((lambda v: np.array(v, float).reshape(len(v), dim))([r["v"] for r in sample if r["dim"] == dim]), PIVOTS) for dim in {r["dim"] for r in sample}})
 
     def cell(key: tuple[pa.Scalar, ...], q: pa.Table, x: pa.Table) -> pa.Table:
         dim = key[0].as_py()
