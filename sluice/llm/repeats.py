@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import table
 from .wordhash import mix, powers, prefix_sums
 
-#: Bytes of a repeated string and of a trigger, of a block of texts, and of texts hashed at once.
+#: Bytes of a repeated string and of a trigger, of texts for each block and each bucket, and of texts hashed at once.
 LENGTH, TRIGGER = 50, 24
-BLOCK_BYTES, PART_BYTES = 6_000_000, 400_000
+BLOCK_BYTES, BUCKET_BYTES, PART_BYTES = 6_000_000, 2_000_000, 400_000
 _PLACES = LENGTH - TRIGGER + 1
 _LAST = np.iinfo(np.int64).max
 
@@ -103,6 +103,16 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Values for a shuffle: their number of bytes, then the bytes in the zstd format."""
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def expand(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+
+
 def by_bucket(buckets: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(buckets, kind="stable")
     cuts = np.searchsorted(buckets[order], np.arange(n + 1))
@@ -131,7 +141,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     not read; an empty table gives an empty one.
     """
     total = documents.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
-    n_blocks = n_buckets = 1 + total // BLOCK_BYTES
+    n_blocks, n_buckets = 1 + total // BLOCK_BYTES, 1 + total // BUCKET_BYTES
     docs = documents.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block"))
     grouped = docs.groupBy("block")
 
@@ -161,7 +171,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
         return pa.table({"block": pa.array([b for b, _ in kept], pa.int64()), "hashes": pa.array([x for _, x in kept], pa.binary())})
 
     def phrases(key: tuple[pa.Scalar, ...], rows: pa.Table, flags: pa.Table) -> pa.Table:
-        names = ("block", "bucket", "phrases", "sizes", "ids", "lowest", "highest")
+        names = ("block", "bucket", "phrases", "sizes", "lowest", "several")
         schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), *[(x, pa.binary()) for x in names[2:]]])
         flagged = np.sort(np.concatenate([np.zeros(0, np.uint64), *[unpack(x) for x in flags["hashes"].to_pylist()]]))
         ids, out = ids_of(rows), []
@@ -192,32 +202,41 @@ def without_repeats(documents: DataFrame) -> DataFrame:
         phrase, d = phrase[order], d[order]
         starts = np.flatnonzero(np.append(True, phrase[1:] != phrase[:-1]))
         place = np.searchsorted(phrase[starts], seen)
-        lowest, highest = d[starts][place], d[np.append(starts[1:], len(d)) - 1][place]
+        lowest = d[starts][place]
+        several = (d[starts] != d[np.append(starts[1:], len(d)) - 1])[place]
         b, size, bucket = np.concatenate(pieces), np.concatenate(sizes), np.concatenate(buckets)
         begin = np.cumsum(size) - size
         for k, own in by_bucket(bucket, n_buckets):
-            out.append((key[0].as_py(), k, gather(b, begin[own], size[own]).tobytes(), size[own].astype(np.uint8).tobytes(), seen[own].tobytes(), lowest[own].tobytes(), highest[own].tobytes()))
+            out.append((key[0].as_py(), k, squeeze(gather(b, begin[own], size[own])), squeeze(size[own].astype(np.uint8)), squeeze(lowest[own]), np.packbits(several[own]).tobytes()))
         return pa.table(dict(zip(names, zip(*out, strict=True), strict=True)), schema=schema)
 
     def earliest(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        col = {k: rows[k].to_pylist() for k in ("block", "phrases", "sizes", "ids", "lowest", "highest")}
+        col = {k: [expand(x) for x in rows[k].to_pylist()] for k in ("phrases", "sizes", "lowest")}
         b = np.frombuffer(b"".join(col["phrases"]), np.uint8)
         size = np.frombuffer(b"".join(col["sizes"]), np.uint8).astype(np.int64)
-        phrase, lowest, highest = (np.frombuffer(b"".join(col[k]), t) for k, t in (("ids", np.uint64), ("lowest", np.int64), ("highest", np.int64)))
+        lowest = np.frombuffer(b"".join(col["lowest"]), np.int64)
+        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(n)).astype(bool) for x, n in zip(rows["several"].to_pylist(), col["sizes"], strict=True)])
         windows = size - LENGTH + 1
         owner = np.repeat(np.arange(len(size)), windows)
         begin, offset = np.cumsum(size) - size, np.cumsum(windows) - windows
         start = begin[owner] + np.arange(len(owner)) - offset[owner]
-        sums = prefix_sums(b)
-        h = mix((sums[start + LENGTH] - sums[start]) * powers(len(b))[1][start])
+        phrase, h = np.empty(len(size), np.uint64), np.empty(len(owner), np.uint64)
+        for i in range(0, len(size), 20_000):  # the sums take eight times the bytes
+            lo, hi = begin[i], begin[i + 20_000] if i + 20_000 < len(size) else len(b)
+            sums, down = prefix_sums(b[lo:hi]), powers(hi - lo)[1]
+            own = slice(i, i + 20_000)
+            phrase[own] = phrase_hashes(sums, down, begin[own] - lo, begin[own] + size[own] - LENGTH - lo)
+            own = slice(offset[i], offset[i + 20_000] if i + 20_000 < len(size) else len(owner))
+            at = start[own] - lo
+            h[own] = mix((sums[at + LENGTH] - sums[at]) * down[at])
         order = np.argsort(h)
         runs = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
         least = np.minimum.reduceat(lowest[owner][order], runs)
         first = np.empty(len(owner), np.int64)
         first[order] = np.repeat(least, np.diff(np.append(runs, len(order))))
-        useful = np.minimum.reduceat(first, offset) < highest
+        useful = several | (np.minimum.reduceat(first, offset) < lowest)
         out, at = [], 0
-        for block, raw in zip(col["block"], col["sizes"], strict=True):
+        for block, raw in zip(rows["block"].to_pylist(), col["sizes"], strict=True):
             own = np.arange(at, at + len(raw))[useful[at : at + len(raw)]]
             at += len(raw)
             if len(own):
@@ -254,7 +273,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
         return pa.table({"doc_id": rows["doc_id"], "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
     found = grouped.applyInArrow(triggers, "block long, bucket long, hashes binary, several binary").groupBy("bucket").applyInArrow(shared, "block long, hashes binary")
-    listed = grouped.cogroup(found.groupBy("block")).applyInArrow(phrases, "block long, bucket long, phrases binary, sizes binary, ids binary, lowest binary, highest binary")
+    listed = grouped.cogroup(found.groupBy("block")).applyInArrow(phrases, "block long, bucket long, phrases binary, sizes binary, lowest binary, several binary")
     marks = listed.groupBy("bucket").applyInArrow(earliest, "block long, ids binary, windows binary, firsts binary")
     return grouped.cogroup(marks.groupBy("block")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
