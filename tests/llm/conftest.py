@@ -1,16 +1,9 @@
-import random
-
 import pytest
+from helpers import prose
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, block string, kept string"
 
 
-def prose(seed: int, words: int) -> str:
-    rng = random.Random(seed)
-    syllables = ["er", "in", "th", "on", "ti", "an", "re", "he", "at", "ou", "st", "nd"]
-    return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(words))
-
-
 @pytest.fixture(scope="session")
 def odd_rows():
     """Nulls in any column, empty and blank texts, a long text, ties, repeated rows, wide characters."""

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import prose  # noqa: F401
+from helpers import prose
 from pyspark.sql import functions as F
 
 from sluice.llm import bpe, fingerprint, langid, mixing, neardup, pii, quality, repeats, topk, toxicity
