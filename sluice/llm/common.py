@@ -56,3 +56,11 @@ def joined_small(df: DataFrame, keys: DataFrame, on, how: str = "inner", limit:
     ``keys`` should be narrow and cheap to count (a checkpoint).
     """
     return df.join(F.broadcast(keys) if keys.count() <= limit else keys.hint("merge"), on, how)
+
+
+def lean_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Let Arrow batches hold at most ``rows`` rows from now on in this session (Spark's default is 10,000).
+
+    Texts may be long, and a Python worker holds a batch in several forms at once.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(rows, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))

@@ -1,42 +1,48 @@
 """Near-duplicate documents by b-bit MinHash, confirmed on full shingle sets.
 
-1. Every text gives its set of word shingles, 128 minima of it, 32 band keys of four
-   minima each, and a signature of the two low bits of each minimum, packed in four longs.
+1. Every text gives its set of word shingles, 256 minima of it, 32 band keys of four of
+   the minima each, and a signature of the two low bits of each minimum, packed in longs.
    Documents with equal sets form one class, which its smallest doc_id stands for.
 2. Classes that share a band key are candidates. In each bucket every class is held against
    one hub, the member that shares buckets most; each class keeps the hub of the highest
    estimate. The estimate counts equal bit pairs and corrects for chance collisions.
-3. Links found there join classes; only buckets whose members are not yet in one component
-   are looked at again, and all pairs of members from different components are compared
-   by signatures, in blocks of bounded size, so no link is lost to a hub.
+3. Links found so far join classes; only buckets whose members are not yet in one component
+   are looked at again, in blocks of bounded size and in the first band that a pair shares.
+   A first pass over signatures alone finds the members that come near one of another
+   component. To these the sets are dealt, every such pair is held against its sets, and
+   a block gives no more links than join its components, so no link is lost to a hub and
+   no group gives all its pairs.
 Links count only after 100 * intersection >= 80 * union on the full sets. A pair at 0.8
-shares no band with probability (1 - 0.8^4)^32 = 5e-8; an estimate 0.25 below the limit is
-more than five standard errors.
+shares no band with probability (1 - 0.8^4)^32 = 5e-8; its estimate is MARGIN, or 4.5
+standard errors, too low with probability 3e-6.
 """
 
+
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, joined_small, table
+from .common import checkpointed, joined_small, lean_batches, table
 from .components import connected_components
 from .fingerprint import shingle_hashes
 from .wordhash import mix, shingles
 
-BANDS, ROWS, BITS = 32, 4, 2
-HASHES = BANDS * ROWS
+BANDS, ROWS, BITS, HASHES = 32, 4, 2, 256
+#: Longs of a signature, and how far below the limit an estimate may lie.
+LONGS, MARGIN = HASHES * BITS // 64, 0.134
+SIGNATURE = [f"s{i}" for i in range(LONGS)]
 #: Members of a block that are compared with one another at once.
 BLOCK = 1024
 _EVEN = 0x5555555555555555
 
 
 def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set keys (n, 2), band keys (n, BANDS) and signatures (n, 4) of non-empty sets."""
+    """Set keys (n, 2), band keys (n, BANDS) and signatures (n, LONGS) of non-empty sets."""
     rng = np.random.default_rng(3)
     a, b = rng.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, HASHES, dtype=np.uint64)
     h = np.concatenate(sets)
@@ -51,13 +57,13 @@ def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     minima = mix(minima)
     bands = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(sets), 1), np.uint64)
     for r in range(ROWS):
-        bands = mix(bands * np.uint64(0xD6E8FEB86659FD93) + minima[:, r::ROWS])
-    low = (minima & np.uint64(2**BITS - 1)).reshape(len(sets), 4, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(BITS))
+        bands = mix(bands * np.uint64(0xD6E8FEB86659FD93) + minima[:, r : BANDS * ROWS : ROWS])
+    low = (minima & np.uint64(2**BITS - 1)).reshape(len(sets), LONGS, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(BITS))
     return keys, bands, np.bitwise_or.reduce(low, 2)
 
 
 def signed(documents: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, k1, k2, bands, s0..s3) of every row; the empty set has n = 0 and nulls."""
+    """(doc_id, n, k1, k2, bands, s0, s1, ...) of every row; the empty set has n = 0 and zeros."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,7 +71,7 @@ def signed(documents: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(i, 256)
                 sets = shingles(part["text"].to_pylist(), words)
                 full = np.array([len(s) > 0 for s in sets])
-                columns: list[np.ndarray] = [np.zeros(len(sets), np.int64) for _ in range(6)]
+                columns: list[np.ndarray] = [np.zeros(len(sets), np.int64) for _ in range(2 + LONGS)]
                 bands = np.zeros((len(sets), BANDS), np.int64)
                 if full.any():
                     keys, own, signature = _signatures([s for s in sets if len(s)])
@@ -73,16 +79,17 @@ def signed(documents: DataFrame, words: int) -> DataFrame:
                     for column, values in zip(columns, [*keys.T, *signature.T], strict=True):
                         column[full] = np.ascontiguousarray(values).view(np.int64)
                 listed = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, columns[:2]), listed, *map(pa.array, columns[2:])], ["doc_id", "n", "k1", "k2", "bands", "s0", "s1", "s2", "s3"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, columns[:2]), listed, *map(pa.array, columns[2:])], ["doc_id", "n", "k1", "k2", "bands", *SIGNATURE])
 
-    return documents.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long")
+    lean_batches(documents.sparkSession)
+    return documents.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SIGNATURE))
 
 
 def estimate(a: str, b: str) -> Column:
     """Similarity from the signatures of two sides: equal bit pairs, less those by chance."""
     unequal = F.lit(0)
-    for i in range(4):
-        x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
+    for c in SIGNATURE:
+        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
         unequal = unequal + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_EVEN)))
     chance = 2.0**-BITS
     return ((1 - unequal / HASHES) - chance) / (1 - chance)
@@ -96,50 +103,102 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
 
 
-def _blocks(members: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of members of a bucket with different labels and similar signatures.
+def _by_cell(batches: Iterator[pa.RecordBatch], block: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Apply ``block`` to the rows of each cell; rows come sorted by cell, which may go on in the next batch."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        key = rows["cell"].to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and held[0]["cell"][0].as_py() != key[lo]:
+                yield block(pa.concat_tables(held))
+                held = []
+            held.append(rows.slice(lo, hi - lo))
+    if held:
+        yield block(pa.concat_tables(held))
+
+
+_MEMBER = ["cell", "bucket", "part", "id", "label", "n", "bands", *SIGNATURE]
 
-    ``members``: bucket, id, label, n, s0..s3. A bucket of m members is cut into m / BLOCK
-    parts by a hash, and each pair of parts is one block of at most about 2 * BLOCK rows.
+
+def _near(rows: pa.Table, least: float, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (p, q) of the pairs of a cell with different labels and near signatures, in this their first common bucket."""
+    own = {k: rows[k].to_numpy() for k in ("bucket", "part", "id", "label", "n", *SIGNATURE)}
+    bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    most = int((1 - (least * (1 - 2.0**-BITS) + 2.0**-BITS)) * HASHES)
+    apart = own["part"].min() != own["part"].max()  # pairs of one part have a cell of their own
+    for i in range(0, len(own["id"]) if own["label"].min() != own["label"].max() else 0, 128):
+        left = {k: own[k][i : i + 128, None] for k in ("id", "label", "n", "part")}
+        near = (left["id"] < own["id"]) & (left["label"] != own["label"]) & (100 * np.minimum(left["n"], own["n"]) >= percent * np.maximum(left["n"], own["n"]))
+        if apart:
+            near &= left["part"] != own["part"]
+        p, q = np.nonzero(near)
+        p += i
+        unequal = np.zeros(len(p), np.int32)
+        for k in SIGNATURE:
+            x = (own[k][p] ^ own[k][q]).view(np.uint64)
+            unequal += np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(_EVEN))
+        p, q = p[unequal <= most], q[unequal <= most]
+        for k in range(0, len(p), 4096):
+            a, b = p[k : k + 4096], q[k : k + 4096]
+            first = bands[a, (bands[a] == bands[b]).argmax(1)] == own["bucket"][a]
+            yield a[first], b[first]
+
+
+def _rest(members: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) between members of a bucket with different labels, enough to join all that are linked.
+
+    ``members``: bucket, id, label, n, bands and the signature. A bucket of m members is cut
+    into m / BLOCK parts by a hash, and each pair of parts is a cell of at most about 2 * BLOCK rows.
     """
     parts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     parts = parts.where(F.col("lo") != F.col("hi")).select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
     cells = members.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.withColumn("cell", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")))
-    most = int((1 - (least * (1 - 2.0**-BITS) + 2.0**-BITS)) * HASHES)
+    cells = cells.withColumn("cell", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))).select(_MEMBER)
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(rows: pa.Table) -> pa.RecordBatch:
+            hit = np.zeros(rows.num_rows, bool)
+            for p, q in _near(rows, least, percent):
+                hit[p] = hit[q] = True
+            return pa.RecordBatch.from_arrays([x.combine_chunks() for x in rows.filter(pa.array(hit)).columns], rows.schema.names)
+
+        return _by_cell(batches, block)
+
+    kinds = {"part": "int", "bands": "array<long>"}
+    dealt = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(screen, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in _MEMBER))
+    near = checkpointed(dealt)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(rows: pa.Table) -> pa.RecordBatch:
-            own = {k: rows[k].to_numpy() for k in ("id", "label", "n", "part", "s0", "s1", "s2", "s3")}
-            found = []
-            for i in range(0, len(own["id"]), 256):
-                left = {k: v[i : i + 256, None] for k, v in own.items()}
-                near = (left["id"] < own["id"]) & (left["label"] != own["label"]) & (5 * np.minimum(left["n"], own["n"]) >= 4 * np.maximum(left["n"], own["n"]))
-                if len(np.unique(own["part"])) > 1:
-                    near &= left["part"] != own["part"]  # pairs of one part have a block of their own
-                p, q = np.nonzero(near)
-                unequal = np.zeros(len(p), np.int32)
-                for k in ("s0", "s1", "s2", "s3"):
-                    x = (own[k][p + i] ^ own[k][q]).view(np.uint64)
-                    unequal += np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(_EVEN))
-                ok = unequal <= most
-                found.append((own["id"][p[ok] + i], own["id"][q[ok]]))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
-
-        held: pa.Table | None = None
-        for batch in batches:  # sorted by cell; a cell may go on in the next batch
-            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            key = rows["cell"].to_numpy()
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                yield block(rows.slice(lo, hi - lo))
-            held = rows.slice(cuts[-1])
-        if held is not None and held.num_rows:
-            yield block(held)
-
-    dealt = cells.select("cell", "part", "id", "label", "n", "s0", "s1", "s2", "s3").repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+            ids, labels, found = rows["id"].to_numpy(), rows["label"].to_numpy(), []
+            own = [np.sort(x.values.to_numpy()) for x in rows["set"]]
+            root = {x: x for x in labels.tolist()}
+
+            def of(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for p, q in _near(rows, least, percent):
+                for a, b in zip(p.tolist(), q.tolist(), strict=True):
+                    x, y = of(labels[a].item()), of(labels[b].item())
+                    if x == y:
+                        continue
+                    s, t = own[a], own[b]
+                    shared = np.count_nonzero(t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s)
+                    if 100 * shared >= percent * (len(s) + len(t) - shared):
+                        root[max(x, y)] = min(x, y)
+                        found.append((ids[a], ids[b]))
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        return _by_cell(batches, block)
+
+    with_sets = near.join(sets, "id").select(*_MEMBER, "set").repartition("cell").sortWithinPartitions("cell")
+    return with_sets.mapInArrow(link, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -158,24 +217,23 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     buckets = checkpointed(keyed.join(shared, "bucket"))
     met = checkpointed(buckets.groupBy("id").agg(F.sum("m").alias("popular")))
-    members = checkpointed(joined_small(chosen.select("id", "n", "s0", "s1", "s2", "s3"), met, "id"))
+    members = checkpointed(joined_small(chosen.select("id", "n", "bands", *SIGNATURE), met, "id"))
     text = documents.select(F.col("doc_id").alias("id"), "text")
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = checkpointed(joined_small(text, met.select("id"), "id", "left_semi").select("id", F.array_distinct(shingle_hashes(lower, words)).alias("set")))
 
     hubs = buckets.join(met, "id").groupBy("bucket").agg(F.max(F.struct("popular", -F.col("id"))).alias("h")).select("bucket", (-F.col("h.col2")).alias("hub"))
     stars = buckets.join(hubs, "bucket").where(F.col("id") != F.col("hub")).select("id", "hub").distinct()
-    short = F.struct("n", "s0", "s1", "s2", "s3")
+    short, least = F.struct("n", *SIGNATURE), percent / 100 - MARGIN
     near = stars.join(members.select("id", short.alias("x")), "id").join(members.select(F.col("id").alias("hub"), short.alias("y")), "hub")
-    near = near.withColumn("e", estimate("x", "y")).where((F.col("e") >= percent / 100 - 0.25) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+    near = near.withColumn("e", estimate("x", "y")).where((F.col("e") >= least) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
     best = near.groupBy("id").agg(F.max_by("hub", F.struct("e", "hub")).alias("hub"))
-    first = checkpointed(confirmed(best.select(F.col("id").alias("a"), F.col("hub").alias("b")), sets, percent))
-    labels = connected_components(first)
+    links = checkpointed(confirmed(best.select(F.col("id").alias("a"), F.col("hub").alias("b")), sets, percent))
+    labels = connected_components(links)
 
     labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    rest = _blocks(buckets.select("bucket", "id").join(labelled, "id"), percent / 100 - 0.25)
-    second = checkpointed(confirmed(rest, sets, percent))
-    labels = connected_components(first.union(second))
+    more = checkpointed(_rest(buckets.select("bucket", "id").join(labelled, "id"), sets, least, percent))
+    labels = connected_components(links.union(more))
 
     named = classes.join(labels, "id", "left").select("k1", "k2", "n", F.coalesce("label", "id").alias("_component"))
     out = base.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
