@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import market
+from . import intel, market
 
 FLAGSHIP = "market_judgement"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = market.QUERIES
-ORACLES: dict[str, str] = market.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = market.QUERIES | intel.QUERIES
+ORACLES: dict[str, str] = market.ORACLES | intel.ORACLES
