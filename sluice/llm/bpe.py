@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean_batches, release_memory
+
 #: Pre-tokens that a Python worker keeps with their ids; beyond it the table starts anew.
-CACHED = 150_000
+CACHED = 60_000
 
 
 def byte_characters() -> list[str]:
@@ -106,6 +108,7 @@ def encode(documents: DataFrame, rank_file: str, pattern: str, text: str = "text
     replaced), an empty table gives an empty one.
     """
     spark = documents.sparkSession
+    lean_batches(spark)
     model = spark.sparkContext.broadcast(serialise_model(read_ranks(rank_file)))
 
     @F.arrow_udf("binary")
@@ -113,12 +116,14 @@ def encode(documents: DataFrame, rank_file: str, pattern: str, text: str = "text
         encoder = Encoder(model.value, pattern)
         for batch in batches:
             yield pa.array(encoder.encode(batch.to_pylist()), pa.binary())
+        release_memory()
 
     return documents.withColumn("token_ids", ids(F.col(text))).withColumn("n_tokens", F.expr("CAST(octet_length(token_ids) DIV 4 AS BIGINT)"))
 
 
 def decode(encoded: DataFrame, rank_file: str, ids: str = "token_ids") -> DataFrame:
     """Add ``decoded`` (binary): the vocabulary's bytes of each id, joined. Null ids give no bytes."""
+    lean_batches(encoded.sparkSession)
     vocabulary = encoded.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
 
     @F.arrow_udf("binary")
@@ -130,9 +135,27 @@ def decode(encoded: DataFrame, rank_file: str, ids: str = "token_ids") -> DataFr
     return encoded.withColumn("decoded", bytes_of(F.col(ids)))
 
 
+def round_trip(documents: DataFrame, rank_file: str, pattern: str, text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one Python pass: add ``token_ids``, ``n_tokens`` and ``decoded``."""
+    lean_batches(documents.sparkSession)
+    vocabulary = documents.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
+
+    @F.arrow_udf("struct<ids:binary,decoded:binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, token = Encoder(serialise_model(vocabulary.value), pattern), vocabulary.value.__getitem__
+        for batch in batches:
+            ids = encoder.encode(batch.to_pylist())
+            decoded = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids]
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["ids", "decoded"])
+        release_memory()
+
+    coded = documents.withColumn("_both", both(F.col(text)))
+    return coded.withColumns({"token_ids": F.col("_both.ids"), "n_tokens": F.expr("CAST(octet_length(_both.ids) DIV 4 AS BIGINT)"), "decoded": F.col("_both.decoded")}).drop("_both")
+
+
 def digest(documents: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    both = decode(encode(documents.select("doc_id", "text"), rank_file, pattern), rank_file)
+    both = round_trip(documents.select("doc_id", "text"), rank_file, pattern)
     return both.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_fold, table
+from .common import in_fold, lean_batches, table
 
 #: Hash buckets of the n-grams of 1, 2 and 3 bytes, one after another.
 BUCKETS = (256, 2048, 4096)
@@ -128,6 +128,7 @@ def identify(documents: DataFrame, model: Centroids, text: str = "text") -> Data
     that learned no language give ``und``, score 0 and far. Equal texts get equal results.
     Other columns pass through; columns of the new names are replaced.
     """
+    lean_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double,far:boolean>")

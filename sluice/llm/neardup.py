@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, joined_small, lean_batches, table
+from .common import checkpointed, joined_small, lean_batches, release_memory, table
 from .components import connected_components
 from .fingerprint import shingle_hashes
 from .wordhash import mix, shingles
@@ -80,6 +80,7 @@ def signed(documents: DataFrame, words: int) -> DataFrame:
                         column[full] = np.ascontiguousarray(values).view(np.int64)
                 listed = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, columns[:2]), listed, *map(pa.array, columns[2:])], ["doc_id", "n", "k1", "k2", "bands", *SIGNATURE])
+        release_memory()
 
     lean_batches(documents.sparkSession)
     return documents.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SIGNATURE))
@@ -117,6 +118,7 @@ def _by_cell(batches: Iterator[pa.RecordBatch], block: Callable[[pa.Table], pa.R
             held.append(rows.slice(lo, hi - lo))
     if held:
         yield block(pa.concat_tables(held))
+    release_memory()
 
 
 _MEMBER = ["cell", "bucket", "part", "id", "label", "n", "bands", *SIGNATURE]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_fold, labelled_sample, table
+from .common import in_fold, labelled_sample, lean_batches, release_memory, table
 
 FEATURES = (
     "log_bytes", "upper", "digit", "punctuation", "symbol_run", "non_ascii", "space", "pipe", "exclamation", "mean_word",
@@ -192,6 +192,8 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, n_bins:
 def with_features(documents: DataFrame, text: str = "text") -> DataFrame:
     """Add ``_features`` (array of float) computed from the whole text."""
 
+    lean_batches(documents.sparkSession)
+
     @F.arrow_udf("array<float>")
     def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -220,6 +222,7 @@ def score(documents: DataFrame, model: AdditiveModel, text: str = "text", name:
     Null and empty texts are scored as texts whose features are 0. Equal texts get equal
     scores, other columns pass through, and an empty table gives an empty one.
     """
+    lean_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -227,6 +230,7 @@ def score(documents: DataFrame, model: AdditiveModel, text: str = "text", name:
         for batch in batches:
             x = np.array([features(t) for t in batch.to_pylist()], np.float32).reshape(-1, len(FEATURES))
             yield pa.array(shared.value.score(x), pa.float64())
+        release_memory()
 
     return documents.withColumn(name, probability(F.col(text)))
 

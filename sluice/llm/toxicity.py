@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_fold, labelled_sample, table
+from .common import in_fold, labelled_sample, lean_batches, table
 
 # Letters that look like Latin ones, and digits that stand for letters.
 LOOK_ALIKES = dict(zip("аеорсухіјѕԁһԛԝвнкмтαοενκρτυιβη", "aeopcyxijsdhqwbhkmtaoevkptuibn", strict=True))
@@ -122,6 +122,7 @@ def train(documents: DataFrame, labels: DataFrame, usable, per_class: int = 4000
     for each sampled document, which of them it holds.
     """
     spark = documents.sparkSession
+    lean_batches(spark)
     sample = labelled_sample(documents, labels, "toxic", per_class, usable)
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1):
@@ -201,6 +202,7 @@ def score(documents: DataFrame, lexicon: Lexicon, text: str = "text", name: str
     Null and empty texts match nothing and get the score of a text without matches; equal
     texts get equal scores, other columns pass through, an empty table gives an empty one.
     """
+    lean_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(lexicon)
 
     @F.arrow_udf("double")
