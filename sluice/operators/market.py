@@ -224,7 +224,7 @@ def sampled(rows: DataFrame, spacing: float = 1.0) -> DataFrame:
     columns = rows.columns
     hour = F.floor(F.col("ts") / 3600)
     grouped = rows.groupBy("symbol", hour.alias("_hour")).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", *[c for c in columns if c not in ("ts", "seq")]))).alias("_rows"))
-    kept = F.aggregate(F.slice("_rows", 2, 2**31 - 1), F.slice("_rows", 1, 1), fold)
+    kept = F.aggregate(F.slice("_rows", 2, F.size("_rows")), F.slice("_rows", 1, 1), fold)
     return grouped.select(F.explode(kept).alias("_r")).select(*[F.col(f"_r.{c}") for c in columns])
 
 

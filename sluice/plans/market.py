@@ -241,8 +241,8 @@ ORACLES = {
   SELECT symbol, side, round(CASE WHEN q >= {SETTINGS.sweep_quote} - 1e-9 THEN greatest(CASE WHEN side = 'ask' THEN q / b / mid - 1 ELSE 1 - q / b / mid END, 0.0) END, 6) AS slippage FROM s JOIN bm USING (symbol)""",
     "depth_sequence": """WITH l AS (SELECT l_orderkey, sum(l_linenumber) AS n FROM lineitem GROUP BY 1), d AS (SELECT 'B' || CAST(l_orderkey % 7 AS VARCHAR) AS symbol, l_orderkey AS seq, CAST(l_orderkey - n % 3 AS BIGINT) AS first_id, CAST(l_orderkey + n % 11 AS BIGINT) AS final_id FROM l),
   x AS (SELECT *, max(final_id) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS la FROM d) SELECT symbol, seq, first_id, final_id, coalesce(final_id <= la, false) AS stale, coalesce(first_id > la + 1, false) AS gap FROM x""",
-    "market_format": f"""SELECT o_orderkey, CASE WHEN o_totalprice >= 1e9 THEN printf('%.2fB', round(o_totalprice / 1e9, 2)) WHEN o_totalprice >= 1e6 THEN printf('%.2fM', round(o_totalprice / 1e6, 2)) WHEN o_totalprice >= 1e3 THEN printf('%.2fK', round(o_totalprice / 1e3, 2)) ELSE printf('%.2f', o_totalprice) END AS short,
-  printf('%.2fx', round(o_totalprice / 1000, 2)) AS ratio, printf('%.2f%%', round(o_totalprice / 1e6 * 100, 2)) AS percent, CASE WHEN o_orderkey >= 3600 THEN printf('%dh%02dm%02ds', o_orderkey // 3600, o_orderkey % 3600 // 60, o_orderkey % 60) WHEN o_orderkey >= 60 THEN printf('%dm%02ds', o_orderkey // 60, o_orderkey % 60) ELSE printf('%ds', o_orderkey) END AS duration,
+    "market_format": f"""SELECT o_orderkey, CASE WHEN o_totalprice >= 1e9 THEN printf('%.2fB', CAST(round(CAST(o_totalprice / 1e9 AS DECIMAL(38, 10)), 2) AS DOUBLE)) WHEN o_totalprice >= 1e6 THEN printf('%.2fM', CAST(round(CAST(o_totalprice / 1e6 AS DECIMAL(38, 10)), 2) AS DOUBLE)) WHEN o_totalprice >= 1e3 THEN printf('%.2fK', CAST(round(CAST(o_totalprice / 1e3 AS DECIMAL(38, 10)), 2) AS DOUBLE)) ELSE printf('%.2f', o_totalprice) END AS short,
+  printf('%.2fx', CAST(round(CAST(o_totalprice / 1000 AS DECIMAL(38, 10)), 2) AS DOUBLE)) AS ratio, printf('%.2f%%', CAST(round(CAST(o_totalprice / 1e6 * 100 AS DECIMAL(38, 10)), 2) AS DOUBLE)) AS percent, CASE WHEN o_orderkey >= 3600 THEN printf('%dh%02dm%02ds', o_orderkey // 3600, o_orderkey % 3600 // 60, o_orderkey % 60) WHEN o_orderkey >= 60 THEN printf('%dm%02ds', o_orderkey // 60, o_orderkey % 60) ELSE printf('%ds', o_orderkey) END AS duration,
   CASE WHEN o_orderkey * 60 % 3600 = 0 THEN CAST(o_orderkey * 60 // 3600 AS VARCHAR) || 'h' ELSE CAST(o_orderkey AS VARCHAR) || 'm' END AS label, round({_nice("o_totalprice")}, 6) AS nice,
   round({_BUCKET.format(nice=_nice("(m * 0.02)"))}, 6) AS step, round(round_even(o_totalprice / 500.0, 0) * 500.0, 6) AS bucket, round(greatest(100.0, least(200000.0, o_totalprice)), 6) AS clamped FROM (SELECT *, o_totalprice / 1e4 AS m FROM orders)""",
 }
