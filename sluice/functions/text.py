@@ -81,22 +81,23 @@ def needs_translation(x: Column) -> Column:
     return core.rlike(r"\p{L}") & ~is_chinese(core)
 
 
-def promotional(text: Column, terms: list[str]) -> Column:
+def promotional(text: Column, terms: list[str], known_words: Column | None = None) -> Column:
     """Promotion by terms, wallet addresses, many mentions, hash tags or cash tags."""
     counted = lambda pattern: F.regexp_count(text, F.lit(pattern))
     marks = text.rlike(r"\b0x[a-f0-9]{8,}\b") | (counted("@") >= 3) | (counted(r"#[a-z0-9_]{2,}") >= 4) | (counted(r"\$[a-z][a-z0-9_]{1,9}") >= 2)
-    return (F.size(keyword_hits(text, terms)) > 0) | marks if terms else marks
+    return (F.size(keyword_hits(text, terms, known_words)) > 0) | marks if terms else marks
 
 
 def words(text: Column) -> Column:
     return F.array_distinct(F.split(text, "[^a-z0-9]+"))
 
 
-def keyword_hits(text: Column, terms: list[str]) -> Column:
+def keyword_hits(text: Column, terms: list[str], known_words: Column | None = None) -> Column:
     """The terms that a lower-case text holds, sorted: single ASCII words between boundaries, also
     with s or es; ASCII phrases with any white space between; other terms anywhere.
 
-    Single words are found by one intersection with the text's words, however many there are.
+    Single words are found by one intersection with the text's words, however many there are;
+    ``known_words`` is a column of those where many term lists meet one text.
     """
     single = sorted(t for t in terms if t.isascii() and t.isalnum())
     other = sorted(set(terms) - set(single))
@@ -104,7 +105,7 @@ def keyword_hits(text: Column, terms: list[str]) -> Column:
     out = F.array().cast("array<string>")
     if single:
         known = F.create_map(*[F.lit(x) for pair in variants.items() for x in pair])
-        out = F.transform(F.array_intersect(words(text), F.array(*[F.lit(v) for v in variants])), lambda w: F.element_at(known, w))
+        out = F.transform(F.array_intersect(words(text) if known_words is None else known_words, F.array(*[F.lit(v) for v in variants])), lambda w: F.element_at(known, w))
     if other:
         found = [F.when(text.rlike(r"(?<![a-z0-9])" + r"\s+".join(t.split(" ")) + r"(?![a-z0-9])") if t.isascii() else text.contains(t), F.lit(t)) for t in other]
         out = F.concat(out, F.array_compact(F.array(*found)))
