@@ -341,14 +341,14 @@ ORACLES = {
     "intel_event_class": f"WITH {ITEMS_SQL},{_REL_SQL},{_EVENT_SQL} SELECT pos, topic_event_type, topic_event_score, array_to_string(entity_hits, ',') AS entity_hits, array_to_string(action_hits, ',') AS action_hits, array_to_string(evidence_hits, ',') AS evidence_hits FROM ev",
     "intel_relevance": f"{_ALL} SELECT pos, relevant, topic_match_count::INT AS topic_match_count, topic_news_match_count::INT AS topic_news_match_count, topic_low_signal, topic_promotional, community_allowed, round(topic_quality_score, 6) AS topic_quality_score FROM q",
     "intel_identity": f"{_ALL},{_IDENTITY_SQL} SELECT pos, coalesce(array_to_string(identity_terms, '|'), '') AS terms, identity_key FROM ident",
-    "intel_rank": f"{_RANKED} SELECT topic, pos, place, cluster_rank, cluster_size, cluster_source_count::INT AS cluster_source_count, signal_cross_count::INT AS signal_cross_count, round(signal_burst, 6)::DOUBLE AS signal_burst, round(signal_novelty, 6)::DOUBLE AS signal_novelty, round(signal_total, 6)::DOUBLE AS signal_total, round(selection_score, 6)::DOUBLE AS selection_score FROM rk",
+    "intel_rank": f"{_RANKED} SELECT topic, pos, place::INT AS place, cluster_rank::INT AS cluster_rank, cluster_size, cluster_source_count::INT AS cluster_source_count, signal_cross_count::INT AS signal_cross_count, round(signal_burst, 6)::DOUBLE AS signal_burst, round(signal_novelty, 6)::DOUBLE AS signal_novelty, round(signal_total, 6)::DOUBLE AS signal_total, round(selection_score, 6)::DOUBLE AS selection_score FROM rk",
     "intel_dedupe": f"WITH {ITEMS_SQL}, k AS (SELECT pos, CASE WHEN url <> '' THEN 'url::' || url ELSE 'id::' || source || '::' || id END AS dedupe_key FROM items) SELECT min(pos) AS pos, dedupe_key FROM k GROUP BY dedupe_key",
     "intel_sent_filter": f"WITH {ITEMS_SQL}, k AS (SELECT pos, captured_at, CASE WHEN url <> '' THEN 'url::' || url ELSE 'id::' || source || '::' || id END AS dedupe_key FROM items), o AS (SELECT min(pos) AS pos, min_by(captured_at, pos) AS captured_at, dedupe_key FROM k GROUP BY dedupe_key) SELECT pos, dedupe_key FROM o WHERE NOT (pos % 5 = 0 AND captured_at <= 1700030000)",
-    "intel_select_preferred": f"{_RANKED},{_lanes('ld', 'topic', 'pf', 10)} SELECT topic, pos, lane, chosen FROM pf",
-    "intel_select_world": f"{_RANKED},{_WORLD('ld', 'wl', 6)} SELECT topic, pos, lane, chosen FROM wl",
-    "intel_select_hot": f"{_RANKED},{_HOT('ld', 'ht', 8)} SELECT topic, pos, lane, chosen FROM ht",
+    "intel_select_preferred": f"{_RANKED},{_lanes('ld', 'topic', 'pf', 10)} SELECT topic, pos, lane, chosen::INT AS chosen FROM pf",
+    "intel_select_world": f"{_RANKED},{_WORLD('ld', 'wl', 6)} SELECT topic, pos, lane, chosen::INT AS chosen FROM wl",
+    "intel_select_hot": f"{_RANKED},{_HOT('ld', 'ht', 8)} SELECT topic, pos, lane, chosen::INT AS chosen FROM ht",
     "intel_select_persistent": f"""{_RANKED}, ps AS (SELECT *, CASE WHEN event_source_count >= 2 OR cw AND (event_confirmation_count >= 1 OR signal_cross_count >= 1) OR window_span_hours >= 3 THEN 1 ELSE 2 END AS lane FROM ld WHERE NOT topic_low_signal AND NOT topic_promotional AND topic_quality_score >= 10 AND window_hits >= 2
-  AND (NOT ({_CORE}) OR topic_event_matched OR event_confirmation_count >= 1) AND (window_span_hours >= 1 OR event_source_count >= 2 OR signal_cross_count >= 1 OR event_confirmation_count >= 1 OR topic_event_matched OR topic_news_match_count >= 1 OR topic_match_count >= 2 OR signal_hot >= 120)),{_first('ps', 'topic', 'pt', 3)} SELECT topic, pos, lane, chosen FROM pt""",
+  AND (NOT ({_CORE}) OR topic_event_matched OR event_confirmation_count >= 1) AND (window_span_hours >= 1 OR event_source_count >= 2 OR signal_cross_count >= 1 OR event_confirmation_count >= 1 OR topic_event_matched OR topic_news_match_count >= 1 OR topic_match_count >= 2 OR signal_hot >= 120)),{_first('ps', 'topic', 'pt', 3)} SELECT topic, pos, lane, chosen::INT AS chosen FROM pt""",
     "intel_lane_diagnostics": f"{_RANKED}, lc AS (SELECT * FROM ld WHERE topic = 'crypto'), lw AS (SELECT * FROM ld WHERE topic = 'world'), lh AS (SELECT * FROM ld WHERE topic = 'hot'),{_lanes('lc', 'topic', 'pf', 10)},{_WORLD('lw', 'wl', 6)},{_HOT('lh', 'ht', 8)}, al AS (SELECT 'preferred' AS lane_name, {_DCOLS} FROM pf UNION ALL SELECT 'world', {_DCOLS} FROM wl UNION ALL SELECT 'hot', {_DCOLS} FROM ht) SELECT coalesce(lane_name, 'overall') AS lane_name, {_DIAG} FROM al GROUP BY GROUPING SETS ((lane_name), ())",
     "intel_reasons": f"{_RANKED} SELECT pos, array_to_string(list_filter([CASE WHEN topic_event_matched THEN 'event:' || topic_event_type END, CASE WHEN source_confirmed THEN 'confirmed' END, CASE WHEN signal_cross_count > 0 THEN 'cross:' || signal_cross_count END, CASE WHEN cluster_size > 1 THEN 'cluster:' || cluster_size END, CASE WHEN topic_news_match_count > 0 THEN 'news' END, CASE WHEN signal_hot >= 250 THEN 'engagement' END, CASE WHEN community_allowed THEN 'community' END], lambda x: x IS NOT NULL)[1:6], ',') AS reasons FROM rk",
     "intel_owner_quota": f"{_RANKED}, o AS (SELECT author, pos, row_number() OVER (PARTITION BY author ORDER BY place, pos) AS rn FROM rk) SELECT author, pos FROM o WHERE rn <= 3",
@@ -356,6 +356,11 @@ ORACLES = {
     "intel_merged_entries": f"""{_RANKED}, {_ENTRY}, ek AS (SELECT *, 'e' || CAST(CAST(substr(cluster_id, 2) AS INT) % 7 AS VARCHAR) AS event_key FROM eb), em AS (SELECT topic, event_key, count(*) AS snapshot_hits, sum(confirmation_count) AS cc, max(authority_score) AS authority_score, min(first_seen_at) AS fs, max(last_seen_at) AS ls FROM ek GROUP BY ALL),
   ea2 AS (SELECT topic, event_key, count(DISTINCT k) AS nk FROM (SELECT topic, event_key, unnest(ak) AS k FROM ek) GROUP BY ALL), es AS (SELECT ek.topic, event_key, source, CAST(sum(n) AS BIGINT) AS rows FROM ec JOIN ek ON ec.topic = ek.topic AND ec.cluster_id = ek.cluster_id GROUP BY ALL), en AS (SELECT topic, event_key, count(*) AS event_source_count FROM es GROUP BY ALL)
   SELECT topic, event_key, snapshot_hits, event_source_count::INT AS event_source_count, CAST(greatest(cc, coalesce(nk, 0)) AS BIGINT) AS event_confirmation_count, round(authority_score, 6) AS authority_score, round((greatest(ls, fs) - fs) / 3600.0, 2)::DOUBLE AS window_span_hours, source, rows FROM es JOIN em USING (topic, event_key) JOIN en USING (topic, event_key) LEFT JOIN ea2 USING (topic, event_key)""",
+    "intel_group_identity": f"""{_ALL},{_IDENTITY_SQL}, g0 AS (SELECT topic, 'k' || CAST(pos % 40 AS VARCHAR) AS cluster_id, topic_event_type, identity_terms FROM ident), g1 AS (SELECT topic, cluster_id, topic_event_type, unnest(identity_terms) AS term FROM g0),
+  g2 AS (SELECT topic, cluster_id, CASE WHEN list_contains({_list(VOCABULARY.action_aliases)}, term) THEN 2 WHEN list_contains({_list(VOCABULARY.entity_aliases.values())}, term) THEN 1 ELSE 3 END AS kind, term FROM g1 WHERE term <> topic_event_type OR topic_event_type = '' UNION ALL SELECT topic, cluster_id, 0, topic_event_type FROM g0 WHERE topic_event_type <> ''),
+  g3 AS (SELECT topic, cluster_id, kind, term, row_number() OVER (PARTITION BY topic, cluster_id, kind ORDER BY count(*) DESC, term) AS place FROM g2 GROUP BY topic, cluster_id, kind, term),
+  g4 AS (SELECT topic, cluster_id, list(term ORDER BY kind, place) AS l FROM g3 WHERE place <= CASE kind WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END GROUP BY ALL), g5 AS (SELECT topic, cluster_id, array_to_string(list_filter(l, lambda t, i: list_position(l, t) = i), '|') AS signature FROM g4)
+  SELECT topic, cluster_id, signature, substr(sha1(topic || '|' || signature), 1, 20) AS event_key FROM g5""",
     "intel_rollup": f"WITH {ITEMS_SQL}, k AS (SELECT *, CASE WHEN url <> '' THEN 'url::' || url ELSE 'id::' || source || '::' || id END AS dedupe_key FROM items) SELECT topic, dedupe_key, count(*) AS window_hits, min(captured_at) AS window_first_seen_at, max(captured_at) AS window_last_seen_at, round((max(captured_at) - min(captured_at)) / 3600.0, 2)::DOUBLE AS window_span_hours, max(length(text))::INT AS text_length, min_by(author, pos) AS author, max(score) AS score FROM k GROUP BY ALL",
     "text_pages": f"""WITH s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS h FROM pages), u AS (SELECT *, {_WS.format(x=_UN("trim(h, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))"))} AS x0 FROM s), x AS (SELECT *, x0 AS x FROM u)
   SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS domain, sha1(x) AS plain_sha1, {_SHORT.replace('x', 'x2', 0)} AS short, substr(sha1(url), 1, 20) AS fingerprint, CASE WHEN length(url) <= 8 THEN repeat('*', length(url)) ELSE substr(url, 1, 4) || repeat('*', length(url) - 8) || right(url, 4) END AS masked,
