@@ -115,3 +115,44 @@ def parsed_time(x: Column, zone: str = "UTC") -> Column:
     bare = F.regexp_replace(F.regexp_replace(x, "^[A-Za-z]{3},? ", ""), "GMT$", "+0000")
     other = F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in ("MMM dd HH:mm:ss Z yyyy", "dd MMM yyyy HH:mm:ss Z")])
     return F.unix_seconds(F.coalesce(local, fixed, other))
+
+
+def source_mix(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Counts by source as a map, for each group."""
+    counted = rows.groupBy(*by, "source").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("source_counts"))
+
+
+def silent_topics(configured: DataFrame, counts: DataFrame, source: str = "x") -> DataFrame:
+    """Configured topics from which a source brought nothing, so that a retry is due."""
+    return configured.join(counts.where((F.col("source") == source) & (F.col("n") > 0)), "topic", "left_anti")
+
+
+def tasks_by_anchor(tasks: DataFrame) -> DataFrame:
+    """Tasks with ``anchor``, the latest of their times, one row for each id, newest first by (anchor, id) as ``place``.
+
+    One task orders the ids: a table of build tasks of a few days.
+    """
+    anchor = F.greatest(F.coalesce("finished_at", F.lit(0)), F.coalesce("started_at", F.lit(0)), F.coalesce("submitted_at", F.lit(0)))
+    one = latest_by_key(tasks.withColumn("anchor", anchor), ["id"], [F.desc("anchor"), F.desc("status")])
+    return one.withColumn("place", F.row_number().over(Window.orderBy(F.desc("anchor"), F.desc("id"))))
+
+
+def may_submit(tasks: DataFrame) -> DataFrame:
+    """One row: whether no task is queued or running."""
+    return tasks.agg((F.count_if(F.col("status").isin("queued", "running")) == 0).alias("may_submit"))
+
+
+def batches(rows: DataFrame, order: str, size: int, by: list[str]) -> DataFrame:
+    """Add ``batch``: rows of a group in order, ``size`` at a time."""
+    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1) / size))
+
+
+def symbol_list(x: Column) -> Column:
+    """Symbols from a text: upper case, split at spaces, commas and semicolons of either width, distinct in order."""
+    return F.array_distinct(F.filter(F.split(F.upper(x), r"[\s,，;；]+"), lambda s: s != ""))
+
+
+def list_changes(wanted: Column, present: Column) -> tuple[Column, Column]:
+    """Symbols to add and to remove."""
+    return F.array_except(wanted, present), F.array_except(present, wanted)

@@ -94,7 +94,36 @@ def ops_parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(k.alias("id"), O.parsed_time(text).alias("ts"))
 
 
-QUERIES = {f.__name__: f for f in (ops_alerts, ops_levels, ops_trend, ops_source_totals, ops_delivery_window, ops_next_slot, ops_history, ops_registry, ops_parsed_times)}
+def ops_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id") % 50, F.col("role").alias("source")).toDF("topic", "source")
+    flat = F.array_join(F.transform(F.map_entries("source_counts"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return O.source_mix(c, ["topic"]).select("topic", flat.alias("mix"))
+
+
+def ops_silent_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("user_id > 20")
+    counts = e.groupBy((F.col("user_id") % 60).alias("topic"), F.when(F.col("event_type") == "error", "x").otherwise("rss").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    return O.silent_topics(spark.range(80).select(F.col("id").alias("topic")), counts)
+
+
+def ops_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    tasks = o.select((k % 400).alias("id"), F.concat(F.lit("s"), k.cast("string")).alias("status"), (k * 13 % 1000).alias("submitted_at"), F.when(k % 3 != 0, k * 29 % 1000).alias("started_at"), F.when(k % 4 != 0, k * 31 % 1000).alias("finished_at"))
+    return O.tasks_by_anchor(tasks).select("id", "anchor", "status", "place")
+
+
+def ops_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.batches(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", 4, ["o_orderpriority"])
+
+
+def ops_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "customer")
+    wanted, present = O.symbol_list(F.concat_ws(" ,", "c_mktsegment", "c_name", F.lower("c_mktsegment"))), F.array(F.upper("c_name"), F.lit("OLD"))
+    add, remove = O.list_changes(wanted, present)
+    return p.select("c_custkey", F.array_join(wanted, "|").alias("symbols"), F.array_join(add, "|").alias("added"), F.array_join(remove, "|").alias("removed"))
+
+
+QUERIES = {f.__name__: f for f in (ops_alerts, ops_levels, ops_trend, ops_source_totals, ops_delivery_window, ops_next_slot, ops_history, ops_registry, ops_parsed_times, ops_source_mix, ops_silent_topics, ops_tasks, ops_batches, ops_symbols)}
 
 ORACLES = {
     "ops_alerts": f"WITH {_HEALTH} SELECT run, severity, code FROM a",
@@ -106,4 +135,11 @@ ORACLES = {
     "ops_history": "SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 3",
     "ops_registry": f"SELECT key, sent_at FROM (SELECT 'k' || c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN {NOW} ELSE {NOW} - c_custkey * 600 END AS sent_at FROM customer) WHERE sent_at >= {NOW} - 259200",
     "ops_parsed_times": "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 4 THEN NULL WHEN 2 THEN CAST(epoch(o_orderdate) AS BIGINT) - 28800 ELSE CAST(epoch(o_orderdate) AS BIGINT) END AS ts FROM orders",
+    "ops_source_mix": "SELECT topic, string_agg(role || ':' || n, ',' ORDER BY role) AS mix FROM (SELECT conv_id % 50 AS topic, role, count(*) AS n FROM conversations GROUP BY 1, 2) GROUP BY topic",
+    "ops_silent_topics": "SELECT range AS topic FROM range(80) WHERE range NOT IN (SELECT user_id % 60 FROM events WHERE user_id > 20 AND event_type = 'error')",
+    "ops_tasks": """WITH t AS (SELECT o_orderkey % 400 AS id, 's' || o_orderkey AS status, greatest(o_orderkey * 13 % 1000, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey * 29 % 1000 ELSE 0 END, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey * 31 % 1000 ELSE 0 END) AS anchor FROM orders),
+  n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY anchor DESC, status DESC) AS rn FROM t) SELECT id, anchor, status, row_number() OVER (ORDER BY anchor DESC, id DESC)::INT AS place FROM n WHERE rn = 1""",
+    "ops_batches": "SELECT o_orderkey, o_orderpriority, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 4 AS batch FROM orders",
+    "ops_symbols": """WITH s AS (SELECT *, string_split_regex(upper(c_mktsegment || ' ,' || c_name || ' ,' || c_mktsegment), '[\\s,，;；]+') AS w0 FROM customer), u AS (SELECT *, list_filter(w0, lambda x, i: x <> '' AND list_position(w0, x) = i) AS w FROM s)
+  SELECT c_custkey, array_to_string(w, '|') AS symbols, array_to_string(list_filter(w, lambda x: x <> upper(c_name) AND x <> 'OLD'), '|') AS added, array_to_string(list_filter([upper(c_name), 'OLD'], lambda x: NOT list_contains(w, x)), '|') AS removed FROM u""",
 }

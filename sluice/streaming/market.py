@@ -62,3 +62,17 @@ def latest_snapshots(path: str, key: str, order: str) -> Callable[[DataFrame, in
         newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def levels_stream(updates: DataFrame) -> DataFrame:
+    """The order book as it stands (update or complete mode): the last quantity of each price of each side.
+
+    The aggregation's state is the book; a snapshot is a batch of updates with a lower sequence.
+    """
+    return updates.groupBy("symbol", "side", "price").agg(F.max_by("qty", "seq").alias("qty"), F.max("seq").alias("seq"))
+
+
+def baseline_stream(candles: DataFrame, rows: int) -> DataFrame:
+    """The last ``rows`` closed candles' volumes of each symbol, kept as a sorted array (complete mode)."""
+    kept = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("open_time", "quote_volume", "trade_count")))), 1, rows)
+    return candles.where("is_closed").groupBy("symbol").agg(kept.alias("candles"))

@@ -116,3 +116,19 @@ def test_trend_and_tasks(spark):
     assert (alert.severity, alert.runs) == ("critical", 3) and O.trend_alert(repeats, F.lit(2), F.lit(2), ["a"]).count() == 0
     tasks = spark.createDataFrame([("1", "running"), ("2", "succeeded")], "id string, status string")
     assert {r.id: r.status for r in O.restarted(tasks).collect()} == {"1": "failed", "2": "succeeded"}
+
+
+def test_book_and_baseline_streams_as_batch(spark, sf_dir, tmp_path):
+    levels, candles = frames.levels(spark, sf_dir), frames.candles(spark, sf_dir)
+    levels.repartition(3).write.parquet(str(tmp_path / "l"))
+    candles.repartition(3).write.parquet(str(tmp_path / "c"))
+    book = run(S.levels_stream(spark.readStream.schema(levels.schema).parquet(str(tmp_path / "l"))), "levels_out", "complete").where("qty <> 0").select("symbol", "side", "price", "qty")
+    assert sorted(map(tuple, book.collect())) == sorted(map(tuple, M.book_state(levels).select("symbol", "side", "price", "qty").collect()))
+    base = run(S.baseline_stream(spark.readStream.schema(candles.schema).parquet(str(tmp_path / "c")), 5), "base_out", "complete")
+    got = {r.symbol: sorted(c.quote_volume for c in r.candles)[2] for r in base.collect()}
+    assert got == {r.symbol: r.median_volume for r in M.baseline(candles, 5).collect()}
+
+
+def test_submission_gate(spark):
+    tasks = spark.createDataFrame([("1", "failed"), ("2", "queued")], "id string, status string")
+    assert not O.may_submit(tasks).head().may_submit and O.may_submit(tasks.where("id = '1'")).head().may_submit
