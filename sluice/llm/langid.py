@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_fold, lean_batches, table
+from .common import in_fold, joined_small, lean_batches, table
 
 #: Hash buckets of the n-grams of 1, 2 and 3 bytes, one after another.
 BUCKETS = (256, 2048, 4096)
@@ -112,7 +112,8 @@ def train(documents: DataFrame, usable: Column, per_language: int = 250, cluster
     rows = documents.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & usable)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = rows.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("doc_id", "lang").distinct()
-    sample = documents.select("doc_id", "lang", "text").where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    sample = documents.select("doc_id", "lang", "text").where(F.col("text").rlike(r"\p{L}"))
+    sample = joined_small(sample, chosen, ["doc_id", "lang"], "left_semi")
     found = sorted((r["lang"], r["doc_id"], r["text"]) for r in sample.toLocalIterator())
     kept: dict[str, list[str]] = {}
     for lang, _, text in found:  # an id that is repeated on many rows keeps to the bound as well

@@ -113,12 +113,12 @@ def expand(packed: bytes) -> bytes:
     return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
 
 
-def by_bucket(buckets: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The buckets that occur, each with the places of its values."""
     order = np.argsort(buckets, kind="stable")
-    cuts = np.searchsorted(buckets[order], np.arange(n + 1))
-    for k in range(n):
-        if cuts[k] < cuts[k + 1]:
-            yield k, order[cuts[k] : cuts[k + 1]]
+    cuts = np.flatnonzero(np.append(True, buckets[order][1:] != buckets[order][:-1])) if len(order) else order
+    for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        yield int(buckets[order[lo]]), order[lo:hi]
 
 
 def phrase_hashes(sums: np.ndarray, down: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -158,7 +158,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
         ends = np.append(starts[1:], len(h))
         several = d[starts] != d[ends - 1] if len(h) else np.zeros(0, bool)
         h = h[starts]
-        out = [(key[0].as_py(), k, pack(h[own]), np.packbits(several[own]).tobytes()) for k, own in by_bucket((h % np.uint64(n_buckets)).astype(np.int64), n_buckets)]
+        out = [(key[0].as_py(), k, pack(h[own]), np.packbits(several[own]).tobytes()) for k, own in by_bucket((h % np.uint64(n_buckets)).astype(np.int64))]
         return pa.table(dict(zip(("block", "bucket", "hashes", "several"), zip(*out, strict=True) if out else ([],) * 4, strict=True)), schema=pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("several", pa.binary())]))
 
     def shared(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -206,7 +206,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
         several = (d[starts] != d[np.append(starts[1:], len(d)) - 1])[place]
         b, size, bucket = np.concatenate(pieces), np.concatenate(sizes), np.concatenate(buckets)
         begin = np.cumsum(size) - size
-        for k, own in by_bucket(bucket, n_buckets):
+        for k, own in by_bucket(bucket):
             out.append((key[0].as_py(), k, squeeze(gather(b, begin[own], size[own])), squeeze(size[own].astype(np.uint8)), squeeze(lowest[own]), np.packbits(several[own]).tobytes()))
         return pa.table(dict(zip(names, zip(*out, strict=True), strict=True)), schema=schema)
 
