@@ -92,6 +92,17 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.split(text, "[^a-z0-9]+"))
 
 
+def variants(terms: list[str]) -> dict[str, str]:
+    """The forms of single words and the word of each."""
+    single = sorted(t for t in terms if t.isascii() and t.isalnum())
+    return {v: t for t in single for v in (t, t + "s", t + "es")} | {t: t for t in single}
+
+
+def known_words(text: Column, terms: list[str]) -> Column:
+    """The forms of a large vocabulary that a text holds, so that each of many term lists meets few words."""
+    return F.array_intersect(F.split(text, "[^a-z0-9]+"), F.array(*[F.lit(v) for v in variants(terms)]).cast("array<string>"))
+
+
 def keyword_hits(text: Column, terms: list[str], known_words: Column | None = None) -> Column:
     """The terms that a lower-case text holds, sorted: single ASCII words between boundaries, also
     with s or es; ASCII phrases with any white space between; other terms anywhere.
@@ -99,13 +110,12 @@ def keyword_hits(text: Column, terms: list[str], known_words: Column | None = No
     Single words are found by one intersection with the text's words, however many there are;
     ``known_words`` is a column of those where many term lists meet one text.
     """
-    single = sorted(t for t in terms if t.isascii() and t.isalnum())
-    other = sorted(set(terms) - set(single))
-    variants = {v: t for t in single for v in (t, t + "s", t + "es")} | {t: t for t in single}
+    forms = variants(terms)
+    other = sorted(set(terms) - set(forms.values()))
     out = F.array().cast("array<string>")
-    if single:
-        known = F.create_map(*[F.lit(x) for pair in variants.items() for x in pair])
-        out = F.transform(F.array_intersect(words(text) if known_words is None else known_words, F.array(*[F.lit(v) for v in variants])), lambda w: F.element_at(known, w))
+    if forms:
+        known = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
+        out = F.transform(F.array_intersect(words(text) if known_words is None else known_words, F.array(*[F.lit(v) for v in forms])), lambda w: F.element_at(known, w))
     if other:
         found = [F.when(text.rlike(r"(?<![a-z0-9])" + r"\s+".join(t.split(" ")) + r"(?![a-z0-9])") if t.isascii() else text.contains(t), F.lit(t)) for t in other]
         out = F.concat(out, F.array_compact(F.array(*found)))

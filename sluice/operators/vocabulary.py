@@ -34,3 +34,8 @@ class Vocabulary:
     stopwords: list[str]
     entity_aliases: dict[str, str] = field(default_factory=dict)
     action_aliases: dict[str, str] = field(default_factory=dict)
+
+    def terms(self) -> list[str]:
+        """All terms of all lists."""
+        lists = [x for t in self.topics.values() for x in (t.keywords, t.news, t.promotion, *[y for p in t.profiles for y in (p.entities, p.actions, p.evidence, p.negative)])]
+        return sorted({t for x in lists for t in x})
