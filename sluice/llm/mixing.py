@@ -1,10 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule, from DataFrame functions alone.
 
-Each source's documents are shuffled by hash and laid end to end as words, then cut into
-blocks of equal numbers of words. Slots of the mix map golden-ratio points through the
-cumulative targets to sources; the r-th slot of a source takes its r-th block, going round
-again after the last. A document is taken for those of its words that the taken blocks
-cover, counted for each time round.
+Each source's documents are shuffled by hash and laid end to end as words, and words are
+taken from the start up to the source's rounded target, going round again after the last
+word. A document is taken for those of its words that this covers, counted for each time
+round. ``schedule`` deals slots of golden-ratio points to sources by the same targets.
 """
 
 from __future__ import annotations
@@ -61,9 +60,10 @@ def schedule(spark: SparkSession, shares: DataFrame, slots: int = SLOTS) -> Data
     return points.join(spans, "bin").where((F.col("u") >= F.col("lo")) & ((F.col("u") < F.col("hi")) | last)).groupBy("source").agg(F.count(F.lit(1)).alias("slots"))
 
 
-def mix(documents: DataFrame, slots: int = SLOTS) -> DataFrame:
+def mix(documents: DataFrame) -> DataFrame:
     """Every row of ``documents`` with size, source_size, target, taken, passes and rest.
 
+    ``taken`` sums to the rounded target in each source; no slot of the schedule is needed for that.
     ``taken`` = passes * size + rest, rest being words at the start of the text. Texts that are
     null or empty have size 0 and are never taken; repeated rows are separate documents;
     a null source is a source of its own; an empty table gives an empty one. The order of
@@ -74,22 +74,15 @@ def mix(documents: DataFrame, slots: int = SLOTS) -> DataFrame:
     many tasks. Sums for each source (one row for each source and range) are broadcast only
     if Spark finds them small.
     """
-    spark = documents.sparkSession
     docs = documents.withColumn("size", words()).withColumn("_hash", F.xxhash64(F.lit("mix"), "doc_id", "text")).withColumn("_range", F.pmod(F.shiftrightunsigned("_hash", 40), F.lit(RANGES)).cast("int"))
     ranges = checkpointed(docs.groupBy("source", "_range").agg(F.sum("size").alias("_words")))
     sizes = ranges.groupBy("source").agg(F.sum("_words").alias("source_size"))
-    goals = targets(sizes)
-    total = ranges.agg(F.sum("_words").alias("n")).head()["n"] or 0
-    slots = max(1, min(slots, total))
-    goals = checkpointed(goals)
-    per_slot = goals.agg(F.sum("target").alias("t")).head()["t"] or 0.0
-    block = max(1.0, per_slot / slots)
-    planned = goals.join(schedule(spark, goals, slots).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    goals = checkpointed(targets(sizes))
     # whole rounds over a source's words, and the words of the round that stops in between
-    planned = planned.withColumn("_take", F.least(F.round(F.coalesce("slots", F.lit(0)) * block).cast("long"), MOST * F.col("source_size")))
+    planned = goals.withColumn("_take", F.least(F.round("target").cast("long"), MOST * F.col("source_size")))
     planned = planned.withColumn("_rounds", F.when(F.col("source_size") > 0, F.expr("_take DIV source_size")).otherwise(F.lit(0).cast("long"))).withColumn("_over", F.col("_take") - F.col("_rounds") * F.col("source_size"))
     starts = ranges.withColumn("_start", F.coalesce(F.sum("_words").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    plan = starts.withColumnRenamed("source", "_s").join(planned, F.col("_s").eqNullSafe(F.col("source"))).drop("_s", "_words", "slots")
+    plan = starts.withColumnRenamed("source", "_s").join(planned, F.col("_s").eqNullSafe(F.col("source"))).drop("_s", "_words")
     plan = plan.select(F.col("source").alias("_source"), F.col("_range").alias("_r"), "source_size", "target", "_start", "_rounds", "_over")
     inside = Window.partitionBy("source", "_range").orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.drop("source_size", "target", "taken", "passes", "rest").withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -99,13 +92,13 @@ def mix(documents: DataFrame, slots: int = SLOTS) -> DataFrame:
     return out.withColumn("taken", F.col("passes") * F.col("size") + F.col("rest")).drop("_hash", "_range", "_source", "_r", "_start", "_rounds", "_over", "_before")
 
 
-def mixed(documents: DataFrame, slots: int = SLOTS) -> DataFrame:
+def mixed(documents: DataFrame) -> DataFrame:
     """The mix itself: each row of ``documents`` once for each pass, and its first words for the rest.
 
     Columns are those of ``documents``; n_chars, where there is one, follows the text. A row
     that is cut (one for each source at most, beside repeated rows) has its words joined by a space.
     """
-    planned = mix(documents, slots).withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes") + 1)))
+    planned = mix(documents).withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes") + 1)))
     planned = planned.where((F.col("_pass") <= F.col("passes")) | (F.col("rest") > 0))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("rest").cast("int")), " ")
     partial = (F.col("_pass") > F.col("passes")) & (F.col("rest") < F.col("size"))

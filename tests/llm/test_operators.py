@@ -219,6 +219,18 @@ def test_mixing(odd, odd_rows, nothing):
     assert words == {s: n for s, n in taken.items() if n}
 
 
+def test_mixing_gives_every_source_its_rounded_target(spark):
+    """Sources of a few words beside large ones: none may round away to nothing."""
+    rows = [(i, prose(i, 3000), f"big{i % 3}", None) for i in range(400)] + [(1000 + i, prose(i, 1 + i % 5), f"rare{i:02d}", None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix(docs).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert {s: taken[s] for s in target} == {s: int(t + 0.5) for s, t in target.items()}
+    assert {r.source for r in mixing.mixed(docs).collect()} == set(target)
+
+
 def test_top_k(spark, nothing):
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(x) for x in rng.normal(size=8)]) for i in range(400)]
