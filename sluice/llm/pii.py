@@ -122,7 +122,12 @@ def described(kind: str, x: Column) -> dict[str, Column]:
 
 
 def with_candidates(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``base`` (spans kept), and ``more`` (candidates with features and label 1, 0 or -1 for unsure)."""
+    """Add ``base`` (spans kept), and ``more`` (candidates with features and a label).
+
+    The label is 1 or 0 where it is sure, -1 where it is not, and -2 for a candidate that overlaps a
+    base span of its own kind: such a form may well be right where it stands free, so it teaches
+    nothing, and the base span stands for it.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
     for kind in KINDS:
         own, wide = found(whole, *BASE[kind]), found(whole, *WIDE[kind])
@@ -148,13 +153,17 @@ def with_candidates(documents: DataFrame, text: str = "text") -> DataFrame:
 
         return make
 
-    def overlaps(x: Column) -> Column:
-        return F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    def overlaps(x: Column, own: Callable[[Column], Column]) -> Column:
+        return F.exists("base", lambda b: own(b["kind"]) & (b["start"] < x["end"]) & (x["start"] < b["end"]))
+
+    def label(kind: str) -> Callable[[Column, Column], Column]:
+        place = KINDS.index(kind)
+        within, beside = (lambda x: overlaps(x, lambda k: k == place)), (lambda x: overlaps(x, lambda k: k != place))
+        return lambda x, check: F.when(check == 0, 0).when(within(x), -2).when(beside(x), 0).otherwise(-1)
 
     own = [F.transform(f"_b_{kind}", candidate(kind, lambda x, check: check)) for kind in KINDS]
     fresh = [F.filter(f"_w_{kind}", new(kind)) for kind in KINDS]
-    unsure = lambda x, check: F.when((check == 0) | overlaps(x), 0).otherwise(-1)
-    wide = [F.transform(f, candidate(kind, unsure)) for kind, f in zip(KINDS, fresh, strict=True)]
+    wide = [F.transform(f, candidate(kind, label(kind))) for kind, f in zip(KINDS, fresh, strict=True)]
     return documents.withColumn("more", F.concat(*own, *wide)).drop(*[f"_{a}_{k}" for k in KINDS for a in "bw"])
 
 

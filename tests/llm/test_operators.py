@@ -152,6 +152,15 @@ def test_personal_data_adds_spans_and_redacts(spark):
     assert text[3] == "card <card> mail <email> ip <ip> and <phone>"
 
 
+def test_personal_data_learns_phones_without_plus(spark):
+    """National numbers inside longer base spans say nothing against the same form where it stands free."""
+    rows = [(i, f"call me on +1 (555) 010-9{i:03d} or write me{i}@x.org today") for i in range(80)] + [(100 + i, f"code 300.1.1.{i} or +{i} 55 of 10.0.0.{i}") for i in range(80)]
+    rows += [(500, "please call (017) 555-7713 today"), (501, "nothing at all"), (502, "call +1 (017) 555-7713 today")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.s for r in pii.find(docs, pii.train(docs)).select("doc_id", pii.listed(F.col("spans")).alias("s")).collect()}
+    assert spans[500] == "phone:12:26" and spans[501] == "" and spans[502] == "phone:5:22"
+
+
 def test_bpe_as_tiktoken(spark, odd, odd_rows, nothing):
     import public_tokenizers as P
     import tiktoken
