@@ -28,6 +28,8 @@ from .wordhash import mix, powers, prefix_sums
 LENGTH, TRIGGER = 50, 24
 BLOCK_BYTES, BUCKET_BYTES, PART_BYTES = 6_000_000, 2_000_000, 400_000
 _PLACES = LENGTH - TRIGGER + 1
+#: Windows whose smallest hashes are found at once; with the last window's places at most 2**24.
+STEP = 1 << 22
 _LAST = np.iinfo(np.int64).max
 
 
@@ -45,13 +47,17 @@ def parse(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         return none, none.view(np.uint64), none, none, ends - sizes, b
     sums, down = prefix_sums(b), powers(len(b))[1]
     h = mix((sums[TRIGGER:] - sums[:-TRIGGER]) * down[: len(b) - TRIGGER + 1])
-    low = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)  # equal hashes: the first place
-    span = 1
-    while 2 * span <= _PLACES:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    low = np.minimum(low[: n], low[_PLACES - span : _PLACES - span + n])
-    place = (low & np.uint64(0xFFFFFF)).astype(np.int64)
+    place = np.empty(n, np.int64)
+    for at in range(0, n, STEP):  # places within a stretch fit the low bits of the hashes
+        stop = min(at + STEP, n)
+        own = h[at : stop + _PLACES - 1]
+        low = (own & ~np.uint64(0xFFFFFF)) | np.arange(len(own), dtype=np.uint64)  # equal hashes: the first place
+        span = 1
+        while 2 * span <= _PLACES:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        low = np.minimum(low[: stop - at], low[_PLACES - span : _PLACES - span + stop - at])
+        place[at:stop] = at + (low & np.uint64(0xFFFFFF)).astype(np.int64)
     inside = np.ones(n, bool)
     for end in ends[:-1].tolist():  # windows that run over the end of a text
         inside[max(end - LENGTH + 1, 0) : end] = False

@@ -107,6 +107,15 @@ def test_repeats_on_a_table(spark, sf_dir):
     assert got == want
 
 
+def test_repeats_far_into_a_long_text(spark):
+    """A passage beyond byte 2**24 of a text is found in later texts, and removed there if it stands earlier."""
+    noise = np.random.default_rng(3).integers(97, 123, (1 << 24) + 4000).astype(np.uint8).tobytes().decode()
+    late, early = prose(71, 40), prose(72, 40)
+    rows = [(1, early), (2, noise + "#|" + late + "|" + early + "|"), (3, prose(73, 60) + "%|" + late + "|")]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept").collect()}
+    assert got == {1: (0, 0), 2: (len(early), 1), 3: (len(late) + 2, 1)}
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
