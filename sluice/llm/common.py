@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,19 +23,29 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share; set here only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
+
+    Only a local master, whose driver is its one executor, may do without the setting and gets
+    a folder of its own; on a cluster that would lose data, so it is an error there.
+    """
     context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="sluice-checkpoints-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/sluice-checkpoints"))
-    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+        context.setCheckpointDir(folder)
+    return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store that nothing reads any more."""
+    spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
 
-    A cluster names a shared folder there. Only where none is set (tests, a laptop)
-    a local folder is used.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the folder of ``shared_folder``."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
@@ -53,6 +64,18 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("y").cast("int"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def joined_small(df: DataFrame, keys: DataFrame, on, how: str = "inner", limit: int = 2_000_000) -> DataFrame:
     """Join with a side that is broadcast only if it has at most ``limit`` rows, else shuffled.
 
