@@ -1,8 +1,8 @@
 """The corpus pipeline: quality, near duplicates, personal data, source mix, byte-level BPE.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept.
 ``run`` writes each stage as Parquet into the shared folder of ``spark.checkpoint.dir`` and
-reads it again for the next, so a lost executor costs no more than the stage at hand.
+reads it again for the next, so a lost executor costs no more than the stage at hand. A
+stage's folder goes as soon as the next one is written.
 """
 
 from __future__ import annotations
@@ -10,53 +10,16 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from sluice.llm import bpe, mixing, neardup, pii, quality
-from sluice.llm.common import in_fold, shared_folder, table
-
-#: A document stays if its quality score is at least this.
-GOOD = 0.7
-
-
-def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose quality score reaches GOOD; learned as in op1_quality, from the rows at hand."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"), ~in_fold(F.col("doc_id"), 4, 2))
-    return quality.score(docs, model, name="_score").where(F.col("_score") >= GOOD).select(docs.columns)
-
-
-def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
-    return neardup.one_of_each(docs, words=5, percent=80).select(docs.columns)
-
-
-def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, personal data replaced by its kind, n_chars of the new text."""
-    found = pii.redact(pii.find(docs, pii.train(docs)))
-    return found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in the shares of the target weights: some repeated, some left out, one cut for each source."""
-    return mixing.mixed(docs)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row; ``round_trip`` tells that they decode to the text's bytes."""
-    import public_tokenizers
-
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return both.select("doc_id", "lang", "source", "n_tokens", "token_ids", same.alias("round_trip"))
 
+from sluice.llm import stages
+from sluice.llm.common import remove, shared_folder, table
 
 STAGES = [
-    ("quality", keep_good),
-    ("near_duplicates", keep_one_of_each),
-    ("personal_data", redact_personal_data),
-    ("mixing", mix_sources),
-    ("byte_bpe", encode),
+    ("quality", stages.keep_good),
+    ("near_duplicates", stages.keep_one_of_each),
+    ("personal_data", stages.redact_personal_data),
+    ("mixing", stages.mix_sources),
+    ("byte_bpe", stages.encode),
 ]
 
 #: The classifier, the hashes of the mix and the tokenizer are beyond SQL; tests hold each
@@ -65,11 +28,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for ``documents``; the folder that they are read from stays."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}", None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
+            if before:
+                remove(spark, before)
+            before = f"{folder}/{k}"
+            docs = spark.read.parquet(before)
     return docs
