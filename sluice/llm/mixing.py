@@ -1,24 +1,28 @@
 """Mixing sources to target weights by a low-discrepancy schedule, from DataFrame functions alone.
 
-Each source's documents are shuffled by hash and laid end to end as words, and words are
-taken from the start up to the source's rounded target, going round again after the last
-word. A document is taken for those of its words that this covers, counted for each time
-round. ``schedule`` deals slots of golden-ratio points to sources by the same targets.
+Each source's documents are shuffled by hash, laid end to end as words, round after round up
+to the source's rounded target, and this line is cut into blocks of equal words. The slots of
+the mix are golden-ratio points, mapped to sources through the cumulative numbers of blocks.
+Slots are ranked within their source and the r-th slot is joined to the source's r-th block,
+so the mix has an order in which every stretch holds the sources near their shares. A document
+is taken for those of its words that lie in joined blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, table
+from .common import WORD, checkpointed, fresh, table
 
-#: Most times that a word is taken, slots of a schedule, hash ranges of a source.
-MOST, SLOTS, RANGES = 3, 1 << 20, 1024
+#: Most times that a word is taken, words of a block, rows of a hash range of documents, slots of a chunk.
+MOST, BLOCK, RANGE_ROWS, CHUNK = 3, 4096, 20_000, 1 << 16
 _GOLDEN = 0.6180339887498949
 
 
-def words(text: str = "text"):
+def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
@@ -42,72 +46,130 @@ def targets(sizes: DataFrame) -> DataFrame:
     return ranked.withColumn("first", first).select("source", "source_size", F.when(F.col("first").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("first") * F.col("w"))).alias("target"))
 
 
-def schedule(spark: SparkSession, shares: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(source, slots): how many slots of the schedule fall to each source.
+def planned(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``targets`` with ``take``, the target to the word, and ``blocks``, how many blocks hold it."""
+    take = F.least(F.round("target").cast("long"), MOST * F.col("source_size"))
+    return targets(sizes).withColumn("take", take).withColumn("blocks", F.ceil(F.col("take") / block).cast("long"))
+
 
-    ``shares`` has source and target. Points are golden-ratio multiples mod 1. Each source owns
-    an interval of [0, 1); intervals and points meet in equal bins of it, by an equi-join.
+def ranked(rows: DataFrame, order: str, name: str, chunk: int = CHUNK) -> DataFrame:
+    """Add ``name``, the rank from 0 of each row within its source by ``order`` (whole numbers from 0, distinct in a source).
+
+    Ranks go by chunks of ``order`` and running counts over chunks, so no task sorts a whole source.
     """
-    bins = 4096
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    upto = F.sum("target").over(order) / F.sum("target").over(everything)
-    spans = shares.where(F.col("target") > 0).select("source", upto.alias("hi")).withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0)))
-    spans = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * bins), F.least(F.lit(bins - 1), F.floor(F.col("hi") * bins)).cast("bigint"))))
+    dealt = rows.withColumn("_c", F.floor(F.col(order) / chunk))
+    counts = dealt.groupBy("source", "_c").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("source").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("source").alias("_s"), F.col("_c").alias("_d"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("source", "_c").orderBy(order)) - 1
+    out = dealt.withColumn("_i", inside).join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_c") == F.col("_d")))
+    return out.withColumn(name, F.col("_start") + F.col("_i")).drop("_c", "_d", "_s", "_i", "_start")
+
+
+def schedule(spark: SparkSession, plan: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(source, block, slot): the slot of every block of a plan (source, blocks), blocks from 0.
+
+    A source owns an interval of [0, 1) as long as its share of all blocks; points and intervals
+    meet in equal bins by an equi-join. There are twice as many points as blocks, so that an
+    interval of one block holds one (gaps between n golden-ratio points are below 1.9 / n); each
+    source uses its first ones. A block that finds no slot all the same has none here, and
+    ``pieces`` puts it after all others.
+    """
+    plan = plan.where(F.col("blocks") > 0).select("source", "blocks")
+    totals = plan.agg(F.sum("blocks").alias("n"), F.count(F.lit(1)).alias("sources")).head()
+    n, bins = totals["n"] or 0, max(4096, 4 * totals["sources"])
+    order = Window.orderBy(F.col("source").asc_nulls_last())  # over one row for each source
+    upto = F.sum("blocks").over(order)
+    spans = plan.select("source", "blocks", ((upto - F.col("blocks")) / F.lit(max(n, 1))).alias("lo"), (upto / F.lit(max(n, 1))).alias("hi"))
+    last = F.least(F.lit(bins - 1), F.floor(F.col("hi") * bins)).cast("bigint")
+    spans = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * bins), last)))
     u = (F.col("id") + 0.5) * F.lit(_GOLDEN)
-    points = spark.range(slots).withColumn("u", u - F.floor(u)).withColumn("bin", F.floor(F.col("u") * bins))
-    last = F.col("hi") >= 1 - 1e-12
-    return points.join(spans, "bin").where((F.col("u") >= F.col("lo")) & ((F.col("u") < F.col("hi")) | last)).groupBy("source").agg(F.count(F.lit(1)).alias("slots"))
+    points = spark.range(2 * n).select(F.col("id").alias("slot"), (u - F.floor(u)).alias("u")).withColumn("bin", F.floor(F.col("u") * bins))
+    met = points.join(spans, "bin").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    return ranked(met.select("source", "blocks", "slot"), "slot", "block", chunk).where(F.col("block") < F.col("blocks")).select("source", "block", "slot")
+
 
+@dataclass(frozen=True)
+class Laid:
+    """``rows``: row (a struct), source, size, range, n (its place in the range), start (its first word in the source's line) and
+    the plan of its source; ``pieces``: range, n, source, pass, block, slot, words of each stretch that is taken."""
 
-def mix(documents: DataFrame) -> DataFrame:
-    """Every row of ``documents`` with size, source_size, target, taken, passes and rest.
+    rows: DataFrame
+    pieces: DataFrame
 
-    ``taken`` sums to the rounded target in each source; no slot of the schedule is needed for that.
-    ``taken`` = passes * size + rest, rest being words at the start of the text. Texts that are
-    null or empty have size 0 and are never taken; repeated rows are separate documents;
-    a null source is a source of its own; an empty table gives an empty one. The order of
-    words depends on doc_id, source and text only, so reruns agree. Other columns pass
-    through; columns of the new names are replaced.
 
-    Sums over a source go by hash ranges, so a source that holds most rows is spread over
-    many tasks. Sums for each source (one row for each source and range) are broadcast only
-    if Spark finds them small.
+def laid_out(documents: DataFrame, keep: Column, block: int = BLOCK, range_rows: int = RANGE_ROWS, chunk: int = CHUNK) -> Laid:
+    """Lay the documents of each source out as a line of words and join its blocks to the slots of the schedule.
+
+    ``keep`` is a struct of what ``row`` shall hold. A source that holds most rows is spread over
+    hash ranges of about ``range_rows`` rows, whose number grows with the table.
+    """
+    spark = documents.sparkSession
+    n_ranges = 1 + documents.count() // range_rows
+    docs = documents.select(keep.alias("row"), F.col("source"), F.col("doc_id").alias("id"), words().alias("size"), F.xxhash64(F.lit("mix"), "doc_id", "text").alias("hash"))
+    docs = docs.withColumn("range", F.pmod(F.shiftrightunsigned("hash", 16), F.lit(n_ranges)))
+    ranges = checkpointed(docs.groupBy("source", "range").agg(F.sum("size").alias("words")))
+    goals = checkpointed(planned(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), block))
+    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select(F.col("source").alias("_s"), "range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("_start"))
+    plan = starts.join(goals, F.col("_s").eqNullSafe(F.col("source"))).select("_s", F.col("range").alias("_r"), "_start", "source_size", "target", "take")
+    inside = Window.partitionBy("source", "range").orderBy("hash", "id", "size")
+    placed = docs.withColumn("n", F.row_number().over(inside)).withColumn("_before", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = placed.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("range") == F.col("_r"))).withColumn("start", F.col("_start") + F.col("_before"))
+    rows = rows.select("row", "source", "size", "range", "n", "start", "source_size", "target", "take")
+
+    c = F.col
+    rounds = rows.where("size > 0").select("source", "range", "n", "size", "start", "source_size", "take", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))).alias("pass"))
+    taken = rounds.withColumn("lo", c("start") + c("pass") * c("source_size")).withColumn("hi", F.least(c("lo") + c("size"), c("take"))).where("hi > lo")
+    cut = taken.withColumn("block", F.explode(F.sequence(F.floor(c("lo") / block), F.floor((c("hi") - 1) / block))))
+    cut = cut.withColumn("words", F.least(c("hi"), (c("block") + 1) * block) - F.greatest(c("lo"), c("block") * block))
+    slots = schedule(spark, goals, chunk).select(c("source").alias("_s"), c("block").alias("_b"), "slot")
+    joined = cut.join(slots, c("source").eqNullSafe(c("_s")) & (c("block") == c("_b")), "left")
+    end = 2 * F.lit(1 << 60)  # after all slots
+    return Laid(rows, joined.select("source", "range", "n", "pass", "block", F.coalesce("slot", end).alias("slot"), "words"))
+
+
+def taken(laid: Laid) -> DataFrame:
+    """``rows`` with ``taken``, the words of its joined pieces, and ``slot``, the first of their slots (null if nothing is taken)."""
+    sums = laid.pieces.groupBy("source", "range", "n").agg(F.sum("words").alias("taken"), F.min("slot").alias("slot"))
+    sums = sums.select(F.col("source").alias("_s"), F.col("range").alias("_r"), F.col("n").alias("_n"), "taken", "slot")
+    met = F.col("source").eqNullSafe(F.col("_s")) & (F.col("range") == F.col("_r")) & (F.col("n") == F.col("_n"))
+    return laid.rows.join(sums, met, "left").select("row", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "slot")
+
+
+_NAMES = ("size", "source_size", "target", "taken", "slot")
+
+
+def mix(documents: DataFrame, names: tuple[str, ...] = _NAMES, block: int = BLOCK, range_rows: int = RANGE_ROWS, chunk: int = CHUNK) -> DataFrame:
+    """Every row of ``documents`` (doc_id, source, text) with its size, source_size, target, taken and slot, called by ``names``.
+
+    ``taken`` sums to the rounded target in each source. Null and empty texts have size 0 and are
+    never taken; a very long text is a run of blocks; repeated rows are separate documents; a
+    null source is a source of its own; an empty table gives an empty one. The order of words
+    depends on doc_id, source and text only, so reruns agree, ties among equal rows aside.
+    Other columns pass through; columns that bear ``names`` are replaced, so choose others to keep them.
     """
-    docs = documents.withColumn("size", words()).withColumn("_hash", F.xxhash64(F.lit("mix"), "doc_id", "text")).withColumn("_range", F.pmod(F.shiftrightunsigned("_hash", 40), F.lit(RANGES)).cast("int"))
-    ranges = checkpointed(docs.groupBy("source", "_range").agg(F.sum("size").alias("_words")))
-    sizes = ranges.groupBy("source").agg(F.sum("_words").alias("source_size"))
-    goals = checkpointed(targets(sizes))
-    # whole rounds over a source's words, and the words of the round that stops in between
-    planned = goals.withColumn("_take", F.least(F.round("target").cast("long"), MOST * F.col("source_size")))
-    planned = planned.withColumn("_rounds", F.when(F.col("source_size") > 0, F.expr("_take DIV source_size")).otherwise(F.lit(0).cast("long"))).withColumn("_over", F.col("_take") - F.col("_rounds") * F.col("source_size"))
-    starts = ranges.withColumn("_start", F.coalesce(F.sum("_words").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    plan = starts.withColumnRenamed("source", "_s").join(planned, F.col("_s").eqNullSafe(F.col("source"))).drop("_s", "_words")
-    plan = plan.select(F.col("source").alias("_source"), F.col("_range").alias("_r"), "source_size", "target", "_start", "_rounds", "_over")
-    inside = Window.partitionBy("source", "_range").orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = docs.drop("source_size", "target", "taken", "passes", "rest").withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    joined = placed.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r")))
-    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_over") - F.col("_start") - F.col("_before"))).cast("long")
-    out = joined.withColumn("rest", rest).withColumn("passes", F.when(F.col("size") > 0, F.col("_rounds")).otherwise(F.lit(0).cast("long")))
-    return out.withColumn("taken", F.col("passes") * F.col("size") + F.col("rest")).drop("_hash", "_range", "_source", "_r", "_start", "_rounds", "_over", "_before")
+    out = taken(laid_out(documents, F.struct(*documents.columns), block, range_rows, chunk))
+    kept = [F.col("row")[c].alias(c) for c in documents.columns if c not in names]
+    return out.select(*kept, *[F.col(c).alias(n) for c, n in zip(_NAMES, names, strict=True)])
 
 
 def mixed(documents: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``documents`` once for each pass, and its first words for the rest.
+    """The mix of whole documents: each row as often as ``mix`` takes it, half or more of its words counting as one time.
 
-    Columns are those of ``documents``; n_chars, where there is one, follows the text. A row
-    that is cut (one for each source at most, beside repeated rows) has its words joined by a space.
+    Columns are those of ``documents``, unchanged. Of each source one document at most, where its
+    last round stops, is rounded. Rows without words cost nothing and stay once.
     """
-    planned = mix(documents).withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes") + 1)))
-    planned = planned.where((F.col("_pass") <= F.col("passes")) | (F.col("rest") > 0))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("rest").cast("int")), " ")
-    partial = (F.col("_pass") > F.col("passes")) & (F.col("rest") < F.col("size"))
-    out = planned.withColumn("text", F.when(partial, cut).otherwise(F.col("text")))
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(partial, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(documents.columns)
+    taken_name, size_name, slot_name, a, b = fresh(documents, "taken", "size", "slot", "ss", "tt")
+    planned = mix(documents, (size_name, a, b, taken_name, slot_name))
+    size, n = F.col(size_name), F.col(taken_name)
+    times = F.when(size == 0, F.lit(1)).otherwise(F.floor((2 * n + size) / (2 * F.greatest(size, F.lit(1)))))
+    many = F.array_repeat(F.lit(0), times.cast("int"))
+    (copy,) = fresh(planned, "copy")
+    return planned.withColumn(copy, F.explode(many)).select(documents.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """Words that the mix takes of every document, and the slot of its first one; the cases are those of ``mix``."""
+    out = taken(laid_out(table(spark, sf_dir, "documents"), F.struct("doc_id")))
+    return out.select("row.doc_id", "size", "source_size", "target", "taken", "slot")

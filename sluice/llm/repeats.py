@@ -4,12 +4,18 @@ Rolling hashes of 24 bytes pick triggers: in each window of 50 bytes the place o
 smallest hash. Windows with the same trigger form a phrase, so equal windows always lie in
 phrases with equal triggers, and triggers that one document alone holds need no more work.
 The phrases of the other triggers form a dictionary, in which each distinct phrase of a
-block of documents stands once. All 50-byte suffix prefixes of the dictionary's phrases are
-put in order (of their hashes: only runs of equal ones matter) and each run gets the smallest
-doc_id; the parse of each document then says which of its windows began earlier.
-
-Documents are dealt into blocks by hash, triggers and phrases into buckets by hash. A string
-that very many documents hold reaches a bucket once from each block.
+block of documents stands once.
+
+Two suffix orders are combined. The dictionary's suffixes are sorted on their bytes, by prefix
+doubling, to the depth of 50 that decides (``suffix_order``). The parse's suffixes are sorted by
+their first phrase and then by document (``parse_order``): a window never reaches past its
+phrase, so no deeper order of the parse can matter. Each run of equal dictionary suffixes then
+has its first place in the corpus: the least document over the heads of its phrases' parse
+runs. The parse of each document says which of its windows began earlier.
+
+Documents are dealt into blocks by hash, triggers and phrases into buckets by hash, both in
+numbers that grow with the bytes. A string that very many documents hold reaches a bucket
+once from each block. Places are 64 bits wide.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ from .wordhash import mix, powers, prefix_sums
 #: Bytes of a repeated string and of a trigger, of texts for each block and each bucket, and of texts hashed at once.
 LENGTH, TRIGGER = 50, 24
 BLOCK_BYTES, BUCKET_BYTES, PART_BYTES = 6_000_000, 2_000_000, 400_000
+#: Blocks of a task, at most about, where the session's number of partitions would give more.
+BLOCKS_A_TASK = 8
 _PLACES = LENGTH - TRIGGER + 1
 #: Windows whose smallest hashes are found at once; with the last window's places at most 2**24.
 STEP = 1 << 22
@@ -127,9 +135,56 @@ def by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(buckets[order[lo]]), order[lo:hi]
 
 
-def phrase_hashes(sums: np.ndarray, down: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    size = last - first + LENGTH
-    return mix((sums[first + size] - sums[first]) * down[first] + size.astype(np.uint64))
+def phrase_ids(b: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """128 bits for each phrase, as two rows."""
+    size, down = last - first + LENGTH, powers(len(b))[1]
+    each = [(sums[first + size] - sums[first]) * down[first] for sums in (prefix_sums(b), prefix_sums(b, True))]
+    return np.stack([mix(h + size.astype(np.uint64)) for h in each])
+
+
+def parse_order(phrases: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a parse's entries by phrase (128 bits) and then document, and where each phrase's run begins in it."""
+    order = np.lexsort((docs, phrases[1], phrases[0]))
+    own = phrases[:, order]
+    return order, np.flatnonzero(np.append(True, (own[:, 1:] != own[:, :-1]).any(0))) if len(order) else order
+
+
+def suffix_order(b: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at ``starts`` by their first LENGTH bytes, and where each run of equal ones begins in it.
+
+    Ranks of 8, 16 and 32 bytes come from sorting pairs of ranks of half the depth; ranks of
+    32 bytes at a suffix and 18 bytes on cover all 50. The bytes decide, no hash.
+    """
+    n = len(b) - 7
+    key = np.zeros(n, np.uint64)
+    for i in range(8):
+        key = key << np.uint64(8) | b[i : n + i]
+    for depth in (8, 16, 32):
+        order = np.argsort(key)
+        rank = np.empty(len(key), np.uint64)
+        rank[order] = np.cumsum(np.append(False, key[order][1:] != key[order][:-1]), dtype=np.uint64)
+        if depth < 32:
+            key = rank[:-depth] << np.uint64(32) | rank[depth:]
+    key = rank[starts] << np.uint64(32) | rank[starts + LENGTH - 32]
+    order = np.argsort(key)
+    return order, np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+
+
+def lookup(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For each wanted phrase (128 bits) its place among the known ones, or -1."""
+    out = np.full(wanted.shape[1], -1)
+    order = np.lexsort((known[1], known[0]))
+    own = known[:, order]
+    at = np.searchsorted(own[0], wanted[0])
+    while len(order):  # once, unless two known phrases agree in their first 64 bits
+        place = np.minimum(at, len(order) - 1)
+        same = (at < len(order)) & (own[0, place] == wanted[0])
+        hit = same & (own[1, place] == wanted[1])
+        out[hit] = order[place[hit]]
+        if not (same & ~hit & (out < 0)).any():
+            break
+        at = at + (same & ~hit)
+    return out
 
 
 def gather(b: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -148,9 +203,15 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     """
     total = documents.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
     n_blocks, n_buckets = 1 + total // BLOCK_BYTES, 1 + total // BUCKET_BYTES
+    wide = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = documents.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block"))
+    if n_blocks // BLOCKS_A_TASK > wide:  # tasks stay as large as they are, whatever the input
+        docs = docs.repartition(n_blocks // BLOCKS_A_TASK, "block")
     grouped = docs.groupBy("block")
 
+    def dealt(rows: DataFrame, key: str, groups: int) -> DataFrame:
+        return rows.repartition(groups, key) if groups > wide else rows
+
     def triggers(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         ids, hashes, owners = ids_of(rows), [], []
         for places, texts in parts(rows):
@@ -183,8 +244,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
         ids, out = ids_of(rows), []
         if not len(flagged) or not rows.num_rows:
             return schema.empty_table()
-        pieces, sizes, hashes, buckets, owners = [], [], [], [], []
-        seen = np.zeros(0, np.uint64)
+        ids_in, owners, triggers_in, bytes_in, sizes = [], [], [], [], []
         for places, texts in parts(rows):
             owner, h, first, last, _, b = parse(texts)
             at = np.searchsorted(flagged, short(h))
@@ -192,25 +252,24 @@ def without_repeats(documents: DataFrame) -> DataFrame:
             if not own.any():
                 continue
             owner, h, first, last = owner[own], h[own], first[own], last[own]
-            phrase = phrase_hashes(prefix_sums(b), powers(len(b))[1], first, last)
-            hashes.append(phrase)
-            owners.append(ids[places[owner]])
-            _, one = np.unique(phrase, return_index=True)
-            one = one[~np.isin(phrase[one], seen)]
-            seen = np.concatenate((seen, phrase[one]))
+            phrase = phrase_ids(b, first, last)
+            docs_of = ids[places[owner]]
+            order, starts = parse_order(phrase, docs_of)
+            one = order[starts]  # a phrase of this part stands once, with the ends of its parse run
             sizes.append(last[one] - first[one] + LENGTH)
-            pieces.append(gather(b, first[one], sizes[-1]))
-            buckets.append((short(h[one]) % np.uint64(n_buckets)).astype(np.int64))
-        if not hashes:
+            bytes_in.append(gather(b, first[one], sizes[-1]))
+            triggers_in.append(short(h[one]))
+            ids_in.append(phrase[:, one])
+            owners.append((docs_of[one], docs_of[order[np.append(starts[1:], len(order)) - 1]]))
+        if not ids_in:
             return schema.empty_table()
-        phrase, d = np.concatenate(hashes), np.concatenate(owners)
-        order = np.lexsort((d, phrase))
-        phrase, d = phrase[order], d[order]
-        starts = np.flatnonzero(np.append(True, phrase[1:] != phrase[:-1]))
-        place = np.searchsorted(phrase[starts], seen)
-        lowest = d[starts][place]
-        several = (d[starts] != d[np.append(starts[1:], len(d)) - 1])[place]
-        b, size, bucket = np.concatenate(pieces), np.concatenate(sizes), np.concatenate(buckets)
+        phrase, low, high = np.concatenate(ids_in, 1), np.concatenate([x for x, _ in owners]), np.concatenate([x for _, x in owners])
+        order, starts = parse_order(phrase, low)
+        one = order[starts]
+        lowest, several = low[one], np.maximum.reduceat(high[order], starts) != low[one]
+        size = np.concatenate(sizes)
+        b, size = gather(np.concatenate(bytes_in), (np.cumsum(size) - size)[one], size[one]), size[one]
+        bucket = (np.concatenate(triggers_in)[one] % np.uint64(n_buckets)).astype(np.int64)
         begin = np.cumsum(size) - size
         for k, own in by_bucket(bucket):
             out.append((key[0].as_py(), k, squeeze(gather(b, begin[own], size[own])), squeeze(size[own].astype(np.uint8)), squeeze(lowest[own]), np.packbits(several[own]).tobytes()))
@@ -226,17 +285,12 @@ def without_repeats(documents: DataFrame) -> DataFrame:
         owner = np.repeat(np.arange(len(size)), windows)
         begin, offset = np.cumsum(size) - size, np.cumsum(windows) - windows
         start = begin[owner] + np.arange(len(owner)) - offset[owner]
-        phrase, h = np.empty(len(size), np.uint64), np.empty(len(owner), np.uint64)
+        phrase = np.empty((2, len(size)), np.uint64)
         for i in range(0, len(size), 20_000):  # the sums take eight times the bytes
             lo, hi = begin[i], begin[i + 20_000] if i + 20_000 < len(size) else len(b)
-            sums, down = prefix_sums(b[lo:hi]), powers(hi - lo)[1]
             own = slice(i, i + 20_000)
-            phrase[own] = phrase_hashes(sums, down, begin[own] - lo, begin[own] + size[own] - LENGTH - lo)
-            own = slice(offset[i], offset[i + 20_000] if i + 20_000 < len(size) else len(owner))
-            at = start[own] - lo
-            h[own] = mix((sums[at + LENGTH] - sums[at]) * down[at])
-        order = np.argsort(h)
-        runs = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+            phrase[:, own] = phrase_ids(b[lo:hi], begin[own] - lo, begin[own] + size[own] - LENGTH - lo)
+        order, runs = suffix_order(b, start)
         least = np.minimum.reduceat(lowest[owner][order], runs)
         first = np.empty(len(owner), np.int64)
         first[order] = np.repeat(least, np.diff(np.append(runs, len(order))))
@@ -246,23 +300,21 @@ def without_repeats(documents: DataFrame) -> DataFrame:
             own = np.arange(at, at + len(raw))[useful[at : at + len(raw)]]
             at += len(raw)
             if len(own):
-                out.append((block, phrase[own].tobytes(), windows[own].astype(np.uint8).tobytes(), gather(first, offset[own], windows[own]).tobytes()))
+                out.append((block, np.ascontiguousarray(phrase[:, own].T).tobytes(), windows[own].astype(np.uint8).tobytes(), gather(first, offset[own], windows[own]).tobytes()))
         return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate((("block", pa.int64()), ("ids", pa.binary()), ("windows", pa.binary()), ("firsts", pa.binary())))})
 
     def cut(key: tuple[pa.Scalar, ...], rows: pa.Table, marks: pa.Table) -> pa.Table:
-        phrase = np.frombuffer(b"".join(marks["ids"].to_pylist()), np.uint64)
+        phrase = np.frombuffer(b"".join(marks["ids"].to_pylist()), np.uint64).reshape(-1, 2).T
         windows = np.frombuffer(b"".join(marks["windows"].to_pylist()), np.uint8).astype(np.int64)
         firsts = np.frombuffer(b"".join(marks["firsts"].to_pylist()), np.int64)
         offset = np.cumsum(windows) - windows
-        order = np.argsort(phrase)
         ids, kept, sizes, removed, spans = ids_of(rows), [], [], [], []
         for places, texts in parts(rows):
             owner, _, first, last, begin, b = parse(texts)
             gone = np.zeros(len(b), bool)
-            if len(phrase) and len(first):
-                own = phrase_hashes(prefix_sums(b), powers(len(b))[1], first, last)
-                at = order[np.minimum(np.searchsorted(phrase, own, sorter=order), len(phrase) - 1)]
-                hit = np.flatnonzero(phrase[at] == own)
+            if phrase.shape[1] and len(first):
+                at = lookup(phrase, phrase_ids(b, first, last))
+                hit = np.flatnonzero(at >= 0)
                 count = windows[at[hit]]
                 start = np.repeat(first[hit] - (np.cumsum(count) - count), count) + np.arange(count.sum())
                 covered = gather(firsts, offset[at[hit]], count) < np.repeat(ids[places[owner[hit]]], count)
@@ -278,9 +330,9 @@ def without_repeats(documents: DataFrame) -> DataFrame:
                 kept.append(b[lo : lo + len(text)][~own].tobytes() if removed[-1] else text)
         return pa.table({"doc_id": rows["doc_id"], "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
-    found = grouped.applyInArrow(triggers, "block long, bucket long, hashes binary, several binary").groupBy("bucket").applyInArrow(shared, "block long, hashes binary")
+    found = dealt(grouped.applyInArrow(triggers, "block long, bucket long, hashes binary, several binary"), "bucket", n_buckets // (3 * BLOCKS_A_TASK)).groupBy("bucket").applyInArrow(shared, "block long, hashes binary")
     listed = grouped.cogroup(found.groupBy("block")).applyInArrow(phrases, "block long, bucket long, phrases binary, sizes binary, lowest binary, several binary")
-    marks = listed.groupBy("bucket").applyInArrow(earliest, "block long, ids binary, windows binary, firsts binary")
+    marks = dealt(listed, "bucket", n_buckets // (3 * BLOCKS_A_TASK)).groupBy("bucket").applyInArrow(earliest, "block long, ids binary, windows binary, firsts binary")
     return grouped.cogroup(marks.groupBy("block")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

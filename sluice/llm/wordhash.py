@@ -6,6 +6,7 @@ import numpy as np
 
 _ODD = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_SECOND = np.random.default_rng(12).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _POWERS: dict[str, np.ndarray] = {}
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -22,10 +23,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def prefix_sums(b: np.ndarray) -> np.ndarray:
-    """Sums from which the hash of any stretch of the bytes follows."""
+def prefix_sums(b: np.ndarray, second: bool = False) -> np.ndarray:
+    """Sums from which the hash of any stretch of the bytes follows; ``second`` gives hashes that are independent of the first."""
     up, _ = powers(len(b))
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[b] * up[: len(b)], dtype=np.uint64)))
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum((_SECOND if second else _TABLE)[b] * up[: len(b)], dtype=np.uint64)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -172,14 +172,50 @@ def test_mixing(odd, odd_rows, nothing):
         open_ -= full
     taken = defaultdict(int)
     for r in rows:
-        assert r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6 and 0 <= r.taken <= 3 * r["size"] and r.taken == r.passes * r["size"] + r.rest
+        assert r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6 and 0 <= r.taken <= 3 * r["size"] and (r.slot is None) == (r.taken == 0)
         taken[r.source] += r.taken
     assert all(abs(taken[s] - target[s]) <= max(20, 0.01 * target[s]) for s in names)
     assert Counter(tuple(r) for r in mixing.mix(odd).collect()) == Counter(map(tuple, rows))
-    words = defaultdict(int)
-    for r in mixing.mixed(odd).collect():
-        words[r.source] += len(r.text.split())
-    assert words == {s: n for s, n in taken.items() if n}
+    copies = Counter((r.doc_id, r.text, r.source, r.n_chars, r["size"]) for r in mixing.mixed(odd).collect())
+    want = Counter()
+    for r in rows:
+        want[r.doc_id, r.text, r.source, r.n_chars, "s"] += 1 if r["size"] == 0 else (2 * r.taken + r["size"]) // (2 * r["size"])
+    assert copies == +want and all(r[c] == "x" for r in mixing.mixed(odd.withColumns({c: F.lit("x") for c in ("taken", "slot", "row", "range", "hash", "n")})).collect() for c in ("taken", "slot", "row", "range", "hash", "n"))
+
+
+def golden(plan, points):
+    """The schedule by brute force: for each source (in order) the slots of its points."""
+    total, lo, out = sum(plan.values()), 0, {}
+    for s, k in plan.items():
+        hits = [i for i in range(points) if lo / total <= (i + 0.5) * 0.6180339887498949 % 1.0 < (lo + k) / total]
+        out[s], lo = hits[:k], lo + k
+    return out
+
+
+def test_schedule_against_brute_force(spark):
+    plan = {"a": 700, "b": 1, "c": 250, "d": 3, "e": 46}
+    frame = spark.createDataFrame([*plan.items(), ("f", 0)], "source string, blocks long")
+    got = defaultdict(dict)
+    for r in mixing.schedule(spark, frame, chunk=64).collect():
+        got[r.source][r.block] = r.slot
+    want = golden(plan, 2000)
+    assert {s: [got[s][i] for i in range(len(x))] for s, x in want.items()} == want and all(len(want[s]) == k for s, k in plan.items())
+    first = sorted((slot, s) for s, x in want.items() for slot in x)[:500]  # every stretch is near the shares
+    assert abs(sum(s == "a" for _, s in first) - 350) <= 5 and abs(sum(s == "c" for _, s in first) - 125) <= 5
+
+
+def test_mixing_joins_blocks_to_slots(spark, sf_dir):
+    """Pieces of every block add up to its words and share the slot of the brute-force schedule."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    laid = mixing.laid_out(docs, F.struct("doc_id"), block=256, range_rows=30, chunk=64)
+    takes = {r.source: r["take"] for r in laid.rows.select("source", "take").distinct().collect()}
+    plan = {s: -(-takes[s] // 256) for s in sorted(takes)}
+    want, sums, slots = golden(plan, 2 * sum(plan.values())), defaultdict(int), {}
+    for r in laid.pieces.collect():
+        sums[r.source, r.block] += r.words
+        assert slots.setdefault((r.source, r.block), r["slot"]) == r["slot"]
+    assert dict(sums) == {(s, k): min(256, takes[s] - 256 * k) for s, n in plan.items() for k in range(n)}
+    assert slots == {(s, k): slot for s, x in want.items() for k, slot in enumerate(x)}
 
 
 def test_mixing_gives_every_source_its_rounded_target(spark):
@@ -187,11 +223,15 @@ def test_mixing_gives_every_source_its_rounded_target(spark):
     rows = [(i, prose(i, 3000), f"big{i % 3}", None) for i in range(400)] + [(1000 + i, prose(i, 1 + i % 5), f"rare{i:02d}", None) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     taken, target = defaultdict(int), {}
-    for r in mixing.mix(docs).collect():
+    for r in mixing.mix(docs, block=512).collect():
         taken[r.source] += r.taken
         target[r.source] = r.target
     assert {s: taken[s] for s in target} == {s: int(t + 0.5) for s, t in target.items()}
     assert {r.source for r in mixing.mixed(docs).collect()} == set(target)
+    sizes = spark.createDataFrame([("a", 10**9), ("b", 200)], "source string, source_size long")
+    plan = {r.source: r for r in mixing.planned(sizes).collect()}
+    assert plan["b"]["take"] == 600 and plan["b"].blocks == 1 and plan["a"]["take"] == 10**9 - 400
+    assert mixing.schedule(spark, mixing.planned(sizes)).where("source = 'b'").count() == 1
 
 
 def test_top_k(spark, nothing):
@@ -210,6 +250,32 @@ def test_top_k(spark, nothing):
     assert topk.top_k(topk.whole_numbers(frame.limit(0)), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_huge_numbers_and_repeated_rows(spark):
+    """Products beyond 2**53 are exact, beyond a long they saturate; a row that is repeated often ranks as often."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-(2**20), 2**20, 6)]) for i in range(120)] + [(200, [1e300] * 6), (250, [2.0**20 - 1] * 6), (300, [3.0] * 6)]
+    rows += [(7, rows[7][1])] * 40 + [(50, rows[50][1])] * 3
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    good = [(i, [int(c * 256) if abs(c) < 1e200 else int(256 * 1e300) for c in v]) for i, v in rows]
+    want = Counter()
+    for n, (i, v) in enumerate(good):
+        if i % 50 == 0:
+            others = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), j) for m, (j, x) in enumerate(good) if m != n)[:5]
+            want.update((i, r, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(others, 1))
+    got = topk.top_k(topk.whole_numbers(frame), F.col("vec_id") % 50 == 0)
+    assert Counter(map(tuple, got.where("query_id <> 200").collect())) == Counter({k: n for k, n in want.items() if k[0] != 200})
+    assert got.where("query_id = 200 AND score IN (9223372036854775807, -9223372036854775808)").count() == 5
+
+
+def test_pivots_remove_candidates(spark):
+    """Clustered vectors: most are never evaluated."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=16) * 0.1 + 4 * np.eye(16)[i % 16]]) for i in range(6000)]
+    work = topk.top_k(topk.whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), F.col("vec_id") % 50 == 0, work=True)
+    r = work.agg(F.sum("evaluated").alias("e"), F.sum("candidates").alias("c")).head()
+    assert r.c == 120 * 6000 and r.e < 0.2 * r.c
+
+
 def accuracy(rows, label, predicted):
     return sum(r[label] == r[predicted] for r in rows) / len(rows)
 
