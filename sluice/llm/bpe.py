@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean_batches, release_memory
+from .common import fresh, lean_batches, release_memory
 
 #: Pre-tokens that a Python worker keeps with their ids; beyond it the table starts anew.
 CACHED = 60_000
@@ -122,7 +122,7 @@ def encode(documents: DataFrame, rank_file: str, pattern: str, text: str = "text
 
 
 def decode(encoded: DataFrame, rank_file: str, ids: str = "token_ids") -> DataFrame:
-    """Add ``decoded`` (binary): the vocabulary's bytes of each id, joined. Null ids give no bytes."""
+    """Add ``decoded`` (binary): the vocabulary's bytes of each id, joined. Null ids give no bytes; a column of that name is replaced."""
     lean_batches(encoded.sparkSession)
     vocabulary = encoded.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
 
@@ -136,7 +136,10 @@ def decode(encoded: DataFrame, rank_file: str, ids: str = "token_ids") -> DataFr
 
 
 def round_trip(documents: DataFrame, rank_file: str, pattern: str, text: str = "text") -> DataFrame:
-    """``encode`` and ``decode`` in one Python pass: add ``token_ids``, ``n_tokens`` and ``decoded``."""
+    """``encode`` and ``decode`` in one Python pass: add ``token_ids``, ``n_tokens`` and ``decoded``.
+
+    The cases are those of ``encode``; a caller's columns of the three names are replaced.
+    """
     lean_batches(documents.sparkSession)
     vocabulary = documents.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
 
@@ -149,17 +152,20 @@ def round_trip(documents: DataFrame, rank_file: str, pattern: str, text: str = "
             yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["ids", "decoded"])
         release_memory()
 
-    coded = documents.withColumn("_both", both(F.col(text)))
-    return coded.withColumns({"token_ids": F.col("_both.ids"), "n_tokens": F.expr("CAST(octet_length(_both.ids) DIV 4 AS BIGINT)"), "decoded": F.col("_both.decoded")}).drop("_both")
+    (own,) = fresh(documents, "both")
+    ids = F.col(own)["ids"]
+    count = F.floor(F.octet_length(ids) / 4).cast("long")
+    return documents.withColumn(own, both(F.col(text))).withColumns({"token_ids": ids, "n_tokens": count, "decoded": F.col(own)["decoded"]}).drop(own)
 
 
 def digest(documents: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; a null or empty text has no tokens and the hash of no bytes."""
     both = round_trip(documents.select("doc_id", "text"), rank_file, pattern)
     return both.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids and of the decoded bytes of every document; the cases are those of ``digest``."""
     import public_tokenizers
 
     return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -56,12 +56,14 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     The sample is a bounded, documented parameter of a fit: the lowest hashes of
     doc_id win, so that reruns agree. Null ids, null labels and rows outside
     ``usable`` (a condition on doc_id) are not learned from; a document that is
-    labelled twice counts with its smallest label.
+    labelled twice counts with its smallest label, and of rows that repeat an id the
+    smallest text counts, so repeated rows do not pass the bound either.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & usable).groupBy("doc_id").agg(F.min(label).alias("y"))
     lowest = [known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(label), F.col("doc_id")), "doc_id").limit(per_class) for y in (0, 1)]
     chosen = lowest[0].union(lowest[1])
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("y").cast("int"))
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", F.col("y").cast("int").alias("y")).agg(F.min("text").alias("text"))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

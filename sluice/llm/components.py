@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
+#: Shares into which the ends of one label are dealt.
+SALTS = 16
+
+
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(id, label) of every end of an edge (a, b): label is the smallest id it reaches.
 
@@ -20,8 +24,12 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     for _ in range(rounds):
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
         stepped = labels.join(near, labels["id"] == near["a"]).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = stepped.select(F.col("id").alias("_to"), F.col("label").alias("_label"))
-        moved = checkpointed(stepped.join(jump, stepped["label"] == jump["_to"]).select("id", "old", F.least("label", "_label").alias("label")))
+        # a label of very many ends is one row to look up, then met by its ends in SALTS shares
+        heads = stepped.select(F.col("label").alias("_to")).distinct().join(stepped.select(F.col("id").alias("_to"), F.col("label").alias("_label")), "_to")
+        heads = heads.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = stepped.withColumn("_own", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        met = salted.join(heads, (F.col("label") == F.col("_to")) & (F.col("_own") == F.col("_salt")))
+        moved = checkpointed(met.select("id", "old", F.least("label", "_label").alias("label")))
         labels = moved.select("id", "label")
         if not moved.where(F.col("old") != F.col("label")).limit(1).count():
             return labels

@@ -15,6 +15,8 @@ from .common import table
 
 #: Words of a shingle, hashes of a fingerprint.
 WORDS, K = 5, 128
+#: Documents of a range that is walked as one group, at most about; the ranges' first ids come to the driver.
+RANGE_ROWS = 50_000
 
 
 def let(value: Column, body) -> Column:
@@ -63,19 +65,40 @@ def encoded(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 15, "0")), ""))
 
 
-def with_next(docs: DataFrame, blocks: int) -> DataFrame:
+def _cuts(ids: DataFrame, ranges: int, by: list[str]) -> DataFrame:
+    """Approximate quantiles of doc_id, distinct and ascending, for each group of ``by``."""
+    found = F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges) if ranges > 1 else F.array().cast("array<bigint>")
+    return ids.groupBy(*by).agg(F.array_sort(F.array_distinct(F.coalesce(found, F.array().cast("array<bigint>")).cast("array<bigint>"))).alias("_cuts"))
+
+
+def in_ranges(docs: DataFrame, blocks: int, most: int = 1024) -> DataFrame:
+    """Add ``_block``: ranges of descending doc_id, about ``blocks`` of them, null ids in a last one.
+
+    Beyond ``most`` ranges each of these is cut again, into at most ``most``, so neither the
+    cuts that a row meets nor the table of cuts (``most`` arrays, broadcast) grow with the data.
+    """
+    above = lambda cuts: F.size(F.filter(cuts, lambda c: c > F.col("doc_id")))
+    coarse = F.array(*[F.lit(c).cast("bigint") for c in _cuts(docs.select("doc_id"), min(blocks, most), []).head()["_cuts"]])
+    dealt = docs.withColumn("_block", F.when(F.col("doc_id").isNull(), F.size(coarse) + 1).otherwise(above(coarse)))
+    if blocks <= most:
+        return dealt
+    fine = _cuts(dealt.select("doc_id", "_block"), min(most, -(-blocks // most)), ["_block"])
+    both = dealt.join(F.broadcast(fine), "_block")
+    return both.withColumn("_block", F.col("_block") * (most + 1) + F.when(F.col("doc_id").isNull(), 0).otherwise(above(F.col("_cuts")))).drop("_cuts")
+
+
+def with_next(docs: DataFrame, blocks: int, most: int = 1024) -> DataFrame:
     """Rows of (doc_id, text) with ``next_text``: the text after them by descending doc_id, cyclically.
 
     Ranges of doc_id come from approximate quantiles; a window walks each range. The head of
     each range is also dealt, as one extra row, to the end of the range before it, so no row
-    needs a window over the whole table. Null ids come last, ties go by text, a null text
-    counts as empty. The driver sees at most ``blocks`` ids.
+    needs a window over the whole table. Null ids come last, ties go by text (so rows that
+    repeat an id and text follow one another), a null text counts as empty, a long one is whole,
+    an empty table gives an empty one, other columns are not read. The driver sees at most
+    ``blocks`` ids.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = docs.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 10 * blocks).alias("cuts")).head()
-    cuts = F.array(*[F.lit(c).cast("bigint") for c in sorted(set(found["cuts"] or []))])
-    block = F.when(F.col("doc_id").isNull(), F.size(cuts) + 1).otherwise(F.size(F.filter(cuts, lambda c: c > F.col("doc_id"))))
-    dealt = docs.withColumn("_block", block)
+    dealt = in_ranges(docs, blocks, most)
     ids = dealt.groupBy("_block").agg(F.max("doc_id").alias("_id"))
     heads = dealt.join(F.broadcast(ids), (dealt["_block"] == ids["_block"]) & dealt["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
     heads = heads.groupBy("_block", "doc_id").agg(F.min("text").alias("text"))
@@ -88,14 +111,19 @@ def with_next(docs: DataFrame, blocks: int) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint", words: int = WORDS, k: int = K) -> DataFrame:
-    """Add the sketch of each whole text as array ``name``; null and empty texts have an empty one."""
+    """Add the sketch of each whole text as array ``name``; null and empty texts have an empty one.
+
+    Equal texts have equal sketches, a text of fewer words than a shingle has one hash; an empty
+    table gives an empty one; a column called ``name`` is replaced, others pass through.
+    """
     return docs.withColumn(name, sketch(shingle_hashes(F.col(text), words), k))
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, its half-edited text and its neighbour; see the module's functions for the cases."""
-    blocks = min(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = with_next(table(spark, sf_dir, "documents"), blocks)
+    rows = table(spark, sf_dir, "documents")
+    blocks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // RANGE_ROWS)
+    docs = with_next(rows, blocks)
     docs = docs.withColumn("n_chars", F.length("text").cast("long"))
     half = F.expr("CAST(n_chars DIV 2 AS INT)")
     docs = docs.withColumn("edited", F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next_text", half)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_fold, joined_small, lean_batches, table
+from .common import fresh, in_fold, joined_small, lean_batches, table
 
 #: Hash buckets of the n-grams of 1, 2 and 3 bytes, one after another.
 BUCKETS = (256, 2048, 4096)
@@ -113,21 +113,21 @@ def train(documents: DataFrame, usable: Column, per_language: int = 250, cluster
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = rows.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("doc_id", "lang").distinct()
     sample = documents.select("doc_id", "lang", "text").where(F.col("text").rlike(r"\p{L}"))
-    sample = joined_small(sample, chosen, ["doc_id", "lang"], "left_semi")
-    found = sorted((r["lang"], r["doc_id"], r["text"]) for r in sample.toLocalIterator())
+    # of rows that repeat an id one counts, so they do not pass the bound either
+    sample = joined_small(sample, chosen, ["doc_id", "lang"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     kept: dict[str, list[str]] = {}
-    for lang, _, text in found:  # an id that is repeated on many rows keeps to the bound as well
-        if len(kept.setdefault(lang, [])) < per_language:
-            kept[lang].append(text)
+    for lang, _, text in sorted((r["lang"], r["doc_id"], r["text"]) for r in sample.collect()):
+        kept.setdefault(lang, []).append(text)
     return fit([t for x in kept.values() for t in x], [lang for lang, x in kept.items() for _ in x], clusters)
 
 
-def identify(documents: DataFrame, model: Centroids, text: str = "text") -> DataFrame:
-    """Add ``lang_pred``, ``score`` (0 to 1) and ``lang_far`` to every row, from its whole text.
+def identify(documents: DataFrame, model: Centroids, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "lang_far")) -> DataFrame:
+    """Add the language, a score from 0 to 1 and whether the text is far from all, called by ``names``, to every row, from its whole text.
 
     A null text, a text without a letter (so the empty one) and any text under a model
     that learned no language give ``und``, score 0 and far. Equal texts get equal results.
-    Other columns pass through; columns of the new names are replaced.
+    Other columns pass through; columns that bear ``names`` are replaced, so choose others to
+    keep them. An empty table gives an empty one.
     """
     lean_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -149,14 +149,13 @@ def identify(documents: DataFrame, model: Centroids, text: str = "text") -> Data
 
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(model.languages))
     guess = F.when(lettered, nearest(F.col(text))) if model.languages else F.lit(None).cast("struct<lang:string,score:double,far:boolean>")
-    return documents.withColumn("_guess", guess).withColumns({
-        "lang_pred": F.coalesce("_guess.lang", F.lit("und")),
-        "score": F.coalesce("_guess.score", F.lit(0.0)),
-        "lang_far": F.coalesce("_guess.far", F.lit(True)),
-    }).drop("_guess")
+    (own,) = fresh(documents, "guess")
+    found = (F.coalesce(F.col(own)["lang"], F.lit("und")), F.coalesce(F.col(own)["score"], F.lit(0.0)), F.coalesce(F.col(own)["far"], F.lit(True)))
+    return documents.withColumn(own, guess).withColumns(dict(zip(names, found, strict=True))).drop(own)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; the cases are those of ``train`` and ``identify``."""
     docs = table(spark, sf_dir, "documents")
     held_out = in_fold(F.col("doc_id"), 4, 2)
     found = identify(docs.select("doc_id", "text"), train(docs, ~held_out))

@@ -244,6 +244,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-word shingles at 80 %; the cases are those of ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 

@@ -236,6 +236,7 @@ def score(documents: DataFrame, model: AdditiveModel, text: str = "text", name:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; the cases are those of ``train`` and ``score``, ties at 0.7 count as good."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = in_fold(F.col("doc_id"), 4, 2)
     scored = score(docs.select("doc_id", "text"), train(docs, labels, ~held_out))

@@ -9,7 +9,7 @@ import pytest
 from helpers import prose
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, fingerprint, langid, mixing, neardup, quality, repeats, topk, toxicity
+from sluice.llm import bpe, fingerprint, langid, mixing, neardup, quality, repeats, stages, topk, toxicity
 from sluice.llm.common import in_fold
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -140,6 +140,8 @@ def test_fingerprints(spark, odd, odd_rows, nothing):
     order = sorted(((r[0] is None, -(r[0] or 0), r[1] or "") for r in odd_rows))
     want = Counter((None if n else -d, t, order[(i + 1) % len(order)][2]) for i, (n, d, t) in enumerate(order))
     assert Counter((r.doc_id, r.text, r.next_text) for r in walked) == want
+    assert Counter((r.doc_id, r.text, r.next_text) for r in fingerprint.with_next(docs, 6, most=2).collect()) == want
+    assert fingerprint.with_next(nothing.select("doc_id", "text"), 6, most=2).count() == 0
     assert fingerprint.with_next(nothing.select("doc_id", "text"), 6).count() == 0
     one = spark.createDataFrame([(1, prose(4, 900)), (2, prose(4, 900)), (3, prose(4, 450) + " " + prose(5, 450)), (4, "a b"), (5, "")], "doc_id long, text string")
     s = {r.doc_id: r.f for r in fingerprint.fingerprints(one, name="f").select("doc_id", "f").collect()}
@@ -345,3 +347,152 @@ def test_pipeline(spark, sf_dir):
         assert k + 1 == len(corpus_pipeline.STAGES) or docs.columns == columns
     assert docs.where("NOT round_trip").count() == 0 and docs.count() > 50
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
+
+
+def test_fingerprint_query_by_brute_force(spark, sf_dir):
+    """Edited texts, sketches and likenesses of every document, from plain Python."""
+    import re
+
+    import xxhash
+
+    def sketch(text):
+        words, out = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w], set()
+        for shingle in [words[i : i + 5] for i in range(len(words) - 4)] or [words] * bool(words):
+            h = 42
+            for w in shingle:
+                h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+            out.add(h >> 4)
+        return sorted(out)[:128]
+
+    def near(a, b):
+        union = sorted({*a, *b})[:128]
+        return sum(h in set(a) and h in set(b) for h in union) / len(union) if union else 1.0
+
+    texts = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()), reverse=True)
+    want = {}
+    for i, (d, t) in enumerate(texts):
+        other, half = texts[(i + 1) % len(texts)][1], len(t) // 2
+        edited = t[: len(t) - half] + other[:half]
+        own, cut = sketch(t), sketch(edited)
+        shown = lambda s: "".join(f"{h:015x}" for h in s)
+        want[d] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(own), shown(cut), near(own, cut), near(own, sketch(other)))
+    got = {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in fingerprint.op3_fingerprint(spark, sf_dir).collect()}
+    assert got.keys() == want.keys()
+    for d, w in want.items():
+        assert got[d][:4] == w[:4] and abs(got[d][4] - w[4]) < 1e-12 and abs(got[d][5] - w[5]) < 1e-12
+
+
+def plain_features(text):
+    """The features of the quality model, without arrays."""
+    import math
+
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * len(quality.FEATURES)
+    n, count, words = len(raw), Counter(raw), raw.split()
+    punctuation = {c for c in range(33, 127) if not chr(c).isalnum()}
+    lines = [x for x in raw.split(b"\n") if x]
+    times = Counter(words)
+    share = lambda cs: sum(count[c] for c in cs) / n
+    out = [math.log1p(n), share(range(65, 91)), share(range(48, 58)), share(punctuation), sum(a == b and a in punctuation for a, b in zip(raw, raw[1:], strict=False)) / n, share(range(128, 256)), share([32, *range(9, 14)]), share([124]), share([33])]
+    if not words:
+        return out + [0.0] * 9 + [-sum(c / n * math.log2(c / n) for c in count.values()), 0.0]
+    pairs = list(zip(words, words[1:], strict=False))
+    out += [sum(map(len, words)) / len(words), min(max(map(len, words)), 1000), len(times) / len(words), max(times.values()) / len(words), sum(a == b for a, b in pairs) / len(words), len(set(pairs)) / len(pairs) if pairs else 0.0]
+    out += [len(lines) / len(words), 1 - len(set(lines)) / max(len(lines), 1), count[46] / len(words)]
+    return out + [-sum(c / n * math.log2(c / n) for c in count.values()), math.log1p(len(words))]
+
+
+def test_quality_scores_by_brute_force(spark, sf_dir):
+    """Features and the sum of table entries of every document, from plain Python, give the query's scores."""
+    import math
+    from bisect import bisect_right
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels, ~in_fold(F.col("doc_id"), 4, 2))
+    got = {r.doc_id: r for r in quality.op1_quality(spark, sf_dir).collect()}
+    for d, text in [(r.doc_id, r.text) for r in docs.collect()]:
+        x = [float(np.float32(v)) for v in plain_features(text)]
+        assert np.allclose(x, quality.features(text), rtol=1e-5, atol=1e-6)
+        x = [float(v) for v in quality.features(text)]
+        bins = [bisect_right(list(e), v) for e, v in zip(model.edges, x, strict=True)]
+        total = model.prior + sum(t[b] for t, b in zip(model.tables, bins, strict=True))
+        for (i, j), t in zip(model.pairs, model.pair_tables, strict=True):
+            total += t[bins[i] * model.coarse // (len(model.edges[i]) + 1) * model.coarse + bins[j] * model.coarse // (len(model.edges[j]) + 1)]
+        assert abs(got[d].score - 1 / (1 + math.exp(-total))) < 1e-9 and got[d].predicted == int(got[d].score >= 0.7)
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """Matches found by searching every entry, on the real labels, give the query's scores; held-out accuracy."""
+    import math
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    lexicon = toxicity.train(docs, labels, ~in_fold(F.col("doc_id"), 5, 0))
+    scored = toxicity.op7_toxicity(spark, sf).join(docs.select("doc_id", "text"), "doc_id").join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    held = [r for r in scored if r.held_out]
+    assert accuracy(held, "toxic", "predicted") >= 0.95 and lexicon.weights
+
+    def places(text, term):
+        at = text.find(term)
+        while at >= 0:
+            yield at, at + len(term)
+            at = text.find(term, at + 1)
+
+    for r in scored[:600]:
+        text = toxicity.folded(r.text)
+        spared = [p for e in lexicon.exceptions for p in places(text, e)]
+        total = sum(w for t, w in lexicon.weights.items() for a, b in places(text, t) if not any(x <= a and b <= y for x, y in spared))
+        a, b, c = lexicon.logistic
+        p = 1 / (1 + math.exp(-max(-30, min(30, a + b * math.log1p(total) + c * 100 * total / (100 + text.count(" "))))))
+        assert abs(r.score - p) < 1e-9
+
+
+def test_language_scores_by_brute_force(spark, sf_dir):
+    """n-grams counted one by one and cosines to every centroid give the query's predictions."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs, ~in_fold(F.col("doc_id"), 4, 2))
+
+    def vector(text):
+        b, x = [32, *text.lower().encode(), 32], np.zeros(langid.DIMENSIONS)
+        at = 0
+        for n, size in enumerate(langid.BUCKETS, 1):
+            for i in range(len(b) - n + 1):
+                code = b[i]
+                for c in b[i + 1 : i + n]:
+                    code = code * 0x01000193 % 2**32 ^ c
+                x[at + (code if n == 1 else code * 2654435761 % 2**32 // (2**32 // size))] += 1
+            at += size
+        x = np.log1p(x) * model.idf
+        return x / np.linalg.norm(x)
+
+    got = {r.doc_id: r for r in langid.op10_language(spark, sf_dir).collect()}
+    for d, text in [(r.doc_id, r.text) for r in docs.collect()][:120]:
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        cosine = model.centroids @ vector(text)
+        best = {name: max(c for c, o in zip(cosine, model.owner, strict=True) if o == i) for i, name in enumerate(model.languages)}
+        top = max(best.values())
+        score = 1 / sum(np.exp(20 * (v - top)) for v in best.values()) * (0.5 if top < model.nearest else 1.0)
+        assert best[got[d].lang_pred] >= top - 1e-5 and (abs(got[d].score - score) < 1e-3 or abs(top - model.nearest) < 1e-5)
+
+
+def test_stages_on_odd_rows(spark, odd, odd_rows, nothing, sf_dir):
+    """Every stage keeps the caller's columns, whatever their names, and takes nulls, repeats and empty tables."""
+    clashing = ("base", "spans", "taken", "slot", "size", "_score", "_guess", "_both", "more", "row", "k1", "copies", "label", "set", "target")
+    wide = odd.drop("size").withColumns({c: F.lit(c) for c in clashing})
+    labels = [(r[0], i % 2, 0) for i, r in enumerate(odd_rows) if r[0] is not None]
+    import tempfile
+
+    folder = tempfile.mkdtemp()
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for stage in (stages.keep_good, stages.keep_one_of_each, stages.redact_personal_data, stages.mix_sources):
+        out = stage(spark, wide, folder)
+        assert out.columns == wide.columns and stage(spark, nothing, folder).count() == 0
+        rows = out.collect()
+        assert all(r[c] == c for r in rows for c in clashing) and (len(rows) == len(odd_rows) or stage is not stages.redact_personal_data)
+    coded = stages.encode(spark, wide, folder).collect()
+    assert len(coded) == len(odd_rows) and all(r.round_trip for r in coded) and stages.encode(spark, nothing, folder).count() == 0
+    redacted = {r.doc_id: r for r in stages.redact_personal_data(spark, wide, folder).collect()}
+    assert "<email> or" not in redacted[4].asDict().values() and "<email>" in redacted[12].text and "<ip>" in redacted[12].text and redacted[12].n_chars == len(redacted[12].text)
