@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import WORD, checkpointed, fresh, table
 
 #: Most times that a word is taken, words of a block, rows of a hash range of documents, slots of a chunk.
-MOST, BLOCK, RANGE_ROWS, CHUNK = 3, 4096, 20_000, 1 << 16
+MOST, BLOCK, RANGE_ROWS, CHUNK = 3, 4096, 5_000, 1 << 16
 _GOLDEN = 0.6180339887498949
 
 
@@ -98,35 +98,41 @@ class Laid:
     pieces: DataFrame
 
 
-def laid_out(documents: DataFrame, keep: Column, block: int = BLOCK, range_rows: int = RANGE_ROWS, chunk: int = CHUNK) -> Laid:
+def laid_out(documents: DataFrame, keep: Column, narrow: bool = False, block: int = BLOCK, range_rows: int = RANGE_ROWS, chunk: int = CHUNK) -> Laid:
     """Lay the documents of each source out as a line of words and join its blocks to the slots of the schedule.
 
-    ``keep`` is a struct of what ``row`` shall hold. A source that holds most rows is spread over
+    ``keep`` is a struct of what ``row`` shall hold; where it is ``narrow`` (holds no text) the texts
+    are read once. A source that holds most rows is spread over
     hash ranges of about ``range_rows`` rows, whose number grows with the table.
     """
     spark = documents.sparkSession
-    n_ranges = 1 + documents.count() // range_rows
     docs = documents.select(keep.alias("row"), F.col("source"), F.col("doc_id").alias("id"), words().alias("size"), F.xxhash64(F.lit("mix"), "doc_id", "text").alias("hash"))
-    docs = docs.withColumn("range", F.pmod(F.shiftrightunsigned("hash", 16), F.lit(n_ranges)))
-    ranges = checkpointed(docs.groupBy("source", "range").agg(F.sum("size").alias("words")))
+    small = checkpointed(docs if narrow else docs.drop("row"))
+    at = F.pmod(F.shiftrightunsigned("hash", 16), F.lit(1 + small.count() // range_rows))
+    docs, small = (small if narrow else docs).withColumn("range", at), small.withColumn("range", at)
+    ranges = checkpointed(small.groupBy("source", "range").agg(F.sum("size").alias("words")))
     goals = checkpointed(planned(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), block))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.select(F.col("source").alias("_s"), "range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("_start"))
     plan = starts.join(goals, F.col("_s").eqNullSafe(F.col("source"))).select("_s", F.col("range").alias("_r"), "_start", "source_size", "target", "take")
     inside = Window.partitionBy("source", "range").orderBy("hash", "id", "size")
-    placed = docs.withColumn("n", F.row_number().over(inside)).withColumn("_before", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = placed.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("range") == F.col("_r"))).withColumn("start", F.col("_start") + F.col("_before"))
-    rows = rows.select("row", "source", "size", "range", "n", "start", "source_size", "target", "take")
 
+    def placed(table: DataFrame) -> DataFrame:
+        before = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = table.withColumns({"n": F.row_number().over(inside), "_before": before})
+        met = found.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("range") == F.col("_r"))).withColumn("start", F.col("_start") + F.col("_before"))
+        return met.drop("_s", "_r", "_start", "_before", "hash", "id")
+
+    line = checkpointed(placed(small))
     c = F.col
-    rounds = rows.where("size > 0").select("source", "range", "n", "size", "start", "source_size", "take", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))).alias("pass"))
+    rounds = line.where("size > 0").select("source", "range", "n", "size", "start", "source_size", "take", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))).alias("pass"))
     taken = rounds.withColumn("lo", c("start") + c("pass") * c("source_size")).withColumn("hi", F.least(c("lo") + c("size"), c("take"))).where("hi > lo")
     cut = taken.withColumn("block", F.explode(F.sequence(F.floor(c("lo") / block), F.floor((c("hi") - 1) / block))))
     cut = cut.withColumn("words", F.least(c("hi"), (c("block") + 1) * block) - F.greatest(c("lo"), c("block") * block))
     slots = schedule(spark, goals, chunk).select(c("source").alias("_s"), c("block").alias("_b"), "slot")
     joined = cut.join(slots, c("source").eqNullSafe(c("_s")) & (c("block") == c("_b")), "left")
     end = 2 * F.lit(1 << 60)  # after all slots
-    return Laid(rows, joined.select("source", "range", "n", "pass", "block", F.coalesce("slot", end).alias("slot"), "words"))
+    return Laid(line if narrow else placed(docs), joined.select("source", "range", "n", "pass", "block", F.coalesce("slot", end).alias("slot"), "words"))
 
 
 def taken(laid: Laid) -> DataFrame:
@@ -149,7 +155,7 @@ def mix(documents: DataFrame, names: tuple[str, ...] = _NAMES, block: int = BLOC
     depends on doc_id, source and text only, so reruns agree, ties among equal rows aside.
     Other columns pass through; columns that bear ``names`` are replaced, so choose others to keep them.
     """
-    out = taken(laid_out(documents, F.struct(*documents.columns), block, range_rows, chunk))
+    out = taken(laid_out(documents, F.struct(*documents.columns), False, block, range_rows, chunk))
     kept = [F.col("row")[c].alias(c) for c in documents.columns if c not in names]
     return out.select(*kept, *[F.col(c).alias(n) for c, n in zip(_NAMES, names, strict=True)])
 
@@ -171,5 +177,5 @@ def mixed(documents: DataFrame) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, and the slot of its first one; the cases are those of ``mix``."""
-    out = taken(laid_out(table(spark, sf_dir, "documents"), F.struct("doc_id")))
+    out = taken(laid_out(table(spark, sf_dir, "documents"), F.struct("doc_id"), narrow=True))
     return out.select("row.doc_id", "size", "source_size", "target", "taken", "slot")
