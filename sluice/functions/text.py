@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Scripts and address forms that the text rules name.
 HAN = r"[\x{4e00}-\x{9fff}]"
 URL = r"https?://\S+"
 
@@ -72,54 +76,72 @@ def has_han(x: Column) -> Column:
 
 def is_chinese(x: Column) -> Column:
     """Han without kana or hangul."""
-    return has_han(x) & ~x.rlike(r"[\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]")
+    return has_han(x) & ~x.rlike(r"[\x{3040}-\x{30ff}\x{31f0}-\x{31ff}\x{ac00}-\x{d7af}]")
 
 
 def needs_translation(x: Column) -> Column:
     """A letter is left without URLs, mentions and tags, and the text is not Chinese."""
-    core = F.regexp_replace(F.regexp_replace(stripped(x), URL, " "), r"[@#]\w+", " ")
-    return core.rlike(r"\p{L}") & ~is_chinese(core)
+    clean = unescaped(x)
+    core = clean
+    for pattern in (URL, r"@[A-Za-z0-9_]{1,32}", r"#[^\s#]+"):
+        core = F.regexp_replace(core, pattern, " ")
+    return core.rlike(r"\p{L}") & ~is_chinese(clean)
+
+
+#: Phrases of hype.
+HYPE = r"(?<![a-z0-9])(?:buy now|lfg|100x|altseason|bag(?:ged)?|smart ones|chase later)(?![a-z0-9])"
 
 
-def promotional(text: Column, terms: list[str], known_words: Column | None = None) -> Column:
-    """Promotion by terms, wallet addresses, many mentions, hash tags or cash tags."""
+def promotional_marks(text: Column) -> Column:
+    """Promotion by wallet addresses, many mentions, hash tags, cash tags or phrases of hype."""
     counted = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    marks = text.rlike(r"\b0x[a-f0-9]{8,}\b") | (counted("@") >= 3) | (counted(r"#[a-z0-9_]{2,}") >= 4) | (counted(r"\$[a-z][a-z0-9_]{1,9}") >= 2)
-    return (F.size(keyword_hits(text, terms, known_words)) > 0) | marks if terms else marks
+    return text.rlike(HYPE) | text.rlike(r"\b0x[a-f0-9]{8,}\b") | (counted("@") >= 3) | (counted(r"#[a-z0-9_]{2,}") >= 4) | (counted(r"\$[a-z][a-z0-9_]{1,9}") >= 2)
+
+
+def promotional(text: Column, terms: list[str]) -> Column:
+    """Promotion by terms or marks."""
+    marks = promotional_marks(text)
+    return (F.size(keyword_hits(text, terms)) > 0) | marks if terms else marks
 
 
 def words(text: Column) -> Column:
     return F.array_distinct(F.split(text, "[^a-z0-9]+"))
 
 
-def variants(terms: list[str]) -> dict[str, str]:
-    """The forms of single words and the word of each."""
-    single = sorted(t for t in terms if t.isascii() and t.isalnum())
-    return {v: t for t in single for v in (t, t + "s", t + "es")} | {t: t for t in single}
+def normal_terms(terms: Iterable[str]) -> list[str]:
+    """Terms stripped and lower-cased, without empty ones, sorted."""
+    return sorted({t.strip().lower() for t in terms} - {""})
+
+
+def is_word(term: str) -> bool:
+    """A term that is found between boundaries and also with s or es: two or more ASCII letters or digits."""
+    return re.fullmatch("[a-z0-9]{2,}", term) is not None
 
 
-def known_words(text: Column, terms: list[str]) -> Column:
-    """The forms of a large vocabulary that a text holds, so that each of many term lists meets few words."""
-    return F.array_intersect(F.split(text, "[^a-z0-9]+"), F.array(*[F.lit(v) for v in variants(terms)]).cast("array<string>"))
+def is_phrase(term: str) -> bool:
+    """A term of ASCII words joined by spaces, underscores or hyphens: found between boundaries, without s or es."""
+    return not is_word(term) and re.fullmatch(r"[a-z0-9][a-z0-9_\- ]*[a-z0-9]", term) is not None
 
 
-def keyword_hits(text: Column, terms: list[str], known_words: Column | None = None) -> Column:
-    """The terms that a lower-case text holds, sorted: single ASCII words between boundaries, also
-    with s or es; ASCII phrases with any white space between; other terms anywhere.
+def keyword_hits(text: Column, terms: Iterable[str]) -> Column:
+    """The terms that a lower-case text holds, sorted; any other than a word or phrase is found anywhere, as it stands.
 
-    Single words are found by one intersection with the text's words, however many there are;
-    ``known_words`` is a column of those where many term lists meet one text.
+    Words are found by one intersection with the text's words, however many there are.
     """
-    forms = variants(terms)
-    other = sorted(set(terms) - set(forms.values()))
-    out = F.array().cast("array<string>")
+    wanted = normal_terms(terms)
+    forms = {v: t for t in wanted if is_word(t) for v in (t + "es", t + "s")} | {t: t for t in wanted if is_word(t)}
+    # a word that is another one's plural stands for both
+    plural = {v: sorted({t for t in wanted if is_word(t) and v in (t, t + "s", t + "es")}) for v in forms}
+    parts = []
     if forms:
-        known = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
-        out = F.transform(F.array_intersect(words(text) if known_words is None else known_words, F.array(*[F.lit(v) for v in forms])), lambda w: F.element_at(known, w))
+        known = F.create_map(*[x for v, ts in plural.items() for x in (F.lit(v), F.array(*[F.lit(t) for t in ts]))])
+        met = F.array_intersect(words(text), F.array(*[F.lit(v) for v in forms]))
+        parts.append(F.flatten(F.transform(met, lambda w: F.element_at(known, w))))
+    phrase = lambda t: text.rlike(r"(?<![a-z0-9])" + r"\s+".join(t.split(" ")) + r"(?![a-z0-9])") if is_phrase(t) else text.contains(t)
+    other = [F.when(phrase(t), F.lit(t)) for t in wanted if not is_word(t)]
     if other:
-        found = [F.when(text.rlike(r"(?<![a-z0-9])" + r"\s+".join(t.split(" ")) + r"(?![a-z0-9])") if t.isascii() else text.contains(t), F.lit(t)) for t in other]
-        out = F.concat(out, F.array_compact(F.array(*found)))
-    return F.array_sort(F.array_distinct(out))
+        parts.append(F.array_compact(F.array(*other)))
+    return F.array_sort(F.array_distinct(F.concat(*parts))) if parts else F.array().cast("array<string>")
 
 
 def dedupe_key(url: Column, source: Column, item_id: Column, text: Column) -> Column:

@@ -8,6 +8,8 @@ many groups as it has windows.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from ..config import MarketSettings, Thresholds
 from ..functions.numeric import INF, bucket_step, bucket_text, bucketed, clamp, ratio, window_text
 
 KEY = ["symbol", "w", "t"]
+#: Sequence numbers and seconds of a stretch of a symbol's history, the unit of work of walks along it.
+SEQ_STRETCH, TIME_STRETCH = 1 << 20, 86_400
 PRIORITY = {"high": 4, "watch": 3, "active": 2, "low": 1, "warming": 0}
 
 
@@ -28,9 +32,38 @@ def dealt(rows: DataFrame, windows: tuple[int, ...], step: int) -> DataFrame:
     """Each row once for every window length ``w`` and grid instant ``t`` with t - w <= ts <= t."""
     lengths = rows.withColumn("w", F.explode(F.array(*[F.lit(w) for w in windows])))
     first, last = F.ceil(F.col("ts") / step) * step, F.floor((F.col("ts") + F.col("w")) / step) * step
+    lengths = lengths.where(first <= last)  # a window shorter than the step may hold no instant
     return lengths.withColumn("t", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"), F.lit(step).cast("bigint"))))
 
 
+def previous(rows: DataFrame, by: list[str], part: Column, order: str, columns: list[str]) -> DataFrame:
+    """Add ``_prev``, a struct of ``columns`` of the row before each row in (by, order), null for the first.
+
+    ``part`` cuts a history into stretches that follow ``order``; each is a group of its own and the
+    last row of a stretch is carried to the next, so no task holds a whole history.
+    """
+    value = F.struct(*columns)
+    dealt_rows = rows.withColumn("_part", part)
+    ends = dealt_rows.groupBy(*by, "_part").agg(F.max_by(value, F.col(order)).alias("_end"))
+    before = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(*by).orderBy("_part")))
+    inside = F.lag(value).over(Window.partitionBy(*by, "_part").orderBy(order))
+    return dealt_rows.join(before, [*by, "_part"]).withColumn("_prev", F.coalesce(inside, "_end")).drop("_part", "_end")
+
+
+def carried(rows: DataFrame, by: list[str], part: Column, order: str, value: str, name: str) -> DataFrame:
+    """Add ``name``: the last value that is not null at or before each row in (by, order); stretches as in ``previous``."""
+    everything = (Window.unboundedPreceding, Window.currentRow)
+    dealt_rows = rows.withColumn("_part", part)
+    ends = dealt_rows.groupBy(*by, "_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_end"))
+    before = ends.withColumn("_end", F.last("_end", True).over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    inside = F.last(value, True).over(Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(*everything))
+    return dealt_rows.join(before, [*by, "_part"]).withColumn(name, F.coalesce(inside, "_end")).drop("_part", "_end")
+
+
+def stretch(column: str, size: int) -> Column:
+    return F.floor(F.col(column) / size)
+
+
 def baseline(candles: DataFrame, rows: int) -> DataFrame:
     """Median and mean volume, median count and number of the last closed candles of each symbol."""
     latest = Window.partitionBy("symbol").orderBy(F.desc("open_time"))
@@ -75,9 +108,10 @@ def concentrations(trades: DataFrame, windows: tuple[int, ...], step: int) -> Da
 
 def book_flags(book: DataFrame, refill_quote: float) -> DataFrame:
     """Book updates with ``refills``: sides whose price stays while their notional grows by the limit or more."""
-    before = Window.partitionBy("symbol").orderBy("seq")
-    grown = lambda p, q: F.coalesce(((F.abs(F.col(p) - F.lag(p).over(before)) <= 1e-12) & ((F.col(q) - F.lag(q).over(before)) * F.col(p) >= refill_quote)).cast("int"), F.lit(0))
-    return book.withColumn("refills", grown("bid", "bid_qty") + grown("ask", "ask_qty"))
+    rows = previous(book, ["symbol"], stretch("seq", SEQ_STRETCH), "seq", ["bid", "bid_qty", "ask", "ask_qty"])
+    last = lambda c: F.col("_prev")[c]
+    grown = lambda p, q: F.coalesce(((F.abs(F.col(p) - last(p)) <= 1e-12) & ((F.col(q) - last(q)) * F.col(p) >= refill_quote)).cast("int"), F.lit(0))
+    return rows.withColumn("refills", grown("bid", "bid_qty") + grown("ask", "ask_qty")).drop("_prev")
 
 
 def book_samples(book: DataFrame) -> DataFrame:
@@ -97,12 +131,15 @@ def book_windows(flagged: DataFrame, windows: tuple[int, ...], step: int) -> Dat
 def latest(samples: DataFrame, instants: DataFrame, step: int) -> DataFrame:
     """The last sample at or before each instant (as-of join): (symbol, t, depth, slippage, mid).
 
-    Samples are first reduced to one for each grid step, then carried forward over the steps.
+    Samples are first reduced to one for each grid step; those and the instants make one line
+    for each symbol, along which the last sample is carried, so one from before the first
+    instant counts too.
     """
     cell = (F.ceil(F.col("ts") / step) * step).cast("bigint")
     last = samples.groupBy("symbol", cell.alias("t")).agg(F.max_by(F.struct("depth", "slippage", "mid"), F.struct("ts", "seq")).alias("_s"))
-    carried = F.last("_s", True).over(Window.partitionBy("symbol").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
-    return instants.join(last, ["symbol", "t"], "left").withColumn("_s", carried).select("symbol", "t", "_s.depth", "_s.slippage", "_s.mid")
+    line = last.join(instants.withColumn("_wanted", F.lit(True)), ["symbol", "t"], "full")
+    out = carried(line, ["symbol"], stretch("t", max(TIME_STRETCH, 1024 * step)), "t", "_s", "_last")
+    return out.where("_wanted").select("symbol", "t", "_last.depth", "_last.slippage", "_last.mid")
 
 
 def window_metrics(trades: DataFrame, book: DataFrame, candles: DataFrame, grid: DataFrame, step: int, settings: MarketSettings) -> DataFrame:
@@ -202,30 +239,71 @@ def overview(symbols: DataFrame, strongest: DataFrame) -> DataFrame:
 
 def streaks(states: DataFrame) -> DataFrame:
     """Add ``streak_seconds``: how long a tracked state has held over the grid, 0 where it starts and for others."""
-    order = Window.partitionBy("symbol", "w").orderBy("t")
-    changed = F.coalesce(F.col("state") != F.lag("state").over(order), F.lit(True)).cast("int")
-    out = states.withColumn("_changed", changed).withColumn("_island", F.sum("_changed").over(order))
-    since = F.min("t").over(Window.partitionBy("symbol", "w", "_island"))
+    by = ["symbol", "w"]
+    rows = previous(states, by, stretch("t", 64 * TIME_STRETCH), "t", ["state"])
+    start = F.when(F.col("_prev").isNull() | (F.col("_prev.state") != F.col("state")), F.col("t"))
+    out = carried(rows.withColumn("_start", start), by, stretch("t", 64 * TIME_STRETCH), "t", "_start", "_since")
     tracked = F.col("state").isin("TWO_SIDED_ACTIVE", "SUSPECTED_WASH_LIKE")
-    return out.withColumn("streak_seconds", F.when(tracked, F.col("t") - since).otherwise(0)).drop("_changed", "_island")
+    return out.withColumn("streak_seconds", F.when(tracked, F.col("t") - F.col("_since")).otherwise(0)).drop("_prev", "_start", "_since")
 
 
-def sampled(rows: DataFrame, spacing: float = 1.0) -> DataFrame:
-    """Greedy samples: a row stays if it lies ``spacing`` or more after the last row that stayed.
+def _jumps(ts: np.ndarray, spacing: float) -> np.ndarray:
+    """For each row of a stretch in order the first row that lies ``spacing`` or more after it, or the number of rows."""
+    times, first, own = np.unique(ts, return_index=True, return_inverse=True)
+    to = np.searchsorted(times, times + spacing)  # rounding of the sum may be one time off, either way
+    low = np.maximum(to - 1, 0)
+    to = np.where((to > 0) & (times[low] - times >= spacing), low, to)
+    at = np.minimum(to, len(times) - 1)
+    to = np.where((to < len(times)) & (times[at] - times < spacing), to + 1, to)
+    return np.append(first, len(ts))[to][own]
 
-    The choice depends on the row before, so hours of a symbol are folded in order; the
-    first row of an hour always starts anew.
-    """
 
-    def fold(acc: Column, x: Column) -> Column:
-        take = F.size(acc) == 0
-        return F.when(take | (x["ts"] - F.element_at(acc, -1)["ts"] >= spacing), F.concat(acc, F.array(x))).otherwise(acc)
+def sampled(rows: DataFrame, spacing: float = 1.0, part: int = 3600) -> DataFrame:
+    """Greedy samples: a row stays if it lies ``spacing`` or more after the last row that stayed; the first stays.
 
-    columns = rows.columns
-    hour = F.floor(F.col("ts") / 3600)
-    grouped = rows.groupBy("symbol", hour.alias("_hour")).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", *[c for c in columns if c not in ("ts", "seq")]))).alias("_rows"))
-    kept = F.aggregate(F.slice("_rows", 2, F.size("_rows")), F.slice("_rows", 1, 1), fold)
-    return grouped.select(F.explode(kept).alias("_r")).select(*[F.col(f"_r.{c}") for c in columns])
+    Order is by ts, then seq. Which rows of a stretch stay depends only on where the samples
+    enter it. So each stretch of ``part`` seconds first tells, for every row at which they may enter,
+    where they leave; a walk over stretches, not rows, fixes the entries; then every stretch
+    marks its own rows. ``part`` is at least ``spacing``.
+    """
+    columns, size = rows.columns, max(part, int(np.ceil(spacing)))
+    dealt_rows = rows.withColumn("_part", stretch("ts", size))
+
+    def leave(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        ts = frame.sort_values(["ts", "seq"])["ts"].to_numpy()
+        jump = _jumps(ts, spacing)
+        last = np.where(jump < len(ts), jump, np.arange(len(ts)))
+        while (last[last] != last).any():  # doubles the number of jumps each time
+            last = last[last]
+        surely = np.flatnonzero(ts - key[1] * size >= spacing + 1e-6)  # whoever left before the stretch may enter here at the latest
+        doors = int(surely[0]) + 1 if len(surely) else len(ts)
+        return pd.DataFrame({"symbol": [key[0]], "_part": [key[1]], "doors": [ts[:doors].tolist()], "exits": [ts[last[:doors]].tolist()]})
+
+    def enter(frame: pd.DataFrame) -> pd.DataFrame:
+        kept, entered = -np.inf, []
+        for doors, exits in frame.sort_values("_part")[["doors", "exits"]].itertuples(index=False):
+            entered.append(kept)
+            fits = np.flatnonzero(np.asarray(doors) - kept >= spacing)
+            kept = exits[fits[0]] if len(fits) else kept
+        return pd.DataFrame({"symbol": frame["symbol"], "_part": frame["_part"].sort_values().to_numpy(), "before": entered})
+
+    def mark(key: tuple, frame: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["ts", "seq"])
+        if frame.empty:
+            return frame[columns]
+        ts = frame["ts"].to_numpy()
+        fits = np.flatnonzero(ts - entry["before"].iloc[0] >= spacing)
+        jump, places = _jumps(ts, spacing), []
+        at = fits[0] if len(fits) else len(ts)
+        while at < len(ts):
+            places.append(at)
+            at = jump[at]
+        return frame.iloc[places][columns]
+
+    by = dealt_rows.groupBy("symbol", "_part")
+    doors = dealt_rows.select("symbol", "_part", "ts", "seq").groupBy("symbol", "_part").applyInPandas(leave, "symbol string, _part long, doors array<double>, exits array<double>")
+    entries = doors.groupBy("symbol").applyInPandas(enter, "symbol string, _part long, before double")
+    return by.cogroup(entries.groupBy("symbol", "_part")).applyInPandas(mark, rows.schema)
 
 
 # --- order book ---
@@ -239,9 +317,14 @@ def book_state(updates: DataFrame) -> DataFrame:
 
 def sequence_flags(diffs: DataFrame) -> DataFrame:
     """Mark depth diffs: ``stale`` (ends at or before the last applied id) and ``gap`` (starts beyond it)."""
-    before = Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max("final_id").over(before)
-    return diffs.withColumns({"stale": F.coalesce(F.col("final_id") <= last, F.lit(False)), "gap": F.coalesce(F.col("first_id") > last + 1, F.lit(False))})
+    rows = diffs.withColumn("_part", stretch("seq", SEQ_STRETCH))
+    ends = rows.groupBy("symbol", "_part").agg(F.max("final_id").alias("_end"))
+    earlier = (Window.unboundedPreceding, -1)
+    before = ends.withColumn("_end", F.max("_end").over(Window.partitionBy("symbol").orderBy("_part").rowsBetween(*earlier)))
+    inside = F.max("final_id").over(Window.partitionBy("symbol", "_part").orderBy("seq").rowsBetween(*earlier))
+    rows = rows.join(before, ["symbol", "_part"]).withColumn("_last", F.greatest(inside, "_end"))
+    flags = {"stale": F.coalesce(F.col("final_id") <= F.col("_last"), F.lit(False)), "gap": F.coalesce(F.col("first_id") > F.col("_last") + 1, F.lit(False))}
+    return rows.withColumns(flags).drop("_part", "_end", "_last")
 
 
 def book_depth(levels: DataFrame, band: float) -> DataFrame:

@@ -35,7 +35,11 @@ class Vocabulary:
     entity_aliases: dict[str, str] = field(default_factory=dict)
     action_aliases: dict[str, str] = field(default_factory=dict)
 
-    def terms(self) -> list[str]:
-        """All terms of all lists."""
-        lists = [x for t in self.topics.values() for x in (t.keywords, t.news, t.promotion, *[y for p in t.profiles for y in (p.entities, p.actions, p.evidence, p.negative)])]
-        return sorted({t for x in lists for t in x})
+    def lists(self) -> dict[str, list[str]]:
+        """All term lists by name: topic/keywords, /news, /promotion, /core (the first two) and topic/place/part of each profile."""
+        out: dict[str, list[str]] = {}
+        for name, t in self.topics.items():
+            out |= {f"{name}/keywords": t.keywords, f"{name}/news": t.news, f"{name}/promotion": t.promotion, f"{name}/core": [*t.keywords, *t.news]}
+            for i, p in enumerate(t.profiles):
+                out |= {f"{name}/{i}/{part}": getattr(p, part) for part in ("entities", "actions", "evidence", "negative")}
+        return out

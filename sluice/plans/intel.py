@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -30,23 +30,24 @@ VOCABULARY = Vocabulary(
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as items of three sources."""
+    """Documents as items of three sources; one in forty repeats the URL, one in ten the id of an earlier one."""
     d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
     text = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    m, k = F.when(n % 40 == 20, n - 20).otherwise(n), F.when(n % 10 == 9, n - 3).otherwise(n)
     source = F.when(n % 3 == 0, "x").when(n % 3 == 1, "rss").otherwise("reddit")
     return d.select(
-        n.alias("pos"), text("d", n % 700).alias("id"), F.when(F.col("lang") == "en", "crypto").when(F.col("lang") == "fr", "world").when(F.col("lang") == "de", "hot").otherwise("custom").alias("topic"), source.alias("source"),
-        text("u", n % 25).alias("author"), "text", F.when(n % 4 == 0, F.concat(text("https://www.site", n % 30), text(".example.com/a", n % 90))).otherwise("").alias("url"),
+        n.alias("pos"), text("d", k).alias("id"), F.when(F.col("lang") == "en", "crypto").when(F.col("lang") == "fr", "world").when(F.col("lang") == "de", "hot").otherwise("custom").alias("topic"), source.alias("source"),
+        text("u", n % 25).alias("author"), "text", F.when(n % 4 == 0, F.concat(text("https://www.site", m % 30), text(".example.com/a", m))).otherwise("").alias("url"),
         F.when(n % 3 == 2, F.concat(text("news", n % 6), F.lit(".example.org"))).otherwise("").alias("external_domain"), F.when(n % 3 == 1, F.concat(text("feed", n % 5), F.lit(".example.com"))).otherwise("").alias("source_domain"),
         F.when(n % 3 == 2, text("c", n % 7)).otherwise("").alias("community"), (n * 37 % 640).cast("double").alias("score"), (1_700_000_000 + n % 1400 * 60).alias("captured_at"), (1_700_000_000 + n % 1400 * 60 - n % 48 * 3600).alias("created_ts"),
     )
 
 
 ITEMS_SQL = r"""
-items AS (SELECT doc_id AS pos, 'd' || CAST(doc_id % 700 AS VARCHAR) AS id, CASE lang WHEN 'en' THEN 'crypto' WHEN 'fr' THEN 'world' WHEN 'de' THEN 'hot' ELSE 'custom' END AS topic, CASE doc_id % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'rss' ELSE 'reddit' END AS source,
-  'u' || CAST(doc_id % 25 AS VARCHAR) AS author, text, CASE WHEN doc_id % 4 = 0 THEN 'https://www.site' || CAST(doc_id % 30 AS VARCHAR) || '.example.com/a' || CAST(doc_id % 90 AS VARCHAR) ELSE '' END AS url,
+items AS (SELECT doc_id AS pos, 'd' || CAST(CASE WHEN doc_id % 10 = 9 THEN doc_id - 3 ELSE doc_id END AS VARCHAR) AS id, CASE lang WHEN 'en' THEN 'crypto' WHEN 'fr' THEN 'world' WHEN 'de' THEN 'hot' ELSE 'custom' END AS topic, CASE doc_id % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'rss' ELSE 'reddit' END AS source,
+  'u' || CAST(doc_id % 25 AS VARCHAR) AS author, text, CASE WHEN doc_id % 4 = 0 THEN 'https://www.site' || CAST(m % 30 AS VARCHAR) || '.example.com/a' || CAST(m AS VARCHAR) ELSE '' END AS url,
   CASE WHEN doc_id % 3 = 2 THEN 'news' || CAST(doc_id % 6 AS VARCHAR) || '.example.org' ELSE '' END AS external_domain, CASE WHEN doc_id % 3 = 1 THEN 'feed' || CAST(doc_id % 5 AS VARCHAR) || '.example.com' ELSE '' END AS source_domain,
-  CASE WHEN doc_id % 3 = 2 THEN 'c' || CAST(doc_id % 7 AS VARCHAR) ELSE '' END AS community, CAST(doc_id * 37 % 640 AS DOUBLE) AS score, 1700000000 + doc_id % 1400 * 60 AS captured_at, 1700000000 + doc_id % 1400 * 60 - doc_id % 48 * 3600 AS created_ts FROM documents),
+  CASE WHEN doc_id % 3 = 2 THEN 'c' || CAST(doc_id % 7 AS VARCHAR) ELSE '' END AS community, CAST(doc_id * 37 % 640 AS DOUBLE) AS score, 1700000000 + doc_id % 1400 * 60 AS captured_at, 1700000000 + doc_id % 1400 * 60 - doc_id % 48 * 3600 AS created_ts FROM (SELECT *, CASE WHEN doc_id % 40 = 20 THEN doc_id - 20 ELSE doc_id END AS m FROM documents)),
 se AS (SELECT *, trim(regexp_replace(regexp_replace(lower(concat_ws(' ', trim(text), url, community)), 'https?://\S+', ' ', 'g'), '\s+', ' ', 'g')) AS searchable FROM items)"""
 
 
@@ -82,6 +83,7 @@ def _event(part) -> str:
     return _by_topic(of, part(None))
 
 
+_HYPE = "(^|[^a-z0-9])(buy now|lfg|100x|altseason|bag|bagged|smart ones|chase later)($|[^a-z0-9])"
 _TIER = "greatest(0, " + ", ".join(f"CASE WHEN b = '{d}' OR ends_with(b, '.{d}') THEN {t} ELSE 0 END" for d, t in VOCABULARY.tiers.items()) + ")"
 _LOW = ", ".join(f"'{d}'" for d in VOCABULARY.low_trust)
 _REL_SQL = f"""
@@ -102,7 +104,7 @@ _CORE = "topic IN ('crypto', 'world')"
 _LOW_SQL = r"""(length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+', ' ', 'g'), '@[A-Za-z0-9_]{1,32}', ' ', 'g'), '\s+', '', 'g'), '[-—_~`!@#$%^&*()+=\[\]{}|\\:;"''，。！？、,.<>/?]+', '', 'g')) < 8)"""
 _RELEVANCE_SQL = f"""
 v0 AS (SELECT *, topic_event_type <> '' AS topic_event_matched, {_by_topic(lambda t: f"len({_hits(t.keywords)})", "0")} AS m, {_by_topic(lambda t: f"len({_hits(t.news)})", "0")} AS topic_news_match_count, {_LOW_SQL} AS topic_low_signal,
-  {_by_topic(lambda t: f"len({_hits(t.promotion)}) > 0 OR length(searchable) - length(replace(searchable, '@', '')) >= 3" if t.promotion else "false", "false")} AS topic_promotional,
+  {_by_topic(lambda t: f"len({_hits(t.promotion)}) > 0 OR regexp_matches(searchable, '{_HYPE}') OR length(searchable) - length(replace(searchable, '@', '')) >= 3" if t.promotion else "false", "false")} AS topic_promotional,
   {_by_topic(lambda t: f"community <> '' AND list_contains({_list(t.communities)}, community)", "false")} AS community_allowed, CASE WHEN topic = 'hot' THEN {_OVER} ELSE 0 END AS ov, external_domain <> '' AND external_domain NOT IN ({_LOW}) AS ln FROM ev),
 v1 AS (SELECT *, topic_news_match_count > 0 AND m >= 2 AS backed FROM v0),
 v2 AS (SELECT *, CASE source WHEN 'reddit' THEN community_allowed AND NOT topic_low_signal AND (topic_event_matched OR (source_confirmed AND backed) OR (ln AND backed) OR (m >= 3 AND topic_news_match_count >= 1))
@@ -139,13 +141,13 @@ i7 AS (SELECT *, list_filter(al, lambda t, i: t <> '' AND list_position(al, t) =
 ident AS (SELECT *, substr(sha1(concat_ws('|', topic, CASE WHEN len(identity_terms) > 0 THEN array_to_string(identity_terms, '|') ELSE '' END)), 1, 16) AS identity_key FROM i7)"""
 _BURST = " + ".join(f"CASE WHEN len({_hits([k], 'st')}) > 0 THEN {w} ELSE 0.0 END" for k, w in VOCABULARY.bursts.items())
 _RANK_SQL = f"""
-dk AS (SELECT *, CASE WHEN url <> '' THEN 'url::' || url ELSE 'id::' || source || '::' || id END AS dedupe_key FROM ident), d1 AS (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY pos) AS dn FROM dk),
+dk AS (SELECT *, CASE WHEN url <> '' THEN 'url::' || url ELSE 'id::' || source || '::' || id END AS dedupe_key FROM ident), d1 AS (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY pos) AS dn, count(*) OVER (PARTITION BY topic, dedupe_key) AS window_hits, round((max(captured_at) OVER (PARTITION BY topic, dedupe_key) - min(captured_at) OVER (PARTITION BY topic, dedupe_key)) / 3600.0, 2)::DOUBLE AS window_span_hours FROM dk),
 one AS (SELECT * EXCLUDE (dn), identity_key AS cluster_id, trim(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) AS st FROM d1 WHERE dn = 1 AND relevant),
 s0 AS (SELECT *, score AS signal_hot, {_BURST} AS signal_burst, greatest(0.0, 1 - least(greatest(({NOW} - created_ts) / 3600.0, 0.0), 36.0) / 36.0) AS signal_novelty,
   0.55 * CASE source WHEN 'x' THEN 3.4 WHEN 'rss' THEN 2.5 ELSE 1.7 END + source_discovery_weight + 0.75 * source_authority_score + 0.55 * source_confirmation_weight + CASE WHEN topic_event_matched THEN 0.8 ELSE 0.0 END + CASE WHEN source = 'reddit' AND community_allowed THEN 0.2 ELSE 0.0 END AS sw, CAST(source_confirmed AS INT) AS conf FROM one),
 s1 AS (SELECT *, row_number() OVER (PARTITION BY topic, cluster_id ORDER BY round(topic_quality_score + signal_burst + signal_novelty + sw, 9) DESC, pos) AS cluster_rank, count(*) OVER (PARTITION BY topic, cluster_id) AS cluster_size FROM s0),
 sc AS (SELECT topic, cluster_id, count(DISTINCT source) AS cluster_source_count FROM s0 GROUP BY ALL), s2 AS (SELECT s1.*, cluster_source_count, cluster_source_count - 1 AS signal_cross_count FROM s1 JOIN sc USING (topic, cluster_id)),
-s3 AS (SELECT *, 1 + pos % 5 AS window_hits, (pos % 9) / 2.0 AS window_span_hours, pos % 3 AS event_source_count, conf AS event_confirmation_count FROM s2),
+s3 AS (SELECT *, cluster_source_count AS event_source_count, CAST(sum(conf) OVER (PARTITION BY topic, cluster_id) AS BIGINT) AS event_confirmation_count FROM s2),
 s4 AS (SELECT *, sqrt(signal_hot) + 2.2 * signal_burst + 3.0 * signal_novelty + 4.0 * signal_cross_count + 2.0 * sw + 2.4 * source_authority_score + 3.4 * conf + 0.8 * least(cluster_size, 3) + 1.4 * least(cluster_source_count, 3)
   + CASE WHEN cluster_rank <= 1 THEN 1.4 ELSE greatest(0.0, 1.1 - 0.45 * (cluster_rank - 1)) END + 1.8 * least(window_hits - 1, 6) + least(window_span_hours, 18.0) / 6.0 + CASE WHEN topic_event_matched THEN 4.2 ELSE 0.0 END AS signal_total FROM s3),
 s5 AS (SELECT *, round(1.45 * topic_quality_score + signal_total + 1.15 * topic_event_score, 9) AS selection_score FROM s4),
@@ -180,9 +182,14 @@ def identified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = I.first_of_key(identified(spark, sf_dir)).where("relevant").withColumn("cluster_id", F.col("identity_key"))
+    """Relevant items, the first of each key with the hits and span of its repeats, clustered by identity, ranked by topic."""
+    repeats, cluster = Window.partitionBy("topic", "dedupe_key"), Window.partitionBy("topic", "cluster_id")
+    keyed = identified(spark, sf_dir).withColumn("dedupe_key", T.dedupe_key(F.col("url"), F.col("source"), F.col("id"), F.col("text")))
+    span = F.round((F.max("captured_at").over(repeats) - F.min("captured_at").over(repeats)) / 3600.0, 2)
+    keyed = keyed.withColumns({"window_hits": F.count(F.lit(1)).over(repeats), "window_span_hours": span})
+    one = I.first_of_key(keyed).where("relevant").withColumn("cluster_id", F.col("identity_key"))
     shaped = I.with_cluster_shape(I.with_signals(one, VOCABULARY, NOW))
-    shaped = shaped.withColumns({"window_hits": 1 + F.col("pos") % 5, "window_span_hours": F.col("pos") % 9 / 2.0, "event_source_count": F.col("pos") % 3, "event_confirmation_count": F.col("signal_confirmation")})
+    shaped = shaped.withColumns({"event_source_count": F.col("cluster_source_count"), "event_confirmation_count": F.sum("signal_confirmation").over(cluster)})
     return I.ranked(I.scored(shaped), ["topic"])
 
 
@@ -259,31 +266,36 @@ def intel_owner_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.owner_quota(pool(spark, sf_dir), 3).select("author", "pos")
 
 
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool as clusters of snapshots of two hours."""
+    return pool(spark, sf_dir).withColumn("cluster_id", F.concat_ws("-", "identity_key", F.floor(F.col("captured_at") / 7200).cast("string")))
+
+
 def intel_group_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = checkpointed(identified(spark, sf_dir).select("topic", "pos", "topic_event_type", "identity_terms")).withColumn("cluster_id", F.concat(F.lit("k"), (F.col("pos") % 40).cast("string")))
-    return I.group_identity(grouped, VOCABULARY).select("topic", "cluster_id", F.array_join("signature", "|").alias("signature"), "event_key")
+    return I.group_identity(snapshots(spark, sf_dir), VOCABULARY).select("topic", "cluster_id", F.array_join("signature", "|").alias("signature"), "event_key")
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pool(spark, sf_dir).withColumn("cluster_id", F.concat(F.lit("k"), (F.col("pos") % 40).cast("string")))
+def entries(rows: DataFrame) -> DataFrame:
     return I.event_entries(rows, 1_700_050_000)
 
 
 def intel_event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
     best = F.array_join(F.transform(F.map_entries("representatives"), lambda e: F.concat_ws(":", e["key"], e["value"]["pos"].cast("string"))), ",")
-    return entries(spark, sf_dir).select("topic", "cluster_id", "evidence_count", "first_seen_at", "last_seen_at", "confirmation_count", "authority_score", F.array_join("authority_keys", ",").alias("authority_keys"), flat(F.col("source_counts")).alias("source_counts"), best.alias("representatives"))
+    return entries(snapshots(spark, sf_dir)).select("topic", "cluster_id", "evidence_count", "first_seen_at", "last_seen_at", "confirmation_count", "authority_score", F.array_join("authority_keys", ",").alias("authority_keys"), flat(F.col("source_counts")).alias("source_counts"), best.alias("representatives"))
 
 
 def intel_merged_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = entries(spark, sf_dir).withColumn("event_key", F.concat(F.lit("e"), (F.substring("cluster_id", 2, 3).cast("int") % 7).cast("string")))
+    """Entries of all snapshots by event key, as items again."""
+    rows = snapshots(spark, sf_dir)
+    keyed = entries(rows).join(I.group_identity(rows, VOCABULARY).select("topic", "cluster_id", "event_key"), ["topic", "cluster_id"])
     out = I.pool_items(I.merged_entries(keyed))
     return rounded(out.select("topic", "event_key", "snapshot_hits", "event_source_count", "event_confirmation_count", "authority_score", "window_span_hours", "source", "rows"))
 
 
 def intel_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = items(spark, sf_dir).withColumn("dedupe_key", T.dedupe_key(F.col("url"), F.col("source"), F.col("id"), F.col("text")))
-    return I.rolled_up(keyed)
+    return I.rolled_up(keyed).withColumn("text", F.sha1(F.col("text").cast("binary")))
 
 
 def intel_greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,13 +341,21 @@ _HOT = lambda source, name, limit: f"""
 {name}_h AS (SELECT *, CASE WHEN cw AND topic_event_matched THEN 1 WHEN cw THEN 2 WHEN source = 'rss' THEN 3 WHEN source = 'reddit' THEN 4 WHEN lead THEN 5 ELSE 6 END AS lane FROM {source}),{_first(f"{name}_h", "topic", name, limit)}"""
 _DIAG = "count(*) AS total, count_if(topic_event_matched)::BIGINT AS event_matched, count_if(event_confirmation_count >= 1 OR source_confirmed)::BIGINT AS confirmed, count_if(source = 'x')::BIGINT AS from_x, count_if(source = 'rss')::BIGINT AS from_rss, count_if(source = 'reddit')::BIGINT AS from_reddit, round(avg(CASE WHEN source_authority_score > 0 THEN source_authority_score END), 2) AS mean_authority"
 _DCOLS = "topic_event_matched, event_confirmation_count, source_confirmed, source, source_authority_score"
-_K = "rkk AS (SELECT * EXCLUDE (cluster_id), 'k' || CAST(pos % 40 AS VARCHAR) AS cluster_id FROM rk)"
+_K = "rkk AS (SELECT * EXCLUDE (cluster_id), identity_key || '-' || CAST(captured_at // 7200 AS VARCHAR) AS cluster_id FROM rk)"
+_GROUP = f"""g1 AS (SELECT topic, cluster_id, topic_event_type, unnest(identity_terms) AS term FROM rkk),
+  g2 AS (SELECT topic, cluster_id, CASE WHEN list_contains({_list(VOCABULARY.action_aliases)}, term) THEN 2 WHEN list_contains({_list(VOCABULARY.entity_aliases.values())}, term) THEN 1 ELSE 3 END AS kind, term FROM g1 WHERE term <> topic_event_type OR topic_event_type = '' UNION ALL SELECT topic, cluster_id, 0, topic_event_type FROM rkk WHERE topic_event_type <> ''),
+  g3 AS (SELECT topic, cluster_id, kind, term, row_number() OVER (PARTITION BY topic, cluster_id, kind ORDER BY count(*) DESC, term) AS place FROM g2 GROUP BY topic, cluster_id, kind, term),
+  g4 AS (SELECT topic, cluster_id, list(term ORDER BY kind, place) AS l FROM g3 WHERE place <= CASE kind WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END GROUP BY ALL), g5 AS (SELECT topic, cluster_id, array_to_string(list_filter(l, lambda t, i: list_position(l, t) = i), '|') AS signature FROM g4),
+  g6 AS (SELECT topic, cluster_id, signature, substr(sha1(topic || '|' || signature), 1, 20) AS event_key FROM g5)"""
 _ENTRY = f"""{_K},
 eb AS (SELECT topic, cluster_id, count(*) AS evidence_count, least(min(created_ts), 1700050000) AS first_seen_at, greatest(max(created_ts), 1700050000) AS last_seen_at, count_if(source_confirmed)::BIGINT AS confirmation_count, round(max(source_authority_score), 2) AS authority_score,
   list_sort(list_distinct(list(source_authority_key) FILTER (WHERE source_confirmed))) AS ak FROM rkk GROUP BY ALL),
 ec AS (SELECT topic, cluster_id, source, count(*) AS n, arg_max(pos, {{"a": selection_score, "b": topic_quality_score, "c": signal_hot, "d": -pos}}) AS best FROM rkk GROUP BY ALL),
 ed AS (SELECT topic, cluster_id, string_agg(source || ':' || n, ',' ORDER BY source) AS source_counts, string_agg(source || ':' || best, ',' ORDER BY source) AS representatives FROM ec GROUP BY ALL)""".replace('{"a":', "{'a':").replace('"b"', "'b'").replace('"c"', "'c'").replace('"d"', "'d'")
 
+PERSISTENT = f"""ps AS (SELECT *, CASE WHEN event_source_count >= 2 OR cw AND (event_confirmation_count >= 1 OR signal_cross_count >= 1) OR window_span_hours >= 3 THEN 1 ELSE 2 END AS lane FROM ld WHERE NOT topic_low_signal AND NOT topic_promotional AND topic_quality_score >= 10 AND window_hits >= 2
+  AND (NOT ({_CORE}) OR topic_event_matched OR event_confirmation_count >= 1) AND (window_span_hours >= 1 OR event_source_count >= 2 OR signal_cross_count >= 1 OR event_confirmation_count >= 1 OR topic_event_matched OR topic_news_match_count >= 1 OR topic_match_count >= 2 OR signal_hot >= 120))"""
+
 ORACLES = {
     "intel_reliability": f"WITH {ITEMS_SQL},{_REL_SQL} SELECT pos, source_role, CAST(source_trust_tier AS INT) AS source_trust_tier, source_authority_score, source_discovery_weight, source_confirmation_weight, source_confirmed, source_authority_key FROM rel",
     "intel_event_class": f"WITH {ITEMS_SQL},{_REL_SQL},{_EVENT_SQL} SELECT pos, topic_event_type, topic_event_score, array_to_string(entity_hits, ',') AS entity_hits, array_to_string(action_hits, ',') AS action_hits, array_to_string(evidence_hits, ',') AS evidence_hits FROM ev",
@@ -347,24 +367,19 @@ ORACLES = {
     "intel_select_preferred": f"{_RANKED},{_lanes('ld', 'topic', 'pf', 10)} SELECT topic, pos, lane, chosen::INT AS chosen FROM pf",
     "intel_select_world": f"{_RANKED},{_WORLD('ld', 'wl', 6)} SELECT topic, pos, lane, chosen::INT AS chosen FROM wl",
     "intel_select_hot": f"{_RANKED},{_HOT('ld', 'ht', 8)} SELECT topic, pos, lane, chosen::INT AS chosen FROM ht",
-    "intel_select_persistent": f"""{_RANKED}, ps AS (SELECT *, CASE WHEN event_source_count >= 2 OR cw AND (event_confirmation_count >= 1 OR signal_cross_count >= 1) OR window_span_hours >= 3 THEN 1 ELSE 2 END AS lane FROM ld WHERE NOT topic_low_signal AND NOT topic_promotional AND topic_quality_score >= 10 AND window_hits >= 2
-  AND (NOT ({_CORE}) OR topic_event_matched OR event_confirmation_count >= 1) AND (window_span_hours >= 1 OR event_source_count >= 2 OR signal_cross_count >= 1 OR event_confirmation_count >= 1 OR topic_event_matched OR topic_news_match_count >= 1 OR topic_match_count >= 2 OR signal_hot >= 120)),{_first('ps', 'topic', 'pt', 3)} SELECT topic, pos, lane, chosen::INT AS chosen FROM pt""",
+    "intel_select_persistent": f"{_RANKED}, {PERSISTENT},{_first('ps', 'topic', 'pt', 3)} SELECT topic, pos, lane, chosen::INT AS chosen FROM pt",
     "intel_lane_diagnostics": f"{_RANKED}, lc AS (SELECT * FROM ld WHERE topic = 'crypto'), lw AS (SELECT * FROM ld WHERE topic = 'world'), lh AS (SELECT * FROM ld WHERE topic = 'hot'),{_lanes('lc', 'topic', 'pf', 10)},{_WORLD('lw', 'wl', 6)},{_HOT('lh', 'ht', 8)}, al AS (SELECT 'preferred' AS lane_name, {_DCOLS} FROM pf UNION ALL SELECT 'world', {_DCOLS} FROM wl UNION ALL SELECT 'hot', {_DCOLS} FROM ht) SELECT coalesce(lane_name, 'overall') AS lane_name, {_DIAG} FROM al GROUP BY GROUPING SETS ((lane_name), ())",
     "intel_reasons": f"{_RANKED} SELECT pos, array_to_string(list_filter([CASE WHEN topic_event_matched THEN 'event:' || topic_event_type END, CASE WHEN source_confirmed THEN 'confirmed' END, CASE WHEN signal_cross_count > 0 THEN 'cross:' || signal_cross_count END, CASE WHEN cluster_size > 1 THEN 'cluster:' || cluster_size END, CASE WHEN topic_news_match_count > 0 THEN 'news' END, CASE WHEN signal_hot >= 250 THEN 'engagement' END, CASE WHEN community_allowed THEN 'community' END], lambda x: x IS NOT NULL)[1:6], ',') AS reasons FROM rk",
     "intel_owner_quota": f"{_RANKED}, o AS (SELECT author, pos, row_number() OVER (PARTITION BY author ORDER BY place, pos) AS rn FROM rk) SELECT author, pos FROM o WHERE rn <= 3",
     "intel_event_entries": f"{_RANKED}, {_ENTRY} SELECT topic, cluster_id, evidence_count, first_seen_at, last_seen_at, confirmation_count, authority_score, coalesce(array_to_string(ak, ','), '') AS authority_keys, source_counts, representatives FROM eb JOIN ed USING (topic, cluster_id)",
-    "intel_merged_entries": f"""{_RANKED}, {_ENTRY}, ek AS (SELECT *, 'e' || CAST(CAST(substr(cluster_id, 2) AS INT) % 7 AS VARCHAR) AS event_key FROM eb), em AS (SELECT topic, event_key, count(*) AS snapshot_hits, sum(confirmation_count) AS cc, max(authority_score) AS authority_score, min(first_seen_at) AS fs, max(last_seen_at) AS ls FROM ek GROUP BY ALL),
+    "intel_merged_entries": f"""{_RANKED}, {_ENTRY}, {_GROUP}, ek AS (SELECT eb.*, event_key FROM eb JOIN g6 USING (topic, cluster_id)), em AS (SELECT topic, event_key, count(*) AS snapshot_hits, sum(confirmation_count) AS cc, max(authority_score) AS authority_score, min(first_seen_at) AS fs, max(last_seen_at) AS ls FROM ek GROUP BY ALL),
   ea2 AS (SELECT topic, event_key, count(DISTINCT k) AS nk FROM (SELECT topic, event_key, unnest(ak) AS k FROM ek) GROUP BY ALL), es AS (SELECT ek.topic, event_key, source, CAST(sum(n) AS BIGINT) AS rows FROM ec JOIN ek ON ec.topic = ek.topic AND ec.cluster_id = ek.cluster_id GROUP BY ALL), en AS (SELECT topic, event_key, count(*) AS event_source_count FROM es GROUP BY ALL)
   SELECT topic, event_key, snapshot_hits, event_source_count::INT AS event_source_count, CAST(greatest(cc, coalesce(nk, 0)) AS BIGINT) AS event_confirmation_count, round(authority_score, 6) AS authority_score, round((greatest(ls, fs) - fs) / 3600.0, 2)::DOUBLE AS window_span_hours, source, rows FROM es JOIN em USING (topic, event_key) JOIN en USING (topic, event_key) LEFT JOIN ea2 USING (topic, event_key)""",
-    "intel_group_identity": f"""{_ALL},{_IDENTITY_SQL}, g0 AS (SELECT topic, 'k' || CAST(pos % 40 AS VARCHAR) AS cluster_id, topic_event_type, identity_terms FROM ident), g1 AS (SELECT topic, cluster_id, topic_event_type, unnest(identity_terms) AS term FROM g0),
-  g2 AS (SELECT topic, cluster_id, CASE WHEN list_contains({_list(VOCABULARY.action_aliases)}, term) THEN 2 WHEN list_contains({_list(VOCABULARY.entity_aliases.values())}, term) THEN 1 ELSE 3 END AS kind, term FROM g1 WHERE term <> topic_event_type OR topic_event_type = '' UNION ALL SELECT topic, cluster_id, 0, topic_event_type FROM g0 WHERE topic_event_type <> ''),
-  g3 AS (SELECT topic, cluster_id, kind, term, row_number() OVER (PARTITION BY topic, cluster_id, kind ORDER BY count(*) DESC, term) AS place FROM g2 GROUP BY topic, cluster_id, kind, term),
-  g4 AS (SELECT topic, cluster_id, list(term ORDER BY kind, place) AS l FROM g3 WHERE place <= CASE kind WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END GROUP BY ALL), g5 AS (SELECT topic, cluster_id, array_to_string(list_filter(l, lambda t, i: list_position(l, t) = i), '|') AS signature FROM g4)
-  SELECT topic, cluster_id, signature, substr(sha1(topic || '|' || signature), 1, 20) AS event_key FROM g5""",
-    "intel_rollup": f"WITH {ITEMS_SQL}, k AS (SELECT *, CASE WHEN url <> '' THEN 'url::' || url ELSE 'id::' || source || '::' || id END AS dedupe_key FROM items) SELECT topic, dedupe_key, count(*) AS window_hits, min(captured_at) AS window_first_seen_at, max(captured_at) AS window_last_seen_at, round((max(captured_at) - min(captured_at)) / 3600.0, 2)::DOUBLE AS window_span_hours, max(length(text))::INT AS text_length, min_by(author, pos) AS author, max(score) AS score FROM k GROUP BY ALL",
+    "intel_group_identity": f"{_RANKED}, {_K}, {_GROUP} SELECT topic, cluster_id, signature, event_key FROM g6",
+    "intel_rollup": f"WITH {ITEMS_SQL}, k AS (SELECT *, CASE WHEN url <> '' THEN 'url::' || url ELSE 'id::' || source || '::' || id END AS dedupe_key FROM items) SELECT topic, dedupe_key, count(*) AS window_hits, min(captured_at) AS window_first_seen_at, max(captured_at) AS window_last_seen_at, round((max(captured_at) - min(captured_at)) / 3600.0, 2)::DOUBLE AS window_span_hours, sha1(arg_max(text, [length(trim(text)), -pos])) AS text, min_by(url, pos) FILTER (WHERE url <> '') AS url, min_by(author, pos) AS author, min_by(created_ts, pos) AS created_ts, max(score) AS score FROM k GROUP BY topic, dedupe_key",
     "text_pages": f"""WITH s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS h FROM pages), u AS (SELECT *, {_WS.format(x=_UN("trim(h, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))"))} AS x0 FROM s), x AS (SELECT *, x0 AS x FROM u)
   SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS domain, sha1(x) AS plain_sha1, {_SHORT.replace('x', 'x2', 0)} AS short, substr(sha1(url), 1, 20) AS fingerprint, CASE WHEN length(url) <= 8 THEN repeat('*', length(url)) ELSE substr(url, 1, 4) || repeat('*', length(url) - 8) || right(url, 4) END AS masked,
   sha1(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS escaped_sha1 FROM x""",
-    "text_predicates": rf"""SELECT conv_id, turn, length(c) < 8 OR (regexp_matches(text, 'https?://\S+') AND length(c) < 15) AS low_signal, trim(text) = '' OR regexp_full_match(trim(text), 'https?://\S+') AS url_only, regexp_matches(text, '[\x{{4e00}}-\x{{9fff}}]') AS has_han, regexp_matches(regexp_replace(regexp_replace(text, 'https?://\S+', ' ', 'g'), '[@#]\w+', ' ', 'g'), '\pL') AND NOT regexp_matches(text, '[\x{{4e00}}-\x{{9fff}}]') AS needs_translation,
-  len({_hits(["erin", "thor"], "lower(text)")}) > 0 OR length(text) - length(replace(text, '@', '')) >= 3 AS promotional FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+', ' ', 'g'), '@[A-Za-z0-9_]{{1,32}}', ' ', 'g'), '\s+', '', 'g'), '[-—_~`!@#$%^&*()+=\[\]{{}}|\\:;"''，。！？、,.<>/?]+', '', 'g') AS c FROM conversations)""",
+    "text_predicates": rf"""SELECT conv_id, turn, length(c) < 8 OR (regexp_matches(text, 'https?://\S+') AND length(c) < 15) AS low_signal, trim(text) = '' OR regexp_full_match(trim(text), 'https?://\S+') AS url_only, regexp_matches(text, '[\x{{4e00}}-\x{{9fff}}]') AS has_han, regexp_matches(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+', ' ', 'g'), '@[A-Za-z0-9_]{{1,32}}', ' ', 'g'), '#[^\s#]+', ' ', 'g'), '\pL') AND NOT regexp_matches(text, '[\x{{4e00}}-\x{{9fff}}]') AS needs_translation,
+  len({_hits(["erin", "thor"], "lower(text)")}) > 0 OR regexp_matches(lower(text), '{_HYPE}') OR length(text) - length(replace(text, '@', '')) >= 3 AS promotional FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+', ' ', 'g'), '@[A-Za-z0-9_]{{1,32}}', ' ', 'g'), '\s+', '', 'g'), '[-—_~`!@#$%^&*()+=\[\]{{}}|\\:;"''，。！？、,.<>/?]+', '', 'g') AS c FROM conversations)""",
 }

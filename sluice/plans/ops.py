@@ -101,9 +101,9 @@ def ops_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ops_silent_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("user_id > 20")
-    counts = e.groupBy((F.col("user_id") % 60).alias("topic"), F.when(F.col("event_type") == "error", "x").otherwise("rss").alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    return O.silent_topics(spark.range(80).select(F.col("id").alias("topic")), counts)
+    e = table(spark, sf_dir, "events")
+    counts = e.groupBy((F.col("user_id") % 900).alias("topic"), F.when(F.col("event_type") == "error", "x").otherwise("rss").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    return O.silent_topics(spark.range(1000).select(F.col("id").alias("topic")), counts)
 
 
 def ops_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +136,7 @@ ORACLES = {
     "ops_registry": f"SELECT key, sent_at FROM (SELECT 'k' || c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN {NOW} ELSE {NOW} - c_custkey * 600 END AS sent_at FROM customer) WHERE sent_at >= {NOW} - 259200",
     "ops_parsed_times": "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 4 THEN NULL WHEN 2 THEN CAST(epoch(o_orderdate) AS BIGINT) - 28800 ELSE CAST(epoch(o_orderdate) AS BIGINT) END AS ts FROM orders",
     "ops_source_mix": "SELECT topic, string_agg(role || ':' || n, ',' ORDER BY role) AS mix FROM (SELECT conv_id % 50 AS topic, role, count(*) AS n FROM conversations GROUP BY 1, 2) GROUP BY topic",
-    "ops_silent_topics": "SELECT range AS topic FROM range(80) WHERE range NOT IN (SELECT user_id % 60 FROM events WHERE user_id > 20 AND event_type = 'error')",
+    "ops_silent_topics": "SELECT range AS topic FROM range(1000) WHERE range NOT IN (SELECT user_id % 900 FROM events WHERE event_type = 'error')",
     "ops_tasks": """WITH t AS (SELECT o_orderkey % 400 AS id, 's' || o_orderkey AS status, greatest(o_orderkey * 13 % 1000, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey * 29 % 1000 ELSE 0 END, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey * 31 % 1000 ELSE 0 END) AS anchor FROM orders),
   n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY anchor DESC, status DESC) AS rn FROM t) SELECT id, anchor, status, row_number() OVER (ORDER BY anchor DESC, id DESC)::INT AS place FROM n WHERE rn = 1""",
     "ops_batches": "SELECT o_orderkey, o_orderpriority, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 4 AS batch FROM orders",

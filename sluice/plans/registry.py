@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import intel, market, ops
+from . import digest, intel, market, ops
 
 FLAGSHIP = "market_judgement"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = market.QUERIES | intel.QUERIES | ops.QUERIES
-ORACLES: dict[str, str] = market.ORACLES | intel.ORACLES | ops.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = market.QUERIES | intel.QUERIES | ops.QUERIES | digest.QUERIES
+ORACLES: dict[str, str] = market.ORACLES | intel.ORACLES | ops.ORACLES | digest.ORACLES

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .shared import checkpointed
 
 
 def candles_json(spark: SparkSession, path: str, now_ms: int, limit: int = 1000) -> DataFrame:
@@ -57,16 +61,20 @@ def tolerant_json(column) -> object:
     return F.coalesce(F.try_parse_json(column), F.try_parse_json(F.regexp_extract(column, r"[\{\[][\s\S]*", 0)))
 
 
-def nested_posts(raw: DataFrame, column: str, depth: int = 6) -> DataFrame:
-    """Every object with a text, at any depth of a JSON column up to ``depth``: id, author, text, url; distinct by id and text."""
-    level = raw.select(tolerant_json(F.col(column)).alias("v"))
+def nested_posts(raw: DataFrame, column: str) -> DataFrame:
+    """Every object with a text, at any depth of a JSON column: id, author, text, url; distinct by id and text.
+
+    Each level of nesting is one pass, until no row has a deeper one.
+    """
+    level = checkpointed(raw.select(tolerant_json(F.col(column)).alias("v")).where("v IS NOT NULL"))
+    pick = lambda *names: F.coalesce(*[F.try_variant_get("v", f"$.{n}", "string") for n in names])
     found = []
-    for _ in range(depth):
-        level.createOrReplaceTempView("sluice_level")
-        pick = lambda *names: F.coalesce(*[F.try_variant_get("v", f"$.{n}", "string") for n in names])
+    while not level.isEmpty():
         found.append(level.select(pick("id", "tweet_id", "rest_id").alias("id"), pick("author", "username", "user").alias("author"), pick("text", "full_text", "content").alias("text"), pick("url", "link").alias("url")).where("text IS NOT NULL AND trim(text) <> ''"))
-        level = raw.sparkSession.sql("SELECT e.value AS v FROM sluice_level, LATERAL variant_explode_outer(v) AS e WHERE e.value IS NOT NULL AND schema_of_variant(e.value) RLIKE '^(OBJECT|ARRAY)'")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.dropDuplicates(["id", "text"])
+        name = f"sluice_level_{uuid.uuid4().hex}"
+        level.createOrReplaceTempView(name)
+        level = checkpointed(raw.sparkSession.sql(f"SELECT e.value AS v FROM {name}, LATERAL variant_explode_outer(v) AS e WHERE e.value IS NOT NULL AND schema_of_variant(e.value) RLIKE '^(OBJECT|ARRAY)'"))
+        raw.sparkSession.catalog.dropTempView(name)
+    if not found:
+        return raw.sparkSession.createDataFrame([], "id string, author string, text string, url string")
+    return reduce(DataFrame.unionByName, found).dropDuplicates(["id", "text"])
