@@ -42,7 +42,7 @@ _LAST = np.iinfo(np.int64).max
 
 
 def parse(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Phrases of some texts: (text, trigger hash, first window, last window, first byte of the text in all bytes, all bytes).
+    """Phrases of some texts: (text, trigger hash, first window, last window, first byte of the text in all bytes, all bytes, their sums).
 
     Windows and bytes count from the start of the joined texts.
     """
@@ -52,7 +52,7 @@ def parse(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     n = len(b) - LENGTH + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none, none.view(np.uint64), none, none, ends - sizes, b
+        return none, none.view(np.uint64), none, none, ends - sizes, b, np.zeros(1, np.uint64)
     sums, down = prefix_sums(b), powers(len(b))[1]
     h = mix((sums[TRIGGER:] - sums[:-TRIGGER]) * down[: len(b) - TRIGGER + 1])
     place = np.empty(n, np.int64)
@@ -77,7 +77,7 @@ def parse(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     if len(over):  # a phrase ends where the next begins or windows are not inside
         k = np.searchsorted(over, first)
         stop = np.minimum(stop, np.where(k < len(over), over[np.minimum(k, len(over) - 1)], n))
-    return np.searchsorted(ends, first, side="right"), h[place[first]], first, stop - 1, ends - sizes, b
+    return np.searchsorted(ends, first, side="right"), h[place[first]], first, stop - 1, ends - sizes, b, sums
 
 
 def parts(rows: pa.Table) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -135,10 +135,10 @@ def by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(buckets[order[lo]]), order[lo:hi]
 
 
-def phrase_ids(b: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """128 bits for each phrase, as two rows."""
+def phrase_ids(b: np.ndarray, sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """128 bits for each phrase, as two rows, from the bytes and their ``prefix_sums``."""
     size, down = last - first + LENGTH, powers(len(b))[1]
-    each = [(sums[first + size] - sums[first]) * down[first] for sums in (prefix_sums(b), prefix_sums(b, True))]
+    each = [(x[first + size] - x[first]) * down[first] for x in (sums, prefix_sums(b, True))]
     return np.stack([mix(h + size.astype(np.uint64)) for h in each])
 
 
@@ -246,13 +246,13 @@ def without_repeats(documents: DataFrame) -> DataFrame:
             return schema.empty_table()
         ids_in, owners, triggers_in, bytes_in, sizes = [], [], [], [], []
         for places, texts in parts(rows):
-            owner, h, first, last, _, b = parse(texts)
+            owner, h, first, last, _, b, sums = parse(texts)
             at = np.searchsorted(flagged, short(h))
             own = flagged[np.minimum(at, len(flagged) - 1)] == short(h)
             if not own.any():
                 continue
             owner, h, first, last = owner[own], h[own], first[own], last[own]
-            phrase = phrase_ids(b, first, last)
+            phrase = phrase_ids(b, sums, first, last)
             docs_of = ids[places[owner]]
             order, starts = parse_order(phrase, docs_of)
             one = order[starts]  # a phrase of this part stands once, with the ends of its parse run
@@ -281,26 +281,32 @@ def without_repeats(documents: DataFrame) -> DataFrame:
         size = np.frombuffer(b"".join(col["sizes"]), np.uint8).astype(np.int64)
         lowest = np.frombuffer(b"".join(col["lowest"]), np.int64)
         several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(n)).astype(bool) for x, n in zip(rows["several"].to_pylist(), col["sizes"], strict=True)])
-        windows = size - LENGTH + 1
-        owner = np.repeat(np.arange(len(size)), windows)
-        begin, offset = np.cumsum(size) - size, np.cumsum(windows) - windows
-        start = begin[owner] + np.arange(len(owner)) - offset[owner]
+        begin = np.cumsum(size) - size
         phrase = np.empty((2, len(size)), np.uint64)
         for i in range(0, len(size), 20_000):  # the sums take eight times the bytes
             lo, hi = begin[i], begin[i + 20_000] if i + 20_000 < len(size) else len(b)
             own = slice(i, i + 20_000)
-            phrase[:, own] = phrase_ids(b[lo:hi], begin[own] - lo, begin[own] + size[own] - LENGTH - lo)
-        order, runs = suffix_order(b, start)
-        least = np.minimum.reduceat(lowest[owner][order], runs)
+            phrase[:, own] = phrase_ids(b[lo:hi], prefix_sums(b[lo:hi]), begin[own] - lo, begin[own] + size[own] - LENGTH - lo)
+        by_phrase, heads = parse_order(phrase, lowest)  # a phrase of several blocks stands once, with its least document
+        one = by_phrase[heads]
+        entry = np.empty(len(size), np.int64)
+        entry[by_phrase] = np.repeat(np.arange(len(one)), np.diff(np.append(heads, len(size))))
+        b, least_of = gather(b, begin[one], size[one]), lowest[one]
+        windows = size[one] - LENGTH + 1
+        owner = np.repeat(np.arange(len(one)), windows)
+        at, offset = np.cumsum(size[one]) - size[one], np.cumsum(windows) - windows
+        order, runs = suffix_order(b, at[owner] + np.arange(len(owner)) - offset[owner])
+        least = np.minimum.reduceat(least_of[owner][order], runs)
         first = np.empty(len(owner), np.int64)
         first[order] = np.repeat(least, np.diff(np.append(runs, len(order))))
-        useful = several | (np.minimum.reduceat(first, offset) < lowest)
-        out, at = [], 0
+        useful = several | (np.minimum.reduceat(first, offset)[entry] < lowest)
+        out, done = [], 0
         for block, raw in zip(rows["block"].to_pylist(), col["sizes"], strict=True):
-            own = np.arange(at, at + len(raw))[useful[at : at + len(raw)]]
-            at += len(raw)
+            own = np.arange(done, done + len(raw))[useful[done : done + len(raw)]]
+            done += len(raw)
             if len(own):
-                out.append((block, np.ascontiguousarray(phrase[:, own].T).tobytes(), windows[own].astype(np.uint8).tobytes(), gather(first, offset[own], windows[own]).tobytes()))
+                each = entry[own]
+                out.append((block, np.ascontiguousarray(phrase[:, own].T).tobytes(), windows[each].astype(np.uint8).tobytes(), gather(first, offset[each], windows[each]).tobytes()))
         return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate((("block", pa.int64()), ("ids", pa.binary()), ("windows", pa.binary()), ("firsts", pa.binary())))})
 
     def cut(key: tuple[pa.Scalar, ...], rows: pa.Table, marks: pa.Table) -> pa.Table:
@@ -310,10 +316,10 @@ def without_repeats(documents: DataFrame) -> DataFrame:
         offset = np.cumsum(windows) - windows
         ids, kept, sizes, removed, spans = ids_of(rows), [], [], [], []
         for places, texts in parts(rows):
-            owner, _, first, last, begin, b = parse(texts)
+            owner, _, first, last, begin, b, sums = parse(texts)
             gone = np.zeros(len(b), bool)
             if phrase.shape[1] and len(first):
-                at = lookup(phrase, phrase_ids(b, first, last))
+                at = lookup(phrase, phrase_ids(b, sums, first, last))
                 hit = np.flatnonzero(at >= 0)
                 count = windows[at[hit]]
                 start = np.repeat(first[hit] - (np.cumsum(count) - count), count) + np.arange(count.sum())
@@ -337,5 +343,6 @@ def without_repeats(documents: DataFrame) -> DataFrame:
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed bytes of every document; the cases are those of ``without_repeats``."""
     out = without_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
