@@ -20,17 +20,24 @@ def alerts(health: DataFrame) -> DataFrame:
 
     ``health``: run, now, running, interval_seconds, last_collect_ts, last_error, overdue, fallback_due,
     x_count, rss_count, total_count, raw_total, selected_total, summary_total, summary_fallback,
-    task_failed_hours, task_running_minutes.
+    task_failed_hours, task_running_minutes. Optional, false where absent: starting (the first collection is
+    under way), fallback_attempted, model_first, model_available; and of the bridge that posts come
+    through, x_configured, bridge_known, bridge_installed, bridge_stale, bridge_connected, bridge_recovers.
     """
     c = F.col
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False)) if name in health.columns else F.lit(False)
+    watched = flag("x_configured") & flag("bridge_known")
+    absent, down = watched & ~flag("bridge_installed"), watched & flag("bridge_installed") & ~flag("bridge_connected") & ~flag("bridge_recovers")
+    blocked = absent | (down & ~flag("bridge_stale"))
     slow = F.greatest(F.floor(c("interval_seconds") * 2.5), c("interval_seconds") + 1800)
     share = c("rss_count") / F.when(c("total_count") > 0, c("total_count"))
     fallback = c("summary_fallback") / F.when(c("summary_total") > 0, c("summary_total"))
     failed = F.coalesce(c("last_error"), F.lit("")) != ""
     missing = c("running") & c("last_collect_ts").isNull()
     rules = [
-        ("warn", "collect_failed", failed), ("warn", "collect_missing", ~failed & missing), ("warn", "collect_stale", ~failed & ~missing & (c("now") - c("last_collect_ts") > slow)),
-        ("critical", "delivery_overdue", c("overdue") & c("fallback_due")), ("warn", "delivery_overdue", c("overdue") & ~c("fallback_due")), ("critical", "x_source_missing", (c("total_count") > 0) & (c("x_count") <= 0)),
+        ("warn", "collect_failed", failed), ("info", "collect_starting", ~failed & missing & flag("starting")), ("warn", "collect_missing", ~failed & missing & ~flag("starting")), ("warn", "collect_stale", ~failed & ~missing & (c("now") - c("last_collect_ts") > slow)),
+        ("critical", "delivery_overdue", c("overdue") & (c("fallback_due") | flag("fallback_attempted"))), ("warn", "delivery_overdue", c("overdue") & ~(c("fallback_due") | flag("fallback_attempted"))),
+        ("critical", "bridge_missing", absent), ("warn", "bridge_stale", down & flag("bridge_stale")), ("critical", "bridge_down", down & ~flag("bridge_stale")), ("critical", "x_source_missing", ~blocked & (c("total_count") > 0) & (c("x_count") <= 0)), ("warn", "model_unavailable", flag("model_first") & ~flag("model_available")),
         ("warn", "rss_dominant", (c("total_count") >= 6) & (share >= 0.85)), ("critical", "summary_fallback_high", (c("summary_total") >= 3) & (fallback >= 0.95)), ("warn", "summary_fallback_high", (c("summary_total") >= 3) & (fallback >= 0.6) & (fallback < 0.95)),
         ("warn", "nothing_selected", (c("raw_total") > 0) & (c("selected_total") <= 0)), ("warn", "task_failed", c("task_failed_hours") <= 12), ("warn", "task_stuck", c("task_running_minutes") > 20),
     ]
@@ -44,6 +51,20 @@ def levels(health: DataFrame, found: DataFrame) -> DataFrame:
     return health.select("run").join(worst, "run", "left").select("run", F.coalesce("level", F.lit("ok")).alias("level"), F.coalesce("alerts", F.lit(0)).alias("alerts"))
 
 
+def ordered_alerts(found: DataFrame) -> DataFrame:
+    """Add ``place``: the order of each run's alerts, the severest first, then by code, both descending."""
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("run").orderBy(F.desc(severity_rank()), F.desc("code"))))
+
+
+def trend_summary(history: DataFrame, now: int, window: int = DAY) -> DataFrame:
+    """One row: samples and runs with issues of the last window, and the three codes that occur in most runs, two at least."""
+    recent = history.where(F.col("captured_at") >= now - window).withColumn("_codes", F.filter(F.transform("alert_codes", F.lower), lambda x: x != ""))
+    totals = recent.agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.size("_codes") > 0).alias("issue_runs"))
+    top = trend(history, now, window).orderBy(F.desc("runs"), "code").limit(3)
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("runs")).alias("n"), "code")))
+    return totals.crossJoin(top.agg(F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["code"], (-x["n"]).cast("string"))), ",").alias("top_codes")))  # one row each
+
+
 def trend(history: DataFrame, now: int, window: int = DAY) -> DataFrame:
     """(code, runs): in how many runs of the last window each code occurs, those in two or more."""
     recent = history.where(F.col("captured_at") >= now - window)
@@ -128,14 +149,17 @@ def silent_topics(configured: DataFrame, counts: DataFrame, source: str = "x") -
     return configured.join(counts.where((F.col("source") == source) & (F.col("n") > 0)), "topic", "left_anti")
 
 
-def tasks_by_anchor(tasks: DataFrame) -> DataFrame:
+def tasks_by_anchor(tasks: DataFrame, stretch: int = 3600) -> DataFrame:
     """Tasks with ``anchor``, the latest of their times, one row for each id, newest first by (anchor, id) as ``place``.
 
-    One task orders the ids: a table of build tasks of a few days.
+    Places go by stretches of anchors: the tasks of later stretches, then the order inside one.
     """
     anchor = F.greatest(F.coalesce("finished_at", F.lit(0)), F.coalesce("started_at", F.lit(0)), F.coalesce("submitted_at", F.lit(0)))
-    one = latest_by_key(tasks.withColumn("anchor", anchor), ["id"], [F.desc("anchor"), F.desc("status")])
-    return one.withColumn("place", F.row_number().over(Window.orderBy(F.desc("anchor"), F.desc("id"))))
+    one = latest_by_key(tasks.withColumn("anchor", anchor), ["id"], [F.desc("anchor"), F.desc("status")]).withColumn("_part", F.floor(F.col("anchor") / stretch))
+    counts = one.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    later = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_later"))  # one row for each stretch
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc("anchor"), F.desc("id")))
+    return one.join(later, "_part").withColumn("place", (F.col("_later") + inside).cast("int")).drop("_part", "_later")
 
 
 def may_submit(tasks: DataFrame) -> DataFrame:

@@ -19,15 +19,15 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = F.col("run")
     return h.select(
         "run", (run * 3600).alias("now"), F.lit(True).alias("running"), F.lit(3600).alias("interval_seconds"), F.when(run % 13 != 0, run * 3600 - run % 4 * 4000).alias("last_collect_ts"), F.when(F.col("errors") > 5, "failed").alias("last_error"), (run % 7 == 0).alias("overdue"), (run % 14 == 0).alias("fallback_due"),
-        "x_count", "rss_count", (F.col("x_count") + F.col("rss_count")).alias("total_count"), "raw_total", "selected_total", (F.col("selected_total") + F.col("summary_fallback")).alias("summary_total"), "summary_fallback", (run % 30).alias("task_failed_hours"), (run % 23).alias("task_running_minutes"))
+        "x_count", "rss_count", (F.col("x_count") + F.col("rss_count")).alias("total_count"), "raw_total", "selected_total", (F.col("selected_total") + F.col("summary_fallback")).alias("summary_total"), "summary_fallback", (run % 30).alias("task_failed_hours"), (run % 23).alias("task_running_minutes"), (run % 26 == 0).alias("starting"), (run % 21 == 0).alias("fallback_attempted"), F.lit(True).alias("x_configured"), (run % 2 == 0).alias("bridge_known"), (run % 5 != 0).alias("bridge_installed"), (run % 4 == 0).alias("bridge_stale"), (run % 3 == 0).alias("bridge_connected"), (run % 11 == 0).alias("bridge_recovers"), (run % 6 == 0).alias("model_first"), (run % 12 == 0).alias("model_available"))
 
 
 _HEALTH = """
 e AS (SELECT CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS run, event_type FROM events),
 h0 AS (SELECT run, count_if(event_type = 'view') AS x, count_if(event_type = 'click') AS r, count_if(event_type = 'error') AS er, count_if(event_type = 'purchase') AS s, count_if(event_type = 'signup') AS f, count(*) AS n FROM e GROUP BY run),
-h AS (SELECT run, run * 3600 AS now, CASE WHEN run % 13 <> 0 THEN run * 3600 - run % 4 * 4000 END AS lc, er > 5 AS failed, run % 7 = 0 AS od, run % 14 = 0 AS fd, x, r, x + r AS tot, n, s, s + f AS st, f, run % 30 AS tf, run % 23 AS tr FROM h0),
-a AS (SELECT run, now, 'warn' AS severity, 'collect_failed' AS code FROM h WHERE failed UNION ALL SELECT run, now, 'warn', 'collect_missing' FROM h WHERE NOT failed AND lc IS NULL UNION ALL SELECT run, now, 'warn', 'collect_stale' FROM h WHERE NOT failed AND lc IS NOT NULL AND now - lc > 9000
- UNION ALL SELECT run, now, 'critical', 'delivery_overdue' FROM h WHERE od AND fd UNION ALL SELECT run, now, 'warn', 'delivery_overdue' FROM h WHERE od AND NOT fd UNION ALL SELECT run, now, 'critical', 'x_source_missing' FROM h WHERE tot > 0 AND x <= 0
+h AS (SELECT run, run * 3600 AS now, CASE WHEN run % 13 <> 0 THEN run * 3600 - run % 4 * 4000 END AS lc, er > 5 AS failed, run % 7 = 0 AS od, run % 14 = 0 AS fd, x, r, x + r AS tot, n, s, s + f AS st, f, run % 30 AS tf, run % 23 AS tr, run % 26 = 0 AS sg, run % 21 = 0 AS fa, run % 2 = 0 AND run % 5 = 0 AS ab, run % 2 = 0 AND run % 5 <> 0 AND run % 3 <> 0 AND run % 11 <> 0 AS dn, run % 4 = 0 AS sl, run % 6 = 0 AND run % 12 <> 0 AS mu FROM h0),
+a AS (SELECT run, now, 'warn' AS severity, 'collect_failed' AS code FROM h WHERE failed UNION ALL SELECT run, now, 'info', 'collect_starting' FROM h WHERE NOT failed AND lc IS NULL AND sg UNION ALL SELECT run, now, 'warn', 'collect_missing' FROM h WHERE NOT failed AND lc IS NULL AND NOT sg UNION ALL SELECT run, now, 'critical', 'bridge_missing' FROM h WHERE ab UNION ALL SELECT run, now, 'warn', 'bridge_stale' FROM h WHERE dn AND sl UNION ALL SELECT run, now, 'critical', 'bridge_down' FROM h WHERE dn AND NOT sl UNION ALL SELECT run, now, 'warn', 'model_unavailable' FROM h WHERE mu UNION ALL SELECT run, now, 'warn', 'collect_stale' FROM h WHERE NOT failed AND lc IS NOT NULL AND now - lc > 9000
+ UNION ALL SELECT run, now, 'critical', 'delivery_overdue' FROM h WHERE od AND (fd OR fa) UNION ALL SELECT run, now, 'warn', 'delivery_overdue' FROM h WHERE od AND NOT (fd OR fa) UNION ALL SELECT run, now, 'critical', 'x_source_missing' FROM h WHERE tot > 0 AND x <= 0 AND NOT (ab OR (dn AND NOT sl))
  UNION ALL SELECT run, now, 'warn', 'rss_dominant' FROM h WHERE tot >= 6 AND r / tot >= 0.85 UNION ALL SELECT run, now, 'critical', 'summary_fallback_high' FROM h WHERE st >= 3 AND f / st >= 0.95 UNION ALL SELECT run, now, 'warn', 'summary_fallback_high' FROM h WHERE st >= 3 AND f / st >= 0.6 AND f / st < 0.95
  UNION ALL SELECT run, now, 'warn', 'nothing_selected' FROM h WHERE n > 0 AND s <= 0 UNION ALL SELECT run, now, 'warn', 'task_failed' FROM h WHERE tf <= 12 UNION ALL SELECT run, now, 'warn', 'task_stuck' FROM h WHERE tr > 20)"""
 
@@ -47,6 +47,15 @@ def ops_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.trend(history, NOW)
 
 
+def ops_alert_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.ordered_alerts(O.alerts(health(spark, sf_dir))).select("run", "severity", "code", "place")
+
+
+def ops_trend_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = O.alerts(health(spark, sf_dir))
+    return O.trend_summary(found.groupBy("run").agg(F.max("now").alias("captured_at"), F.collect_list("code").alias("alert_codes")), NOW)
+
+
 def ops_source_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     source = F.when(F.col("doc_id") % 3 == 0, "x").when(F.col("doc_id") % 3 == 1, "rss").otherwise("reddit")
@@ -108,8 +117,8 @@ def ops_silent_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ops_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    tasks = o.select((k % 400).alias("id"), F.concat(F.lit("s"), k.cast("string")).alias("status"), (k * 13 % 1000).alias("submitted_at"), F.when(k % 3 != 0, k * 29 % 1000).alias("started_at"), F.when(k % 4 != 0, k * 31 % 1000).alias("finished_at"))
-    return O.tasks_by_anchor(tasks).select("id", "anchor", "status", "place")
+    tasks = o.select(F.floor(k / 4).alias("id"), F.concat(F.lit("s"), k.cast("string")).alias("status"), (k * 13 % 1000).alias("submitted_at"), F.when(k % 3 != 0, k * 29 % 1000).alias("started_at"), F.when(k % 4 != 0, k * 31 % 1000).alias("finished_at"))
+    return O.tasks_by_anchor(tasks, 100).select("id", "anchor", "status", "place")
 
 
 def ops_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,12 +132,14 @@ def ops_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("c_custkey", F.array_join(wanted, "|").alias("symbols"), F.array_join(add, "|").alias("added"), F.array_join(remove, "|").alias("removed"))
 
 
-QUERIES = {f.__name__: f for f in (ops_alerts, ops_levels, ops_trend, ops_source_totals, ops_delivery_window, ops_next_slot, ops_history, ops_registry, ops_parsed_times, ops_source_mix, ops_silent_topics, ops_tasks, ops_batches, ops_symbols)}
+QUERIES = {f.__name__: f for f in (ops_alerts, ops_alert_order, ops_levels, ops_trend, ops_trend_summary, ops_source_totals, ops_delivery_window, ops_next_slot, ops_history, ops_registry, ops_parsed_times, ops_source_mix, ops_silent_topics, ops_tasks, ops_batches, ops_symbols)}
 
 ORACLES = {
     "ops_alerts": f"WITH {_HEALTH} SELECT run, severity, code FROM a",
-    "ops_levels": f"WITH {_HEALTH}, w AS (SELECT run, max(CASE severity WHEN 'critical' THEN 3 ELSE 2 END) AS w, count(*) AS n FROM a GROUP BY run) SELECT h.run, CASE w.w WHEN 3 THEN 'critical' WHEN 2 THEN 'warn' ELSE 'ok' END AS level, coalesce(w.n, 0) AS alerts FROM h LEFT JOIN w USING (run)",
+    "ops_levels": f"WITH {_HEALTH}, w AS (SELECT run, max(CASE severity WHEN 'critical' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END) AS w, count(*) AS n FROM a GROUP BY run) SELECT h.run, CASE w.w WHEN 3 THEN 'critical' WHEN 2 THEN 'warn' WHEN 1 THEN 'info' ELSE 'ok' END AS level, coalesce(w.n, 0) AS alerts FROM h LEFT JOIN w USING (run)",
     "ops_trend": f"WITH {_HEALTH} SELECT code, count(DISTINCT run) AS runs FROM a WHERE now >= {NOW} - 86400 GROUP BY code HAVING count(DISTINCT run) >= 2",
+    "ops_alert_order": f"WITH {_HEALTH} SELECT run, severity, code, row_number() OVER (PARTITION BY run ORDER BY CASE severity WHEN 'critical' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END DESC, code DESC)::INT AS place FROM a",
+    "ops_trend_summary": f"WITH {_HEALTH}, r AS (SELECT * FROM a WHERE now >= {NOW} - 86400), c AS (SELECT code, count(DISTINCT run) AS n FROM r GROUP BY code HAVING count(DISTINCT run) >= 2 ORDER BY n DESC, code LIMIT 3) SELECT (SELECT count(DISTINCT run) FROM r) AS samples, (SELECT count(DISTINCT run) FROM r) AS issue_runs, coalesce((SELECT string_agg(code || ':' || n, ',' ORDER BY n DESC, code) FROM c), '') AS top_codes",
     "ops_source_totals": "SELECT lang AS topic, count_if(doc_id % 3 = 0)::BIGINT AS x, count_if(doc_id % 3 = 1)::BIGINT AS rss, count_if(doc_id % 3 = 2)::BIGINT AS reddit, count(*) AS total FROM documents GROUP BY lang",
     "ops_delivery_window": f"WITH {_INSTANTS} SELECT id, today, is_due, is_overdue, CASE WHEN is_overdue THEN late // 60 ELSE 0 END AS overdue_minutes, is_overdue AND late >= 900 AND id % 4 <> 0 AS fallback_due FROM d",
     "ops_next_slot": f"WITH {_INSTANTS} SELECT id, now, now - (now + 28800) % 86400 + CASE WHEN (now + 28800) % 86400 < 28800 THEN 28800 WHEN (now + 28800) % 86400 < 72000 THEN 72000 ELSE 115200 END AS next_at FROM i",
@@ -137,7 +148,7 @@ ORACLES = {
     "ops_parsed_times": "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 4 THEN NULL WHEN 2 THEN CAST(epoch(o_orderdate) AS BIGINT) - 28800 ELSE CAST(epoch(o_orderdate) AS BIGINT) END AS ts FROM orders",
     "ops_source_mix": "SELECT topic, string_agg(role || ':' || n, ',' ORDER BY role) AS mix FROM (SELECT conv_id % 50 AS topic, role, count(*) AS n FROM conversations GROUP BY 1, 2) GROUP BY topic",
     "ops_silent_topics": "SELECT range AS topic FROM range(1000) WHERE range NOT IN (SELECT user_id % 900 FROM events WHERE event_type = 'error')",
-    "ops_tasks": """WITH t AS (SELECT o_orderkey % 400 AS id, 's' || o_orderkey AS status, greatest(o_orderkey * 13 % 1000, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey * 29 % 1000 ELSE 0 END, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey * 31 % 1000 ELSE 0 END) AS anchor FROM orders),
+    "ops_tasks": """WITH t AS (SELECT o_orderkey // 4 AS id, 's' || o_orderkey AS status, greatest(o_orderkey * 13 % 1000, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey * 29 % 1000 ELSE 0 END, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey * 31 % 1000 ELSE 0 END) AS anchor FROM orders),
   n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY anchor DESC, status DESC) AS rn FROM t) SELECT id, anchor, status, row_number() OVER (ORDER BY anchor DESC, id DESC)::INT AS place FROM n WHERE rn = 1""",
     "ops_batches": "SELECT o_orderkey, o_orderpriority, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 4 AS batch FROM orders",
     "ops_symbols": """WITH s AS (SELECT *, string_split_regex(upper(c_mktsegment || ' ,' || c_name || ' ,' || c_mktsegment), '[\\s,，;；]+') AS w0 FROM customer), u AS (SELECT *, list_filter(w0, lambda x, i: x <> '' AND list_position(w0, x) = i) AS w FROM s)

@@ -132,3 +132,20 @@ def test_book_and_baseline_streams_as_batch(spark, sf_dir, tmp_path):
 def test_submission_gate(spark):
     tasks = spark.createDataFrame([("1", "failed"), ("2", "queued")], "id string, status string")
     assert not O.may_submit(tasks).head().may_submit and O.may_submit(tasks.where("id = '1'")).head().may_submit
+
+
+def test_trades_with_book_as_batch(spark, sf_dir, tmp_path):
+    """Every trade of a stream gets the mid of the last update before it, as an as-of join gives it."""
+    b, t = frames.book(spark, sf_dir), M.trades(frames.raw_trades(spark, sf_dir)).select("symbol", "ts", "seq", "price")
+    b.coalesce(1).write.parquet(str(tmp_path / "b"))
+    t.coalesce(1).write.parquet(str(tmp_path / "t"))
+    read = lambda name, like: spark.readStream.schema(like.schema).parquet(str(tmp_path / name))
+    got = run(S.trades_with_book(read("t", t), read("b", b)), "with_book").collect()
+    lines = [(r.symbol, r.ts, r.seq, 1, (r.bid + r.ask) / 2) for r in b.collect()] + [(r.symbol, r.ts, r.seq, 0, r.price) for r in t.collect()]
+    last, want = {}, {}
+    for symbol, _, seq, update, value in sorted(lines):  # at one instant and sequence the trade comes first
+        if update:
+            last[symbol] = value
+        else:
+            want[symbol, seq] = (value, last.get(symbol))
+    assert {(r.symbol, r.seq): (r.price, r.mid) for r in got} == want and len(got) == len(want)
