@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, langid, lexical, merkle, mixing, neardup, pii, quality, repeats, topk, toxicity
+from . import bpe, fingerprint, jaccard, langid, lexical, merkle, mixing, neardup, pii, quality, repeats, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": bpe.op8_bpe,
     "op9_topk": topk.op9_topk,
     "op10_language": langid.op10_language,
+    "op11_jaccard": jaccard.op11_jaccard,
     "op12_lexical": lexical.op12_lexical,
     "op13_manifest": merkle.op13_manifest,
 }
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_neardup": neardup.OP2_SQL,
     "op9_topk": topk.OP9_SQL,
+    "op11_jaccard": jaccard.OP11_SQL,
     "op12_lexical": lexical.OP12_SQL,
     "op13_manifest": merkle.OP13_SQL,
 }
