@@ -3,19 +3,52 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
     Only a local master, whose driver is its one executor, may do without the setting.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None and not context.master.startswith("local"):
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sluice-checkpoints-"))
+        folder = tempfile.mkdtemp(prefix="sluice-checkpoints-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+class Scratch:
+    """Tables in a folder of the shared store, deleted at the end of a ``with`` block.
+
+    Unlike a checkpoint, a table is computed once, and plans that read it know its size but nothing
+    of how it came about, so rounds of a loop stay alike. What the block returns has to be
+    checkpointed in it.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path, self.count = f"{self.folder}/{self.count}", self.count + 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
