@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from ..operators.places import with_places
-from .common import checkpointed, joined_small, lean_batches, release_memory, table
-from .components import connected_components
+from ..sources.shared import Scratch, checkpointed
+from .common import joined_small, lean_batches, release_memory, table
 from .neardup import _by_cell
 from .wordhash import mix, shingles
 
@@ -62,7 +63,7 @@ def summarised(documents: DataFrame, words: int, percent: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(summarise, "doc_id long, n long, k1 long, k2 long, head array<long>")
 
 
-def forests(base: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def forests(base: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(id, n, near, forest) of the classes that may link: ``forest`` is the smallest row number that keys lead to, ``near`` the one that shares most keys.
 
     ``base`` has row numbers ``ref``, ``classes`` one for each class. A key that very many sets share is
@@ -70,14 +71,14 @@ def forests(base: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets link with none but equal ones
     rows = joined_small(base.where(F.col("n") >= least).select("ref", "n", "head"), classes.select("ref"), "ref", "left_semi").select("ref", "n", F.explode("head").alias("key"))
-    shared = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    shared = scratch.table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     met = rows.join(shared.hint("merge"), "key").groupBy("ref", "n").agg(F.collect_list(F.struct("df", "key")).alias("shared"))
     keys = met.where(F.size("shared") >= in_common(F.col("n"), percent)).withColumn("kept", (F.size("shared") - in_common(F.col("n"), percent) + 1).cast("int"))
-    keyed = checkpointed(keys.select("ref", "n", F.transform(F.slice(F.array_sort("shared"), F.lit(1), F.col("kept")), lambda x: x["key"]).alias("keys")))
+    keyed = scratch.table(keys.select("ref", "n", F.transform(F.slice(F.array_sort("shared"), F.lit(1), F.col("kept")), lambda x: x["key"]).alias("keys")))
     flat = keyed.select("ref", F.explode("keys").alias("key"))
-    hubs = checkpointed(flat.groupBy("key").agg(F.min("ref").alias("hub"), F.max("ref").alias("_last")).where("hub < _last").select("key", "hub"))
-    stars = checkpointed(flat.join(hubs.hint("merge"), "key").where("ref > hub").groupBy("ref", "hub").agg(F.count(F.lit(1)).alias("keys")))
-    found = connected_components(stars.select(F.col("ref").alias("a"), F.col("hub").alias("b")))
+    hubs = scratch.table(flat.groupBy("key").agg(F.min("ref").alias("hub"), F.max("ref").alias("_last")).where("hub < _last").select("key", "hub"))
+    stars = scratch.table(flat.join(hubs.hint("merge"), "key").where("ref > hub").groupBy("ref", "hub").agg(F.count(F.lit(1)).alias("keys")))
+    found = components(stars.select(F.col("ref").alias("a"), F.col("hub").alias("b")))
     nearest = stars.groupBy("ref").agg(F.max_by("hub", F.struct("keys", -F.col("hub"))).alias("near"))
     named = found.select(F.col("id").alias("ref"), F.col("label").alias("forest")).join(nearest, "ref", "left").join(classes.select("ref", "id", "n"), "ref")
     return named.select("id", "n", F.coalesce("near", "ref").alias("near"), "forest")
@@ -134,17 +135,17 @@ def _links(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent:
     return found, bits, over
 
 
-def _in_leaves(members: DataFrame, order: list[str]) -> DataFrame:
+def _in_leaves(members: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
     """Add ``tree`` (0 where a leaf holds the forest, else by doubling sizes) and ``leaf`` to members (id, n, forest, label)."""
     held = members.groupBy("forest").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_t"))
     whole = (F.col("_m") <= LEAF) & (F.col("_t") <= LEAF_SHINGLES)
-    dealt = members.join(checkpointed(held).hint("merge"), "forest").withColumn("tree", F.when(whole, 0).otherwise(F.length(F.bin("n")))).drop("_m", "_t")
+    dealt = members.join(scratch.table(held).hint("merge"), "forest").withColumn("tree", F.when(whole, 0).otherwise(F.length(F.bin("n")))).drop("_m", "_t")
     placed = with_places(dealt, ["forest", "tree"], order, "leaf")
     room = F.greatest(F.lit(1), F.least(F.lit(LEAF), F.floor(F.lit(LEAF_SHINGLES) / F.pow(F.lit(2), F.col("tree")))))
     return placed.withColumn("leaf", F.when(F.col("tree") == 0, 0).otherwise(F.floor(F.col("leaf") / room)).cast("long"))
 
 
-def _joined(documents: DataFrame, cells: DataFrame, words: int, percent: int) -> DataFrame:
+def _joined(documents: DataFrame, cells: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) found in each cell, and rows with its bitmap and ``beyond`` its bits (a, b null); ``cells``: id, label, cell."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +159,9 @@ def _joined(documents: DataFrame, cells: DataFrame, words: int, percent: int) ->
 
         return _by_cell(batches, block)
 
-    ids = checkpointed(cells)
+    ids = scratch.table(cells)
     texts = joined_small(documents.select(F.col("doc_id").alias("id"), "text").where(F.length("text") > 0), ids, "id").select("cell", "id", "label", "text")
-    return checkpointed(texts.repartition("cell").sortWithinPartitions("cell").mapInArrow(join, ", ".join(f"{c} long" for c in ("cell", "a", "b", "beyond", *_BITS))))
+    return scratch.table(texts.repartition("cell").sortWithinPartitions("cell").mapInArrow(join, ", ".join(f"{c} long" for c in ("cell", "a", "b", "beyond", *_BITS))))
 
 
 def _cell() -> Column:
@@ -176,7 +177,7 @@ def _overlapping(a: str, b: str, percent: int) -> Column:
     return ((100 + percent) * most >= percent * (x("lo") + y("lo"))) & (100 * x("hi") >= percent * y("lo")) & (100 * y("hi") >= percent * x("lo")) & apart
 
 
-def descended(leaves: DataFrame, percent: int) -> DataFrame:
+def descended(leaves: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (cell, other) of leaves, each with itself among them, that a descent from all pairs of roots of a forest leaves.
 
     ``leaves``: forest, tree, leaf, lo, hi (sizes), first, last (labels), beyond, bitmap. Nodes pass
@@ -185,7 +186,7 @@ def descended(leaves: DataFrame, percent: int) -> DataFrame:
     levels, most = [leaves.withColumn("node", F.col("leaf"))], leaves.agg(F.max("leaf")).head()[0] or 0
     while most > 0:
         up = levels[-1].withColumn("node", F.floor(F.col("node") / FAN)).groupBy("forest", "tree", "node")
-        levels.append(checkpointed(up.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("beyond").alias("beyond"), *[F.bit_or(c).alias(c) for c in _BITS])))
+        levels.append(scratch.table(up.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("beyond").alias("beyond"), *[F.bit_or(c).alias(c) for c in _BITS])))
         most //= FAN
     value = lambda side: F.struct("lo", "hi", "first", "last", "beyond", *_BITS).alias(side)
     side = lambda df, s, up: df.select("forest", F.col("tree").alias(f"t{s}"), F.col("node").alias(f"n{s}"), *([F.floor(F.col("node") / FAN).alias(f"u{s}")] if up else []), value(s))
@@ -194,15 +195,15 @@ def descended(leaves: DataFrame, percent: int) -> DataFrame:
     top = levels[-1]  # one node for each tree, and a forest has at most 64 of these
     pairs = side(top, "x", False).join(side(top, "y", False), "forest").where(ordered & near & _overlapping("x", "y", percent))
     for level in levels[-2::-1]:
-        pairs = checkpointed(pairs.select("forest", "tx", F.col("nx").alias("ux"), "ty", F.col("ny").alias("uy")))
+        pairs = scratch.table(pairs.select("forest", "tx", F.col("nx").alias("ux"), "ty", F.col("ny").alias("uy")))
         x = pairs.join(side(level, "x", True), ["forest", "tx", "ux"])
         pairs = x.join(side(level, "y", True), ["forest", "ty", "uy"]).where(ordered & _overlapping("x", "y", percent))
     return pairs.select(*[F.xxhash64("forest", f"t{s}", f"n{s}").alias(c) for s, c in (("x", "cell"), ("y", "other"))])
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    found = connected_components(links)
-    return checkpointed(members.drop("label").join(found, "id", "left").withColumn("label", F.coalesce("label", "id")))
+def _labelled(members: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    found = components(links)
+    return scratch.table(members.drop("label").join(found, "id", "left").withColumn("label", F.coalesce("label", "id")))
 
 
 def _of_leaves(members: DataFrame) -> DataFrame:
@@ -210,36 +211,36 @@ def _of_leaves(members: DataFrame) -> DataFrame:
     return members.groupBy("forest", "tree", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("first"), F.max("label").alias("last"))
 
 
-def _unsettled(members: DataFrame) -> DataFrame:
+def _unsettled(members: DataFrame, scratch: Scratch) -> DataFrame:
     """Members (id, n, label, forest) of forests with several labels, of which some leaf pairs have not met."""
-    wide = checkpointed(members.groupBy("forest").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max("tree").alias("_tree")).where("_lo <> _hi AND _tree > 0").select("forest"))
-    return checkpointed(joined_small(members.select("id", "n", "label", "forest"), wide, "forest", "left_semi"))
+    wide = scratch.table(members.groupBy("forest").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max("tree").alias("_tree")).where("_lo <> _hi AND _tree > 0").select("forest"))
+    return scratch.table(joined_small(members.select("id", "n", "label", "forest"), wide, "forest", "left_semi"))
 
 
-def links(documents: DataFrame, base: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+def links(documents: DataFrame, base: DataFrame, classes: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) between classes, enough to join all that link directly or by way of others."""
     edge = lambda df: df.where("a IS NOT NULL").select("a", "b")
-    all_members = checkpointed(forests(base, classes, percent)).withColumn("label", F.col("id"))
-    leaves = checkpointed(_in_leaves(all_members, ["near", "id"]))
-    found = edge(_joined(documents, leaves.select("id", "label", _cell().alias("cell")), words, percent))
-    members = _unsettled(_labelled(leaves, found))
+    all_members = scratch.table(forests(base, classes, percent, scratch)).withColumn("label", F.col("id"))
+    leaves = scratch.table(_in_leaves(all_members, ["near", "id"], scratch))
+    found = edge(_joined(documents, leaves.select("id", "label", _cell().alias("cell")), words, percent, scratch))
+    members = _unsettled(_labelled(leaves, found, scratch), scratch)
     if members.isEmpty():
         return found
 
     least = members.groupBy("forest", "label").agg(F.min_by(F.struct("id", "n"), "id").alias("_m")).select("_m.id", "_m.n", "label", "forest")
-    heads = _in_leaves(checkpointed(least), ["n", "id"])
-    found = checkpointed(found.union(edge(_joined(documents, heads.select("id", "label", _cell().alias("cell")), words, percent))))
-    members = _labelled(members, found)
-
-    leaves = checkpointed(_in_leaves(members, ["label", "id"]))
-    seen = _joined(documents, leaves.select("id", "label", _cell().alias("cell")), words, percent)
-    found = checkpointed(found.union(edge(seen)))
-    leaves = _labelled(leaves, found)
+    heads = _in_leaves(scratch.table(least), ["n", "id"], scratch)
+    found = scratch.table(found.union(edge(_joined(documents, heads.select("id", "label", _cell().alias("cell")), words, percent, scratch))))
+    members = _labelled(members, found, scratch)
+
+    leaves = scratch.table(_in_leaves(members, ["label", "id"], scratch))
+    seen = _joined(documents, leaves.select("id", "label", _cell().alias("cell")), words, percent, scratch)
+    found = scratch.table(found.union(edge(seen)))
+    leaves = _labelled(leaves, found, scratch)
     nodes = _of_leaves(leaves).withColumn("cell", _cell()).join(seen.where("a IS NULL").select("cell", "beyond", *_BITS), "cell").drop("cell")
-    pairs = checkpointed(descended(checkpointed(nodes), percent).where("cell <> other"))
+    pairs = scratch.table(descended(scratch.table(nodes), percent, scratch).where("cell <> other"))
     both = leaves.withColumn("_leaf", _cell()).select("id", "label", "_leaf")
     met = pairs.withColumn("_leaf", F.explode(F.array("cell", "other"))).withColumn("cell", F.xxhash64("cell", "other")).select("cell", "_leaf")
-    return found.union(edge(_joined(documents, both.join(met, "_leaf").select("id", "label", "cell"), words, percent)))
+    return found.union(edge(_joined(documents, both.join(met, "_leaf").select("id", "label", "cell"), words, percent, scratch)))
 
 
 def jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -250,17 +251,20 @@ def jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80) -> Dat
     A row without doc_id takes no part and has a null component. Very long texts count in
     whole, other columns are not read, an empty table gives an empty one.
     """
-    lean_batches(documents.sparkSession)
-    base = checkpointed(summarised(documents, words, percent).withColumn("ref", F.monotonically_increasing_id()))
-    known = base.where("n > 0 AND doc_id IS NOT NULL")
-    classes = checkpointed(known.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "ref")).alias("m")).select("k1", "k2", "n", F.col("m.doc_id").alias("id"), "m.ref"))
-    repeated = known.groupBy("doc_id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("doc_id")
-    same = joined_small(known.select("doc_id", "k1", "k2", "n"), checkpointed(repeated), "doc_id").join(classes, ["k1", "k2", "n"]).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    labels = connected_components(checkpointed(links(documents, base, classes, words, percent).union(same)))
-    named = checkpointed(classes.join(labels, "id", "left").select("k1", "k2", "n", F.coalesce("label", "id").alias("_component")))
-    out = base.select("doc_id", "n", "k1", "k2").join(named.hint("merge"), ["k1", "k2", "n"], "left")
-    component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    spark = documents.sparkSession
+    lean_batches(spark)
+    with Scratch(spark) as scratch:
+        base = scratch.table(summarised(documents, words, percent).withColumn("ref", F.monotonically_increasing_id()))
+        known = base.where("n > 0 AND doc_id IS NOT NULL")
+        classes = known.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "ref")).alias("m")).select("k1", "k2", "n", F.col("m.doc_id").alias("id"), "m.ref")
+        classes = scratch.table(classes)
+        repeated = known.groupBy("doc_id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("doc_id")
+        same = joined_small(known.select("doc_id", "k1", "k2", "n"), scratch.table(repeated), "doc_id").join(classes, ["k1", "k2", "n"]).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+        labels = components(links(documents, base, classes, words, percent, scratch).union(same))
+        named = scratch.table(classes.join(labels, "id", "left").select("k1", "k2", "n", F.coalesce("label", "id").alias("_component")))
+        out = base.select("doc_id", "n", "k1", "k2").join(named.hint("merge"), ["k1", "k2", "n"], "left")
+        component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
+        return checkpointed(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")))
 
 
 def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

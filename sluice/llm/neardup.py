@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import checkpointed, joined_small, lean_batches, release_memory, table
-from .components import connected_components
 from .fingerprint import shingle_hashes
 from .wordhash import mix, shingles
 
@@ -231,11 +231,11 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     near = near.withColumn("e", estimate("x", "y")).where((F.col("e") >= least) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
     best = near.groupBy("id").agg(F.max_by("hub", F.struct("e", "hub")).alias("hub"))
     links = checkpointed(confirmed(best.select(F.col("id").alias("a"), F.col("hub").alias("b")), sets, percent))
-    labels = connected_components(links)
+    labels = components(links)
 
     labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     more = checkpointed(_rest(buckets.select("bucket", "id").join(labelled, "id"), sets, least, percent))
-    labels = connected_components(links.union(more))
+    labels = components(links.union(more))
 
     named = classes.join(labels, "id", "left").select("k1", "k2", "n", F.coalesce("label", "id").alias("_component"))
     out = base.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
