@@ -2,7 +2,7 @@
 
 Each source's documents are shuffled by hash, laid end to end as words, round after round up
 to the source's rounded target, and this line is cut into blocks of equal words. The slots of
-the mix are golden-ratio points, mapped to sources through the cumulative numbers of blocks.
+the mix are van der Corput points, mapped to sources through the cumulative numbers of blocks.
 Slots are ranked within their source and the r-th slot is joined to the source's r-th block,
 so the mix has an order in which every stretch holds the sources near their shares. A document
 is taken for those of its words that lie in joined blocks.
@@ -19,7 +19,8 @@ from .common import WORD, checkpointed, fresh, table
 
 #: Most times that a word is taken, words of a block, rows of a hash range of documents, slots of a chunk.
 MOST, BLOCK, RANGE_ROWS, CHUNK = 3, 4096, 5_000, 1 << 16
-_GOLDEN = 0.6180339887498949
+#: Binary digits of a point; points and the ends of intervals are whole numbers of 2 ** -POINT_BITS.
+POINT_BITS = 62
 
 
 def words(text: str = "text") -> Column:
@@ -66,25 +67,28 @@ def ranked(rows: DataFrame, order: str, name: str, chunk: int = CHUNK) -> DataFr
     return out.withColumn(name, F.col("_start") + F.col("_i")).drop("_c", "_d", "_s", "_i", "_start")
 
 
+def point(slot: Column) -> Column:
+    """The van der Corput point of a slot: its binary digits in reverse, exact for all slots below 2 ** POINT_BITS."""
+    return F.conv(F.reverse(F.lpad(F.bin(slot), POINT_BITS, "0")), 2, 10).cast("bigint")
+
+
 def schedule(spark: SparkSession, plan: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(source, block, slot): the slot of every block of a plan (source, blocks), blocks from 0.
 
-    A source owns an interval of [0, 1) as long as its share of all blocks; points and intervals
-    meet in equal bins by an equi-join. There are twice as many points as blocks, so that an
-    interval of one block holds one (gaps between n golden-ratio points are below 1.9 / n); each
-    source uses its first ones. A block that finds no slot all the same has none here, and
-    ``pieces`` puts it after all others.
+    A source owns an interval of the points as long as its share of all blocks; points and
+    intervals meet in equal bins by an equi-join. There are twice as many points as blocks, n:
+    the first 2 ** m of them, more than n, lie at equal distances below 1 / n, so an interval of
+    k blocks holds k points or more, at any size. Each source uses its first ones.
     """
     plan = plan.where(F.col("blocks") > 0).select("source", "blocks")
     totals = plan.agg(F.sum("blocks").alias("n"), F.count(F.lit(1)).alias("sources")).head()
-    n, bins = totals["n"] or 0, max(4096, 4 * totals["sources"])
+    n, bits = totals["n"] or 0, max(12, (4 * totals["sources"]).bit_length())
     order = Window.orderBy(F.col("source").asc_nulls_last())  # over one row for each source
-    upto = F.sum("blocks").over(order)
-    spans = plan.select("source", "blocks", ((upto - F.col("blocks")) / F.lit(max(n, 1))).alias("lo"), (upto / F.lit(max(n, 1))).alias("hi"))
-    last = F.least(F.lit(bins - 1), F.floor(F.col("hi") * bins)).cast("bigint")
-    spans = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * bins), last)))
-    u = (F.col("id") + 0.5) * F.lit(_GOLDEN)
-    points = spark.range(2 * n).select(F.col("id").alias("slot"), (u - F.floor(u)).alias("u")).withColumn("bin", F.floor(F.col("u") * bins))
+    end = lambda blocks: F.expr(f"CAST(CAST({blocks} AS DECIMAL(18, 0)) * CAST({1 << POINT_BITS} AS DECIMAL(19, 0)) AS DECIMAL(38, 0)) DIV {max(n, 1)}")
+    spans = plan.withColumn("upto", F.sum("blocks").over(order)).select("source", "blocks", end("upto - blocks").alias("lo"), end("upto").alias("hi"))
+    at = lambda c: F.shiftright(c, POINT_BITS - bits)
+    spans = spans.withColumn("bin", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi") - 1))))
+    points = spark.range(2 * n).select(F.col("id").alias("slot"), point(F.col("id")).alias("u")).withColumn("bin", at(F.col("u")))
     met = points.join(spans, "bin").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     return ranked(met.select("source", "blocks", "slot"), "slot", "block", chunk).where(F.col("block") < F.col("blocks")).select("source", "block", "slot")
 

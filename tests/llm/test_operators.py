@@ -3,6 +3,7 @@
 import base64
 import hashlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -185,11 +186,12 @@ def test_mixing(odd, odd_rows, nothing):
     assert copies == +want and all(r[c] == "x" for r in mixing.mixed(odd.withColumns({c: F.lit("x") for c in ("taken", "slot", "row", "range", "hash", "n")})).collect() for c in ("taken", "slot", "row", "range", "hash", "n"))
 
 
-def golden(plan, points):
-    """The schedule by brute force: for each source (in order) the slots of its points."""
+def corput(plan, points):
+    """The schedule by brute force: for each source (in order) the slots of its points, as exact fractions."""
     total, lo, out = sum(plan.values()), 0, {}
+    point = [Fraction(int(f"{i:062b}"[::-1], 2), 2**62) for i in range(points)]
     for s, k in plan.items():
-        hits = [i for i in range(points) if lo / total <= (i + 0.5) * 0.6180339887498949 % 1.0 < (lo + k) / total]
+        hits = [i for i in range(points) if Fraction(lo, total) <= point[i] < Fraction(lo + k, total)]
         out[s], lo = hits[:k], lo + k
     return out
 
@@ -200,19 +202,30 @@ def test_schedule_against_brute_force(spark):
     got = defaultdict(dict)
     for r in mixing.schedule(spark, frame, chunk=64).collect():
         got[r.source][r.block] = r.slot
-    want = golden(plan, 2000)
+    want = corput(plan, 2000)
     assert {s: [got[s][i] for i in range(len(x))] for s, x in want.items()} == want and all(len(want[s]) == k for s, k in plan.items())
     first = sorted((slot, s) for s, x in want.items() for slot in x)[:500]  # every stretch is near the shares
     assert abs(sum(s == "a" for _, s in first) - 350) <= 5 and abs(sum(s == "c" for _, s in first) - 125) <= 5
 
 
+def test_points_of_far_slots_are_exact(spark):
+    """Beyond 2 ** 33 slots too, points are all different and no interval of one block in 2 ** 27 goes without one."""
+    far = [2**33 + 5, 2**40 - 1, 2**61 + 12345, 0, 1]
+    got = spark.createDataFrame([(i,) for i in far], "i long").select(mixing.point(F.col("i")).alias("p")).collect()
+    assert [r.p for r in got] == [int(f"{i:062b}"[::-1], 2) for i in far]
+    n = 2**27  # blocks; of points, those in a few intervals of one block each
+    lo = [k * 6_700_417 % n * 2**62 // n for k in range(20)]
+    slots = [int(f"{-(-x // 2**34):028b}"[::-1], 2) for x in lo]  # of the first point of 2 * n in each interval
+    assert all(s < 2 * n and x <= int(f"{s:062b}"[::-1], 2) < x + 2**62 // n for s, x in zip(slots, lo, strict=True))
+
+
 def test_mixing_joins_blocks_to_slots(spark, sf_dir):
     """Pieces of every block add up to its words and share the slot of the brute-force schedule."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     laid = mixing.laid_out(docs, F.struct("doc_id"), block=256, range_rows=30, chunk=64)
     takes = {r.source: r["take"] for r in laid.rows.select("source", "take").distinct().collect()}
     plan = {s: -(-takes[s] // 256) for s in sorted(takes)}
-    want, sums, slots = golden(plan, 2 * sum(plan.values())), defaultdict(int), {}
+    want, sums, slots = corput(plan, 2 * sum(plan.values())), defaultdict(int), {}
     for r in laid.pieces.collect():
         sums[r.source, r.block] += r.words
         assert slots.setdefault((r.source, r.block), r["slot"]) == r["slot"]
