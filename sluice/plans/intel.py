@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import clusters
 from ..operators import intel as I
 from ..operators.vocabulary import Profile, Topic, Vocabulary
 from ..sources.frames import table
@@ -301,13 +302,13 @@ def intel_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def intel_greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy clusters of each topic and collection slot (order-dependent, so without SQL)."""
     rows = ranked(spark, sf_dir).withColumns({"slot": F.floor(F.col("captured_at") / 7200), "seed": F.col("topic_quality_score") + I.source_weight() + F.sqrt("signal_hot"), "tokens": T.event_tokens(F.col("text"), VOCABULARY.stopwords), "terms": F.col("identity_terms"), "key": F.col("identity_key"), "kind": F.col("topic_event_type")})
-    return I.greedy_clusters(rows, ["topic", "slot"])
+    return clusters.greedy_clusters(rows, ["topic", "slot"])
 
 
 def intel_fuzzy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries with signatures made of identity terms (order-dependent, so without SQL)."""
     rows = checkpointed(identified(spark, sf_dir).select("topic", "pos", "identity_key", "identity_terms")).where(F.size("identity_terms") > 2)
-    return I.fuzzy_merge(rows.select("topic", F.col("identity_key").alias("event_key"), "pos", F.array_sort("identity_terms").alias("signature")))
+    return clusters.fuzzy_merge(rows.select("topic", F.col("identity_key").alias("event_key"), "pos", F.array_sort("identity_terms").alias("signature")))
 
 
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sluice.functions import text as T
 from sluice.functions import values as V
+from sluice.operators import clusters
 from sluice.operators import digest as D
-from sluice.operators import intel as I
 from sluice.operators import market as M
 from sluice.sources import readers
 
@@ -81,16 +81,17 @@ def items_for_clusters(n, seed):
     return [(i, "g", float(rng.randint(0, 9)), rng.sample(words, rng.randint(0, 7)), rng.sample(words[:8], rng.randint(0, 4)), rng.choice(["", "k1", "k2", "k3", f"u{i}"]), rng.choice(["", "p", "q"])) for i in range(n)]
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_greedy_clusters_by_the_rule(spark, seed):
-    rows = items_for_clusters(120, seed)
-    clusters, want = [], {}
+@pytest.mark.parametrize(("seed", "n", "task_rows"), [(0, 120, 1000), (1, 120, 1000), (2, 45, 0), (3, 60, 0)])
+def test_greedy_clusters_by_the_rule(spark, seed, n, task_rows):
+    """In one task and, for groups above ``task_rows``, in rounds."""
+    rows = items_for_clusters(n, seed)
+    known, want = [], {}
     for pos, _, _, tokens, terms, key, kind in sorted(rows, key=lambda r: (-r[2], r[0])):
         scored = []  # (place, likeness, kindred), all clusters compared
-        home = next((i for i, c in enumerate(clusters) if key and key in c["keys"]), None)
+        home = next((i for i, c in enumerate(known) if key and key in c["keys"]), None)
         if home is None:
             best, top = None, 0.0
-            for i, c in enumerate(clusters):
+            for i, c in enumerate(known):
                 union = set(tokens) | c["tokens"]
                 like = len(set(tokens) & c["tokens"]) / len(union) if union and tokens and c["tokens"] else 0.0
                 if kind and kind in c["kinds"] and len(set(terms) & c["terms"]) >= 2:
@@ -98,20 +99,20 @@ def test_greedy_clusters_by_the_rule(spark, seed):
                 if like > top:
                     best, top = i, like
                 scored.append(like)
-            if best is not None and (top >= 0.32 or len(set(tokens) & clusters[best]["tokens"]) >= 3 or len(set(terms) & clusters[best]["terms"]) >= 2):
+            if best is not None and (top >= 0.32 or len(set(tokens) & known[best]["tokens"]) >= 3 or len(set(terms) & known[best]["terms"]) >= 2):
                 home = best
         if home is None:
-            home = len(clusters)
-            clusters.append({"tokens": set(), "terms": set(), "keys": set(), "kinds": set()})
+            home = len(known)
+            known.append({"tokens": set(), "terms": set(), "keys": set(), "kinds": set()})
         for name, values in (("tokens", tokens), ("terms", terms), ("keys", [key] if key else []), ("kinds", [kind] if kind else [])):
-            clusters[home][name] |= set(values)
+            known[home][name] |= set(values)
         want[pos] = home + 1
     frame = spark.createDataFrame(rows, "pos long, g string, seed double, tokens array<string>, terms array<string>, key string, kind string")
-    assert {r.pos: r.cluster for r in I.greedy_clusters(frame, ["g"]).collect()} == want
+    assert {r.pos: r.cluster for r in clusters.greedy_clusters(frame, ["g"], task_rows=task_rows).collect()} == want
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_fuzzy_merge_by_the_rule(spark, seed):
+@pytest.mark.parametrize(("seed", "task_rows"), [(0, 1000), (1, 1000), (2, 5)])
+def test_fuzzy_merge_by_the_rule(spark, seed, task_rows):
     rng = random.Random(seed)
     rows = [(rng.choice("ab"), rng.choice([f"e{i // 2}", f"e{rng.randint(0, 30)}"]), i, [rng.choice(["h1", "h2"]), *rng.sample([f"t{j}" for j in range(9)], rng.randint(0, 5))][: rng.randint(0, 9)]) for i in range(80)]
     kept, want = [], {}
@@ -127,10 +128,19 @@ def test_fuzzy_merge_by_the_rule(spark, seed):
         else:
             kept.append({"topic": topic, "key": key, "tokens": list(signature)})
             want[pos] = key
-    got = I.fuzzy_merge(spark.createDataFrame(rows, "topic string, event_key string, pos long, signature array<string>"))
+    got = clusters.fuzzy_merge(spark.createDataFrame(rows, "topic string, event_key string, pos long, signature array<string>"), task_rows)
     assert {r.pos: r.merged_key for r in got.collect()} == want
 
 
+def test_a_chain_of_entries_is_one_group(spark):
+    """Each entry shares one token with the next, in an order of its own."""
+    n = 500
+    at = [(i * 373 + 11) % n for i in range(n)]
+    rows = [("t", f"e{i}", at[i], ["h", f"s{i}", f"s{i + 1}"]) for i in range(n)]
+    got = clusters.kindred(spark.createDataFrame(rows, "topic string, event_key string, pos long, signature array<string>")).collect()
+    assert len(got) == n and {r._group for r in got} == {0}
+
+
 def test_chunks_by_the_rule(spark, sf_dir):
     """Cuts at the last line end past the middle, or at the limit; line ends at the cut go."""
     rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()} | {-1: "", -2: "x" * 2500, -3: ("y" * 700 + "\n") * 5, -4: "a\n\n\n" + "b" * 999 + "\n\n" + "c" * 1200}

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from sluice.operators import clusters
 from sluice.operators import intel as I
 from sluice.operators import market as M
 from sluice.operators import ops as O
@@ -89,13 +90,13 @@ def test_greedy_sampler(spark):
 def test_clusters_and_merges(spark):
     rows = [("t", 1, 9.0, ["a", "b", "c"], ["x"], "k1", ""), ("t", 2, 8.0, ["a", "b", "d"], [], "", ""), ("t", 3, 7.0, ["q", "r"], ["e1", "e2"], "", "launch"), ("t", 4, 6.0, ["z"], ["e1", "e2", "e3"], "", "launch"), ("t", 5, 5.0, ["m"], [], "k1", ""), ("t", 6, 4.0, ["n"], [], "", "")]
     frame = spark.createDataFrame(rows, "topic string, pos long, seed double, tokens array<string>, terms array<string>, key string, kind string")
-    got = {r.pos: r.cluster for r in I.greedy_clusters(frame, ["topic"]).collect()}
+    got = {r.pos: r.cluster for r in clusters.greedy_clusters(frame, ["topic"]).collect()}
     assert got[1] == got[2] == got[5] and got[3] == got[4] and len({got[1], got[3], got[6]}) == 3
     e = spark.createDataFrame([("t", "k1", 1, ["a", "b", "c", "d", "e"]), ("t", "k2", 2, ["a", "b", "c", "d", "e", "f"]), ("t", "k3", 3, ["a", "b", "c", "d", "z"]), ("t", "k1", 4, ["a", "q"])], "topic string, event_key string, pos long, signature array<string>")
-    merged = {r.pos: r.merged_key for r in I.fuzzy_merge(e).collect()}
+    merged = {r.pos: r.merged_key for r in clusters.fuzzy_merge(e).collect()}
     assert merged == {1: "k1", 2: "k1", 3: "k3", 4: "k1"}
     pair = spark.createDataFrame([(["a", "b", "c", "d", "e"], ["a", "b", "c", "d", "z"], False), (["a", "b", "c"], ["a", "b", "c", "d"], True), (["a", "b", "c", "d", "e"], ["a", "b", "c", "d", "e", "f"], True), (["b", "a"], ["a", "b"], False)], "a array<string>, b array<string>, w boolean")
-    assert all(r.g == r.w for r in pair.select("w", I.mergeable(F.col("a"), F.col("b")).alias("g")).collect())
+    assert all(r.g == r.w for r in pair.select("w", clusters.mergeable(F.col("a"), F.col("b")).alias("g")).collect())
 
 
 def test_text(spark):
