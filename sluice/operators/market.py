@@ -1,9 +1,8 @@
 """Flow metrics of rolling windows, their states, judgements and overviews.
 
 Windows end at the instants of an evaluation grid and look back ``w`` seconds, both ends
-included. A row is dealt to the grid instants whose windows hold it, as Spark's sliding
-windows do, so a window is one group of (symbol, w, t) and a busy symbol spreads over as
-many groups as it has windows.
+included. Sums, extremes and counts of values are merged from panes in two levels (``panes``);
+only medians deal each row to the grid instants whose windows hold it. A null symbol is a symbol.
 """
 
 from __future__ import annotations
@@ -15,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..config import MarketSettings, Thresholds
 from ..functions.numeric import INF, bucket_step, bucket_text, bucketed, clamp, ratio, window_text
+from ..sources.shared import checkpointed
+from .panes import window_parts, with_panes
+from .places import joined_narrow
 
 KEY = ["symbol", "w", "t"]
 #: Sequence numbers and seconds of a stretch of a symbol's history, the unit of work of walks along it.
@@ -36,6 +38,15 @@ def dealt(rows: DataFrame, windows: tuple[int, ...], step: int) -> DataFrame:
     return lengths.withColumn("t", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"), F.lit(step).cast("bigint"))))
 
 
+def _met(rows: DataFrame, ends: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Rows with what their stretch or window carries; null keys meet null keys, so a null symbol or order loses no row."""
+    ends = ends.select(*[F.col(c).alias(f"_{c}_") for c in by], *[c for c in ends.columns if c not in by])
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}_"))
+    return rows.join(ends, on, how).drop(*[f"_{c}_" for c in by])
+
+
 def previous(rows: DataFrame, by: list[str], part: Column, order: str, columns: list[str]) -> DataFrame:
     """Add ``_prev``, a struct of ``columns`` of the row before each row in (by, order), null for the first.
 
@@ -47,7 +58,7 @@ def previous(rows: DataFrame, by: list[str], part: Column, order: str, columns:
     ends = dealt_rows.groupBy(*by, "_part").agg(F.max_by(value, F.col(order)).alias("_end"))
     before = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(*by).orderBy("_part")))
     inside = F.lag(value).over(Window.partitionBy(*by, "_part").orderBy(order))
-    return dealt_rows.join(before, [*by, "_part"]).withColumn("_prev", F.coalesce(inside, "_end")).drop("_part", "_end")
+    return _met(dealt_rows, before, [*by, "_part"]).withColumn("_prev", F.coalesce(inside, "_end")).drop("_part", "_end")
 
 
 def carried(rows: DataFrame, by: list[str], part: Column, order: str, value: str, name: str) -> DataFrame:
@@ -57,7 +68,7 @@ def carried(rows: DataFrame, by: list[str], part: Column, order: str, value: str
     ends = dealt_rows.groupBy(*by, "_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_end"))
     before = ends.withColumn("_end", F.last("_end", True).over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     inside = F.last(value, True).over(Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(*everything))
-    return dealt_rows.join(before, [*by, "_part"]).withColumn(name, F.coalesce(inside, "_end")).drop("_part", "_end")
+    return _met(dealt_rows, before, [*by, "_part"]).withColumn(name, F.coalesce(inside, "_end")).drop("_part", "_end")
 
 
 def stretch(column: str, size: int) -> Column:
@@ -71,15 +82,31 @@ def baseline(candles: DataFrame, rows: int) -> DataFrame:
     return kept.groupBy("symbol").agg(F.median("quote_volume").alias("median_volume"), F.avg("quote_volume").alias("mean_volume"), F.median("trade_count").alias("median_trades"), F.count(F.lit(1)).alias("samples"))
 
 
+_FLOW = {"count": F.sum, "total": F.sum, "buy": F.sum, "turns": F.sum, "gaps": F.sum, "squares": F.sum, "first": F.min, "last": F.max}
+
+
 def flow(trades: DataFrame, windows: tuple[int, ...], step: int) -> DataFrame:
-    """Counts, sums, balance, switches, gaps and prices of each window."""
-    arrival = Window.partitionBy(*KEY).orderBy("seq")
-    rows = dealt(trades.select("symbol", "seq", "ts", "side", "price", "quote_qty"), windows, step)
-    rows = rows.withColumns({"_switch": (F.col("side") != F.lag("side").over(arrival)).cast("int"), "_gap": F.col("ts") - F.lag("ts").over(arrival)})
-    out = rows.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("trade_count"), F.sum("quote_qty").alias("total_quote"), F.sum(F.when(F.col("side") == "BUY", F.col("quote_qty")).otherwise(0.0)).alias("buy_quote"),
-        F.coalesce(F.sum("_switch"), F.lit(0)).alias("switches"), F.avg("_gap").alias("_mean"), F.stddev_pop("_gap").alias("_sd"),
-        F.min_by("price", "seq").alias("first_price"), F.max_by("price", "seq").alias("last_price"),
+    """Counts, sums, balance, switches, gaps and prices of each window, merged from panes.
+
+    Each trade meets the one before it in its symbol's history (by seq) once; a window leaves out
+    what its own first trade has to do with the one before. So trades arrive in order of ts;
+    should one be late, it counts in the pane of its ts, and its switch and gap there too.
+    """
+    rows = previous(trades.select("symbol", "seq", "ts", "side", "price", "quote_qty"), ["symbol"], stretch("seq", SEQ_STRETCH), "seq", ["side", "ts"])
+    turn, gap = F.coalesce((F.col("side") != F.col("_prev.side")).cast("int"), F.lit(0)), F.coalesce(F.col("ts") - F.col("_prev.ts"), F.lit(0.0))
+    rows = with_panes(rows.withColumns({"_turn": turn, "_gap": gap}), windows, step)
+    panes = rows.groupBy("symbol", "pane", "edge").agg(
+        F.count(F.lit(1)).alias("count"), F.sum("quote_qty").alias("total"), F.sum(F.when(F.col("side") == "BUY", F.col("quote_qty")).otherwise(0.0)).alias("buy"), F.sum("_turn").alias("turns"),
+        F.sum("_gap").alias("gaps"), F.sum(F.col("_gap") * F.col("_gap")).alias("squares"), F.min(F.struct("seq", "price", "_turn", "_gap")).alias("first"), F.max(F.struct("seq", "price")).alias("last"),
+    )
+    merge = [f(name).alias(name) for name, f in _FLOW.items()]
+    out = window_parts(panes, ["symbol"], merge, windows, step).groupBy(*KEY).agg(*merge)
+    between = F.greatest(F.col("count") - 1, F.lit(1))
+    mean = (F.col("gaps") - F.col("first._gap")) / between
+    spread = (F.col("squares") - F.col("first._gap") * F.col("first._gap")) / between - mean * mean
+    out = out.withColumns({"_mean": mean, "_sd": F.sqrt(F.greatest(spread, F.lit(0.0)))}).select(
+        *KEY, F.col("count").alias("trade_count"), F.col("total").alias("total_quote"), F.col("buy").alias("buy_quote"), (F.col("turns") - F.col("first._turn")).alias("switches"), "_mean", "_sd",
+        F.col("first.price").alias("first_price"), F.col("last.price").alias("last_price"),
     )
     sell = F.col("total_quote") - F.col("buy_quote")
     high = F.greatest(F.col("buy_quote"), F.col("sell_quote"))
@@ -89,9 +116,18 @@ def flow(trades: DataFrame, windows: tuple[int, ...], step: int) -> DataFrame:
     return out.withColumn("interval_cv", cv).drop("_mean", "_sd")
 
 
-def concentration(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """The share of the most frequent value and of the five most frequent, and that value; ties to the first seen."""
-    counted = rows.groupBy(*KEY, value).agg(F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_first"))
+def _value_counts(rows: DataFrame, by: list[str], windows: tuple[int, ...], step: int) -> DataFrame:
+    """How often each value of ``by`` occurs in each window, and its first seq, from counts of panes; ``rows`` has panes."""
+    panes = rows.groupBy(*by, "pane", "edge").agg(F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_first"))
+    return window_parts(panes, by, [F.sum("_n").alias("_n"), F.min("_first").alias("_first")], windows, step)
+
+
+def concentration(counted: DataFrame, value: str, name: str) -> DataFrame:
+    """The share of the most frequent value and of the five most frequent, and that value; ties to the first seen.
+
+    ``counted``: the windows' KEY, value, and parts of its count ``_n`` and first seq ``_first``.
+    """
+    counted = counted.groupBy(*KEY, value).agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
     place = Window.partitionBy(*KEY).orderBy(F.desc("_n"), "_first")
     ranked = counted.withColumn("_all", F.sum("_n").over(Window.partitionBy(*KEY))).withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= 5)
     return ranked.groupBy(*KEY).agg(
@@ -99,11 +135,25 @@ def concentration(rows: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def concentrations(trades: DataFrame, windows: tuple[int, ...], step: int) -> DataFrame:
-    """Repeats of exact size texts and of notional buckets, whose width follows the window's mean."""
-    rows = dealt(trades.select("symbol", "seq", "ts", "qty_text", "quote_qty"), windows, step)
-    rows = rows.withColumn("_step", bucket_step(F.avg("quote_qty").over(Window.partitionBy(*KEY))))
-    rows = rows.withColumn("notional", bucketed(F.col("quote_qty"), F.col("_step"))).withColumn("notional_text", bucket_text(F.col("notional"), F.col("_step")))
-    return concentration(rows, "qty_text", "size").join(concentration(rows, "notional_text", "notional"), KEY)
+    """Repeats of exact size texts and of notional buckets, whose width follows the window's mean.
+
+    A symbol's windows have few widths, so a trade is counted in its bucket of each of these, and a
+    window reads the counts of its own width.
+    """
+    rows = with_panes(trades.select("symbol", "seq", "ts", "qty_text", "quote_qty"), windows, step)
+    sizes = concentration(_value_counts(rows, ["symbol", "qty_text"], windows, step), "qty_text", "size")
+    sums = rows.groupBy("symbol", "pane", "edge").agg(F.sum("quote_qty").alias("total"), F.count("quote_qty").alias("count"))
+    merge = [F.sum(c).alias(c) for c in ("total", "count")]
+    means = window_parts(sums, ["symbol"], merge, windows, step).groupBy(*KEY).agg(*merge)
+    steps = checkpointed(means.select(*KEY, bucket_step(F.col("total") / F.col("count")).alias("_step")))
+    widths = checkpointed(steps.select("symbol", "_step").distinct())
+    valued = joined_narrow(rows.drop("qty_text"), widths, ["symbol"])
+    valued = valued.withColumn("notional_text", bucket_text(bucketed(F.col("quote_qty"), F.col("_step")), F.col("_step")))
+    counted = _value_counts(valued, ["symbol", "_step", "notional_text"], windows, step)
+    own = joined_narrow(counted, steps.withColumn("_own", F.lit(True)), [*KEY, "_step"]).drop("_own")
+    notionals = concentration(own, "notional_text", "notional")
+    met = [sizes[c].eqNullSafe(notionals[c]) for c in KEY]
+    return sizes.join(notionals, met[0] & met[1] & met[2], "left").drop(*[notionals[c] for c in KEY])
 
 
 def book_flags(book: DataFrame, refill_quote: float) -> DataFrame:
@@ -137,7 +187,8 @@ def latest(samples: DataFrame, instants: DataFrame, step: int) -> DataFrame:
     """
     cell = (F.ceil(F.col("ts") / step) * step).cast("bigint")
     last = samples.groupBy("symbol", cell.alias("t")).agg(F.max_by(F.struct("depth", "slippage", "mid"), F.struct("ts", "seq")).alias("_s"))
-    line = last.join(instants.withColumn("_wanted", F.lit(True)), ["symbol", "t"], "full")
+    both = last.withColumn("_wanted", F.lit(False)).unionByName(instants.select("symbol", "t", F.lit(True).alias("_wanted")), True)
+    line = both.groupBy("symbol", "t").agg(F.max("_s").alias("_s"), F.bool_or("_wanted").alias("_wanted"))
     out = carried(line, ["symbol"], stretch("t", max(TIME_STRETCH, 1024 * step)), "t", "_s", "_last")
     return out.where("_wanted").select("symbol", "t", "_last.depth", "_last.slippage", "_last.mid")
 
@@ -146,11 +197,13 @@ def window_metrics(trades: DataFrame, book: DataFrame, candles: DataFrame, grid:
     """All metrics, score and state of every symbol, window length and instant of the grid."""
     lengths = grid.withColumn("w", F.explode(F.array(*[F.lit(w) for w in settings.windows])))
     flagged = book_flags(book, settings.refill_quote)
-    out = lengths.join(flow(trades, settings.windows, step), KEY, "left").join(concentrations(trades, settings.windows, step), KEY, "left").join(book_windows(flagged, settings.windows, step), KEY, "left")
-    out = out.join(latest(book_samples(book), grid, step), ["symbol", "t"], "left")
+    out = lengths
+    for part in (flow(trades, settings.windows, step), concentrations(trades, settings.windows, step), book_windows(flagged, settings.windows, step)):
+        out = _met(out, part, KEY, "left")
+    out = _met(out, latest(book_samples(book), grid, step), ["symbol", "t"], "left")
     base = baseline(candles, settings.baseline_rows)
     began = trades.groupBy("symbol").agg(F.min("ts").alias("_began"))
-    out = out.join(base, "symbol", "left").join(began, "symbol", "left")
+    out = _met(_met(out, base, ["symbol"], "left"), began, ["symbol"], "left")
     zero = {c: 0 for c in ("trade_count", "switches", "mids")} | {c: 0.0 for c in ("total_quote", "buy_quote", "sell_quote", "balance", "switch_rate", "churn_per_second", "refill_per_minute", "twap_depth", "twap_slippage", "top_size_rate", "top5_size_rate", "top_notional_rate", "top5_notional_rate", "depth", "slippage")}
     out = out.fillna(zero | {"interval_cv": 1.0, "top_size": "-", "top_notional": "-"})
     scale = F.col("w") / settings.baseline_seconds
@@ -322,7 +375,7 @@ def sequence_flags(diffs: DataFrame) -> DataFrame:
     earlier = (Window.unboundedPreceding, -1)
     before = ends.withColumn("_end", F.max("_end").over(Window.partitionBy("symbol").orderBy("_part").rowsBetween(*earlier)))
     inside = F.max("final_id").over(Window.partitionBy("symbol", "_part").orderBy("seq").rowsBetween(*earlier))
-    rows = rows.join(before, ["symbol", "_part"]).withColumn("_last", F.greatest(inside, "_end"))
+    rows = _met(rows, before, ["symbol", "_part"]).withColumn("_last", F.greatest(inside, "_end"))
     flags = {"stale": F.coalesce(F.col("final_id") <= F.col("_last"), F.lit(False)), "gap": F.coalesce(F.col("first_id") > F.col("_last") + 1, F.lit(False))}
     return rows.withColumns(flags).drop("_part", "_end", "_last")
 
