@@ -193,14 +193,24 @@ def latest(samples: DataFrame, instants: DataFrame, step: int) -> DataFrame:
     return out.where("_wanted").select("symbol", "t", "_last.depth", "_last.slippage", "_last.mid")
 
 
-def window_metrics(trades: DataFrame, book: DataFrame, candles: DataFrame, grid: DataFrame, step: int, settings: MarketSettings) -> DataFrame:
-    """All metrics, score and state of every symbol, window length and instant of the grid."""
+def window_metrics(trades: DataFrame, book: DataFrame, candles: DataFrame, grid: DataFrame, step: int, settings: MarketSettings, updates: DataFrame | None = None) -> DataFrame:
+    """All metrics, score and state of every symbol, window length and instant of the grid.
+
+    With ``updates`` of the whole book (as for ``book_versions``) depth and slippage are the book's own: at
+    each instant, and as medians over samples; without, those of the best prices stand in.
+    """
     lengths = grid.withColumn("w", F.explode(F.array(*[F.lit(w) for w in settings.windows])))
     flagged = book_flags(book, settings.refill_quote)
     out = lengths
     for part in (flow(trades, settings.windows, step), concentrations(trades, settings.windows, step), book_windows(flagged, settings.windows, step)):
         out = _met(out, part, KEY, "left")
     out = _met(out, latest(book_samples(book), grid, step), ["symbol", "t"], "left")
+    if updates is not None:
+        worse = F.greatest(F.coalesce("slippage_buy", F.lit(0.0)), F.coalesce("slippage_sell", F.lit(0.0)))
+        now = book_insight(books_at(book_versions(updates), grid), settings.depth_band, settings.sweep_quote).select("symbol", F.col("t").cast("bigint").alias("t"), F.col("depth_min").alias("depth"), worse.alias("slippage"))
+        sampled_windows = insight_windows(insight_samples(updates, settings), settings.windows, step).drop("depth_samples")
+        out = _met(out.drop("depth", "slippage", "twap_depth", "twap_slippage"), sampled_windows, KEY, "left")
+        out = _met(out, now, ["symbol", "t"], "left")
     base = baseline(candles, settings.baseline_rows)
     began = trades.groupBy("symbol").agg(F.min("ts").alias("_began"))
     out = _met(_met(out, base, ["symbol"], "left"), began, ["symbol"], "left")
@@ -393,12 +403,81 @@ def book_depth(levels: DataFrame, band: float) -> DataFrame:
 
 
 def sweep_slippage(levels: DataFrame, target: float) -> DataFrame:
-    """Slippage of taking ``target`` quote from each side of the book, null if the side is too thin."""
-    best = levels.groupBy("symbol").agg(F.max(F.when(F.col("side") == "bid", F.col("price"))).alias("_b"), F.min(F.when(F.col("side") == "ask", F.col("price"))).alias("_a")).withColumn("mid", (F.col("_b") + F.col("_a")) / 2)
+    """Slippage, against the best price of the side, of taking ``target`` quote from each side of the book; null if the side is too thin."""
+    best = levels.groupBy("symbol").agg(F.max(F.when(F.col("side") == "bid", F.col("price"))).alias("_b"), F.min(F.when(F.col("side") == "ask", F.col("price"))).alias("_a"))
     from_best = Window.partitionBy("symbol", "side").orderBy(F.when(F.col("side") == "ask", F.col("price")).otherwise(-F.col("price"))).rowsBetween(Window.unboundedPreceding, -1)
     rows = levels.withColumn("_quote", F.col("price") * F.col("qty")).withColumn("_before", F.coalesce(F.sum("_quote").over(from_best), F.lit(0.0)))
     rows = rows.withColumn("_take", F.least(F.col("_quote"), F.greatest(F.lit(target) - F.col("_before"), F.lit(0.0))))
     swept = rows.groupBy("symbol", "side").agg(F.sum("_take").alias("_q"), F.sum(F.col("_take") / F.col("price")).alias("_base")).join(best, "symbol")
     mean = F.col("_q") / F.when(F.col("_base") > 0, F.col("_base"))
-    slip = F.when(F.col("side") == "ask", mean / F.col("mid") - 1).otherwise(1 - mean / F.col("mid"))
+    slip = F.when(F.col("side") == "ask", mean / F.col("_a") - 1).otherwise(1 - mean / F.col("_b"))
     return swept.select("symbol", "side", F.when(F.col("_q") >= target - 1e-9, F.greatest(slip, F.lit(0.0))).alias("slippage"))
+
+
+def book_versions(updates: DataFrame) -> DataFrame:
+    """Price levels with the time that each held (symbol, side, price, qty, since, until), from updates (symbol, seq, ts, side, price, qty).
+
+    A level holds from its update to the next one of its price (by seq), the last one for ever
+    (``until`` is infinite); quantity 0 is no level. Updates arrive in order of ts.
+    """
+    by = ["symbol", "side", "price"]
+    rows = previous(updates.select(*by, "seq", "ts", "qty"), by, stretch("seq", SEQ_STRETCH), "seq", ["ts", "qty"])
+    closed = rows.where(F.col("_prev").isNotNull()).select(*by, F.col("_prev.qty").alias("qty"), F.col("_prev.ts").alias("since"), F.col("ts").alias("until"))
+    last = updates.groupBy(*by).agg(F.max_by(F.struct("qty", "ts"), "seq").alias("_l")).select(*by, "_l.qty", F.col("_l.ts").alias("since"), F.lit(INF).alias("until"))
+    return closed.union(last).where("qty <> 0 AND since < until")
+
+
+def books_at(versions: DataFrame, instants: DataFrame, bin_seconds: int = 3600) -> DataFrame:
+    """The levels (symbol, t, side, price, qty) of the whole book at each instant (symbol, t), all updates up to t applied.
+
+    An as-of join of intervals: versions and instants meet by bins of time, of which a version
+    covers those up to its symbol's last instant, then by their ends.
+    """
+    asked = instants.select("symbol", F.col("t").cast("double").alias("t")).withColumn("_bin", F.floor(F.col("t") / bin_seconds))
+    spans = checkpointed(asked.groupBy("symbol").agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi")))
+    first, last = F.greatest(F.floor(F.col("since") / bin_seconds), F.col("_lo")), F.least(F.floor(F.least(F.col("until"), F.lit(1e15)) / bin_seconds), F.col("_hi"))
+    dealt_versions = joined_narrow(versions, spans, ["symbol"]).where(first <= last).withColumn("_bin", F.explode(F.sequence(first, last))).drop("_lo", "_hi")
+    met = _met(dealt_versions, asked, ["symbol", "_bin"]).where("since <= t AND t < until")
+    return met.select("symbol", "t", "side", "price", "qty")
+
+
+def book_insight(levels: DataFrame, band: float, target: float) -> DataFrame:
+    """Of each two-sided book (symbol, t): best prices, notional within the band on each side, levels, and what a sweep of ``target`` slips.
+
+    ``levels`` as from ``books_at``. A buy slips from the best ask, a sale from the best bid; null if
+    the side is too thin. A book is one group: it is as large as the market keeps it.
+    """
+    book, value = Window.partitionBy("symbol", "t"), F.col("price") * F.col("qty")
+    bid = F.col("side") == "bid"
+    rows = levels.withColumns({"_bid": F.max(F.when(bid, F.col("price"))).over(book), "_ask": F.min(F.when(~bid, F.col("price"))).over(book)}).where("_bid > 0 AND _ask > 0")
+    mid = (F.col("_bid") + F.col("_ask")) / 2
+    near = F.when(bid, F.col("price") >= mid * (1 - band)).otherwise(F.col("price") <= mid * (1 + band))
+    ahead = F.coalesce(F.sum(value).over(Window.partitionBy("symbol", "t", "side").orderBy(F.when(bid, -F.col("price")).otherwise(F.col("price"))).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = rows.withColumns({"_near": F.when(near, value).otherwise(0.0), "_take": F.least(value, F.greatest(F.lit(target) - ahead, F.lit(0.0)))})
+    of = lambda side, x: F.sum(F.when(side, x).otherwise(0.0))
+    out = rows.groupBy("symbol", "t").agg(
+        F.max("_bid").alias("best_bid"), F.max("_ask").alias("best_ask"), of(bid, F.col("_near")).alias("bid_depth"), of(~bid, F.col("_near")).alias("ask_depth"), F.count_if(bid).alias("bid_levels"), F.count_if(~bid).alias("ask_levels"),
+        of(bid, F.col("_take")).alias("_sold"), of(bid, F.col("_take") / F.col("price")).alias("_sold_base"), of(~bid, F.col("_take")).alias("_spent"), of(~bid, F.col("_take") / F.col("price")).alias("_bought"),
+    )
+    full = lambda quote, slip: F.when(F.col(quote) >= target - 1e-9, F.greatest(slip, F.lit(0.0)))
+    out = out.withColumns({
+        "depth_min": F.least("bid_depth", "ask_depth"), "slippage_buy": full("_spent", F.col("_spent") / F.col("_bought") / F.col("best_ask") - 1), "slippage_sell": full("_sold", 1 - F.col("_sold") / F.col("_sold_base") / F.col("best_bid")),
+    })
+    return out.drop("_sold", "_sold_base", "_spent", "_bought")
+
+
+def insight_samples(updates: DataFrame, settings: MarketSettings, spacing: float = 1.0) -> DataFrame:
+    """(symbol, seq, ts, depth, slippage): the whole book's depth and worse slippage at greedy samples of its updates.
+
+    Samples lie ``spacing`` seconds or more apart; a one-sided book gives none.
+    """
+    taken = checkpointed(sampled(updates.groupBy("symbol", "ts").agg(F.max("seq").alias("seq")), spacing))
+    found = book_insight(books_at(book_versions(updates), taken.select("symbol", F.col("ts").alias("t"))), settings.depth_band, settings.sweep_quote)
+    worse = F.greatest(F.coalesce("slippage_buy", F.lit(0.0)), F.coalesce("slippage_sell", F.lit(0.0)))
+    return _met(taken, found.select("symbol", F.col("t").alias("ts"), F.col("depth_min").alias("depth"), worse.alias("slippage")), ["symbol", "ts"])
+
+
+def insight_windows(samples: DataFrame, windows: tuple[int, ...], step: int) -> DataFrame:
+    """Median depth and slippage of the samples of each window, and their number."""
+    rows = dealt(samples.select("symbol", "ts", "depth", "slippage"), windows, step)
+    return rows.groupBy(*KEY).agg(F.median("depth").alias("twap_depth"), F.median("slippage").alias("twap_slippage"), F.count(F.lit(1)).alias("depth_samples"))

@@ -101,6 +101,22 @@ def book_slippage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.sweep_slippage(M.book_state(S.levels(spark, sf_dir)), SETTINGS.sweep_quote))
 
 
+#: Seconds between instants at which whole books are looked at, and between samples of them.
+BOOK_STEP, BOOK_SPACING = 86_400, 21_600.0
+
+
+def book_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth and slippage of the whole book at the end of each day of its updates."""
+    updates = S.level_updates(spark, sf_dir)
+    return rounded(M.book_insight(M.books_at(M.book_versions(updates), S.grid(updates, BOOK_STEP)), SETTINGS.depth_band, SETTINGS.sweep_quote))
+
+
+def book_insight_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians over windows of samples of the whole book (greedy, so without SQL)."""
+    samples = M.insight_samples(S.level_updates(spark, sf_dir), SETTINGS, BOOK_SPACING)
+    return rounded(M.insight_windows(samples, SETTINGS.windows, STEP))
+
+
 def depth_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth diffs made from line items: ids overlap, repeat and jump."""
     line = S.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_linenumber").alias("n"))
@@ -216,7 +232,7 @@ def rounded_sql(body: str, doubles: str, rest: str, source: str) -> str:
 
 _METRIC_DOUBLES = "total_quote buy_quote sell_quote balance switch_rate interval_cv top_size_rate top5_size_rate top_notional_rate top5_notional_rate churn_per_second refill_per_minute twap_depth twap_slippage depth slippage median_volume median_trades volume_ratio trade_ratio price_return vol_to_depth vol_to_twap_depth warmup score"
 
-QUERIES = {f.__name__: f for f in (market_trades, market_flow, market_concentration, market_baseline, book_refills, book_windows, book_asof, market_window_metrics, market_judgement, market_strongest_window, market_overview, market_streaks, market_samples, book_levels, book_depth, book_slippage, depth_sequence, market_format)}
+QUERIES = {f.__name__: f for f in (market_trades, market_flow, market_concentration, market_baseline, book_refills, book_windows, book_asof, market_window_metrics, market_judgement, market_strongest_window, market_overview, market_streaks, market_samples, book_levels, book_depth, book_slippage, book_history, book_insight_windows, depth_sequence, market_format)}
 
 ORACLES = {
     "market_trades": rounded_sql(f"WITH {_TRADES}", "ts price qty quote_qty", "symbol, seq, side, qty_text", "trades"),
@@ -238,7 +254,16 @@ ORACLES = {
   SELECT symbol, round(best_bid, 6) AS best_bid, round(best_ask, 6) AS best_ask, round(mid, 6) AS mid, round(bid_depth, 6) AS bid_depth, bid_levels, round(ask_depth, 6) AS ask_depth, ask_levels, round(least(bid_depth, ask_depth), 6) AS depth_min FROM d""",
     "book_slippage": f"""{_LEVELS}, c AS (SELECT *, price * qty AS q, coalesce(sum(price * qty) OVER (PARTITION BY symbol, side ORDER BY CASE WHEN side = 'ask' THEN price ELSE -price END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS bf FROM bs),
   tk AS (SELECT *, least(q, greatest({SETTINGS.sweep_quote} - bf, 0.0)) AS take FROM c), s AS (SELECT symbol, side, sum(take) AS q, sum(take / price) AS b FROM tk GROUP BY ALL)
-  SELECT symbol, side, round(CASE WHEN q >= {SETTINGS.sweep_quote} - 1e-9 THEN greatest(CASE WHEN side = 'ask' THEN q / b / mid - 1 ELSE 1 - q / b / mid END, 0.0) END, 6) AS slippage FROM s JOIN bm USING (symbol)""",
+  SELECT symbol, side, round(CASE WHEN q >= {SETTINGS.sweep_quote} - 1e-9 THEN greatest(CASE WHEN side = 'ask' THEN q / b / best_ask - 1 ELSE 1 - q / b / best_bid END, 0.0) END, 6) AS slippage FROM s JOIN bm USING (symbol)""",
+    "book_history": f"""WITH {S.LEVEL_UPDATES_SQL}, gr AS (SELECT symbol, unnest(range(CAST(ceil(min(ts) / {BOOK_STEP}) * {BOOK_STEP} AS BIGINT), CAST(ceil(max(ts) / {BOOK_STEP}) * {BOOK_STEP} AS BIGINT) + 1, {BOOK_STEP})) AS t FROM updates GROUP BY symbol),
+  v AS (SELECT u.symbol, t, side, price, max_by(qty, seq) AS qty FROM updates u JOIN gr ON gr.symbol = u.symbol AND u.ts <= gr.t GROUP BY ALL HAVING max_by(qty, seq) <> 0),
+  b AS (SELECT *, max(CASE WHEN side = 'bid' THEN price END) OVER (PARTITION BY symbol, t) AS bb, min(CASE WHEN side = 'ask' THEN price END) OVER (PARTITION BY symbol, t) AS ba,
+    coalesce(sum(price * qty) OVER (PARTITION BY symbol, t, side ORDER BY CASE WHEN side = 'ask' THEN price ELSE -price END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS ahead FROM v),
+  k AS (SELECT *, least(price * qty, greatest({SETTINGS.sweep_quote} - ahead, 0.0)) AS take, CASE WHEN side = 'bid' AND price >= (bb + ba) / 2 * (1 - {SETTINGS.depth_band}) OR side = 'ask' AND price <= (bb + ba) / 2 * (1 + {SETTINGS.depth_band}) THEN price * qty ELSE 0.0 END AS near FROM b WHERE bb > 0 AND ba > 0),
+  s AS (SELECT symbol, CAST(t AS DOUBLE) AS t, max(bb) AS best_bid, max(ba) AS best_ask, sum(near) FILTER (side = 'bid') AS bid_depth, sum(near) FILTER (side = 'ask') AS ask_depth, count(*) FILTER (side = 'bid') AS bid_levels, count(*) FILTER (side = 'ask') AS ask_levels,
+    sum(take) FILTER (side = 'bid') AS sold, sum(take / price) FILTER (side = 'bid') AS sold_base, sum(take) FILTER (side = 'ask') AS spent, sum(take / price) FILTER (side = 'ask') AS bought FROM k GROUP BY ALL)
+  SELECT symbol, round(t, 6) AS t, round(best_bid, 6) AS best_bid, round(best_ask, 6) AS best_ask, round(bid_depth, 6) AS bid_depth, round(ask_depth, 6) AS ask_depth, bid_levels, ask_levels, round(least(bid_depth, ask_depth), 6) AS depth_min,
+    round(CASE WHEN spent >= {SETTINGS.sweep_quote} - 1e-9 THEN greatest(spent / bought / best_ask - 1, 0.0) END, 6) AS slippage_buy, round(CASE WHEN sold >= {SETTINGS.sweep_quote} - 1e-9 THEN greatest(1 - sold / sold_base / best_bid, 0.0) END, 6) AS slippage_sell FROM s""",
     "depth_sequence": """WITH l AS (SELECT l_orderkey, sum(l_linenumber) AS n FROM lineitem GROUP BY 1), d AS (SELECT 'B' || CAST(l_orderkey % 7 AS VARCHAR) AS symbol, l_orderkey AS seq, CAST(l_orderkey - n % 3 AS BIGINT) AS first_id, CAST(l_orderkey + n % 11 AS BIGINT) AS final_id FROM l),
   x AS (SELECT *, max(final_id) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS la FROM d) SELECT symbol, seq, first_id, final_id, coalesce(final_id <= la, false) AS stale, coalesce(first_id > la + 1, false) AS gap FROM x""",
     "market_format": f"""SELECT o_orderkey, CASE WHEN o_totalprice >= 1e9 THEN printf('%.2fB', CAST(round(CAST(o_totalprice / 1e9 AS DECIMAL(38, 10)), 2) AS DOUBLE)) WHEN o_totalprice >= 1e6 THEN printf('%.2fM', CAST(round(CAST(o_totalprice / 1e6 AS DECIMAL(38, 10)), 2) AS DOUBLE)) WHEN o_totalprice >= 1e3 THEN printf('%.2fK', CAST(round(CAST(o_totalprice / 1e3 AS DECIMAL(38, 10)), 2) AS DOUBLE)) ELSE printf('%.2f', o_totalprice) END AS short,

@@ -72,6 +72,15 @@ levels AS (SELECT 'B' || CAST(o_custkey % 5 AS VARCHAR) AS symbol, o_orderkey AS
   CASE WHEN o_orderkey % 11 = 0 THEN 0.0 ELSE floor(o_totalprice / 1000) END AS qty FROM orders)"""
 
 
+def level_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``levels`` with a time: a minute for each order key; symbols are called as those of trades."""
+    return levels(spark, sf_dir).withColumns({"symbol": F.regexp_replace("symbol", "^B", "S"), "ts": 1_704_067_200.0 + F.col("seq") * 60.0})
+
+
+LEVEL_UPDATES_SQL = f"""{LEVELS_SQL},
+updates AS (SELECT replace(symbol, 'B', 'S') AS symbol, seq, side, price, qty, 1704067200.0 + seq * 60.0 AS ts FROM levels)"""
+
+
 def grid(frame: DataFrame, step: int) -> DataFrame:
     """(symbol, t): whole multiples of ``step`` seconds that each symbol's rows span, the end included.
 
