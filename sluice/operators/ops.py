@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .places import with_places
+
 DAY = 86_400
 SEVERITY = {"critical": 3, "warn": 2, "info": 1}
 
@@ -149,17 +151,11 @@ def silent_topics(configured: DataFrame, counts: DataFrame, source: str = "x") -
     return configured.join(counts.where((F.col("source") == source) & (F.col("n") > 0)), "topic", "left_anti")
 
 
-def tasks_by_anchor(tasks: DataFrame, stretch: int = 3600) -> DataFrame:
-    """Tasks with ``anchor``, the latest of their times, one row for each id, newest first by (anchor, id) as ``place``.
-
-    Places go by stretches of anchors: the tasks of later stretches, then the order inside one.
-    """
+def tasks_by_anchor(tasks: DataFrame) -> DataFrame:
+    """Tasks with ``anchor``, the latest of their times, one row for each id, newest first by (anchor, id) as ``place``."""
     anchor = F.greatest(F.coalesce("finished_at", F.lit(0)), F.coalesce("started_at", F.lit(0)), F.coalesce("submitted_at", F.lit(0)))
-    one = latest_by_key(tasks.withColumn("anchor", anchor), ["id"], [F.desc("anchor"), F.desc("status")]).withColumn("_part", F.floor(F.col("anchor") / stretch))
-    counts = one.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    later = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_later"))  # one row for each stretch
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc("anchor"), F.desc("id")))
-    return one.join(later, "_part").withColumn("place", (F.col("_later") + inside).cast("int")).drop("_part", "_later")
+    one = latest_by_key(tasks.withColumn("anchor", anchor), ["id"], [F.desc("anchor"), F.desc("status")])
+    return with_places(one, [], [F.desc("anchor"), F.desc("id")]).withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def may_submit(tasks: DataFrame) -> DataFrame:
@@ -168,8 +164,8 @@ def may_submit(tasks: DataFrame) -> DataFrame:
 
 
 def batches(rows: DataFrame, order: str, size: int, by: list[str]) -> DataFrame:
-    """Add ``batch``: rows of a group in order, ``size`` at a time."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1) / size))
+    """Add ``batch``: rows of a group in order, ``size`` at a time; a group is placed by ranges, however large it is."""
+    return with_places(rows, by, [order]).withColumn("batch", F.floor(F.col("place") / size)).drop("place")
 
 
 def symbol_list(x: Column) -> Column:

@@ -182,16 +182,23 @@ def identified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.with_identity(relevant(spark, sf_dir), VOCABULARY)
 
 
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relevant items, the first of each key with the hits and span of its repeats, clustered by identity, ranked by topic."""
+def ranked(spark: SparkSession, sf_dir: str, greedy: bool = False) -> DataFrame:
+    """Relevant items, the first of each key with the hits and span of its repeats, clustered by identity or greedily, ranked by topic."""
     repeats, cluster = Window.partitionBy("topic", "dedupe_key"), Window.partitionBy("topic", "cluster_id")
     keyed = identified(spark, sf_dir).withColumn("dedupe_key", T.dedupe_key(F.col("url"), F.col("source"), F.col("id"), F.col("text")))
     span = F.round((F.max("captured_at").over(repeats) - F.min("captured_at").over(repeats)) / 3600.0, 2)
     keyed = keyed.withColumns({"window_hits": F.count(F.lit(1)).over(repeats), "window_span_hours": span})
-    one = I.first_of_key(keyed).where("relevant").withColumn("cluster_id", F.col("identity_key"))
-    shaped = I.with_cluster_shape(I.with_signals(one, VOCABULARY, NOW))
+    one = I.with_signals(I.first_of_key(keyed).where("relevant"), VOCABULARY, NOW)
+    if greedy:
+        one = checkpointed(one.withColumns({"seed": F.col("topic_quality_score") + I.source_weight() + F.sqrt("signal_hot"), "tokens": T.event_tokens(F.col("text"), VOCABULARY.stopwords)}))
+        named = one.select("topic", "pos", "seed", "tokens", F.col("identity_terms").alias("terms"), F.col("identity_key").alias("key"), F.col("topic_event_type").alias("kind"))
+        found = clusters.greedy_clusters(named, ["topic"]).select("pos", F.concat(F.lit("cluster-"), F.col("cluster").cast("string")).alias("cluster_id"))
+        one = one.drop("seed", "tokens").join(found, "pos")
+    else:
+        one = one.withColumn("cluster_id", F.col("identity_key"))
+    shaped = I.with_cluster_shape(one)
     shaped = shaped.withColumns({"event_source_count": F.col("cluster_source_count"), "event_confirmation_count": F.sum("signal_confirmation").over(cluster)})
-    return I.ranked(I.scored(shaped), ["topic"])
+    return I.ranked(checkpointed(I.scored(shaped)), ["topic"])
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,15 +307,32 @@ def intel_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intel_greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy clusters of each topic and collection slot (order-dependent, so without SQL)."""
-    rows = ranked(spark, sf_dir).withColumns({"slot": F.floor(F.col("captured_at") / 7200), "seed": F.col("topic_quality_score") + I.source_weight() + F.sqrt("signal_hot"), "tokens": T.event_tokens(F.col("text"), VOCABULARY.stopwords), "terms": F.col("identity_terms"), "key": F.col("identity_key"), "kind": F.col("topic_event_type")})
-    return clusters.greedy_clusters(rows, ["topic", "slot"])
+    """The ranked items of each topic in greedy clusters (order-dependent, so without SQL)."""
+    return rounded(ranked(spark, sf_dir, greedy=True).select("topic", "pos", "cluster_id", "cluster_rank", "cluster_size", "cluster_source_count", "signal_cross_count", "selection_score", "place"))
+
+
+def fuzzy_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event entries of snapshots in order of time, with the group's signature and the key of the kept entry that each merges into."""
+    rows = snapshots(spark, sf_dir)
+    keyed = entries(rows).join(I.group_identity(rows, VOCABULARY), ["topic", "cluster_id"])
+    placed = checkpointed(I.canonical(keyed.withColumn("captured_at", F.col("last_seen_at"))))
+    merged = clusters.fuzzy_merge(placed.select("topic", "event_key", "pos", "signature")).select("pos", "merged_key")
+    return placed.join(merged, "pos")
 
 
 def intel_fuzzy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries with signatures made of identity terms (order-dependent, so without SQL)."""
-    rows = checkpointed(identified(spark, sf_dir).select("topic", "pos", "identity_key", "identity_terms")).where(F.size("identity_terms") > 2)
-    return clusters.fuzzy_merge(rows.select("topic", F.col("identity_key").alias("event_key"), "pos", F.array_sort("identity_terms").alias("signature")))
+    """Entries of all snapshots merged by key or signature (order-dependent, so without SQL)."""
+    out = I.united_entries(fuzzy_entries(spark, sf_dir).withColumn("event_key", F.col("merged_key")))
+    return rounded(out.select("topic", "event_key", "snapshot_hits", "evidence_count", F.array_join("signature", "|").alias("signature"), F.size("source_counts").alias("sources"), F.size("representatives").alias("rows")))
+
+
+def intel_united_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of all snapshots by event key: tokens in order of their first place, the best representative of each source, as items."""
+    rows = snapshots(spark, sf_dir)
+    keyed = entries(rows).join(I.group_identity(rows, VOCABULARY), ["topic", "cluster_id"])
+    placed = checkpointed(I.canonical(keyed.withColumn("captured_at", F.col("last_seen_at"))))
+    out = I.expanded_entries(I.united_entries(placed))
+    return rounded(out.select("topic", "event_key", F.array_join("signature", "|").alias("signature"), "source", F.col("representative.pos").alias("pos"), "event_confirmation_count", "event_authority_score", "event_authority_count"))
 
 
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,7 +356,7 @@ _SHORT = r"CASE WHEN length(x) <= 80 THEN x ELSE rtrim(substr(x, 1, 79)) || '…
 _UN = lambda x: f"replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&')"
 _WS = r"trim(regexp_replace({x}, '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ')"
 
-QUERIES = {f.__name__: f for f in (intel_reliability, intel_event_class, intel_relevance, intel_identity, intel_rank, intel_dedupe, intel_sent_filter, intel_select_preferred, intel_select_world, intel_select_hot, intel_select_persistent, intel_lane_diagnostics, intel_reasons, intel_owner_quota, intel_group_identity, intel_event_entries, intel_merged_entries, intel_rollup, intel_greedy_clusters, intel_fuzzy_merge, text_pages, text_predicates, text_chunks)}
+QUERIES = {f.__name__: f for f in (intel_reliability, intel_event_class, intel_relevance, intel_identity, intel_rank, intel_dedupe, intel_sent_filter, intel_select_preferred, intel_select_world, intel_select_hot, intel_select_persistent, intel_lane_diagnostics, intel_reasons, intel_owner_quota, intel_group_identity, intel_event_entries, intel_merged_entries, intel_rollup, intel_greedy_clusters, intel_fuzzy_merge, intel_united_entries, text_pages, text_predicates, text_chunks)}
 
 _RANKED = f"{_ALL},{_IDENTITY_SQL},{_RANK_SQL}"
 _WORLD = lambda source, name, limit: f"""
@@ -376,6 +400,13 @@ ORACLES = {
     "intel_merged_entries": f"""{_RANKED}, {_ENTRY}, {_GROUP}, ek AS (SELECT eb.*, event_key FROM eb JOIN g6 USING (topic, cluster_id)), em AS (SELECT topic, event_key, count(*) AS snapshot_hits, sum(confirmation_count) AS cc, max(authority_score) AS authority_score, min(first_seen_at) AS fs, max(last_seen_at) AS ls FROM ek GROUP BY ALL),
   ea2 AS (SELECT topic, event_key, count(DISTINCT k) AS nk FROM (SELECT topic, event_key, unnest(ak) AS k FROM ek) GROUP BY ALL), es AS (SELECT ek.topic, event_key, source, CAST(sum(n) AS BIGINT) AS rows FROM ec JOIN ek ON ec.topic = ek.topic AND ec.cluster_id = ek.cluster_id GROUP BY ALL), en AS (SELECT topic, event_key, count(*) AS event_source_count FROM es GROUP BY ALL)
   SELECT topic, event_key, snapshot_hits, event_source_count::INT AS event_source_count, CAST(greatest(cc, coalesce(nk, 0)) AS BIGINT) AS event_confirmation_count, round(authority_score, 6) AS authority_score, round((greatest(ls, fs) - fs) / 3600.0, 2)::DOUBLE AS window_span_hours, source, rows FROM es JOIN em USING (topic, event_key) JOIN en USING (topic, event_key) LEFT JOIN ea2 USING (topic, event_key)""",
+    "intel_united_entries": f"""{_RANKED}, {_ENTRY}, {_GROUP}, ue AS (SELECT eb.*, event_key, signature, row_number() OVER (ORDER BY last_seen_at, topic, event_key, cluster_id) AS p FROM eb JOIN g6 USING (topic, cluster_id)),
+  ut AS (SELECT topic, event_key, token, min(p * 1000 + i) AS f FROM (SELECT topic, event_key, p, unnest(string_split(signature, '|')) AS token, generate_subscripts(string_split(signature, '|'), 1) AS i FROM ue) WHERE token <> '' GROUP BY ALL), us AS (SELECT topic, event_key, string_agg(token, '|' ORDER BY f) AS signature FROM ut GROUP BY ALL),
+  ub AS (SELECT ue.topic, event_key, ec.source, rkk.pos, rkk.source_confirmed, rkk.source_authority_key, rkk.source_authority_score, row_number() OVER (PARTITION BY ue.topic, event_key, ec.source ORDER BY selection_score DESC, topic_quality_score DESC, signal_hot DESC, captured_at DESC, p DESC) AS n FROM ue JOIN ec ON ec.topic = ue.topic AND ec.cluster_id = ue.cluster_id JOIN rkk ON rkk.pos = ec.best),
+  ur AS (SELECT * FROM ub WHERE n = 1), uk AS (SELECT topic, event_key, count(DISTINCT k) AS keys FROM (SELECT topic, event_key, unnest(ak) AS k FROM ue UNION ALL SELECT topic, event_key, lower(trim(source_authority_key)) FROM ur WHERE source_confirmed) WHERE k <> '' GROUP BY ALL),
+  ud AS (SELECT topic, event_key, count_if(source_confirmed) AS sure, max(source_authority_score) AS best FROM ur GROUP BY ALL), um AS (SELECT topic, event_key, sum(confirmation_count) AS cc, max(authority_score) AS score FROM ue GROUP BY ALL)
+  SELECT topic, event_key, coalesce(signature, '') AS signature, source, pos, CAST(greatest(cc, coalesce(keys, 0), sure) AS BIGINT) AS event_confirmation_count, round(greatest(score, best), 6) AS event_authority_score, CAST(coalesce(keys, 0) AS INT) AS event_authority_count
+  FROM ur JOIN um USING (topic, event_key) JOIN ud USING (topic, event_key) LEFT JOIN us USING (topic, event_key) LEFT JOIN uk USING (topic, event_key)""",
     "intel_group_identity": f"{_RANKED}, {_K}, {_GROUP} SELECT topic, cluster_id, signature, event_key FROM g6",
     "intel_rollup": f"WITH {ITEMS_SQL}, k AS (SELECT *, CASE WHEN url <> '' THEN 'url::' || url ELSE 'id::' || source || '::' || id END AS dedupe_key FROM items) SELECT topic, dedupe_key, count(*) AS window_hits, min(captured_at) AS window_first_seen_at, max(captured_at) AS window_last_seen_at, round((max(captured_at) - min(captured_at)) / 3600.0, 2)::DOUBLE AS window_span_hours, sha1(arg_max(text, [length(trim(text)), -pos])) AS text, min_by(url, pos) FILTER (WHERE url <> '') AS url, min_by(author, pos) AS author, min_by(created_ts, pos) AS created_ts, max(score) AS score FROM k GROUP BY topic, dedupe_key",
     "text_pages": f"""WITH s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS h FROM pages), u AS (SELECT *, {_WS.format(x=_UN("trim(h, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))"))} AS x0 FROM s), x AS (SELECT *, x0 AS x FROM u)
