@@ -24,25 +24,36 @@ OUTPUT = "symbol string, ts double, seq long, kind string, price double, mid dou
 ORDER = {"snapshot": 0, "diff": 1, "trade": 2, "book": 3}
 
 
-class MarketProcessor(StatefulProcessor):
-    """See the module. Rows of EVENT in, one row of OUTPUT for each event."""
+class InOrder(StatefulProcessor):
+    """Events (with ``ts`` in seconds and ``seq``) wait until the watermark has passed them and are taken in order of (ts, seq, kind).
 
-    def __init__(self, refill_quote: float, idle_ms: int) -> None:
-        self.refill_quote, self.idle_ms = refill_quote, idle_ms
+    A subclass names its states (``states``) and says what it makes of an event (``taken``, None for
+    nothing). All state goes when the watermark is ``idle_ms`` past the key's last event.
+    """
+
+    key_names: tuple[str, ...] = ("symbol",)
+    whole: tuple[str, ...] = ("seq",)  # pandas makes nullable longs doubles
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def states(self, handle: StatefulProcessorHandle) -> list:
+        return []
+
+    def taken(self, e: dict) -> dict | None:
+        raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "ms long", "events string")
-        self.levels = handle.getMapState("levels", "side string, price double", "qty double")
-        self.best = handle.getValueState("best", "bid double, bid_qty double, ask double, ask_qty double")
-        self.applied = handle.getValueState("applied", "final_id long, ready boolean")
         self.until = handle.getValueState("until", "ms long")
+        self.own = self.states(handle)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new: dict[int, list[dict]] = {}
         for frame in rows:
-            for event in json.loads(frame.drop(columns=["symbol", "_time"], errors="ignore").to_json(orient="records", double_precision=15)):
-                event |= {c: None if event[c] is None else int(event[c]) for c in ("seq", "first_id", "final_id")}  # pandas makes nullable longs doubles
+            for event in json.loads(frame.drop(columns=[*self.key_names, "_time"], errors="ignore").to_json(orient="records", double_precision=15)):
+                event |= {c: None if event[c] is None else int(event[c]) for c in self.whole}
                 new.setdefault(int(event["ts"] * 1000) + 1, []).append(event)
         for ms, events in new.items():
             if self.waiting.containsKey((ms,)):
@@ -51,29 +62,86 @@ class MarketProcessor(StatefulProcessor):
                 self.handle.registerTimer(ms)
             self.waiting.updateValue((ms,), (json.dumps(events),))
         if new:
-            newest = max(new)
-            self.until.update((max(newest, self.until.get()[0] if self.until.exists() else 0),))
-            self.handle.registerTimer(newest + self.idle_ms)
+            self._stays(max(new))
         yield pd.DataFrame()
 
+    def _stays(self, ms: int) -> None:
+        self.until.update((max(ms, self.until.get()[0] if self.until.exists() else 0),))
+        self.handle.registerTimer(ms + self.idle_ms)
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         ms = expiredTimerInfo.getExpiryTimeInMs()
         out = []
         if self.waiting.containsKey((ms,)):
             events = json.loads(self.waiting.getValue((ms,))[0])
             self.waiting.removeKey((ms,))
-            out = [self._taken(e) for e in sorted(events, key=lambda e: (e["ts"], e["seq"] if e["seq"] is not None else -1, ORDER.get(e["kind"], 9)))]
+            events.sort(key=lambda e: (e["ts"], e["seq"] if e["seq"] is not None else -1, ORDER.get(e.get("kind"), 9)))
+            out = [x for x in map(self.taken, events) if x is not None]
         if self.until.exists() and ms >= self.until.get()[0] + self.idle_ms:
-            for state in (self.waiting, self.levels, self.best, self.applied, self.until):
+            for state in (self.waiting, self.until, *self.own):
                 state.clear()
+        frame = pd.DataFrame(out)
         if out:
-            frame = pd.DataFrame(out)
-            frame.insert(0, "symbol", key[0])
-            yield frame
-        else:
-            yield pd.DataFrame()
+            for k, name in enumerate(self.key_names):
+                frame.insert(k, name, key[k])
+        yield frame
+
+    def close(self) -> None:
+        pass
+
+
+class SampleProcessor(InOrder):
+    """Greedy samples: an event stays if it lies ``spacing`` or more after the last one that stayed."""
+
+    def __init__(self, spacing: float, idle_ms: int) -> None:
+        super().__init__(idle_ms)
+        self.spacing = spacing
+
+    def states(self, handle: StatefulProcessorHandle) -> list:
+        self.last = handle.getValueState("last", "ts double")
+        return [self.last]
+
+    def taken(self, e: dict) -> dict | None:
+        if self.last.exists() and e["ts"] - self.last.get()[0] < self.spacing:
+            return None
+        self.last.update((float(e["ts"]),))
+        return e
+
+
+class StreakProcessor(InOrder):
+    """How long a tracked state has held: 0 where it starts and for others."""
+
+    key_names = ("symbol", "w")
+    tracked = ("TWO_SIDED_ACTIVE", "SUSPECTED_WASH_LIKE")
+
+    def states(self, handle: StatefulProcessorHandle) -> list:
+        self.now = handle.getValueState("now", "state string, since long")
+        return [self.now]
 
-    def _taken(self, e: dict) -> dict:
+    def taken(self, e: dict) -> dict | None:
+        state, since = self.now.get() if self.now.exists() else (None, e["seq"])
+        if state is None or state != e["state"]:
+            since = e["seq"]
+        self.now.update((e["state"], since))
+        return {"t": e["seq"], "state": e["state"], "streak_seconds": e["seq"] - since if e["state"] in self.tracked else 0}
+
+
+class MarketProcessor(InOrder):
+    """See the module. Rows of EVENT in, one row of OUTPUT for each event."""
+
+    whole = ("seq", "first_id", "final_id")
+
+    def __init__(self, refill_quote: float, idle_ms: int) -> None:
+        super().__init__(idle_ms)
+        self.refill_quote = refill_quote
+
+    def states(self, handle: StatefulProcessorHandle) -> list:
+        self.levels = handle.getMapState("levels", "side string, price double", "qty double")
+        self.best = handle.getValueState("best", "bid double, bid_qty double, ask double, ask_qty double")
+        self.applied = handle.getValueState("applied", "final_id long, ready boolean")
+        return [self.levels, self.best, self.applied]
+
+    def taken(self, e: dict) -> dict:
         out = {"ts": e["ts"], "seq": e["seq"], "kind": e["kind"], "price": e["price"], "mid": None, "refills": None, "stale": None, "gap": None, "ready": None, "best_bid": None, "best_ask": None}
         kind = e["kind"]
         if kind == "book":
@@ -123,11 +191,7 @@ class MarketProcessor(StatefulProcessor):
                 if qty:
                     self.levels.updateValue((side, float(price)), (float(qty),))
             self.applied.update((int(row.final_id), True))
-            self.until.update((int(row.ts * 1000) + 1,))
-            self.handle.registerTimer(int(row.ts * 1000) + 1 + self.idle_ms)
-
-    def close(self) -> None:
-        pass
+            self._stays(int(row.ts * 1000) + 1)
 
 
 def market_events(trades: DataFrame | None = None, book: DataFrame | None = None, depth: DataFrame | None = None) -> DataFrame:
@@ -142,13 +206,30 @@ def market_events(trades: DataFrame | None = None, book: DataFrame | None = None
     return out
 
 
+def _in_order(events: DataFrame, keys: tuple[str, ...], processor: InOrder, output: str, late: str, start: DataFrame | None = None) -> DataFrame:
+    timed = events.withColumn("_time", F.timestamp_millis((F.col("ts") * 1000).cast("bigint"))).withWatermark("_time", late)
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, output, "Append", "EventTime", start.groupBy(*keys) if start is not None else None)
+
+
+def _milliseconds(text: str) -> int:
+    return int(pd.Timedelta(text).total_seconds() * 1000)
+
+
 def processed(events: DataFrame, refill_quote: float, late: str = "10 seconds", idle: str = "1 hour", start: DataFrame | None = None) -> DataFrame:
     """A stream of EVENT rows through the processor; ``start`` holds books to begin with (symbol, ts, final_id, sides, prices, qtys).
 
     Events later than ``late`` behind the newest are dropped. It needs the RocksDB state store.
     """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    timed = events.withColumn("_time", F.timestamp_millis((F.col("ts") * 1000).cast("bigint"))).withWatermark("_time", late)
-    grouped = timed.groupBy("symbol")
-    processor = MarketProcessor(refill_quote, idle_ms)
-    return grouped.transformWithStateInPandas(processor, OUTPUT, "Append", "EventTime", start.groupBy("symbol") if start is not None else None)
+    return _in_order(events, ("symbol",), MarketProcessor(refill_quote, _milliseconds(idle)), OUTPUT, late, start)
+
+
+def sampled_stream(rows: DataFrame, spacing: float = 1.0, late: str = "10 seconds", idle: str = "1 hour") -> DataFrame:
+    """The streaming twin of ``operators.market.sampled``, for rows (symbol, seq, ts, ...) of numbers and texts, across batches of any order."""
+    schema = ", ".join(f"`{n}` {k}" for n, k in (("symbol", dict(rows.dtypes)["symbol"]), *[x for x in rows.dtypes if x[0] != "symbol"]))
+    return _in_order(rows, ("symbol",), SampleProcessor(spacing, _milliseconds(idle)), schema, late)
+
+
+def streaks_stream(states: DataFrame, late: str = "10 seconds", idle: str = "1 day") -> DataFrame:
+    """The streaming twin of ``operators.market.streaks``, for (symbol, w, t, state)."""
+    rows = states.select("symbol", "w", F.col("t").cast("double").alias("ts"), F.col("t").cast("bigint").alias("seq"), "state")
+    return _in_order(rows, ("symbol", "w"), StreakProcessor(_milliseconds(idle)), "symbol string, w int, t long, state string, streak_seconds long", late)

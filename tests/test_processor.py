@@ -3,8 +3,7 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
+from sluice.operators import market as M
 from sluice.streaming import processor as S
 
 NAMES = [c.split()[0] for c in S.EVENT.split(", ")]
@@ -109,3 +108,40 @@ def test_idle_state_goes(spark, tmp_path, rocks):
     again = [event("a", 8001.0, 4, "trade", price=2.0)]
     got = run(spark, tmp_path, [first, tick, tick, again, [event("b", 9000.0, 5, "trade", price=1.0)]], late="1 second")
     assert got["a", 2][0] == 2.0 and got["a", 4][0] is None
+
+
+def streamed(spark, path, rows, schema, build, seed):
+    """Rows in batches by time, shuffled, some of each a batch late; then one far row to close."""
+    rng, n = random.Random(seed), len(rows) // 3
+    parts = [list(rows[:n]), list(rows[n : 2 * n]), list(rows[2 * n :])]
+    for k in range(2):
+        late = rng.sample(parts[k][n // 2 :], n // 5)
+        parts[k] = [r for r in parts[k] if r not in late]
+        parts[k + 1] = late + parts[k + 1]
+    parts.append([tuple(1e6 if type(x) is float else 10**6 if c == "t" else x for x, c in zip(rows[0], schema.replace(",", "").split()[::2], strict=True))])
+    for k, part in enumerate(parts):
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{path}/in/{k}")
+    out = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{path}/in"))
+    out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination(150)
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+def test_samples_as_batch(spark, tmp_path, rocks):
+    rng, schema = random.Random(7), "symbol string, seq long, ts double, mid double"
+    rows = [(rng.choice("ab"), i, 100 + i * 0.3, 1.0 + i) for i in range(240)]
+    got = streamed(spark, tmp_path, rows, schema, lambda s: S.sampled_stream(s, 2.0, "60 seconds"), 8)
+    want = M.sampled(spark.createDataFrame(rows, schema), 2.0)
+    assert sorted(map(tuple, got.where("ts < 1000").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_streaks_as_batch(spark, tmp_path, rocks):
+    rng, schema, state = random.Random(9), "symbol string, w int, t long, state string", "NORMAL"
+    rows = []
+    for i in range(90):
+        state = rng.choice([state, state, "NORMAL", "TWO_SIDED_ACTIVE", "SUSPECTED_WASH_LIKE"])
+        rows.append(("a", rng.choice([300, 600]), 1000 + 10 * i, state))
+    got = streamed(spark, tmp_path, rows, schema, lambda s: S.streaks_stream(s, "2000 seconds"), 10)
+    columns = ["symbol", "w", "t", "state", "streak_seconds"]
+    want = M.streaks(spark.createDataFrame(rows, schema)).select(columns)
+    assert sorted(map(tuple, got.where("t < 100000").select(columns).collect())) == sorted(map(tuple, want.collect()))
