@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +28,41 @@ def unescaped(x: Column) -> Column:
     return out
 
 
+#: A character reference as HTML reads it: decimal, hexadecimal or named, the semicolon left out or not.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def _code_point(code: Column) -> Column:
+    """The character of a numeric reference: those of 128 to 159 as Windows 1252 has them, none for controls and non-characters."""
+    plain = F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
+    windows = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
+    named = F.create_map(*[F.lit(x) for pair in windows.items() for x in pair])
+    barred = ((code < 32) & ~code.isin(9, 10, 12, 13)) | (code == 127) | code.between(0xFDD0, 0xFDEF) | ((code % 65536) >= 65534)
+    lost = code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    return F.when(lost, "\ufffd").when(code.between(128, 159), F.try_element_at(named, code.cast("int"))).when(barred, "").otherwise(plain)
+
+
+def _reference(e: Column, names: Column) -> Column:
+    digits, hexes, body = F.regexp_extract(e, "^&#([0-9]+)", 1), F.regexp_extract(e, "^&#[xX]([0-9a-fA-F]+)", 1), F.substring(e, 2, 64)
+    short = F.regexp_replace(hexes, "^0+(?=.)", "")
+    code = F.when(digits != "", digits.try_cast("decimal(38,0)")).when(F.length(short) <= 8, F.conv(short, 16, 10).cast("decimal(38,0)"))
+    found = lambda n: F.try_element_at(names, F.substring(body, F.lit(1), n))
+    longest = F.get(F.filter(F.transform(F.sequence(F.length(body), F.lit(1), F.lit(-1)), lambda n: F.concat(found(n), F.substring(body, n + 1, F.lit(64)))), lambda x: x.isNotNull()), 0)
+    return F.when((digits != "") | (hexes != ""), _code_point(code)).otherwise(F.coalesce(longest, e))
+
+
+def decoded(x: Column) -> Column:
+    """All character references of HTML replaced, named ones by the longest known name, null as empty.
+
+    The names are those of the HTML standard, as Python's library lists them. Texts without an
+    ampersand are not looked at further.
+    """
+    text, names = F.coalesce(x, F.lit("")), F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    between, references = F.split(text, _REFERENCE, -1), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    parts = F.zip_with(between, F.transform(references, lambda e: _reference(e, names)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
+
+
 def escaped(x: Column) -> Column:
     out = x
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
@@ -42,11 +79,12 @@ def searchable(*parts: Column) -> Column:
     return collapsed(F.regexp_replace(F.lower(F.concat_ws(" ", *[unescaped(p) for p in parts])), URL, " "))
 
 
-def without_html(x: Column) -> Column:
+def without_html(x: Column, whole: bool = False) -> Column:
+    """Text of HTML; ``whole``: with all character references decoded and white space of any script collapsed, as landed posts need it."""
     out = x
     for pattern in (r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"<[^>]+>"):
         out = F.regexp_replace(out, pattern, " ")
-    return collapsed(unescaped(out))
+    return stripped(F.regexp_replace(decoded(out), r"(?U)\s+", " ")) if whole else collapsed(unescaped(out))
 
 
 def url_domain(x: Column) -> Column:

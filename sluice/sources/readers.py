@@ -45,7 +45,7 @@ def forum_json(spark: SparkSession, path: str, limit: int = 25) -> DataFrame:
     own = F.col("url").contains("reddit.com") | (F.col("url") == "")
     one = raw.select(F.explode(F.slice("data.children", 1, min(max(limit, 1), 25))).alias("c")).select(*[d[k].alias(k) for k in ("id", "title", "selftext", "author", "subreddit", "permalink", "url", "score", "created_utc")])
     return one.select(
-        F.lit("reddit").alias("source"), "id", "author", T.without_html(F.concat_ws(" ", "title", "selftext")).alias("text"), F.concat(F.lit("https://www.reddit.com"), "permalink").alias("url"), F.when(own, "").otherwise(F.col("url")).alias("external_url"),
+        F.lit("reddit").alias("source"), "id", "author", T.without_html(F.concat_ws(" ", "title", "selftext"), whole=True).alias("text"), F.concat(F.lit("https://www.reddit.com"), "permalink").alias("url"), F.when(own, "").otherwise(F.col("url")).alias("external_url"),
         F.when(own, "").otherwise(T.url_domain(F.col("url"))).alias("external_domain"), F.col("subreddit").alias("community"), F.coalesce("score", F.lit(0.0)).alias("score"), F.col("created_utc").cast("long").alias("created_ts"))
 
 
@@ -53,7 +53,7 @@ def feed_xml(spark: SparkSession, path: str, row: str = "item") -> DataFrame:
     """Feed entries as items: the first that is filled of alternative tags."""
     raw = spark.read.format("xml").option("rowTag", row).schema("guid STRING, id STRING, title STRING, description STRING, summary STRING, link STRING, pubDate STRING, updated STRING").load(path)
     first = lambda *names: F.coalesce(*[F.nullif(F.trim(F.col(n)), F.lit("")) for n in names], F.lit(""))
-    return raw.select(F.lit("rss").alias("source"), first("guid", "id", "link").alias("id"), T.without_html(F.concat_ws(" ", first("title"), first("description", "summary"))).alias("text"), first("link").alias("url"), T.url_domain(first("link")).alias("source_domain"), first("pubDate", "updated").alias("created_at"))
+    return raw.select(F.lit("rss").alias("source"), first("guid", "id", "link").alias("id"), T.without_html(F.concat_ws(" ", first("title"), first("description", "summary")), whole=True).alias("text"), first("link").alias("url"), T.url_domain(first("link")).alias("source_domain"), first("pubDate", "updated").alias("created_at"))
 
 
 def tolerant_json(column) -> object:
