@@ -102,7 +102,10 @@ def url_only(x: Column) -> Column:
 
 
 def low_signal(x: Column) -> Column:
-    """Hardly any text beside URLs, mentions, spaces and punctuation: under 8 characters, or 15 with a URL."""
+    """Hardly any text beside URLs, mentions, spaces and punctuation: under 8 characters, or 15 with a URL.
+
+    Fixed values: the patterns of mentions and punctuation, and the two lengths.
+    """
     clean = unescaped(x)
     core = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(clean, URL, " "), r"@[A-Za-z0-9_]{1,32}", " "), r"\s+", ""), r"[-—_~`!@#$%^&*()+=\[\]{}|\\:;\"'，。！？、,.<>/?]+", "")
     return (F.length(core) < 8) | (clean.rlike(URL) & (F.length(core) < 15))
@@ -131,7 +134,10 @@ HYPE = r"(?<![a-z0-9])(?:buy now|lfg|100x|altseason|bag(?:ged)?|smart ones|chase
 
 
 def promotional_marks(text: Column) -> Column:
-    """Promotion by wallet addresses, many mentions, hash tags, cash tags or phrases of hype."""
+    """Promotion by wallet addresses, many mentions, hash tags, cash tags or phrases of hype.
+
+    Fixed values: the patterns and how many of each it takes.
+    """
     counted = lambda pattern: F.regexp_count(text, F.lit(pattern))
     return text.rlike(HYPE) | text.rlike(r"\b0x[a-f0-9]{8,}\b") | (counted("@") >= 3) | (counted(r"#[a-z0-9_]{2,}") >= 4) | (counted(r"\$[a-z][a-z0-9_]{1,9}") >= 2)
 
@@ -157,7 +163,10 @@ def is_word(term: str) -> bool:
 
 
 def is_phrase(term: str) -> bool:
-    """A term of ASCII words joined by spaces, underscores or hyphens: found between boundaries, without s or es."""
+    """A term of ASCII words joined by spaces, underscores or hyphens: found between boundaries, without s or es.
+
+    Fixed value: the pattern.
+    """
     return not is_word(term) and re.fullmatch(r"[a-z0-9][a-z0-9_\- ]*[a-z0-9]", term) is not None
 
 

@@ -65,7 +65,7 @@ def filled(*choices: Column) -> Column:
 
 
 def without_fence(x: Column) -> Column:
-    """A reply without the code fence around it."""
+    """A reply without the code fence around it. The patterns of the fence."""
     return stripped(F.regexp_replace(F.regexp_replace(stripped(x), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
 
 

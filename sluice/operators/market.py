@@ -232,7 +232,10 @@ def window_metrics(trades: DataFrame, book: DataFrame, candles: DataFrame, grid:
 
 
 def score(limits: Thresholds) -> Column:
-    """0 to 100: a weighted sum of ten clamped components, gated by volume and trades."""
+    """0 to 100: a weighted sum of ten clamped components, gated by volume and trades.
+
+    Fixed values: the weights, and where each component is full.
+    """
     part = lambda x, full: clamp(F.col(x) / full, 0, 1)
     volume, count = part("volume_ratio", limits.suspicious_volume), part("trade_ratio", limits.suspicious_trades)
     impact = clamp(limits.largest_return / F.greatest(F.col("price_return"), F.lit(limits.largest_return)), 0, 1)
