@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import delivery as D
 from ..operators import ops as O
 from ..sources.frames import table
 
@@ -132,9 +133,37 @@ def ops_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("c_custkey", F.array_join(wanted, "|").alias("symbols"), F.array_join(add, "|").alias("added"), F.array_join(remove, "|").alias("removed"))
 
 
-QUERIES = {f.__name__: f for f in (ops_alerts, ops_alert_order, ops_levels, ops_trend, ops_trend_summary, ops_source_totals, ops_delivery_window, ops_next_slot, ops_history, ops_registry, ops_parsed_times, ops_source_mix, ops_silent_topics, ops_tasks, ops_batches, ops_symbols)}
+def _delivery_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the log of deliveries, each user a channel; seven in ten attempts are due."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    kind = F.when(F.col("event_type") == "view", "failed").when(F.col("event_type") == "error", "sending").when(F.col("event_type") == "signup", "sent_not_committed").when(F.col("event_type") == "click", "committed").when(n % 5 < 2, "confirm").when(n % 5 < 4, "clear").otherwise("note")
+    return e.select(F.col("user_id").alias("channel"), n.alias("seq"), F.date_format("ts", "yyyy-MM-dd").alias("day"), kind.alias("kind"), (n % 10 < 7).alias("due"))
+
+
+def ops_delivery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.outcomes(_delivery_log(spark, sf_dir)).select("channel", "seq", "day_of", "before", "outcome")
+
+
+def ops_delivery_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.standing(D.outcomes(_delivery_log(spark, sf_dir)))
+
+
+#: The rule as a machine that takes the rows of each channel one by one.
+_DELIVERIES = """
+dl AS (SELECT user_id AS channel, event_id AS seq, strftime(ts, '%Y-%m-%d') AS day, CASE event_type WHEN 'view' THEN 'failed' WHEN 'error' THEN 'sending' WHEN 'signup' THEN 'sent_not_committed' WHEN 'click' THEN 'committed' ELSE CASE WHEN event_id % 5 < 2 THEN 'confirm' WHEN event_id % 5 < 4 THEN 'clear' ELSE 'note' END END AS kind, event_id % 10 < 7 AS due, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+mc AS (SELECT channel, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS day, NULL::VARCHAR AS pending, NULL::VARCHAR AS sent, NULL::VARCHAR AS before, NULL::VARCHAR AS outcome, NULL::VARCHAR AS kind FROM (SELECT DISTINCT channel FROM dl)
+ UNION ALL SELECT x.channel, x.n, x.seq, x.day, CASE WHEN x.outcome IN ('sending', 'sent_not_committed') THEN x.kind WHEN x.outcome IN ('confirmed', 'cleared') THEN NULL ELSE x.pending END, CASE WHEN x.outcome IN ('committed', 'confirmed') THEN x.day ELSE x.sent END, x.before, x.outcome, x.kind FROM (
+  SELECT *, CASE WHEN kind = 'note' THEN 'ignored' WHEN kind IN ('confirm', 'clear') THEN CASE WHEN before <> 'held' THEN 'nothing' WHEN kind = 'confirm' THEN 'confirmed' ELSE 'cleared' END WHEN before = 'sent' THEN 'already_sent' WHEN before = 'held' THEN 'held' WHEN due THEN kind ELSE 'waiting' END AS outcome FROM (
+   SELECT *, CASE WHEN kind = 'note' THEN 'free' WHEN sent = day THEN 'sent' WHEN pending IS NOT NULL THEN 'held' ELSE 'free' END AS before FROM (
+    SELECT d.channel, d.n, d.seq, d.kind, d.due, m.sent, CASE WHEN d.kind IN ('confirm', 'clear', 'note') THEN m.day ELSE d.day END AS day, CASE WHEN d.kind NOT IN ('confirm', 'clear', 'note') AND d.day IS DISTINCT FROM m.day THEN NULL ELSE m.pending END AS pending FROM mc m JOIN dl d ON d.channel = m.channel AND d.n = m.n + 1))) x)"""
+
+
+QUERIES = {f.__name__: f for f in (ops_alerts, ops_alert_order, ops_levels, ops_trend, ops_trend_summary, ops_source_totals, ops_delivery_window, ops_next_slot, ops_history, ops_registry, ops_parsed_times, ops_source_mix, ops_silent_topics, ops_tasks, ops_batches, ops_symbols, ops_delivery_outcomes, ops_delivery_standing)}
 
 ORACLES = {
+    "ops_delivery_outcomes": f"WITH RECURSIVE {_DELIVERIES} SELECT channel, seq, CASE WHEN kind <> 'note' THEN day END AS day_of, before, outcome FROM mc WHERE n > 0",
+    "ops_delivery_standing": f"""WITH RECURSIVE {_DELIVERIES}, la AS (SELECT channel, max(n) AS n FROM mc GROUP BY channel), ag AS (SELECT channel, count_if(outcome IN ('sending', 'sent_not_committed', 'committed', 'failed')) AS attempts, count_if(outcome = 'held') AS held_back, count_if(outcome = 'failed') AS failures, coalesce(arg_max(outcome, n) FILTER (outcome IN ('sending', 'sent_not_committed', 'committed', 'failed')) = 'failed', false) AS failed_last FROM mc GROUP BY channel)
+  SELECT mc.channel, sent AS last_sent_day, CASE WHEN pending IS NOT NULL THEN day END AS pending_day, pending, attempts, held_back, failures, failed_last FROM mc JOIN la USING (channel, n) JOIN ag USING (channel)""",
     "ops_alerts": f"WITH {_HEALTH} SELECT run, severity, code FROM a",
     "ops_levels": f"WITH {_HEALTH}, w AS (SELECT run, max(CASE severity WHEN 'critical' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END) AS w, count(*) AS n FROM a GROUP BY run) SELECT h.run, CASE w.w WHEN 3 THEN 'critical' WHEN 2 THEN 'warn' WHEN 1 THEN 'info' ELSE 'ok' END AS level, coalesce(w.n, 0) AS alerts FROM h LEFT JOIN w USING (run)",
     "ops_trend": f"WITH {_HEALTH} SELECT code, count(DISTINCT run) AS runs FROM a WHERE now >= {NOW} - 86400 GROUP BY code HAVING count(DISTINCT run) >= 2",
