@@ -54,6 +54,10 @@ class KeyedTable:
         newest = self._newest(rows.withColumn("batch", F.lit(batch).cast("bigint"))).drop("batch")
         newest.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
 
+    def next_batch(self) -> int:
+        """A number after all batches that were begun, broken ones too, for a writer that numbers its own."""
+        return max([-1, *self._children("deltas", "batch", False), *self._children("base", "upto", False)]) + 1
+
     def sink(self) -> Callable[[DataFrame, int], None]:
         """For ``foreachBatch``."""
         return self.upsert
