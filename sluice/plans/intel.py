@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import clusters
 from ..operators import intel as I
+from ..operators import records
 from ..operators.vocabulary import Profile, Topic, Vocabulary
 from ..sources.frames import table
 from ..sources.shared import checkpointed
@@ -356,7 +357,55 @@ _SHORT = r"CASE WHEN length(x) <= 80 THEN x ELSE rtrim(substr(x, 1, 79)) || '…
 _UN = lambda x: f"replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&')"
 _WS = r"trim(regexp_replace({x}, '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ')"
 
-QUERIES = {f.__name__: f for f in (intel_reliability, intel_event_class, intel_relevance, intel_identity, intel_rank, intel_dedupe, intel_sent_filter, intel_select_preferred, intel_select_world, intel_select_hot, intel_select_persistent, intel_lane_diagnostics, intel_reasons, intel_owner_quota, intel_group_identity, intel_event_entries, intel_merged_entries, intel_rollup, intel_greedy_clusters, intel_fuzzy_merge, intel_united_entries, text_pages, text_predicates, text_chunks)}
+def _raw_records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Documents as raw rows of three sources, each with its own columns and gaps."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    text = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    topic = F.when(F.col("lang") == "en", "crypto").when(F.col("lang") == "fr", "world").when(F.col("lang") == "de", "hot").otherwise("custom").alias("topic")
+    url, body = F.concat(text("https://www.site", n % 30), text(".example.com/a", n)), F.when(n % 7 != 0, F.col("text"))
+    some = lambda every, x: F.when(n % every != 0, x)
+    x = d.where("doc_id % 3 = 0").select(n.alias("pos"), topic, text("d", n).alias("id"), text("u", n % 25).alias("author"), F.when(n % 21 == 0, url).otherwise(F.col("text")).alias("text"), some(4, url).alias("url"), some(2, n * 37 % 640).alias("likes"), (n * 11 % 500).alias("views"))
+    rss = d.where("doc_id % 3 = 1").select(n.alias("pos"), topic, some(5, text("d", n)).alias("id"), text("Title ", n).alias("title"), body.alias("text"), url.alias("url"), some(4, text("Desk ", n % 9)).alias("feed_name"), some(5, F.concat(text("feed", n % 5), F.lit(".example.com"))).alias("domain"))
+    forum = d.where("doc_id % 3 = 2").select(n.alias("pos"), topic, some(5, text("d", n)).alias("id"), text("u", n % 25).alias("author"), text("Thread ", n).alias("title"), body.alias("text"), url.alias("url"), F.concat(text("https://news", n % 6), F.lit(".example.org/x")).alias("external_url"), some(2, n % 90).alias("score"), (n % 70).alias("upvotes"), text("c", n % 7).alias("subreddit"))
+    return {"x": x, "rss": rss, "reddit": forum}
+
+
+def intel_topic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = records.topic_records(_raw_records(spark, sf_dir), VOCABULARY, "feed")
+    return found.select("pos", "source", "id", "author", "score", "community", "source_domain", "external_domain", "source_label", "topic_match_count", F.length("text").alias("n_text"), F.round("topic_quality_score", 6).alias("quality"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as stored rows, of which some lack their event class, reliability or identity."""
+    base, n = I.with_reliability(items(spark, sf_dir), VOCABULARY), F.col("pos")
+    none = F.array().cast("array<string>")
+    event = {"topic_event_type": F.when(n % 2 == 1, "stored"), "topic_event_score": F.lit(1.5), "topic_event_matched": F.lit(True), "entity_hits": none, "action_hits": none, "evidence_hits": none}
+    return base.withColumns(event | {"source_role": F.when(n % 5 != 0, F.lit("kept")).otherwise(" "), "identity_key": F.when(n % 6 < 2, "key").otherwise(""), "identity_terms": F.when(n % 6 < 2, F.array(F.lit("kept")))})
+
+
+def intel_hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.hydrated(_stored(spark, sf_dir), VOCABULARY).select("pos", "topic_event_type", F.round("topic_event_score", 2).alias("topic_event_score"), "source_role", "identity_key", F.concat_ws("|", "identity_terms").alias("terms"))
+
+
+def intel_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Display texts, cluster keys and event groups of items with gaps."""
+    n = F.col("pos")
+    gaps = items(spark, sf_dir).withColumns({"summary_text": F.when(n % 4 == 0, F.concat(F.lit(" summary "), n.cast("string"))), "display_text": F.when(n % 3 == 0, F.col("text")).otherwise(" "), "original_text": F.when(n % 5 == 0, "original &amp; first"), "cluster_id": F.when(n % 6 == 0, F.concat(F.lit("c"), n.cast("string"))), "identity_key": F.when(n % 9 == 0, "k")})
+    return gaps.select("pos", records.display_text(60).alias("shown"), records.cluster_key().alias("cluster_key"), records.event_group().alias("event_group"))
+
+
+_TOPIC_SQL = "CASE lang WHEN 'en' THEN 'crypto' WHEN 'fr' THEN 'world' WHEN 'de' THEN 'hot' ELSE 'custom' END"
+_RECORDS_SQL = rf"""
+rw AS (SELECT doc_id AS pos, doc_id AS n, {_TOPIC_SQL} AS topic, trim(text) AS text, 'https://www.site' || doc_id % 30 || '.example.com/a' || doc_id AS u FROM documents),
+items AS (SELECT pos, topic, 'x' AS source, 'd' || n AS id, 'u' || n % 25 AS author, CASE WHEN n % 21 = 0 THEN u ELSE text END AS text, CASE WHEN n % 4 <> 0 THEN u ELSE '' END AS url, '' AS external_domain, CASE WHEN n % 4 <> 0 THEN 'site' || n % 30 || '.example.com' ELSE '' END AS source_domain, '' AS community, '' AS source_label, CAST(CASE WHEN n % 2 <> 0 AND n * 37 % 640 <> 0 THEN n * 37 % 640 ELSE n * 11 % 500 END AS DOUBLE) AS score FROM rw WHERE n % 3 = 0
+ UNION ALL SELECT pos, topic, 'rss', CASE WHEN n % 5 <> 0 THEN 'd' || n ELSE u END, CASE WHEN n % 4 <> 0 THEN 'Desk ' || n % 9 ELSE 'feed' END, 'Title ' || n || CASE WHEN n % 7 <> 0 AND text <> '' THEN '；' || text ELSE '' END, u, '', CASE WHEN n % 5 <> 0 THEN 'feed' || n % 5 || '.example.com' ELSE 'site' || n % 30 || '.example.com' END, '', CASE WHEN n % 4 <> 0 THEN 'Desk ' || n % 9 ELSE 'feed' END, 0.0 FROM rw WHERE n % 3 = 1
+ UNION ALL SELECT pos, topic, 'reddit', CASE WHEN n % 5 <> 0 THEN 'd' || n ELSE u END, 'u' || n % 25, 'Thread ' || n || CASE WHEN n % 7 <> 0 AND text <> '' THEN '；' || text ELSE '' END, u, 'news' || n % 6 || '.example.org', 'site' || n % 30 || '.example.com', 'c' || n % 7, 'Reddit', CAST(CASE WHEN n % 2 <> 0 AND n % 90 <> 0 THEN n % 90 ELSE n % 70 END AS DOUBLE) FROM rw WHERE n % 3 = 2),
+se AS (SELECT *, trim(regexp_replace(regexp_replace(lower(concat_ws(' ', trim(text), url, community)), 'https?://\S+', ' ', 'g'), '\s+', ' ', 'g')) AS searchable FROM items WHERE text <> '' AND NOT regexp_full_match(text, 'https?://\S+'))"""
+_HYDRATED_SQL = f"""
+q AS (SELECT * REPLACE (CASE WHEN pos % 2 = 1 THEN 'stored' ELSE topic_event_type END AS topic_event_type, CASE WHEN pos % 2 = 1 THEN 1.5 ELSE topic_event_score END AS topic_event_score, CASE WHEN pos % 2 = 1 THEN {_EMPTY} ELSE entity_hits END AS entity_hits, CASE WHEN pos % 2 = 1 THEN {_EMPTY} ELSE action_hits END AS action_hits, CASE WHEN pos % 2 = 1 THEN {_EMPTY} ELSE evidence_hits END AS evidence_hits) FROM ev)"""
+
+
+QUERIES = {f.__name__: f for f in (intel_topic_records, intel_hydrated, intel_display, intel_reliability, intel_event_class, intel_relevance, intel_identity, intel_rank, intel_dedupe, intel_sent_filter, intel_select_preferred, intel_select_world, intel_select_hot, intel_select_persistent, intel_lane_diagnostics, intel_reasons, intel_owner_quota, intel_group_identity, intel_event_entries, intel_merged_entries, intel_rollup, intel_greedy_clusters, intel_fuzzy_merge, intel_united_entries, text_pages, text_predicates, text_chunks)}
 
 _RANKED = f"{_ALL},{_IDENTITY_SQL},{_RANK_SQL}"
 _WORLD = lambda source, name, limit: f"""
@@ -382,6 +431,10 @@ PERSISTENT = f"""ps AS (SELECT *, CASE WHEN event_source_count >= 2 OR cw AND (e
   AND (NOT ({_CORE}) OR topic_event_matched OR event_confirmation_count >= 1) AND (window_span_hours >= 1 OR event_source_count >= 2 OR signal_cross_count >= 1 OR event_confirmation_count >= 1 OR topic_event_matched OR topic_news_match_count >= 1 OR topic_match_count >= 2 OR signal_hot >= 120))"""
 
 ORACLES = {
+    "intel_topic_records": f"WITH {_RECORDS_SQL},{_REL_SQL},{_EVENT_SQL},{_RELEVANCE_SQL} SELECT pos, source, id, author, score, community, source_domain, external_domain, source_label, CAST(topic_match_count AS INT) AS topic_match_count, CAST(length(text) AS INT) AS n_text, round(topic_quality_score, 6) AS quality FROM q WHERE relevant",
+    "intel_hydrated": f"WITH {ITEMS_SQL},{_REL_SQL},{_EVENT_SQL},{_HYDRATED_SQL},{_IDENTITY_SQL} SELECT pos, topic_event_type, topic_event_score, CASE WHEN pos % 5 <> 0 THEN 'kept' ELSE source_role END AS source_role, CASE WHEN pos % 6 < 2 THEN 'key' ELSE identity_key END AS identity_key, CASE WHEN pos % 6 < 2 THEN 'kept' WHEN len(identity_terms) > 0 THEN array_to_string(identity_terms, '|') ELSE '' END AS terms FROM ident",
+    "intel_display": rf"""WITH {ITEMS_SQL}, t AS (SELECT *, trim(regexp_replace(CASE WHEN pos % 4 = 0 THEN 'summary ' || pos WHEN pos % 3 = 0 AND trim(text) <> '' THEN text WHEN pos % 5 = 0 THEN 'original & first' ELSE text END, '\s+', ' ', 'g')) AS s FROM items)
+  SELECT pos, CASE WHEN length(s) <= 60 THEN s ELSE rtrim(substr(s, 1, 59)) || '…' END AS shown, CASE WHEN pos % 6 = 0 THEN 'c' || pos WHEN url <> '' THEN 'url::' || url ELSE 'id::' || source || '::' || id END AS cluster_key, CASE WHEN pos % 9 = 0 THEN 'k' WHEN pos % 6 = 0 THEN 'c' || pos WHEN url <> '' THEN url ELSE id END AS event_group FROM t""",
     "intel_reliability": f"WITH {ITEMS_SQL},{_REL_SQL} SELECT pos, source_role, CAST(source_trust_tier AS INT) AS source_trust_tier, source_authority_score, source_discovery_weight, source_confirmation_weight, source_confirmed, source_authority_key FROM rel",
     "intel_event_class": f"WITH {ITEMS_SQL},{_REL_SQL},{_EVENT_SQL} SELECT pos, topic_event_type, topic_event_score, array_to_string(entity_hits, ',') AS entity_hits, array_to_string(action_hits, ',') AS action_hits, array_to_string(evidence_hits, ',') AS evidence_hits FROM ev",
     "intel_relevance": f"{_ALL} SELECT pos, relevant, topic_match_count::INT AS topic_match_count, topic_news_match_count::INT AS topic_news_match_count, topic_low_signal, topic_promotional, community_allowed, round(topic_quality_score, 6) AS topic_quality_score FROM q",

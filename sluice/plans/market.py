@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import MarketSettings
 from ..functions import numeric as N
 from ..operators import market as M
+from ..operators import report as R
 from ..sources import frames as S
 
 #: The tables hold an event every few minutes, so windows are one and two days, on daily instants.
@@ -85,6 +86,21 @@ def market_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.streaks(metrics(spark, sf_dir).select("symbol", "w", "t", "state"))
 
 
+def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Judged windows with streaks, in numbers of six decimals, and the strongest of each instant."""
+    rows = M.judged(M.streaks(metrics(spark, sf_dir)), SETTINGS.thresholds)
+    return rounded(rows), M.strongest_windows(rows)
+
+
+def market_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = R.projected(_read(spark, sf_dir)[0])
+    return shown.select("symbol", "t", "w", "window_label", *[c for c in shown.columns if c.endswith("_text")])
+
+
+def market_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.report(*_read(spark, sf_dir))
+
+
 def market_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.sampled(M.book_samples(S.book(spark, sf_dir)), 600.0))
 
@@ -232,9 +248,39 @@ def rounded_sql(body: str, doubles: str, rest: str, source: str) -> str:
 
 _METRIC_DOUBLES = "total_quote buy_quote sell_quote balance switch_rate interval_cv top_size_rate top5_size_rate top_notional_rate top5_notional_rate churn_per_second refill_per_minute twap_depth twap_slippage depth slippage median_volume median_trades volume_ratio trade_ratio price_return vol_to_depth vol_to_twap_depth warmup score"
 
-QUERIES = {f.__name__: f for f in (market_trades, market_flow, market_concentration, market_baseline, book_refills, book_windows, book_asof, market_window_metrics, market_judgement, market_strongest_window, market_overview, market_streaks, market_samples, book_levels, book_depth, book_slippage, book_history, book_insight_windows, depth_sequence, market_format)}
+def _two(x: str, places: int = 2) -> str:
+    """The shortest decimal text of a double, rounded half up, as Spark's format_string does."""
+    return f"printf('%.{places}f', CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), {places}) AS DOUBLE))"
+
+
+def _short(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN 'n/a' WHEN {x} >= 1e9 THEN {_two(f'{x} / 1e9')} || 'B' WHEN {x} >= 1e6 THEN {_two(f'{x} / 1e6')} || 'M' WHEN {x} >= 1e3 THEN {_two(f'{x} / 1e3')} || 'K' ELSE {_two(x)} END"
+
+
+def _times(x: str) -> str:
+    return f"CASE WHEN isinf({x}) THEN 'inf' ELSE {_two(f'CASE WHEN isinf({x}) THEN 0 ELSE {x} END')} || 'x' END"
+
+
+_TEXTS = {c: _short(c) for c in "total_quote buy_quote sell_quote twap_depth depth median_volume".split()} | {c: _times(c) for c in "volume_ratio trade_ratio vol_to_depth vol_to_twap_depth".split()} | {c: _two(f"{c} * 100") + " || '%'" for c in "price_return slippage twap_slippage top_size_rate top5_size_rate top_notional_rate top5_notional_rate".split()}
+_TEXTS |= {"interval_cv": _two("interval_cv"), "streak_seconds": "CASE WHEN streak_seconds >= 3600 THEN printf('%dh%02dm%02ds', streak_seconds // 3600, streak_seconds % 3600 // 60, streak_seconds % 60) WHEN streak_seconds >= 60 THEN printf('%dm%02ds', streak_seconds // 60, streak_seconds % 60) ELSE printf('%ds', streak_seconds) END"}
+_SHOWN = f"""{_JUDGE},
+k0 AS (SELECT *, lag(state) OVER (PARTITION BY symbol, w ORDER BY t) AS ps FROM judged), k1 AS (SELECT *, max(CASE WHEN ps IS NULL OR ps <> state THEN t END) OVER (PARTITION BY symbol, w ORDER BY t) AS since FROM k0),
+k2 AS (SELECT * REPLACE ({", ".join(f"round({c}, 6) AS {c}" for c in _METRIC_DOUBLES.split())}), CAST(CASE WHEN state IN ('TWO_SIDED_ACTIVE', 'SUSPECTED_WASH_LIKE') THEN t - since ELSE 0 END AS BIGINT) AS streak_seconds FROM k1),
+shown AS (SELECT *, {", ".join(f"{x} AS {c}_text" for c, x in _TEXTS.items())} FROM k2),
+body AS (SELECT *, lpad(window_label, 4, ' ') || ' state=' || state || ' score=' || {_two("score", 1)} || ' streak=' || streak_seconds_text || ' verdict=' || level || chr(10)
+  || '    quote=' || total_quote_text || ' (' || volume_ratio_text || '), buy=' || buy_quote_text || ', sell=' || sell_quote_text || ', balance=' || {_two("balance")} || chr(10)
+  || '    trades=' || trade_count || ' (' || trade_ratio_text || '), switch_rate=' || {_two("switch_rate")} || ', move=' || price_return_text || ', book_churn=' || {_two("churn_per_second")} || '/s, refill=' || {_two("refill_per_minute")} || '/min' || chr(10)
+  || '    vol/depth=' || vol_to_depth_text || ', size_top1=' || top_size_rate_text || ' (' || top_size || '), size_top5=' || top5_size_rate_text || chr(10)
+  || '    vol/tw_depth=' || vol_to_twap_depth_text || ', tw_slip=' || twap_slippage_text || ', gap_cv=' || interval_cv_text || ', notional_top1=' || top_notional_rate_text || ' (' || top_notional || ')' || chr(10)
+  || '    two_sided=' || two_sided || ' | price_stuck=' || price_stuck || ' | mechanical=' || mechanical AS body FROM shown)"""
+
+
+QUERIES = {f.__name__: f for f in (market_trades, market_flow, market_concentration, market_baseline, book_refills, book_windows, book_asof, market_window_metrics, market_judgement, market_strongest_window, market_overview, market_streaks, market_projections, market_report, market_samples, book_levels, book_depth, book_slippage, book_history, book_insight_windows, depth_sequence, market_format)}
 
 ORACLES = {
+    "market_projections": f"{_SHOWN} SELECT symbol, t, w, window_label, {', '.join(c + '_text' for c in _TEXTS)} FROM shown",
+    "market_report": f"""{_SHOWN} SELECT b.symbol, b.t, 'symbol=' || b.symbol || ' overall=' || any_value(s.level) || ' (' || any_value(s.window_label) || ')' || chr(10) || CASE WHEN min(median_trades) IS NULL THEN 'baseline_1m=warming_up' ELSE 'baseline_1m=median_quote=' || min(median_volume_text) || ', median_trades=' || {_two("min(median_trades)", 0)} END || chr(10) || string_agg(body, chr(10) ORDER BY b.w) AS report
+  FROM body b JOIN strongest s ON s.symbol = b.symbol AND s.t = b.t GROUP BY b.symbol, b.t""",
     "market_trades": rounded_sql(f"WITH {_TRADES}", "ts price qty quote_qty", "symbol, seq, side, qty_text", "trades"),
     "market_flow": rounded_sql(f"WITH {_TRADES},{_FLOW}", "total_quote buy_quote sell_quote balance switch_rate interval_cv first_price last_price", "symbol, w, t, trade_count, switches", "flow"),
     "market_concentration": rounded_sql(f"WITH {_TRADES},{_CONC}", "top_size_rate top5_size_rate top_notional_rate top5_notional_rate", "symbol, w, t, top_size, top_notional", "conc"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import delivery as D
 from ..operators import ops as O
+from ..operators import records
 from ..sources.frames import table
 
 NOW = 1_706_572_800  # the end of the tables' events
@@ -148,6 +149,24 @@ def ops_delivery_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.standing(D.outcomes(_delivery_log(spark, sf_dir)))
 
 
+def ops_history_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loose history rows of orders, one in eleven null, put in form."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    at = F.when(k % 4 == 0, F.concat(F.lit(" "), k.cast("string"))).when(k % 4 == 1, "soon").when(k % 4 == 2, (-k).cast("string"))
+    entry = F.struct(at.alias("captured_at"), F.when(k % 6 != 0, F.array("o_orderpriority", F.lit(" "), F.lit(None).cast("string"), F.lit(" X "))).alias("alert_codes"), F.when(k % 3 == 0, "WARN ").when(k % 3 == 1, " ").alias("level"), F.upper("o_orderstatus").alias("source"))
+    rows = records.coerced_history(o.select(k.alias("run"), F.when(k % 11 != 0, entry).alias("entry")))
+    return rows.select("run", "captured_at", F.array_join("alert_codes", ",").alias("codes"), "level", "source")
+
+
+def ops_task_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tasks whose results are JSON texts, whole, empty, broken or absent."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    result = F.when(k % 5 == 0, F.format_string('{"digest_date": "2024-01-%02d", "counts": {"x": %d}, "build_stats": {"timings_ms": {"rank": %d}}}', k % 28 + 1, k, k * 2)).when(k % 5 == 1, "{}").when(k % 5 == 2, '{"counts": {"x"').when(k % 5 == 3, '{"digest_date": "2024-02-01"}')
+    tasks = o.select(k.alias("id"), F.when(k % 8 != 0, F.concat(F.lit(" "), F.upper("o_orderstatus"))).alias("status"), F.when(k % 2 == 0, k % 4 == 0).alias("final"), F.when(k % 9 == 0, k % 18 != 0).alias("respect_sent"), result.alias("result"))
+    one = lambda m, key: F.try_element_at(m, F.lit(key))
+    return records.task_results(tasks).select("id", "status", "final", "respect_sent", "has_result", "result_digest_date", one("result_counts", "x").alias("n"), one("result_timings_ms", "rank").alias("ms"))
+
+
 #: The rule as a machine that takes the rows of each channel one by one.
 _DELIVERIES = """
 dl AS (SELECT user_id AS channel, event_id AS seq, strftime(ts, '%Y-%m-%d') AS day, CASE event_type WHEN 'view' THEN 'failed' WHEN 'error' THEN 'sending' WHEN 'signup' THEN 'sent_not_committed' WHEN 'click' THEN 'committed' ELSE CASE WHEN event_id % 5 < 2 THEN 'confirm' WHEN event_id % 5 < 4 THEN 'clear' ELSE 'note' END END AS kind, event_id % 10 < 7 AS due, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
@@ -158,9 +177,12 @@ mc AS (SELECT channel, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS day
     SELECT d.channel, d.n, d.seq, d.kind, d.due, m.sent, CASE WHEN d.kind IN ('confirm', 'clear', 'note') THEN m.day ELSE d.day END AS day, CASE WHEN d.kind NOT IN ('confirm', 'clear', 'note') AND d.day IS DISTINCT FROM m.day THEN NULL ELSE m.pending END AS pending FROM mc m JOIN dl d ON d.channel = m.channel AND d.n = m.n + 1))) x)"""
 
 
-QUERIES = {f.__name__: f for f in (ops_alerts, ops_alert_order, ops_levels, ops_trend, ops_trend_summary, ops_source_totals, ops_delivery_window, ops_next_slot, ops_history, ops_registry, ops_parsed_times, ops_source_mix, ops_silent_topics, ops_tasks, ops_batches, ops_symbols, ops_delivery_outcomes, ops_delivery_standing)}
+QUERIES = {f.__name__: f for f in (ops_alerts, ops_alert_order, ops_levels, ops_trend, ops_trend_summary, ops_source_totals, ops_delivery_window, ops_next_slot, ops_history, ops_registry, ops_parsed_times, ops_source_mix, ops_silent_topics, ops_tasks, ops_batches, ops_symbols, ops_delivery_outcomes, ops_delivery_standing, ops_history_entries, ops_task_results)}
 
 ORACLES = {
+    "ops_history_entries": "SELECT o_orderkey AS run, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey ELSE 0 END::BIGINT AS captured_at, CASE WHEN o_orderkey % 6 <> 0 THEN lower(trim(o_orderpriority)) || ',x' ELSE '' END AS codes, CASE WHEN o_orderkey % 3 = 0 THEN 'warn' ELSE 'ok' END AS level, lower(o_orderstatus) AS source FROM orders WHERE o_orderkey % 11 <> 0",
+    "ops_task_results": """SELECT o_orderkey AS id, lower(o_orderstatus) AS status, o_orderkey % 2 = 0 AND o_orderkey % 4 = 0 AS final, CASE WHEN o_orderkey % 9 = 0 THEN o_orderkey % 18 <> 0 ELSE o_orderkey % 2 = 0 AND o_orderkey % 4 = 0 END AS respect_sent, o_orderkey % 5 IN (0, 3) AS has_result,
+  CASE o_orderkey % 5 WHEN 0 THEN printf('2024-01-%02d', o_orderkey % 28 + 1) WHEN 3 THEN '2024-02-01' ELSE '' END AS result_digest_date, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey END AS n, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey * 2 END AS ms FROM orders WHERE o_orderkey % 8 <> 0""",
     "ops_delivery_outcomes": f"WITH RECURSIVE {_DELIVERIES} SELECT channel, seq, CASE WHEN kind <> 'note' THEN day END AS day_of, before, outcome FROM mc WHERE n > 0",
     "ops_delivery_standing": f"""WITH RECURSIVE {_DELIVERIES}, la AS (SELECT channel, max(n) AS n FROM mc GROUP BY channel), ag AS (SELECT channel, count_if(outcome IN ('sending', 'sent_not_committed', 'committed', 'failed')) AS attempts, count_if(outcome = 'held') AS held_back, count_if(outcome = 'failed') AS failures, coalesce(arg_max(outcome, n) FILTER (outcome IN ('sending', 'sent_not_committed', 'committed', 'failed')) = 'failed', false) AS failed_last FROM mc GROUP BY channel)
   SELECT mc.channel, sent AS last_sent_day, CASE WHEN pending IS NOT NULL THEN day END AS pending_day, pending, attempts, held_back, failures, failed_last FROM mc JOIN la USING (channel, n) JOIN ag USING (channel)""",
