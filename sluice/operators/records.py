@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.values import filled, whole
+from ..sources.shared import checkpointed
 from . import intel as I
 from .vocabulary import Vocabulary
 
@@ -46,9 +47,12 @@ def laid_out(rows: DataFrame, source: str, label: str = "RSS") -> DataFrame:
 
 
 def topic_records(frames: dict[str, DataFrame], vocabulary: Vocabulary, label: str = "RSS") -> DataFrame:
-    """Items of all sources that say something and are relevant to their topic, with what relevance adds."""
+    """Items of all sources that say something and are relevant to their topic, with what relevance adds.
+
+    The items are written once: relevance reads the text many times, and each would decode it anew.
+    """
     items = reduce(DataFrame.unionByName, [laid_out(rows, source, label) for source, rows in frames.items()])
-    return I.with_relevance(items.where(~T.url_only(F.col("text"))), vocabulary).where("relevant")
+    return I.with_relevance(checkpointed(items.where(~T.url_only(F.col("text")))), vocabulary).where("relevant")
 
 
 def _where_blank(rows: DataFrame, key: str, columns: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
