@@ -34,6 +34,7 @@ class Vocabulary:
     stopwords: list[str]
     entity_aliases: dict[str, str] = field(default_factory=dict)
     action_aliases: dict[str, str] = field(default_factory=dict)
+    noise: list[str] = field(default_factory=list)  # words that say nothing about an event, beside the stopwords
 
     def lists(self) -> dict[str, list[str]]:
         """All term lists by name: topic/keywords, /news, /promotion, /core (the first two) and topic/place/part of each profile."""

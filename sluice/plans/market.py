@@ -10,6 +10,7 @@ from ..functions import numeric as N
 from ..operators import market as M
 from ..operators import report as R
 from ..sources import frames as S
+from ..sources.shared import checkpointed
 
 #: The tables hold an event every few minutes, so windows are one and two days, on daily instants.
 STEP = 86_400
@@ -87,8 +88,8 @@ def market_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Judged windows with streaks, in numbers of six decimals, and the strongest of each instant."""
-    rows = M.judged(M.streaks(metrics(spark, sf_dir)), SETTINGS.thresholds)
+    """Judged windows with streaks, in numbers of six decimals, and the strongest of each instant; both read one checkpoint."""
+    rows = checkpointed(M.judged(M.streaks(checkpointed(metrics(spark, sf_dir))), SETTINGS.thresholds))
     return rounded(rows), M.strongest_windows(rows)
 
 

@@ -60,3 +60,13 @@ def test_task_results_and_history(spark):
     entry = "struct<captured_at:string, alert_codes:array<string>, level:string, source:string>"
     rows = spark.createDataFrame([(1, ("7.9", [" A", "", None], None, "Web")), (2, None), (3, (None, None, " Warn", None))], f"run long, entry {entry}")
     assert [tuple(r) for r in R.coerced_history(rows).orderBy("run").collect()] == [(1, 7, ["a"], "ok", "web"), (3, 0, [], "warn", "")]
+
+
+def test_noise_words_are_no_context(spark):
+    from dataclasses import replace
+
+    from sluice.operators import intel as I
+
+    row = spark.createDataFrame([("t", "launch", "alpha alpha today update update update", "", "", "", [], [], [])], "topic string, topic_event_type string, text string, source_domain string, external_domain string, author string, entity_hits array<string>, action_hits array<string>, evidence_hits array<string>")
+    terms = lambda v: I.with_identity(row, v).head().identity_terms
+    assert terms(WORDS) == ["launch", "update", "alpha"] and terms(replace(WORDS, noise=["update"])) == ["launch", "alpha", "today"]
