@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,8 +37,23 @@ def bucketed(x: Column, step: Column) -> Column:
     return F.rint(x / step) * step
 
 
+def settled(x: Column) -> Column:
+    """x to ten decimals: a quotient or product that binary noise left just below a tie is the tie again."""
+    return F.round(x, 10)
+
+
 def short_number(x: Column) -> Column:
-    return F.when(x >= 1e9, F.format_string("%.2fB", x / 1e9)).when(x >= 1e6, F.format_string("%.2fM", x / 1e6)).when(x >= 1e3, F.format_string("%.2fK", x / 1e3)).otherwise(F.format_string("%.2f", x))
+    return _short(x, lambda quotient: quotient)
+
+
+def short_settled(x: Column) -> Column:
+    """``short_number`` of settled quotients."""
+    return _short(x, settled)
+
+
+def _short(x: Column, form: Callable[[Column], Column]) -> Column:
+    part = lambda unit, by: F.format_string(f"%.2f{unit}", form(x / by))
+    return F.when(x >= 1e9, part("B", 1e9)).when(x >= 1e6, part("M", 1e6)).when(x >= 1e3, part("K", 1e3)).otherwise(F.format_string("%.2f", x))
 
 
 def ratio_text(x: Column) -> Column:
@@ -44,7 +61,12 @@ def ratio_text(x: Column) -> Column:
 
 
 def percent_text(x: Column) -> Column:
-    return F.format_string("%.2f%%", x * 100)
+    return hundredths_text(x * 100)
+
+
+def hundredths_text(x: Column) -> Column:
+    """``percent_text`` of what is in hundredths already."""
+    return F.format_string("%.2f%%", x)
 
 
 def duration_text(seconds: Column) -> Column:

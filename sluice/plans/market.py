@@ -145,7 +145,7 @@ def market_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = S.table(spark, sf_dir, "orders")
     x, s = F.col("o_totalprice"), F.col("o_orderkey")
     return o.select(
-        "o_orderkey", N.short_number(x).alias("short"), N.ratio_text(x / 1000).alias("ratio"), N.percent_text(x / 1e6).alias("percent"), N.duration_text(s).alias("duration"), N.window_text(s * 60).alias("label"),
+        "o_orderkey", N.short_settled(x).alias("short"), N.ratio_text(N.settled(x / 1000)).alias("ratio"), N.hundredths_text(N.settled(x / 1e6 * 100)).alias("percent"), N.duration_text(s).alias("duration"), N.window_text(s * 60).alias("label"),
         F.round(N.nice_step(x), 6).alias("nice"), F.round(N.bucket_step(x / 1e4), 6).alias("step"), F.round(N.bucketed(x, F.lit(500.0)), 6).alias("bucket"), F.round(N.clamp(x, 100, 200000), 6).alias("clamped"),
     )
 
