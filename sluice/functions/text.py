@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -15,17 +16,26 @@ HAN = r"[\x{4e00}-\x{9fff}]"
 URL = r"https?://\S+"
 
 
+def once(x: Column, form: Callable[[Column], Column]) -> Column:
+    """``form(x)`` with x computed once, however often the form names it."""
+    return F.get(F.transform(F.array(x), form), F.lit(0))
+
+
 def stripped(x: Column) -> Column:
-    """Null as empty, white space of any script cut from both ends."""
-    return F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", "")
+    """Null as empty, white space of any script cut from both ends; only texts that begin or end with some are searched."""
+    ends = lambda t: F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1))
+    return once(F.coalesce(x, F.lit("")), lambda t: F.when(ends(t).rlike(r"(?U)\s"), F.regexp_replace(t, r"(?U)^\s+|\s+$", "")).otherwise(t))
 
 
 def unescaped(x: Column) -> Column:
     """The five XML entities and the no-break space."""
-    out = stripped(x)
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    return out
+
+    def plain(out: Column) -> Column:
+        for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+            out = F.replace(out, F.lit(entity), F.lit(character))
+        return out
+
+    return once(stripped(x), lambda t: F.when(F.contains(t, F.lit("&")), plain(t)).otherwise(t))
 
 
 #: A character reference as HTML reads it: decimal, hexadecimal or named, the semicolon left out or not.
@@ -71,12 +81,21 @@ def escaped(x: Column) -> Column:
 
 
 def collapsed(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.trim(F.regexp_replace(x, r"[\t\n\x0B\f\r]\s*| \s+", " "))  # single spaces stay, so they are no matches
+
+
+def _without_urls(x: Column) -> Column:
+    return once(x, lambda t: F.when(F.contains(t, F.lit("://")), F.regexp_replace(t, URL, " ")).otherwise(t))
 
 
 def searchable(*parts: Column) -> Column:
     """Parts joined, lower-cased, without URLs, spaces collapsed."""
-    return collapsed(F.regexp_replace(F.lower(F.concat_ws(" ", *[unescaped(p) for p in parts])), URL, " "))
+    return collapsed(_without_urls(F.lower(F.concat_ws(" ", *[unescaped(p) for p in parts]))))
+
+
+def plain_text(x: Column) -> Column:
+    """Lower case without URLs."""
+    return _without_urls(F.lower(unescaped(x)))
 
 
 def without_html(x: Column, whole: bool = False) -> Column:
@@ -106,9 +125,15 @@ def low_signal(x: Column) -> Column:
 
     Fixed values: the patterns of mentions and punctuation, and the two lengths.
     """
-    clean = unescaped(x)
-    core = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(clean, URL, " "), r"@[A-Za-z0-9_]{1,32}", " "), r"\s+", ""), r"[-—_~`!@#$%^&*()+=\[\]{}|\\:;\"'，。！？、,.<>/?]+", "")
-    return (F.length(core) < 8) | (clean.rlike(URL) & (F.length(core) < 15))
+
+    def core(clean: Column) -> Column:
+        return F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(clean, URL, " "), r"@[A-Za-z0-9_]{1,32}", " "), r"\s+", ""), r"[-—_~`!@#$%^&*()+=\[\]{}|\\:;\"'，。！？、,.<>/?]+", ""))
+
+    def low(clean: Column) -> Column:
+        return once(core(clean), lambda n: (n < 8) | (clean.rlike(URL) & (n < 15)))
+
+    # a cut address or reference leaves at most ten letters of its own, so a start with 32 says enough
+    return once(unescaped(x), lambda t: F.when((F.length(t) > 400) & (core(F.substring(t, 1, 400)) >= 32), False).otherwise(low(t)))
 
 
 def has_han(x: Column) -> Column:
@@ -131,6 +156,7 @@ def needs_translation(x: Column) -> Column:
 
 #: Phrases of hype.
 HYPE = r"(?<![a-z0-9])(?:buy now|lfg|100x|altseason|bag(?:ged)?|smart ones|chase later)(?![a-z0-9])"
+_HYPE_PARTS = ("buy now", "lfg", "100x", "altseason", "bag", "smart ones", "chase later")
 
 
 def promotional_marks(text: Column) -> Column:
@@ -138,8 +164,15 @@ def promotional_marks(text: Column) -> Column:
 
     Fixed values: the patterns and how many of each it takes.
     """
-    counted = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    return text.rlike(HYPE) | text.rlike(r"\b0x[a-f0-9]{8,}\b") | (counted("@") >= 3) | (counted(r"#[a-z0-9_]{2,}") >= 4) | (counted(r"\$[a-z][a-z0-9_]{1,9}") >= 2)
+    has = lambda t, part: F.contains(t, F.lit(part))
+    counted = lambda t, pattern: F.regexp_count(t, F.lit(pattern))
+
+    def marks(t: Column) -> Column:
+        hype = reduce(lambda a, b: a | b, [has(t, part) for part in _HYPE_PARTS]) & t.rlike(HYPE)
+        wallet = has(t, "0x") & t.rlike(r"\b0x[a-f0-9]{8,}\b")
+        return hype | wallet | (has(t, "@") & (counted(t, "@") >= 3)) | (has(t, "#") & (counted(t, r"#[a-z0-9_]{2,}") >= 4)) | (has(t, "$") & (counted(t, r"\$[a-z][a-z0-9_]{1,9}") >= 2))
+
+    return once(text, marks)
 
 
 def promotional(text: Column, terms: list[str]) -> Column:
@@ -184,10 +217,10 @@ def keyword_hits(text: Column, terms: Iterable[str]) -> Column:
         known = F.create_map(*[x for v, ts in plural.items() for x in (F.lit(v), F.array(*[F.lit(t) for t in ts]))])
         met = F.array_intersect(words(text), F.array(*[F.lit(v) for v in forms]))
         parts.append(F.flatten(F.transform(met, lambda w: F.element_at(known, w))))
-    phrase = lambda t: text.rlike(r"(?<![a-z0-9])" + r"\s+".join(t.split(" ")) + r"(?![a-z0-9])") if is_phrase(t) else text.contains(t)
-    other = [F.when(phrase(t), F.lit(t)) for t in wanted if not is_word(t)]
+    phrase = lambda x, t: x.contains(t.split(" ")[0]) & x.rlike(r"(?<![a-z0-9])" + r"\s+".join(t.split(" ")) + r"(?![a-z0-9])") if is_phrase(t) else x.contains(t)
+    other = [t for t in wanted if not is_word(t)]
     if other:
-        parts.append(F.array_compact(F.array(*other)))
+        parts.append(once(text, lambda x: F.array_compact(F.array(*[F.when(phrase(x, t), F.lit(t)) for t in other]))))
     return F.array_sort(F.array_distinct(F.concat(*parts))) if parts else F.array().cast("array<string>")
 
 
@@ -199,8 +232,7 @@ def dedupe_key(url: Column, source: Column, item_id: Column, text: Column) -> Co
 
 def event_tokens(text: Column, stopwords: list[str]) -> Column:
     """Distinct ASCII tokens of three or more without stopwords, and Han runs of two to four."""
-    clean = F.regexp_replace(F.lower(unescaped(text)), URL, " ")
-    latin = F.array_except(F.array_distinct(F.regexp_extract_all(clean, F.lit("[a-z0-9_]{3,}"), F.lit(0))), F.array(*[F.lit(s) for s in stopwords]))
+    latin = F.array_except(F.array_distinct(F.regexp_extract_all(plain_text(text), F.lit("[a-z0-9_]{3,}"), F.lit(0))), F.array(*[F.lit(s) for s in stopwords]))
     return F.array_union(latin, F.array_distinct(F.regexp_extract_all(unescaped(text), F.lit(HAN + "{2,4}"), F.lit(0))))
 
 

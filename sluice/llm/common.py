@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import lean_batches  # noqa: F401
+
 #: Bytes that separate words, as a Java regular expression class.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -86,14 +88,6 @@ def joined_small(df: DataFrame, keys: DataFrame, on, how: str = "inner", limit:
     return df.join(F.broadcast(keys) if keys.count() <= limit else keys.hint("merge"), on, how)
 
 
-def lean_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Let Arrow batches hold at most ``rows`` rows from now on in this session (Spark's default is 10,000).
-
-    Texts may be long, and a Python worker holds a batch in several forms at once.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(rows, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
-
-
 def release_memory() -> None:
     """Give a Python worker's freed memory back to the system; idle workers live on beside the next stage's."""
     pa.default_memory_pool().release_unused()

@@ -11,7 +11,7 @@ from ..operators import intel as I
 from ..operators import records
 from ..operators.vocabulary import Profile, Topic, Vocabulary
 from ..sources.frames import table
-from ..sources.shared import checkpointed
+from ..sources.shared import checkpointed, spread
 from .market import rounded
 
 NOW = 1_700_086_400
@@ -176,22 +176,34 @@ def _first(source: str, by: str, name: str, limit: int) -> str:
 
 
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.with_relevance(items(spark, sf_dir), VOCABULARY)
+    return I.with_relevance(spread(items(spark, sf_dir), "pos"), VOCABULARY)
 
 
 def identified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.with_identity(relevant(spark, sf_dir), VOCABULARY)
 
 
+def candidates(spark: SparkSession, sf_dir: str, tokens: bool = False) -> DataFrame:
+    """All items with their key and what their texts tell, the texts left behind; identity and signals are of relevant items only.
+
+    Written once: windows and joins move narrow rows.
+    """
+    keyed = relevant(spark, sf_dir).withColumn("dedupe_key", T.dedupe_key(F.col("url"), F.col("source"), F.col("id"), F.col("text"))).drop("searchable")
+    read = keyed.withColumn("text", F.when(F.col("relevant"), F.col("text")))
+    out = I.with_signals(I.with_identity(read, VOCABULARY), VOCABULARY, NOW)
+    if tokens:
+        out = out.withColumn("tokens", T.event_tokens(F.col("text"), VOCABULARY.stopwords))
+    return checkpointed(out.drop("text"))
+
+
 def ranked(spark: SparkSession, sf_dir: str, greedy: bool = False) -> DataFrame:
     """Relevant items, the first of each key with the hits and span of its repeats, clustered by identity or greedily, ranked by topic."""
     repeats, cluster = Window.partitionBy("topic", "dedupe_key"), Window.partitionBy("topic", "cluster_id")
-    keyed = identified(spark, sf_dir).withColumn("dedupe_key", T.dedupe_key(F.col("url"), F.col("source"), F.col("id"), F.col("text")))
     span = F.round((F.max("captured_at").over(repeats) - F.min("captured_at").over(repeats)) / 3600.0, 2)
-    keyed = keyed.withColumns({"window_hits": F.count(F.lit(1)).over(repeats), "window_span_hours": span})
-    one = I.with_signals(I.first_of_key(keyed).where("relevant"), VOCABULARY, NOW)
+    keyed = candidates(spark, sf_dir, greedy).withColumns({"window_hits": F.count(F.lit(1)).over(repeats), "window_span_hours": span})
+    one = I.first_of_key(keyed).where("relevant")
     if greedy:
-        one = checkpointed(one.withColumns({"seed": F.col("topic_quality_score") + I.source_weight() + F.sqrt("signal_hot"), "tokens": T.event_tokens(F.col("text"), VOCABULARY.stopwords)}))
+        one = checkpointed(one.withColumn("seed", F.col("topic_quality_score") + I.source_weight() + F.sqrt("signal_hot")))
         named = one.select("topic", "pos", "seed", "tokens", F.col("identity_terms").alias("terms"), F.col("identity_key").alias("key"), F.col("topic_event_type").alias("kind"))
         found = clusters.greedy_clusters(named, ["topic"]).select("pos", F.concat(F.lit("cluster-"), F.col("cluster").cast("string")).alias("cluster_id"))
         one = one.drop("seed", "tokens").join(found, "pos")
@@ -204,7 +216,7 @@ def ranked(spark: SparkSession, sf_dir: str, greedy: bool = False) -> DataFrame:
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranked candidates as a table of their own: what follows is planned from it alone."""
-    return checkpointed(ranked(spark, sf_dir).drop("text", "searchable"))
+    return checkpointed(ranked(spark, sf_dir))
 
 
 def intel_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,7 +371,7 @@ _WS = r"trim(regexp_replace({x}, '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ')"
 
 def _raw_records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Documents as raw rows of three sources, each with its own columns and gaps."""
-    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    d, n = spread(table(spark, sf_dir, "documents"), "doc_id"), F.col("doc_id")
     text = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
     topic = F.when(F.col("lang") == "en", "crypto").when(F.col("lang") == "fr", "world").when(F.col("lang") == "de", "hot").otherwise("custom").alias("topic")
     url, body = F.concat(text("https://www.site", n % 30), text(".example.com/a", n)), F.when(n % 7 != 0, F.col("text"))
@@ -377,7 +389,7 @@ def intel_topic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items as stored rows, of which some lack their event class, reliability or identity."""
-    base, n = I.with_reliability(items(spark, sf_dir), VOCABULARY), F.col("pos")
+    base, n = I.with_reliability(spread(items(spark, sf_dir), "pos"), VOCABULARY), F.col("pos")
     none = F.array().cast("array<string>")
     event = {"topic_event_type": F.when(n % 2 == 1, "stored"), "topic_event_score": F.lit(1.5), "topic_event_matched": F.lit(True), "entity_hits": none, "action_hits": none, "evidence_hits": none}
     return base.withColumns(event | {"source_role": F.when(n % 5 != 0, F.lit("kept")).otherwise(" "), "identity_key": F.when(n % 6 < 2, "key").otherwise(""), "identity_terms": F.when(n % 6 < 2, F.array(F.lit("kept")))})

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +31,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def lean_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Let Arrow batches hold at most ``rows`` rows from now on in this session (Spark's default is 10,000).
+
+    Texts may be long, and a Python worker holds a batch in several forms at once.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(rows, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+
+
+def kept(rows: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition over costly columns, each of which is computed once.
+
+    A plain filter moves below the columns that it reads, where they are computed for it a second
+    time, and what these read a third. A filter that also reads a row's number stays where it is.
+    """
+    return rows.withColumn("_row", F.monotonically_increasing_id()).where(condition & (F.col("_row") >= 0)).drop("_row")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all cores by a key: a file of few row groups is read by as few tasks, too few for work on texts."""
+    return rows.repartition(key)
+
+
 class Scratch:
     """Tables in a folder of the shared store, deleted at the end of a ``with`` block.
 
