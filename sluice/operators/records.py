@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.values import filled, whole
-from ..sources.shared import checkpointed
+from ..sources.shared import checkpointed, kept
 from . import intel as I
 from .vocabulary import Vocabulary
 
@@ -52,7 +52,8 @@ def topic_records(frames: dict[str, DataFrame], vocabulary: Vocabulary, label: s
     The items are written once: relevance reads the text many times, and each would decode it anew.
     """
     items = reduce(DataFrame.unionByName, [laid_out(rows, source, label) for source, rows in frames.items()])
-    return I.with_relevance(checkpointed(items.where(~T.url_only(F.col("text")))), vocabulary).where("relevant")
+    said = checkpointed(kept(items, ~T.url_only(F.col("text"))))
+    return kept(I.with_relevance(said, vocabulary), F.col("relevant"))
 
 
 def _where_blank(rows: DataFrame, key: str, columns: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
