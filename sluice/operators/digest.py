@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.values import filled
+from ..sources.shared import kept
 from .intel import rolled_up
 
 #: What a stored row may hold.
@@ -93,10 +94,10 @@ def section_counts(selected: DataFrame) -> DataFrame:
 
 def top_events(selected: DataFrame, by: list[str], limit: int = 3) -> DataFrame:
     """The most frequent event types of each group, ties by name, as one text."""
-    counted = selected.where("topic_event_type <> ''").groupBy(*by, "topic_event_type").agg(F.count(F.lit(1)).alias("n"))
-    kept = first_rows(counted, by, [F.desc("n"), F.asc("topic_event_type")], limit)
+    counted = kept(selected.select(*by, "topic_event_type"), F.col("topic_event_type") != "").groupBy(*by, "topic_event_type").agg(F.count(F.lit(1)).alias("n"))
+    most = first_rows(counted, by, [F.desc("n"), F.asc("topic_event_type")], limit)
     listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "topic_event_type")))
-    return kept.groupBy(*by).agg(F.array_join(F.transform(listed, lambda e: F.concat_ws(":", e["topic_event_type"], (-e["n"]).cast("string"))), ",").alias("top_events"))
+    return most.groupBy(*by).agg(F.array_join(F.transform(listed, lambda e: F.concat_ws(":", e["topic_event_type"], (-e["n"]).cast("string"))), ",").alias("top_events"))
 
 
 def role_label(role: Column) -> Column:
