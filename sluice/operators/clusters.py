@@ -1,8 +1,9 @@
 """Clusters and merges whose every choice depends on those before it: greedy clusters, fuzzy merge.
 
 Both put rows in order, and each row joins what rows before it have become, or founds something
-of its own. A group that is small is settled in one task. A larger one is settled in rounds: from the
-homes that rows have so far, each row's choice is computed anew, by joins and aggregations over
+of its own. A group that is small is settled in one task. Larger ones of greedy clusters are settled
+block by block: each block's task gets of earlier clusters what its rows may meet. Larger ones of the
+fuzzy merge are settled in rounds: from the homes that rows have so far, each row's choice is computed anew, by joins and aggregations over
 all rows at once, as if the rows before it were right. After each round at least one more row is
 right for good, in truth many are, and homes that a round leaves as they are are the rule's own:
 the first row has nothing before it, and each further one stands on rows that are right.
@@ -11,7 +12,8 @@ the first row has nothing before it, and each further one stands on rows that ar
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,8 @@ from .places import joined_narrow, with_places
 
 #: Rows of a group, and tokens of all of them, that one task may settle.
 TASK_ROWS, TASK_TOKENS = 20_000, 2_000_000
+#: Rows that a block of a larger group has at least.
+LEAST_ROWS = 16
 #: Rows of an order that one group of a walk along it spans.
 STRETCH = 1 << 14
 
@@ -90,71 +94,96 @@ def _nearest(sims: np.ndarray, kin: np.ndarray) -> tuple[int, float]:
     return at, float(sims[at])
 
 
-def _clusters_of_task(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    of_key: dict[str, int] = {}
-    index: tuple[dict, dict] = (defaultdict(set), defaultdict(set))  # token or term -> clusters
-    sizes, kinds, out = [], [], []
-    for r in rows.sort_values(["seed", "pos"], ascending=[False, True]).itertuples():
-        tokens, terms = set(r.tokens), set(r.terms)
-        common, common_terms = (Counter(c for x in own for c in known.get(x, ())) for own, known in zip((tokens, terms), index, strict=True))
-        home = of_key.get(r.key) if r.key else None
+class _Clusters:
+    """Clusters founded so far: what each key, token and term belongs to, how many tokens each has, its kinds; and what was added since."""
+
+    def __init__(self, known: Iterable[tuple[str, str, int, int]] = ()) -> None:
+        self.of_key: dict[str, int] = {}
+        self.index: dict[str, dict[str, set[int]]] = {"token": defaultdict(set), "term": defaultdict(set)}
+        self.sizes: dict[int, int] = {}
+        self.kinds: dict[int, set[str]] = defaultdict(set)
+        for what, value, cluster, n in known:
+            if what == "size":
+                self.sizes[cluster] = n
+            else:
+                self._put(what, value, cluster)
+        self.added: list[tuple[str, str, int, int]] = []
+        self.touched: set[int] = set()
+
+    def _put(self, what: str, value: str, cluster: int) -> bool:
+        """Whether the cluster did not have the value."""
+        if what == "key":
+            return self.of_key.setdefault(value, cluster) == cluster
+        held, x = (self.kinds[cluster], value) if what == "kind" else (self.index[what][value], cluster)
+        new = x not in held
+        held.add(x)
+        return new
+
+    def take(self, tokens: set[str], terms: set[str], key: str, kind: str, least: float) -> int:
+        """The cluster that an item joins or founds."""
+        home = self.of_key.get(key) if key else None
         if home is None:
-            near = sorted(common.keys() | {c for c, n in common_terms.items() if n >= 2 and r.kind and r.kind in kinds[c]})
-            sims = np.array([common[c] / (len(tokens) + sizes[c] - common[c]) if common[c] else 0.0 for c in near])
-            kin = np.array([bool(r.kind) and r.kind in kinds[c] and common_terms[c] >= 2 for c in near], bool)
+            common, common_terms = (Counter(c for x in own for c in self.index[what].get(x, ())) for own, what in ((tokens, "token"), (terms, "term")))
+            near = sorted(common.keys() | {c for c, n in common_terms.items() if n >= 2 and kind and kind in self.kinds[c]})
+            sims = np.array([common[c] / (len(tokens) + self.sizes[c] - common[c]) if common[c] else 0.0 for c in near])
+            kin = np.array([bool(kind) and kind in self.kinds[c] and common_terms[c] >= 2 for c in near], bool)
             if near:
                 place, likeness = _nearest(sims, kin)
                 c = near[place]
                 home = c if likeness >= least or common[c] >= 3 or common_terms[c] >= 2 else None
         if home is None:
-            home = len(sizes)
-            sizes.append(0)
-            kinds.append(set())
-        sizes[home] += sum(home not in index[0][x] for x in tokens)
-        for own, known in zip((tokens, terms), index, strict=True):
-            for x in own:
-                known[x].add(home)
-        if r.key:
-            of_key.setdefault(r.key, home)
-        if r.kind:
-            kinds[home].add(r.kind)
-        out.append((r.pos, home + 1))
+            home = len(self.sizes)
+            self.sizes[home] = 0
+        self.touched.add(home)
+        for what, own in (("token", tokens), ("term", terms), ("key", {key} - {""}), ("kind", {kind} - {""})):
+            new = [x for x in own if self._put(what, x, home)]
+            self.added += [(what, x, home, 0) for x in new]
+            self.sizes[home] += len(new) if what == "token" else 0
+        return home
+
+
+def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["seed", "pos"], ascending=[False, True])
+
+
+def _clusters_of_task(rows: pd.DataFrame, least: float) -> pd.DataFrame:
+    found = _Clusters()
+    out = [(r.pos, found.take(set(r.tokens), set(r.terms), r.key, r.kind, least) + 1) for r in _ordered(rows).itertuples()]
     return pd.DataFrame(out, columns=["pos", "cluster"])
 
 
-def _clusters_in_rounds(items: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """(pos, cluster) of items (g, pos, seed, tokens, terms, key, kind) of groups of any size."""
-    rows = scratch.table(with_places(items, ["g"], [F.desc("seed"), F.asc("pos")], "ord"))
-    flat = lambda c: scratch.table(rows.select("g", "ord", F.explode(F.array_distinct(c)).alias("value")))
-    tokens, terms, kinds = flat("tokens"), flat("terms"), rows.where("kind <> ''").select("g", "ord", F.col("kind").alias("value"))
-    own = rows.select("g", "ord", F.size(F.array_distinct("tokens")).alias("own"))
-    keyed = rows.where("key <> ''").select("g", "ord", "key")
-    firsts = scratch.table(keyed.join(keyed.groupBy("g", "key").agg(F.min("ord").alias("first")), ["g", "key"]).where("first < ord").select("g", "ord", "first"))
+def _clusters_in_blocks(items: DataFrame, least: float, task_rows: int, scratch: Scratch) -> DataFrame:
+    """(pos, cluster) of items (g, pos, seed, tokens, terms, key, kind) of groups of any size.
 
-    def choose(homes: DataFrame) -> DataFrame:
-        by_key = firsts.join(homes.select("g", F.col("ord").alias("first"), F.col("home").alias("at_key")), ["g", "first"]).drop("first")
-        since = scratch.table(_since(tokens, homes))
-        known = _common(terms, _since(terms, homes), "terms").where("terms >= 2")
-        kin = known.join(kinds, ["g", "ord"]).join(_since(kinds, homes), ["g", "home", "value"]).where("since < ord").select("g", "ord", "home", F.lit(True).alias("kin"))
-        near = _common(tokens, since, "common").join(known, ["g", "ord", "home"], "full").join(kin, ["g", "ord", "home"], "left").where("common IS NOT NULL OR kin")
-        steps = since.groupBy("g", "home", F.col("since").alias("ord")).agg(F.count(F.lit(1)).alias("added"))
-        sized = _before(steps, near.withColumns({"common": F.coalesce("common", F.lit(0)), "kin": F.coalesce("kin", F.lit(False))})).join(own, ["g", "ord"])
-        sized = scratch.table(sized.withColumn("sim", F.when(F.col("common") > 0, F.col("common") / (F.col("own") + F.col("size") - F.col("common"))).otherwise(0.0)))
-        last = sized.groupBy("g", "ord").agg(F.max(F.when(F.col("kin"), F.col("home"))).alias("last"))
-        held = sized.join(last, ["g", "ord"])
-        upto = F.max(F.when(F.col("home") <= F.col("last"), F.col("sim"))).alias("upto")
-        floors = held.groupBy("g", "ord").agg(F.when(F.max("last").isNotNull(), F.greatest(F.lit(0.72), upto)).alias("floor"))
-        late = F.col("last").isNull() | ((F.col("home") > F.col("last")) & (F.col("sim") > F.col("floor")))
-        best = held.join(floors, ["g", "ord"]).groupBy("g", "ord").agg(
-            F.max_by(F.struct("home", "sim", "common", "terms"), F.when(late, F.struct("sim", -F.col("home")))).alias("b"), F.max("last").alias("last"))
-        fits = (F.col("b.sim") >= least) | (F.col("b.common") >= 3) | (F.coalesce("b.terms", F.lit(0)) >= 2)
-        joins = best.select("g", "ord", F.when(F.col("last").isNotNull(), F.coalesce("b.home", "last")).when(fits, F.col("b.home")).alias("near"))
-        return homes.select("g", "ord").join(by_key, ["g", "ord"], "left").join(joins, ["g", "ord"], "left").select("g", "ord", F.coalesce("at_key", "near", "ord").alias("home"))
-
-    homes = _settled(rows.select("g", "ord", F.col("ord").alias("home")), choose, scratch)
-    founded = with_places(homes.where("ord = home").select("g", "home"), ["g"], ["home"], "cluster")
-    named = homes.join(scratch.table(founded), ["g", "home"]).join(rows.select("g", "ord", "pos"), ["g", "ord"])
-    return named.select("pos", (F.col("cluster") + 1).cast("int").alias("cluster"))
+    The rule is a chain, so blocks of rows in its order follow one another; those of all groups go
+    on side by side. What a block's rows may meet of the clusters before it is found by a join
+    over all that these know, and only that comes into the block's task.
+    """
+    per = F.greatest(F.lit(LEAST_ROWS), F.floor(F.least(F.lit(task_rows), TASK_TOKENS * F.count(F.lit(1)) / F.greatest(F.lit(1), F.sum(F.size("tokens"))))))
+    held = checkpointed(items.groupBy("g").agg(per.alias("_per")).withColumn("gid", F.monotonically_increasing_id()))
+    placed = with_places(joined_narrow(items.select("g", "pos", "seed"), held, ["g"]).drop("g"), ["gid"], [F.desc("seed"), F.asc("pos")], "ord")
+    blocks = scratch.table(placed.select("pos", "gid", F.floor(F.col("ord") / F.col("_per")).alias("block")))
+    rows = scratch.table(items.drop("g").join(blocks, "pos").repartition("block", "gid"))
+    one = lambda what, values: F.transform(values, lambda v: F.struct(F.lit(what).alias("what"), v.alias("value")))
+    flat = F.concat(one("token", F.col("tokens")), one("term", F.col("terms")), one("key", F.array("key")), one("kind", F.array("kind")))
+
+    def settle(block: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if block.empty:
+            return pd.DataFrame({"gid": [], "what": [], "value": [], "cluster": [], "n": []}).astype({"gid": "int64", "cluster": "int64", "n": "int64"})
+        found = _Clusters(zip(known["what"], known["value"], known["cluster"], known["n"], strict=True))
+        out = [("row", "", found.take(set(r.tokens), set(r.terms), r.key, r.kind, least), r.pos) for r in _ordered(block).itertuples()]
+        out += [*found.added, *[("size", "", c, found.sizes[c]) for c in found.touched]]
+        return pd.DataFrame([(block["gid"].iloc[0], *x) for x in out], columns=["gid", "what", "value", "cluster", "n"])
+
+    schema, done = "gid long, what string, value string, cluster long, n long", []
+    for k in range((blocks.agg(F.max("block")).head()[0] or 0) + 1):
+        part = rows.where(F.col("block") == k)
+        known = reduce(DataFrame.union, done, items.sparkSession.createDataFrame([], schema))
+        wanted = part.select("gid", F.explode(flat).alias("x")).select("gid", "x.*").distinct()
+        met = known.where("what NOT IN ('row', 'size')").join(wanted, ["gid", "what", "value"], "left_semi").select("gid", "what", "value", "cluster", "n")
+        sizes = known.where("what = 'size'").groupBy("gid", "what", "value", "cluster").agg(F.max("n").alias("n"))  # they only grow
+        done.append(scratch.table(part.groupBy("gid").cogroup(met.union(sizes).groupBy("gid")).applyInPandas(settle, schema)))
+    return reduce(DataFrame.union, done).where("what = 'row'").select(F.col("n").alias("pos"), (F.col("cluster") + 1).cast("int").alias("cluster"))
 
 
 def greedy_clusters(items: DataFrame, by: list[str], least: float = 0.32, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -163,7 +192,7 @@ def greedy_clusters(items: DataFrame, by: list[str], least: float = 0.32, task_r
     ``items``: ``by``, pos, seed, tokens, terms, key, kind; pos is a key. An item whose key a cluster knows
     joins that one. Else it joins the nearest by Jaccard of its tokens with the cluster's united
     ones, if these reach ``least``, share three tokens or two terms. Groups of ``by`` with more than
-    ``task_rows`` rows, or very many tokens, are settled in rounds. A null key or kind is none;
+    ``task_rows`` rows, or very many tokens, are settled block by block. A null key or kind is none;
     null lists are empty ones.
     """
     empty = F.array().cast("array<string>")
@@ -173,7 +202,7 @@ def greedy_clusters(items: DataFrame, by: list[str], least: float = 0.32, task_r
         settle = lambda frame: _clusters_of_task(frame, least)
         out = rows.where("_small").drop("_small").groupBy("g").applyInPandas(settle, "pos long, cluster int")
         large = scratch.table(rows.where("NOT _small").drop("_small"))
-        return checkpointed(out if large.isEmpty() else out.union(_clusters_in_rounds(large, least, scratch)))
+        return checkpointed(out if large.isEmpty() else out.union(_clusters_in_blocks(large, least, task_rows, scratch)))
 
 
 # --- fuzzy merge ---
