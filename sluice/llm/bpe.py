@@ -4,7 +4,8 @@ Every byte maps to one printable character, so each vocabulary entry becomes a p
 whose score is its negative rank; the model is serialised field by field with an
 identity normaliser. Sentencepiece merges the adjacent pair of the highest score, that
 is of the lowest rank, which is what the rank file asks for. Pre-tokens come from the
-file's pattern; each is encoded once per batch and then found in a bounded table.
+file's pattern; many of them are encoded in one string, parted by a character that is no
+piece, and each is then found in a bounded table.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import fresh, lean_batches, release_memory
 
-#: Pre-tokens that a Python worker keeps with their ids; beyond it the table starts anew.
-CACHED = 60_000
+#: Pre-tokens that a Python worker keeps with their ids, and their characters; beyond either the table starts anew.
+CACHED, CACHED_CHARACTERS = 400_000, 8_000_000
+#: Pre-tokens encoded as one string, and what parts them there; UTF-8 has no such byte.
+JOINED, BETWEEN = 64, 0xFF
 
 
 def byte_characters() -> list[str]:
@@ -38,6 +41,8 @@ def read_ranks(path: str) -> list[bytes]:
     ranked = sorted((int(rank), base64.b64decode(token)) for token, rank in pairs)
     if [rank for rank, _ in ranked] != list(range(len(ranked))):
         raise ValueError("ranks must run from 0 without a gap")
+    if len({token for _, token in ranked if len(token) == 1}) < 256:
+        raise ValueError("every single byte must have a rank")
     return [token for _, token in ranked]
 
 
@@ -79,16 +84,24 @@ class Encoder:
         self.processor = sentencepiece.SentencePieceProcessor()
         self.processor.LoadFromSerializedProto(model)
         self.split = regex.compile(pattern).findall
-        self.mapped = {b: c for b, c in enumerate(byte_characters())}
+        self.mapped = {b: c for b, c in enumerate(byte_characters())} | {BETWEEN: "\x01"}  # an unknown piece, whose id is 0
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def learn(self, tokens: set[str]) -> None:
         new = list(tokens.difference(self.known))
-        if len(self.known) + len(new) > CACHED:
-            self.known, new = {}, list(tokens)
-        texts = [t.encode().decode("latin-1").translate(self.mapped) for t in new]
-        for token, ids in zip(new, self.processor.EncodeAsIds(texts) if texts else [], strict=True):
-            self.known[token] = (np.asarray(ids, np.uint32) - np.uint32(1)).astype("<u4").tobytes() if len(ids) > 6 else struct.pack(f"<{len(ids)}I", *(i - 1 for i in ids))
+        more = sum(map(len, new))
+        if len(self.known) + len(new) > CACHED or self.held + more > CACHED_CHARACTERS:
+            self.known, self.held, new = {}, 0, list(tokens)
+            more = sum(map(len, new))
+        self.held += more
+        for i in range(0, len(new), JOINED * 256):
+            part = [t.encode() for t in new[i : i + JOINED * 256]]
+            texts = [bytes([BETWEEN]).join(part[j : j + JOINED]).decode("latin-1").translate(self.mapped) for j in range(0, len(part), JOINED)]
+            ids = np.concatenate([np.array([*x, 0], np.uint32) for x in self.processor.Encode(texts, out_type=int, num_threads=1)])
+            ends = (4 * np.flatnonzero(ids == 0)).tolist()
+            raw = (ids - np.uint32(1)).astype("<u4").tobytes()
+            self.known.update((t, raw[a:b]) for t, a, b in zip(new[i : i + JOINED * 256], [0, *[e + 4 for e in ends[:-1]]], ends, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -100,6 +113,23 @@ class Encoder:
         return out
 
 
+class Decoder:
+    """The bytes of a vocabulary's ids, looked up for all ids of a text at once."""
+
+    def __init__(self, vocabulary: list[bytes]):
+        self.flat, self.sizes = np.frombuffer(b"".join(vocabulary), np.uint8), np.array([len(t) for t in vocabulary], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def decode(self, ids: bytes | None) -> bytes:
+        every, out = np.frombuffer(ids or b"", "<u4"), []
+        for i in range(0, len(every), 1 << 16):
+            part = every[i : i + (1 << 16)]
+            sizes = self.sizes[part]
+            ends = np.cumsum(sizes)
+            out.append(self.flat[np.repeat(self.starts[part] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
+
+
 def encode(documents: DataFrame, rank_file: str, pattern: str, text: str = "text") -> DataFrame:
     """Add ``token_ids`` (binary, little-endian unsigned 32-bit ids) and ``n_tokens``.
 
@@ -128,9 +158,9 @@ def decode(encoded: DataFrame, rank_file: str, ids: str = "token_ids") -> DataFr
 
     @F.arrow_udf("binary")
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = vocabulary.value.__getitem__
+        decoder = Decoder(vocabulary.value)
         for batch in batches:
-            yield pa.array([b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.to_pylist()], pa.binary())
+            yield pa.array(list(map(decoder.decode, batch.to_pylist())), pa.binary())
 
     return encoded.withColumn("decoded", bytes_of(F.col(ids)))
 
@@ -141,14 +171,15 @@ def round_trip(documents: DataFrame, rank_file: str, pattern: str, text: str = "
     The cases are those of ``encode``; a caller's columns of the three names are replaced.
     """
     lean_batches(documents.sparkSession)
-    vocabulary = documents.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
+    ranked, context = read_ranks(rank_file), documents.sparkSession.sparkContext
+    vocabulary, model = context.broadcast(ranked), context.broadcast(serialise_model(ranked))
 
     @F.arrow_udf("struct<ids:binary,decoded:binary>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder, token = Encoder(serialise_model(vocabulary.value), pattern), vocabulary.value.__getitem__
+        encoder, decoder = Encoder(model.value, pattern), Decoder(vocabulary.value)
         for batch in batches:
             ids = encoder.encode(batch.to_pylist())
-            decoded = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids]
+            decoded = list(map(decoder.decode, ids))
             yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["ids", "decoded"])
         release_memory()
 
