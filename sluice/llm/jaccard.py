@@ -5,7 +5,8 @@
    a set none of whose head is found elsewhere that often links with nothing. Of the rest's heads
    the rarest shingles, all but the last ``in_common - 1``, are keys: sets that link share one.
 2. Sets joined by keys, directly or by way of others, are a forest of their own; nothing links
-   across forests. Most forests are a few sets, which one leaf holds.
+   across forests. Most forests are a few sets, which one leaf holds. Others, which a passage that
+   many texts hold would make grow with the table, are parted anew by keys of their whole sets.
 3. A larger forest is cut into leaves of bounded size, over which nodes with OR-combined bitmaps, size
    ranges and label ranges rise, FAN to one. First each leaf is joined by itself, then the
    least sets of each label, and what is still apart is put in order of labels and descended
@@ -75,13 +76,48 @@ def forests(base: DataFrame, classes: DataFrame, percent: int, scratch: Scratch)
     met = rows.join(shared.hint("merge"), "key").groupBy("ref", "n").agg(F.collect_list(F.struct("df", "key")).alias("shared"))
     keys = met.where(F.size("shared") >= in_common(F.col("n"), percent)).withColumn("kept", (F.size("shared") - in_common(F.col("n"), percent) + 1).cast("int"))
     keyed = scratch.table(keys.select("ref", "n", F.transform(F.slice(F.array_sort("shared"), F.lit(1), F.col("kept")), lambda x: x["key"]).alias("keys")))
+    return _grown(keyed, scratch).join(classes.select("ref", "id", "n"), "ref").select("id", "n", "near", "forest")
+
+
+def _grown(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(ref, near, forest) of the rows (ref, keys) that share a key with another ref."""
     flat = keyed.select("ref", F.explode("keys").alias("key"))
     hubs = scratch.table(flat.groupBy("key").agg(F.min("ref").alias("hub"), F.max("ref").alias("_last")).where("hub < _last").select("key", "hub"))
     stars = scratch.table(flat.join(hubs.hint("merge"), "key").where("ref > hub").groupBy("ref", "hub").agg(F.count(F.lit(1)).alias("keys")))
     found = components(stars.select(F.col("ref").alias("a"), F.col("hub").alias("b")))
     nearest = stars.groupBy("ref").agg(F.max_by("hub", F.struct("keys", -F.col("hub"))).alias("near"))
-    named = found.select(F.col("id").alias("ref"), F.col("label").alias("forest")).join(nearest, "ref", "left").join(classes.select("ref", "id", "n"), "ref")
-    return named.select("id", "n", F.coalesce("near", "ref").alias("near"), "forest")
+    return found.select(F.col("id").alias("ref"), F.col("label").alias("forest")).join(nearest, "ref", "left").withColumn("near", F.coalesce("near", "ref"))
+
+
+def parted(documents: DataFrame, members: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Members (id, n, near, forest) whose forests of more than a leaf are parted anew; those that link with nothing are left out.
+
+    Two sets that link have ``percent`` of each in common, so of any one order of all shingles the first
+    ones of both, as many as are beyond that part and one more, share a shingle. Rarest first,
+    these leave out what a passage brings that many texts hold, as long as it is not most of them.
+    """
+    large = scratch.table(members.groupBy("forest").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_t")).where(~_in_one_leaf()).select("forest"))
+    if large.isEmpty():
+        return members
+    ids = scratch.table(joined_small(members, large, "forest", "left_semi").select("id").distinct())
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s.view(np.int64) for s in shingles(batch["text"].to_pylist(), words)]
+            listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch["id"], listed], ["id", "set"])
+        release_memory()
+
+    texts = joined_small(documents.select(F.col("doc_id").alias("id"), "text").where(F.length("text") > 0), ids, "id", "left_semi")
+    sets = scratch.table(texts.select("id", "text").mapInArrow(whole, "id long, set array<long>").withColumn("row", F.monotonically_increasing_id()))
+    rows = sets.select("row", F.col("id").alias("ref"), F.size("set").alias("n"), F.explode("set").alias("key"))
+    shared = scratch.table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    met = rows.join(shared.hint("merge"), "key").groupBy("row", "ref", "n").agg(F.collect_list(F.struct("df", "key")).alias("shared"))
+    kept = (F.size("shared") - F.ceil(percent * F.col("n") / 100) + 1).cast("int")  # the others of the first ones are in no other set
+    keys = F.transform(F.slice(F.array_sort("shared"), F.lit(1), F.col("kept")), lambda x: x["key"]).alias("keys")
+    grown = _grown(scratch.table(met.withColumn("kept", kept).where("kept > 0").select("ref", keys)), scratch).withColumnRenamed("ref", "id")
+    again = joined_small(members, large, "forest", "left_semi").select("id", "n").join(grown, "id").select("id", "n", "near", F.xxhash64(F.lit("part"), "forest").alias("forest"))
+    return scratch.table(joined_small(members, large, "forest", "left_anti").unionByName(again))
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -135,11 +171,15 @@ def _links(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent:
     return found, bits, over
 
 
+def _in_one_leaf() -> Column:
+    """Whether a leaf holds a forest of _m sets with _t shingles."""
+    return (F.col("_m") <= LEAF) & (F.col("_t") <= LEAF_SHINGLES)
+
+
 def _in_leaves(members: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
     """Add ``tree`` (0 where a leaf holds the forest, else by doubling sizes) and ``leaf`` to members (id, n, forest, label)."""
     held = members.groupBy("forest").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_t"))
-    whole = (F.col("_m") <= LEAF) & (F.col("_t") <= LEAF_SHINGLES)
-    dealt = members.join(scratch.table(held).hint("merge"), "forest").withColumn("tree", F.when(whole, 0).otherwise(F.length(F.bin("n")))).drop("_m", "_t")
+    dealt = members.join(scratch.table(held).hint("merge"), "forest").withColumn("tree", F.when(_in_one_leaf(), 0).otherwise(F.length(F.bin("n")))).drop("_m", "_t")
     placed = with_places(dealt, ["forest", "tree"], order, "leaf")
     room = F.greatest(F.lit(1), F.least(F.lit(LEAF), F.floor(F.lit(LEAF_SHINGLES) / F.pow(F.lit(2), F.col("tree")))))
     return placed.withColumn("leaf", F.when(F.col("tree") == 0, 0).otherwise(F.floor(F.col("leaf") / room)).cast("long"))
@@ -220,7 +260,7 @@ def _unsettled(members: DataFrame, scratch: Scratch) -> DataFrame:
 def links(documents: DataFrame, base: DataFrame, classes: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) between classes, enough to join all that link directly or by way of others."""
     edge = lambda df: df.where("a IS NOT NULL").select("a", "b")
-    all_members = scratch.table(forests(base, classes, percent, scratch)).withColumn("label", F.col("id"))
+    all_members = parted(documents, scratch.table(forests(base, classes, percent, scratch)), words, percent, scratch).withColumn("label", F.col("id"))
     leaves = scratch.table(_in_leaves(all_members, ["near", "id"], scratch))
     found = edge(_joined(documents, leaves.select("id", "label", _cell().alias("cell")), words, percent, scratch))
     members = _unsettled(_labelled(leaves, found, scratch), scratch)

@@ -96,3 +96,19 @@ def test_heads_hold_what_is_promised():
             heads = [s[: int(jaccard.head(len(s), percent))] for s in (x, y)]
             least = min((100 - percent) * -(-percent * len(s) // 100) // 200 + 1 for s in (x, y))
             assert len(np.intersect1d(*heads)) >= max((100 - percent) * -(-percent * len(s) // 100) // 200 + 1 for s in (x, y)) >= least
+
+
+def test_a_passage_of_many_texts_makes_no_large_forest(spark, monkeypatch):
+    """Texts that share a passage and do not link are not met pair by pair, leaf by leaf."""
+    monkeypatch.setattr(jaccard, "LEAF", 8)
+    dealt, join = [], jaccard._joined
+
+    def counted(documents, cells, *rest):
+        dealt.append(cells.count())
+        return join(documents, cells, *rest)
+
+    monkeypatch.setattr(jaccard, "_joined", counted)
+    passage = prose(50, 60)
+    rows = [(i, f"{passage} {prose(1000 + i // 3, 40)}{' x' * (i % 3)}") for i in range(300)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == joined(rows, 5)
+    assert sum(dealt) <= 2 * len(rows)
