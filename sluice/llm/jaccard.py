@@ -5,8 +5,9 @@
    a set none of whose head is found elsewhere that often links with nothing. Of the rest's heads
    the rarest shingles, all but the last ``in_common - 1``, are keys: sets that link share one.
 2. Sets joined by keys, directly or by way of others, are a forest of their own; nothing links
-   across forests. Most forests are a few sets, which one leaf holds. Others, which a passage that
-   many texts hold would make grow with the table, are parted anew by keys of their whole sets.
+   across forests. Most forests are two or three sets. Others, which a passage that many texts
+   hold would make grow with the table, are parted anew by keys of their whole sets. Most forests
+   that are left are a few sets, which one leaf holds.
 3. A larger forest is cut into leaves of bounded size, over which nodes with OR-combined bitmaps, size
    ranges and label ranges rise, FAN to one. First each leaf is joined by itself, then the
    least sets of each label, and what is still apart is put in order of labels and descended
@@ -35,6 +36,8 @@ from .wordhash import mix, shingles
 
 #: Sets of a leaf, and shingles of all of them; children of a node; sets of a group inside a task; longs of a bitmap.
 LEAF, LEAF_SHINGLES, FAN, GROUP, LONGS = 256, 1 << 19, 16, 16, 16
+#: Sets of a forest that is not parted anew: few enough pairs to meet as they are.
+FEW = 3
 _BITS = [f"b{i}" for i in range(LONGS)]
 
 
@@ -90,13 +93,14 @@ def _grown(keyed: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def parted(documents: DataFrame, members: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Members (id, n, near, forest) whose forests of more than a leaf are parted anew; those that link with nothing are left out.
+    """Members (id, n, near, forest) whose forests of more than FEW sets are parted anew; those that link with nothing are left out.
 
     Two sets that link have ``percent`` of each in common, so of any one order of all shingles the first
     ones of both, as many as are beyond that part and one more, share a shingle. Rarest first,
     these leave out what a passage brings that many texts hold, as long as it is not most of them.
+    Each shingle of these sets is one row, at any size of their forests.
     """
-    large = scratch.table(members.groupBy("forest").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_t")).where(~_in_one_leaf()).select("forest"))
+    large = scratch.table(members.groupBy("forest").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > FEW).select("forest"))
     if large.isEmpty():
         return members
     ids = scratch.table(joined_small(members, large, "forest", "left_semi").select("id").distinct())

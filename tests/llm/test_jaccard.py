@@ -112,3 +112,15 @@ def test_a_passage_of_many_texts_makes_no_large_forest(spark, monkeypatch):
     rows = [(i, f"{passage} {prose(1000 + i // 3, 40)}{' x' * (i % 3)}") for i in range(300)]
     assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == joined(rows, 5)
     assert sum(dealt) <= 2 * len(rows)
+
+
+def test_forests_of_one_leaf_are_parted_too(spark):
+    """What is read for the parting follows the sets in forests, not which forests outgrow a leaf."""
+    passage = prose(50, 60)
+    rows = [(i, f"{passage} {prose(1000 + i // 2 if i < 4 else 2000 + i, 40)}{' x' * (i % 2)}") for i in range(40)] + [(i, f"{prose(60, 50)} {prose(3000 + i, 40)}") for i in (90, 91)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    with jaccard.Scratch(spark) as scratch:
+        members = spark.createDataFrame([(d, n, min(d, 90), min(d, 90) // 90) for d, (n, _) in joined(rows, 5).items()], "id long, n long, near long, forest long")
+        left = jaccard.parted(documents, scratch.table(members), 5, 80, scratch).collect()
+    assert {(r.id, r.near) for r in left} == {(0, 0), (1, 0), (2, 2), (3, 2), (90, 90), (91, 90)}
+    assert len({r.forest for r in left}) == 3
