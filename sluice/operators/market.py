@@ -21,6 +21,8 @@ from .places import joined_narrow
 KEY = ["symbol", "w", "t"]
 #: Sequence numbers and seconds of a stretch of a symbol's history, the unit of work of walks along it.
 SEQ_STRETCH, TIME_STRETCH = 1 << 20, 86_400
+#: Rows up to which short stretches of a history are taken as one.
+STRETCH_ROWS = 20_000
 PRIORITY = {"high": 4, "watch": 3, "active": 2, "low": 1, "warming": 0}
 
 
@@ -207,7 +209,7 @@ def window_metrics(trades: DataFrame, book: DataFrame, candles: DataFrame, grid:
     out = _met(out, latest(book_samples(book), grid, step), ["symbol", "t"], "left")
     if updates is not None:
         worse = F.greatest(F.coalesce("slippage_buy", F.lit(0.0)), F.coalesce("slippage_sell", F.lit(0.0)))
-        now = book_insight(books_at(book_versions(updates), grid), settings.depth_band, settings.sweep_quote).select("symbol", F.col("t").cast("bigint").alias("t"), F.col("depth_min").alias("depth"), worse.alias("slippage"))
+        now = book_insight(books_at(book_versions(updates), grid, max(3600, step)), settings.depth_band, settings.sweep_quote).select("symbol", F.col("t").cast("bigint").alias("t"), F.col("depth_min").alias("depth"), worse.alias("slippage"))
         sampled_windows = insight_windows(insight_samples(updates, settings), settings.windows, step).drop("depth_samples")
         out = _met(out.drop("depth", "slippage", "twap_depth", "twap_slippage"), sampled_windows, KEY, "left")
         out = _met(out, now, ["symbol", "t"], "left")
@@ -330,9 +332,12 @@ def sampled(rows: DataFrame, spacing: float = 1.0, part: int = 3600) -> DataFram
     Order is by ts, then seq. Which rows of a stretch stay depends only on where the samples
     enter it. So each stretch of ``part`` seconds first tells, for every row at which they may enter,
     where they leave; a walk over stretches, not rows, fixes the entries; then every stretch
-    marks its own rows. ``part`` is at least ``spacing``.
+    marks its own rows. ``part`` is at least ``spacing``. Where rows are sparse a stretch is as many
+    times longer as leaves it at most STRETCH_ROWS rows: each costs a task a frame of its own.
     """
-    columns, size = rows.columns, max(part, int(np.ceil(spacing)))
+    columns, size, rows = rows.columns, max(part, int(np.ceil(spacing))), checkpointed(rows)
+    most = rows.groupBy("symbol", stretch("ts", size).alias("_part")).count().agg(F.max("count")).head()[0] or 1
+    size *= max(1, STRETCH_ROWS // most)
     dealt_rows = rows.withColumn("_part", stretch("ts", size))
 
     def leave(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -434,7 +439,8 @@ def books_at(versions: DataFrame, instants: DataFrame, bin_seconds: int = 3600)
     """The levels (symbol, t, side, price, qty) of the whole book at each instant (symbol, t), all updates up to t applied.
 
     An as-of join of intervals: versions and instants meet by bins of time, of which a version
-    covers those up to its symbol's last instant, then by their ends.
+    covers those up to its symbol's last instant, then by their ends. Bins as long as instants lie
+    apart keep a version from being dealt to bins without one.
     """
     asked = instants.select("symbol", F.col("t").cast("double").alias("t")).withColumn("_bin", F.floor(F.col("t") / bin_seconds))
     spans = checkpointed(asked.groupBy("symbol").agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi")))
@@ -475,7 +481,7 @@ def insight_samples(updates: DataFrame, settings: MarketSettings, spacing: float
     Samples lie ``spacing`` seconds or more apart; a one-sided book gives none.
     """
     taken = checkpointed(sampled(updates.groupBy("symbol", "ts").agg(F.max("seq").alias("seq")), spacing))
-    found = book_insight(books_at(book_versions(updates), taken.select("symbol", F.col("ts").alias("t"))), settings.depth_band, settings.sweep_quote)
+    found = book_insight(books_at(book_versions(updates), taken.select("symbol", F.col("ts").alias("t")), max(3600, int(spacing))), settings.depth_band, settings.sweep_quote)
     worse = F.greatest(F.coalesce("slippage_buy", F.lit(0.0)), F.coalesce("slippage_sell", F.lit(0.0)))
     return _met(taken, found.select("symbol", F.col("t").alias("ts"), F.col("depth_min").alias("depth"), worse.alias("slippage")), ["symbol", "ts"])
 

@@ -125,7 +125,7 @@ BOOK_STEP, BOOK_SPACING = 86_400, 21_600.0
 def book_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth and slippage of the whole book at the end of each day of its updates."""
     updates = S.level_updates(spark, sf_dir)
-    return rounded(M.book_insight(M.books_at(M.book_versions(updates), S.grid(updates, BOOK_STEP)), SETTINGS.depth_band, SETTINGS.sweep_quote))
+    return rounded(M.book_insight(M.books_at(M.book_versions(updates), S.grid(updates, BOOK_STEP), BOOK_STEP), SETTINGS.depth_band, SETTINGS.sweep_quote))
 
 
 def book_insight_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,3 +100,25 @@ def test_window_metrics_on_the_whole_book(spark, sf_dir):
     rows = out.collect()
     assert now and all(r.depth == pytest.approx(now[r.symbol, r.t].depth_min if (r.symbol, r.t) in now else 0.0) for r in rows)
     assert any(r.twap_depth > 0 for r in rows) and all(r.vol_to_depth == pytest.approx(r.total_quote / r.depth if r.depth > 0 else 0.0) for r in rows)
+
+
+def test_sparse_samples_take_few_stretches_and_bins(spark, monkeypatch):
+    """Sparse rows are not dealt to a stretch for each sample, nor levels to bins without one; the samples stay the greedy ones."""
+    sizes, bins, stretch, books_at = [], [], M.stretch, M.books_at
+    monkeypatch.setattr(M, "stretch", lambda column, size: sizes.append((column, size)) or stretch(column, size))
+    monkeypatch.setattr(M, "books_at", lambda versions, instants, bin_seconds=3600: bins.append(bin_seconds) or books_at(versions, instants, bin_seconds))
+    rng = random.Random(3)
+    rows = [("ab"[i % 2], i, i * 1500.0 + rng.choice([0, 40, 900]), "bid" if i % 3 else "ask", 100.0 + (i % 3 == 0) * (1 + i % 4) - i % 5 * 0.25 * (i % 3 > 0), 5.0) for i in range(400)]
+    updates, settings = spark.createDataFrame(rows, SCHEMA), MarketSettings(depth_band=BAND, sweep_quote=TARGET)
+    got = {(r.symbol, r.ts) for r in M.insight_samples(updates, settings, 21_600.0).collect()}
+    assert bins == [21_600]
+    assert max(size for column, size in sizes if column == "ts") >= 400 * 1500
+    for rows_in_one in (1, 30, 20_000):
+        monkeypatch.setattr(M, "STRETCH_ROWS", rows_in_one)
+        want, last = set(), {}
+        for s, _, ts, *_ in rows:
+            if s not in last or ts - last[s] >= 21_600.0:
+                want.add((s, ts))
+                last[s] = ts
+        assert {(r.symbol, r.ts) for r in M.sampled(updates.select("symbol", "ts", "seq"), 21_600.0).collect()} == want
+    assert got == {x for x in want if x in kept(rows, want)}
