@@ -79,17 +79,18 @@ def forests(base: DataFrame, classes: DataFrame, percent: int, scratch: Scratch)
     met = rows.join(shared.hint("merge"), "key").groupBy("ref", "n").agg(F.collect_list(F.struct("df", "key")).alias("shared"))
     keys = met.where(F.size("shared") >= in_common(F.col("n"), percent)).withColumn("kept", (F.size("shared") - in_common(F.col("n"), percent) + 1).cast("int"))
     keyed = scratch.table(keys.select("ref", "n", F.transform(F.slice(F.array_sort("shared"), F.lit(1), F.col("kept")), lambda x: x["key"]).alias("keys")))
-    return _grown(keyed, scratch).join(classes.select("ref", "id", "n"), "ref").select("id", "n", "near", "forest")
+    grown, rows = _grown(keyed, scratch)
+    return scratch.table(grown.join(classes.select("ref", "id", "n"), "ref").select("id", "n", "near", "forest"), rows)
 
 
-def _grown(keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(ref, near, forest) of the rows (ref, keys) that share a key with another ref."""
-    flat = keyed.select("ref", F.explode("keys").alias("key"))
-    hubs = scratch.table(flat.groupBy("key").agg(F.min("ref").alias("hub"), F.max("ref").alias("_last")).where("hub < _last").select("key", "hub"))
-    stars = scratch.table(flat.join(hubs.hint("merge"), "key").where("ref > hub").groupBy("ref", "hub").agg(F.count(F.lit(1)).alias("keys")))
+def _grown(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(ref, near, forest) of the rows (ref, keys) that share a key with another ref, and how many rows there are at most."""
+    rows, flat = keyed.count(), keyed.select("ref", F.explode("keys").alias("key"))
+    hubs = scratch.table(flat.groupBy("key").agg(F.min("ref").alias("hub"), F.max("ref").alias("_last")).where("hub < _last").select("key", "hub"), rows)
+    stars = scratch.table(flat.join(hubs.hint("merge"), "key").where("ref > hub").groupBy("ref", "hub").agg(F.count(F.lit(1)).alias("keys")), rows)
     found = components(stars.select(F.col("ref").alias("a"), F.col("hub").alias("b")))
     nearest = stars.groupBy("ref").agg(F.max_by("hub", F.struct("keys", -F.col("hub"))).alias("near"))
-    return found.select(F.col("id").alias("ref"), F.col("label").alias("forest")).join(nearest, "ref", "left").withColumn("near", F.coalesce("near", "ref"))
+    return found.select(F.col("id").alias("ref"), F.col("label").alias("forest")).join(nearest, "ref", "left").withColumn("near", F.coalesce("near", "ref")), rows
 
 
 def parted(documents: DataFrame, members: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -100,10 +101,11 @@ def parted(documents: DataFrame, members: DataFrame, words: int, percent: int, s
     these leave out what a passage brings that many texts hold, as long as it is not most of them.
     Each shingle of these sets is one row, at any size of their forests.
     """
-    large = scratch.table(members.groupBy("forest").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > FEW).select("forest"))
+    rows = members.count()
+    large = scratch.table(members.groupBy("forest").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > FEW).select("forest"), rows)
     if large.isEmpty():
         return members
-    ids = scratch.table(joined_small(members, large, "forest", "left_semi").select("id").distinct())
+    ids = scratch.table(joined_small(members, large, "forest", "left_semi").select("id").distinct(), rows)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,14 +116,14 @@ def parted(documents: DataFrame, members: DataFrame, words: int, percent: int, s
 
     texts = joined_small(documents.select(F.col("doc_id").alias("id"), "text").where(F.length("text") > 0), ids, "id", "left_semi")
     sets = scratch.table(texts.select("id", "text").mapInArrow(whole, "id long, set array<long>").withColumn("row", F.monotonically_increasing_id()))
-    rows = sets.select("row", F.col("id").alias("ref"), F.size("set").alias("n"), F.explode("set").alias("key"))
-    shared = scratch.table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    met = rows.join(shared.hint("merge"), "key").groupBy("row", "ref", "n").agg(F.collect_list(F.struct("df", "key")).alias("shared"))
+    each = sets.select("row", F.col("id").alias("ref"), F.size("set").alias("n"), F.explode("set").alias("key"))
+    shared = scratch.table(each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    met = each.join(shared.hint("merge"), "key").groupBy("row", "ref", "n").agg(F.collect_list(F.struct("df", "key")).alias("shared"))
     kept = (F.size("shared") - F.ceil(percent * F.col("n") / 100) + 1).cast("int")  # the others of the first ones are in no other set
     keys = F.transform(F.slice(F.array_sort("shared"), F.lit(1), F.col("kept")), lambda x: x["key"]).alias("keys")
-    grown = _grown(scratch.table(met.withColumn("kept", kept).where("kept > 0").select("ref", keys)), scratch).withColumnRenamed("ref", "id")
+    grown = _grown(scratch.table(met.withColumn("kept", kept).where("kept > 0").select("ref", keys)), scratch)[0].withColumnRenamed("ref", "id")
     again = joined_small(members, large, "forest", "left_semi").select("id", "n").join(grown, "id").select("id", "n", "near", F.xxhash64(F.lit("part"), "forest").alias("forest"))
-    return scratch.table(joined_small(members, large, "forest", "left_anti").unionByName(again))
+    return scratch.table(joined_small(members, large, "forest", "left_anti").unionByName(again), rows)
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -181,12 +183,12 @@ def _in_one_leaf() -> Column:
 
 
 def _in_leaves(members: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
-    """Add ``tree`` (0 where a leaf holds the forest, else by doubling sizes) and ``leaf`` to members (id, n, forest, label)."""
-    held = members.groupBy("forest").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_t"))
-    dealt = members.join(scratch.table(held).hint("merge"), "forest").withColumn("tree", F.when(_in_one_leaf(), 0).otherwise(F.length(F.bin("n")))).drop("_m", "_t")
-    placed = with_places(dealt, ["forest", "tree"], order, "leaf")
+    """Members (id, n, forest, label), a table, with ``tree`` (0 where a leaf holds the forest, else by doubling sizes) and ``leaf``."""
+    rows, held = members.count(), members.groupBy("forest").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_t"))
+    dealt = members.join(scratch.table(held, rows).hint("merge"), "forest").withColumn("tree", F.when(_in_one_leaf(), 0).otherwise(F.length(F.bin("n")))).drop("_m", "_t")
+    placed = with_places(scratch.table(dealt, rows), ["forest", "tree"], order, "leaf")
     room = F.greatest(F.lit(1), F.least(F.lit(LEAF), F.floor(F.lit(LEAF_SHINGLES) / F.pow(F.lit(2), F.col("tree")))))
-    return placed.withColumn("leaf", F.when(F.col("tree") == 0, 0).otherwise(F.floor(F.col("leaf") / room)).cast("long"))
+    return scratch.table(placed.withColumn("leaf", F.when(F.col("tree") == 0, 0).otherwise(F.floor(F.col("leaf") / room)).cast("long")), rows)
 
 
 def _joined(documents: DataFrame, cells: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -247,7 +249,7 @@ def descended(leaves: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
 
 def _labelled(members: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     found = components(links)
-    return scratch.table(members.drop("label").join(found, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    return scratch.table(members.drop("label").join(found, "id", "left").withColumn("label", F.coalesce("label", "id")), members.count())
 
 
 def _of_leaves(members: DataFrame) -> DataFrame:
@@ -257,31 +259,32 @@ def _of_leaves(members: DataFrame) -> DataFrame:
 
 def _unsettled(members: DataFrame, scratch: Scratch) -> DataFrame:
     """Members (id, n, label, forest) of forests with several labels, of which some leaf pairs have not met."""
-    wide = scratch.table(members.groupBy("forest").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max("tree").alias("_tree")).where("_lo <> _hi AND _tree > 0").select("forest"))
-    return scratch.table(joined_small(members.select("id", "n", "label", "forest"), wide, "forest", "left_semi"))
+    rows = members.count()
+    wide = scratch.table(members.groupBy("forest").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max("tree").alias("_tree")).where("_lo <> _hi AND _tree > 0").select("forest"), rows)
+    return scratch.table(joined_small(members.select("id", "n", "label", "forest"), wide, "forest", "left_semi"), rows)
 
 
 def links(documents: DataFrame, base: DataFrame, classes: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) between classes, enough to join all that link directly or by way of others."""
     edge = lambda df: df.where("a IS NOT NULL").select("a", "b")
-    all_members = parted(documents, scratch.table(forests(base, classes, percent, scratch)), words, percent, scratch).withColumn("label", F.col("id"))
-    leaves = scratch.table(_in_leaves(all_members, ["near", "id"], scratch))
+    all_members = parted(documents, forests(base, classes, percent, scratch), words, percent, scratch).withColumn("label", F.col("id"))
+    leaves = _in_leaves(all_members, ["near", "id"], scratch)
     found = edge(_joined(documents, leaves.select("id", "label", _cell().alias("cell")), words, percent, scratch))
     members = _unsettled(_labelled(leaves, found, scratch), scratch)
     if members.isEmpty():
         return found
 
     least = members.groupBy("forest", "label").agg(F.min_by(F.struct("id", "n"), "id").alias("_m")).select("_m.id", "_m.n", "label", "forest")
-    heads = _in_leaves(scratch.table(least), ["n", "id"], scratch)
+    heads = _in_leaves(scratch.table(least, members.count()), ["n", "id"], scratch)
     found = scratch.table(found.union(edge(_joined(documents, heads.select("id", "label", _cell().alias("cell")), words, percent, scratch))))
     members = _labelled(members, found, scratch)
 
-    leaves = scratch.table(_in_leaves(members, ["label", "id"], scratch))
+    leaves = _in_leaves(members, ["label", "id"], scratch)
     seen = _joined(documents, leaves.select("id", "label", _cell().alias("cell")), words, percent, scratch)
     found = scratch.table(found.union(edge(seen)))
     leaves = _labelled(leaves, found, scratch)
     nodes = _of_leaves(leaves).withColumn("cell", _cell()).join(seen.where("a IS NULL").select("cell", "beyond", *_BITS), "cell").drop("cell")
-    pairs = scratch.table(descended(scratch.table(nodes), percent, scratch).where("cell <> other"))
+    pairs = scratch.table(descended(scratch.table(nodes, leaves.count() // 8), percent, scratch).where("cell <> other"))
     both = leaves.withColumn("_leaf", _cell()).select("id", "label", "_leaf")
     met = pairs.withColumn("_leaf", F.explode(F.array("cell", "other"))).withColumn("cell", F.xxhash64("cell", "other")).select("cell", "_leaf")
     return found.union(edge(_joined(documents, both.join(met, "_leaf").select("id", "label", "cell"), words, percent, scratch)))
@@ -299,13 +302,14 @@ def jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80) -> Dat
     lean_batches(spark)
     with Scratch(spark) as scratch:
         base = scratch.table(summarised(documents, words, percent).withColumn("ref", F.monotonically_increasing_id()))
+        rows = base.count()
         known = base.where("n > 0 AND doc_id IS NOT NULL")
         classes = known.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "ref")).alias("m")).select("k1", "k2", "n", F.col("m.doc_id").alias("id"), "m.ref")
-        classes = scratch.table(classes)
+        classes = scratch.table(classes, rows)
         repeated = known.groupBy("doc_id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("doc_id")
         same = joined_small(known.select("doc_id", "k1", "k2", "n"), scratch.table(repeated), "doc_id").join(classes, ["k1", "k2", "n"]).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
         labels = components(links(documents, base, classes, words, percent, scratch).union(same))
-        named = scratch.table(classes.join(labels, "id", "left").select("k1", "k2", "n", F.coalesce("label", "id").alias("_component")))
+        named = scratch.table(classes.join(labels, "id", "left").select("k1", "k2", "n", F.coalesce("label", "id").alias("_component")), rows)
         out = base.select("doc_id", "n", "k1", "k2").join(named.hint("merge"), ["k1", "k2", "n"], "left")
         component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
         return checkpointed(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")))

@@ -53,6 +53,10 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(key)
 
 
+#: Rows that a file of a table of known size holds at least, and the files that any such table may have.
+FILE_ROWS, FILES = 20_000, 8
+
+
 class Scratch:
     """Tables in a folder of the shared store, deleted at the end of a ``with`` block.
 
@@ -71,7 +75,8 @@ class Scratch:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """``rows``: about how many it will be. A shuffle may have hundreds of partitions; with few rows, each would be a file of hardly any."""
         path, self.count = f"{self.folder}/{self.count}", self.count + 1
-        df.write.parquet(path)
+        (df if rows is None else df.coalesce(max(FILES, -(-rows // FILE_ROWS)))).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators.components import components
 from sluice.operators.places import with_places
+from sluice.sources.shared import FILES, Scratch
 
 
 def test_a_long_chain_settles(spark):
@@ -31,6 +32,29 @@ def test_components_of_random_edges(spark):
         assert {r.id: r.label for r in components(names).collect()} == {str(x): min(map(str, v)) for x, v in reach.items()}
 
 
+def test_few_edges_are_few_files(spark, monkeypatch):
+    """The rounds of few edges do not write and read a file for each partition of a shuffle."""
+    files, table = [], Scratch.table
+
+    def counted(self, *args):
+        out = table(self, *args)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(Scratch, "table", counted)
+    wide = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wide}
+    for k, v in wide.items():
+        spark.conf.set(k, v)
+    try:
+        got = components(spark.range(0, 400, 1, 3).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.id: r.label for r in got} == {i: i % 7 for i in range(400)}
+    assert len(files) > 3 and max(files) <= FILES
+
+
 def test_places(spark):
     rng = random.Random(4)
     rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1, 2, 3]), rng.randrange(5)) for _ in range(500)] + [("a", 2, 1)] * 300
