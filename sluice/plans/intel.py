@@ -188,12 +188,13 @@ def candidates(spark: SparkSession, sf_dir: str, tokens: bool = False) -> DataFr
 
     Written once: windows and joins move narrow rows.
     """
-    keyed = relevant(spark, sf_dir).withColumn("dedupe_key", T.dedupe_key(F.col("url"), F.col("source"), F.col("id"), F.col("text"))).drop("searchable")
-    read = keyed.withColumn("text", F.when(F.col("relevant"), F.col("text")))
+    relevance = I.with_relevance(spread(items(spark, sf_dir), "pos"), VOCABULARY, True)
+    keyed = relevance.withColumn("dedupe_key", T.dedupe_key(F.col("url"), F.col("source"), F.col("id"), F.col("text"))).drop("searchable")
+    read = keyed.withColumns({"text": F.when(F.col("relevant"), F.col("text")), "plain": F.when(F.col("relevant"), F.col("plain")).otherwise(""), "bursts": F.when(F.col("relevant"), F.col("bursts")).otherwise(F.array().cast("array<string>"))})
     out = I.with_signals(I.with_identity(read, VOCABULARY), VOCABULARY, NOW)
     if tokens:
         out = out.withColumn("tokens", T.event_tokens(F.col("text"), VOCABULARY.stopwords))
-    return checkpointed(out.drop("text"))
+    return checkpointed(out.drop("text", "plain", "bursts"))
 
 
 def ranked(spark: SparkSession, sf_dir: str, greedy: bool = False) -> DataFrame:

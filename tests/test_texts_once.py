@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import text as T
 from sluice.operators import digest as D
+from sluice.operators import intel as I
 from sluice.plans import intel as P
 
 
@@ -37,3 +38,15 @@ def test_texts_without_need_are_as_the_plain_patterns_have_them(spark):
     got = {"stripped": T.stripped(F.col("t")), "unescaped": T.unescaped(F.col("t")), "collapsed": T.collapsed(F.col("t")), "low": T.low_signal(F.col("t")), "searchable": T.searchable(F.col("t"))}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[w.eqNullSafe(got[n]).alias(n) for n, w in want.items()])
     assert [r for r in rows.collect() if not all(r[1:])] == []
+
+
+def test_identity_and_signals_take_what_relevance_read(spark, sf_dir, monkeypatch):
+    """The text ends with relevance, and what follows finds the same in the plain form as in the text."""
+    monkeypatch.setattr(P, "checkpointed", lambda df: df)
+    after = _plan(P.candidates(spark, sf_dir)).split("ArrowEvalPython")[0]
+    assert not re.search(r"\btext#", after)
+    items = P.items(spark, sf_dir).limit(40).withColumns({"community": F.when(F.col("pos") % 4 < 2, "ther").otherwise(""), "url": F.when(F.col("pos") % 3 == 0, "enst/raci").otherwise("https://a.b/ouai")})
+    items = items.withColumn("text", F.when(F.col("pos") % 5 < 3, F.concat(F.lit("Aus \t"), F.substring("text", 1, 60))).otherwise(F.col("text")))
+    follow = lambda df: I.with_signals(I.with_identity(df, P.VOCABULARY), P.VOCABULARY, P.NOW).select("pos", "identity_terms", "signal_burst")
+    read, plain = (sorted(follow(df).collect()) for df in (I.with_relevance(items, P.VOCABULARY, True), I.with_relevance(items, P.VOCABULARY)))
+    assert read == plain and len(read) == 40
