@@ -12,7 +12,7 @@ the first row has nothing before it, and each further one stands on rows that ar
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Collection, Hashable, Iterable
 from functools import reduce
 
 import numpy as np
@@ -27,8 +27,8 @@ from .places import joined_narrow, with_places
 
 #: Rows of a group, and tokens of all of them, that one task may settle.
 TASK_ROWS, TASK_TOKENS = 20_000, 2_000_000
-#: Rows that a block of a larger group has at least.
-LEAST_ROWS = 16
+#: Values that a block of a larger group may bring, and rows of its order that it has at least.
+BLOCK_FACTS, LEAST_ROWS = 1_000_000, 16
 #: Rows of an order that one group of a walk along it spans.
 STRETCH = 1 << 14
 
@@ -95,51 +95,43 @@ def _nearest(sims: np.ndarray, kin: np.ndarray) -> tuple[int, float]:
 
 
 class _Clusters:
-    """Clusters founded so far: what each key, token and term belongs to, how many tokens each has, its kinds; and what was added since."""
-
-    def __init__(self, known: Iterable[tuple[str, str, int, int]] = ()) -> None:
-        self.of_key: dict[str, int] = {}
-        self.index: dict[str, dict[str, set[int]]] = {"token": defaultdict(set), "term": defaultdict(set)}
-        self.sizes: dict[int, int] = {}
-        self.kinds: dict[int, set[str]] = defaultdict(set)
-        for what, value, cluster, n in known:
-            if what == "size":
-                self.sizes[cluster] = n
-            else:
-                self._put(what, value, cluster)
-        self.added: list[tuple[str, str, int, int]] = []
+    """Clusters founded so far: what each token and term belongs to, how many tokens each has, its kinds; and what was added since."""
+
+    def __init__(self, known: Iterable[tuple[str, Hashable, int]] = (), sizes: dict[int, int] | None = None) -> None:
+        self.index: dict[str, dict[Hashable, set[int]]] = {"token": defaultdict(set), "term": defaultdict(set), "kind": defaultdict(set)}
+        self.sizes = dict(sizes or {})
+        for what, value, cluster in known:
+            self.index[what][value].add(cluster)
+        self.added: list[tuple[str, Hashable, int]] = []
         self.touched: set[int] = set()
 
-    def _put(self, what: str, value: str, cluster: int) -> bool:
-        """Whether the cluster did not have the value."""
-        if what == "key":
-            return self.of_key.setdefault(value, cluster) == cluster
-        held, x = (self.kinds[cluster], value) if what == "kind" else (self.index[what][value], cluster)
-        new = x not in held
-        held.add(x)
+    def home(self, tokens: Collection, terms: Collection, kind: Hashable, least: float, alone: int = 0) -> int:
+        """The cluster that an item joins, or a new one; ``alone``: how many more tokens it has, which no cluster can know."""
+        common, common_terms = (Counter(c for x in own for c in self.index[what].get(x, ())) for own, what in ((tokens, "token"), (terms, "term")))
+        kinds = self.index["kind"].get(kind, ())
+        near = sorted(common.keys() | {c for c, n in common_terms.items() if n >= 2 and c in kinds})
+        if near:
+            sims = np.array([common[c] / (len(tokens) + alone + self.sizes[c] - common[c]) if common[c] else 0.0 for c in near])
+            place, likeness = _nearest(sims, np.array([c in kinds and common_terms[c] >= 2 for c in near], bool))
+            c = near[place]
+            if likeness >= least or common[c] >= 3 or common_terms[c] >= 2:
+                return c
+        self.touched.add(new := len(self.sizes))
+        self.sizes[new] = 0
         return new
 
-    def take(self, tokens: set[str], terms: set[str], key: str, kind: str, least: float) -> int:
-        """The cluster that an item joins or founds."""
-        home = self.of_key.get(key) if key else None
-        if home is None:
-            common, common_terms = (Counter(c for x in own for c in self.index[what].get(x, ())) for own, what in ((tokens, "token"), (terms, "term")))
-            near = sorted(common.keys() | {c for c, n in common_terms.items() if n >= 2 and kind and kind in self.kinds[c]})
-            sims = np.array([common[c] / (len(tokens) + self.sizes[c] - common[c]) if common[c] else 0.0 for c in near])
-            kin = np.array([bool(kind) and kind in self.kinds[c] and common_terms[c] >= 2 for c in near], bool)
-            if near:
-                place, likeness = _nearest(sims, kin)
-                c = near[place]
-                home = c if likeness >= least or common[c] >= 3 or common_terms[c] >= 2 else None
-        if home is None:
-            home = len(self.sizes)
-            self.sizes[home] = 0
+    def put(self, home: int, what: str, values: Iterable[Hashable]) -> None:
+        held, before = self.index[what], len(self.added)
+        for x in values:
+            if home not in held[x]:
+                held[x].add(home)
+                self.added.append((what, x, home))
+        if what == "token":
+            self.grow(home, len(self.added) - before)
+
+    def grow(self, home: int, n: int) -> None:
+        self.sizes[home] += n
         self.touched.add(home)
-        for what, own in (("token", tokens), ("term", terms), ("key", {key} - {""}), ("kind", {kind} - {""})):
-            new = [x for x in own if self._put(what, x, home)]
-            self.added += [(what, x, home, 0) for x in new]
-            self.sizes[home] += len(new) if what == "token" else 0
-        return home
 
 
 def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
@@ -147,43 +139,94 @@ def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _clusters_of_task(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    found = _Clusters()
-    out = [(r.pos, found.take(set(r.tokens), set(r.terms), r.key, r.kind, least) + 1) for r in _ordered(rows).itertuples()]
+    found, of_key, out = _Clusters(), {}, []
+    for r in _ordered(rows).itertuples():
+        tokens, terms = set(r.tokens), set(r.terms)
+        home = of_key.get(r.key) if r.key else None
+        if home is None:
+            home = found.home(tokens, terms, r.kind or None, least)
+            of_key[r.key] = home
+        for what, own in (("token", tokens), ("term", terms), ("kind", {r.kind} - {""})):
+            found.put(home, what, own)
+        found.added.clear()
+        out.append((r.pos, home + 1))
     return pd.DataFrame(out, columns=["pos", "cluster"])
 
 
+def _facts(items: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(pos, gid, ord, unit) of items, and what each unit brings: (gid, unit, since, what, value, n).
+
+    Rows of a key follow the first of them, whose ord names their unit; others are units of their own.
+    A value is told once for a unit (or part of one of very many rows), at its first row, as a number. Tokens that one unit alone has
+    are only counted (what ``alone``), other values of one unit left out: no choice can meet them.
+    The first row of each unit has an ``alone``, if of none.
+    """
+    ids = checkpointed(items.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).select("g", F.monotonically_increasing_id().alias("gid")))
+    placed = with_places(joined_narrow(items.select("g", "pos", "seed", "key"), ids, ["g"]).drop("g"), ["gid"], [F.desc("seed"), F.asc("pos")], "ord").drop("seed")
+    first = placed.where("key <> ''").groupBy("gid", "key").agg(F.min("ord").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    part = F.when(F.col("_rows") > STRETCH, F.floor(F.col("ord") / STRETCH)).otherwise(0)  # no task holds a unit of very many rows
+    units = scratch.table(placed.join(first, ["gid", "key"], "left").select("pos", "gid", "ord", F.coalesce("_first", "ord").alias("unit"), part.alias("_part")))
+    one = lambda what, values: F.transform(values, lambda v: F.struct(F.lit(what).alias("what"), v.alias("word")))
+    flat = F.concat(one("token", F.col("tokens")), one("term", F.col("terms")), one("kind", F.filter(F.array("kind"), lambda v: v != "")))
+    by = ["gid", "unit", "_part"]
+    near = items.select("pos", "tokens", "terms", "kind").join(units, "pos").repartition(*by)  # lists are dealt, not their values
+    told = scratch.table(near.select(*by, "ord", F.explode(flat).alias("x")).select(*by, "ord", "x.*").groupBy(*by, "what", "word").agg(F.min("ord").alias("since")))
+    words = told.groupBy("gid", "what", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = scratch.table(words.where("n > 1").select("gid", "what", "word", F.monotonically_increasing_id().alias("value")))
+    met = told.join(words, ["gid", "what", "word"], "left")
+    shared = met.where("value IS NOT NULL").select("gid", "unit", "since", "what", "value", F.lit(0).cast("long").alias("n"))
+    rest = met.where("value IS NULL AND what = 'token'").select("gid", "unit", "since", F.lit(1).alias("n")).union(units.where("unit = ord").select("gid", "unit", "ord", F.lit(0)))
+    alone = rest.groupBy("gid", "unit", "since").agg(F.sum("n").alias("n")).select("gid", "unit", "since", F.lit("alone").alias("what"), F.lit(0).cast("long").alias("value"), "n")
+    return units, scratch.table(shared.union(alone))
+
+
 def _clusters_in_blocks(items: DataFrame, least: float, task_rows: int, scratch: Scratch) -> DataFrame:
     """(pos, cluster) of items (g, pos, seed, tokens, terms, key, kind) of groups of any size.
 
     The rule is a chain, so blocks of rows in its order follow one another; those of all groups go
-    on side by side. What a block's rows may meet of the clusters before it is found by a join
-    over all that these know, and only that comes into the block's task.
+    on side by side. A row whose key is known makes no choice, and a block's task gets numbers only:
+    what its rows bring for the first time, and of the clusters before it what that may meet, found
+    by a join over all that these know.
     """
-    per = F.greatest(F.lit(LEAST_ROWS), F.floor(F.least(F.lit(task_rows), TASK_TOKENS * F.count(F.lit(1)) / F.greatest(F.lit(1), F.sum(F.size("tokens"))))))
-    held = checkpointed(items.groupBy("g").agg(per.alias("_per")).withColumn("gid", F.monotonically_increasing_id()))
-    placed = with_places(joined_narrow(items.select("g", "pos", "seed"), held, ["g"]).drop("g"), ["gid"], [F.desc("seed"), F.asc("pos")], "ord")
-    blocks = scratch.table(placed.select("pos", "gid", F.floor(F.col("ord") / F.col("_per")).alias("block")))
-    rows = scratch.table(items.drop("g").join(blocks, "pos").repartition("block", "gid"))
-    one = lambda what, values: F.transform(values, lambda v: F.struct(F.lit(what).alias("what"), v.alias("value")))
-    flat = F.concat(one("token", F.col("tokens")), one("term", F.col("terms")), one("key", F.array("key")), one("kind", F.array("kind")))
+    units, facts = _facts(items, scratch)
+    bins = facts.groupBy("gid", F.floor(F.col("since") / LEAST_ROWS).alias("_bin")).agg((F.count(F.lit(1)) / F.lit(BLOCK_FACTS) + F.countDistinct("since") / F.lit(max(task_rows, LEAST_ROWS))).alias("_full"))
+    full = F.coalesce(F.sum("_full").over(Window.partitionBy("gid").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    blocks = checkpointed(bins.select("gid", "_bin", F.floor(full).alias("block")))
+    rows = joined_narrow(facts.withColumn("_bin", F.floor(F.col("since") / LEAST_ROWS)), blocks, ["gid", "_bin"]).drop("_bin")
+    rows = scratch.table(rows.repartition("block", "gid").sortWithinPartitions("block", "gid"))
 
     def settle(block: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if block.empty:
-            return pd.DataFrame({"gid": [], "what": [], "value": [], "cluster": [], "n": []}).astype({"gid": "int64", "cluster": "int64", "n": "int64"})
-        found = _Clusters(zip(known["what"], known["value"], known["cluster"], known["n"], strict=True))
-        out = [("row", "", found.take(set(r.tokens), set(r.terms), r.key, r.kind, least), r.pos) for r in _ordered(block).itertuples()]
-        out += [*found.added, *[("size", "", c, found.sizes[c]) for c in found.touched]]
-        return pd.DataFrame([(block["gid"].iloc[0], *x) for x in out], columns=["gid", "what", "value", "cluster", "n"])
-
-    schema, done = "gid long, what string, value string, cluster long, n long", []
+        of = {what: list(zip(part["value"].tolist(), part["cluster"].tolist(), strict=True)) for what, part in known.groupby("what")}
+        homes, sizes = dict(of.pop("home", [])), {c: n for n, c in of.pop("size", [])}
+        found = _Clusters(((what, x, c) for what, pairs in of.items() for x, c in pairs), sizes)
+        out, block = [], block.sort_values("since", kind="stable")
+        since, what, value, n, unit = (block[c].to_numpy() for c in ("since", "what", "value", "n", "unit"))
+        cuts = [0, *(np.flatnonzero(np.diff(since)) + 1).tolist(), len(since)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            own = {"token": [], "term": [], "kind": [], "alone": []}
+            for w, x in zip(what[lo:hi], value[lo:hi].tolist(), strict=True):
+                own[w].append(x)
+            alone, u = int(n[lo:hi].sum()), int(unit[lo])
+            if u == since[lo]:
+                homes[u] = found.home(own["token"], own["term"], next(iter(own["kind"]), None), least, alone)
+                out.append(("home", u, homes[u]))
+            for w in ("token", "term", "kind"):
+                found.put(homes[u], w, own[w])
+            found.grow(homes[u], alone)
+        out += [*found.added, *[("size", found.sizes[c], c) for c in found.touched]]
+        return pd.DataFrame([(block["gid"].iloc[0], *x) for x in out], columns=["gid", "what", "value", "cluster"])
+
+    schema, done = "gid long, what string, value long, cluster long", []
     for k in range((blocks.agg(F.max("block")).head()[0] or 0) + 1):
         part = rows.where(F.col("block") == k)
         known = reduce(DataFrame.union, done, items.sparkSession.createDataFrame([], schema))
-        wanted = part.select("gid", F.explode(flat).alias("x")).select("gid", "x.*").distinct()
-        met = known.where("what NOT IN ('row', 'size')").join(wanted, ["gid", "what", "value"], "left_semi").select("gid", "what", "value", "cluster", "n")
-        sizes = known.where("what = 'size'").groupBy("gid", "what", "value", "cluster").agg(F.max("n").alias("n"))  # they only grow
-        done.append(scratch.table(part.groupBy("gid").cogroup(met.union(sizes).groupBy("gid")).applyInPandas(settle, schema)))
-    return reduce(DataFrame.union, done).where("what = 'row'").select(F.col("n").alias("pos"), (F.col("cluster") + 1).cast("int").alias("cluster"))
+        wanted = part.where("what <> 'alone'").select("gid", "what", "value").union(part.select("gid", F.lit("home"), "unit")).distinct()
+        met = known.where("what <> 'size'").join(wanted, ["gid", "what", "value"], "left_semi").select("gid", "what", "value", "cluster")
+        sizes = known.where("what = 'size'").groupBy("gid", "what", "cluster").agg(F.max("value").alias("value")).select("gid", "what", "value", "cluster")  # they only grow
+        known = met.union(sizes).join(part.select("gid").distinct(), "gid", "left_semi")  # groups may end before others
+        done.append(scratch.table(part.groupBy("gid").cogroup(known.groupBy("gid")).applyInPandas(settle, schema)))
+    homes = reduce(DataFrame.union, done).where("what = 'home'").select("gid", F.col("value").alias("unit"), (F.col("cluster") + 1).cast("int").alias("cluster"))
+    return units.join(homes, ["gid", "unit"]).select("pos", "cluster")
 
 
 def greedy_clusters(items: DataFrame, by: list[str], least: float = 0.32, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -201,7 +244,7 @@ def greedy_clusters(items: DataFrame, by: list[str], least: float = 0.32, task_r
         rows = _sized(scratch.table(rows), ["g"], "tokens", task_rows)
         settle = lambda frame: _clusters_of_task(frame, least)
         out = rows.where("_small").drop("_small").groupBy("g").applyInPandas(settle, "pos long, cluster int")
-        large = scratch.table(rows.where("NOT _small").drop("_small"))
+        large = rows.where("NOT _small").drop("_small")
         return checkpointed(out if large.isEmpty() else out.union(_clusters_in_blocks(large, least, task_rows, scratch)))
 
 
