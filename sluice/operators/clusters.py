@@ -58,11 +58,6 @@ def _since(values: DataFrame, homes: DataFrame) -> DataFrame:
     return values.join(homes, ["g", "ord"]).groupBy("g", "home", "value").agg(F.min("ord").alias("since"))
 
 
-def _common(values: DataFrame, since: DataFrame, name: str) -> DataFrame:
-    """(g, ord, home, ``name``): how many of a row's values its home knew before."""
-    return values.join(since, ["g", "value"]).where("since < ord").groupBy("g", "ord", "home").agg(F.count(F.lit(1)).alias(name))
-
-
 def _settled(homes: DataFrame, choose: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """Homes (g, ord, home) that ``choose`` leaves as they are."""
     while True:
@@ -292,21 +287,44 @@ def _merged_of_task(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _merged_in_rounds(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(ord, home) of rows (g, ord, event_key, signature) of groups of any size."""
-    tokens = scratch.table(rows.select("g", "ord", F.explode(F.array_distinct("signature")).alias("value")))
-    heads = scratch.table(rows.where(F.size("signature") > 0).select("g", "ord", F.try_element_at("signature", F.lit(1)).alias("head")))
-    own = rows.select("g", "ord", "event_key", F.size(F.array_distinct("signature")).alias("own"))
+    """(ord, home) of rows (g, ord, event_key, signature) of groups of any size.
+
+    Which homes a signature may merge into is asked once for all rows that have it, by its rarest
+    tokens: a home that holds it, or most of it, has one of these. A home that it holds was opened by
+    a part of it, and is found by the rarest token of that. So no row meets all homes of a common token.
+    """
+    rows = rows.withColumn("own", F.array_distinct("signature"))
+    tokens = scratch.table(rows.select("g", "ord", F.explode("own").alias("value")))
+    heads = scratch.table(rows.where(F.size("own") > 0).select("g", "ord", F.try_element_at("own", F.lit(1)).alias("head"), F.size("own").alias("opening")))
+    often = scratch.table(tokens.groupBy("g", "value").agg(F.count(F.lit(1)).alias("n")))
+    told = rows.where(F.size("own") >= 3)
+    kinds = scratch.table(told.select("g", "own").distinct().select("g", F.col("own").alias("_own"), F.monotonically_increasing_id().alias("sid")))
+    asking = scratch.table(told.join(kinds.withColumnRenamed("_own", "own"), ["g", "own"]).select("g", "ord", "sid", F.size("own").alias("own")))
+    sids = scratch.table(kinds.select("g", "sid", F.size("_own").alias("own"), F.try_element_at("_own", F.lit(1)).alias("head"), F.explode("_own").alias("value")).join(often, ["g", "value"]))
+    rank = F.row_number().over(Window.partitionBy("g", "sid").orderBy("n", "value"))
+    asked = scratch.table(sids.withColumn("rare", rank <= F.floor(F.col("own") / 5) + 1).drop("n"))
+    keys = rows.select("g", "ord", "event_key")
 
     def choose(homes: DataFrame) -> DataFrame:
-        founded = homes.where("ord = home").select("g", "home").join(own.select("g", F.col("ord").alias("home"), "event_key"), ["g", "home"])
-        of_key = own.join(founded.groupBy("g", "event_key").agg(F.min("home").alias("at_key")), ["g", "event_key"]).where("at_key < ord").select("g", "ord", "at_key")
+        founded = homes.where("ord = home").select("g", "home").join(keys.withColumnRenamed("ord", "home"), ["g", "home"])
+        of_key = keys.join(founded.groupBy("g", "event_key").agg(F.min("home").alias("at_key")), ["g", "event_key"]).where("at_key < ord").select("g", "ord", "at_key")
         since = scratch.table(_since(tokens, homes))
         steps = since.groupBy("g", "home", F.col("since").alias("ord")).agg(F.count(F.lit(1)).alias("added"))
-        first = heads.join(homes, ["g", "ord"]).groupBy("g", "home").agg(F.min_by("head", "ord").alias("head"))
-        met = _common(tokens, since, "common").where("common >= 3").join(heads, ["g", "ord"]).join(first, ["g", "home", "head"]).drop("head")
-        sized = _before(steps, met).join(own.drop("event_key"), ["g", "ord"])
+        first = scratch.table(heads.join(homes, ["g", "ord"]).groupBy("g", "home").agg(F.min(F.struct("ord", "head", "opening")).alias("f")).select("g", "home", "f.*"))
+        anchors = first.join(tokens, ["g", "ord"]).join(often, ["g", "value"]).groupBy("g", "home").agg(F.min(F.struct("n", "value"))["value"].alias("value"))
+        pairs = asked.where("rare").join(since, ["g", "value"]).select("g", "sid", "head", "home").union(asked.join(anchors, ["g", "value"]).select("g", "sid", "head", "home")).distinct()
+        pairs = pairs.join(first.withColumnRenamed("ord", "opened"), ["g", "home", "head"]).drop("head")
+        both = pairs.join(asked.select("g", "sid", "own", "value"), ["g", "sid"]).join(since, ["g", "home", "value"])
+        shared = both.groupBy("g", "sid", "home", "own", "opening").agg(F.collect_list("since").alias("at"), F.max("since").alias("last"), F.count_if(F.col("since") == F.col("opened")).alias("of_opening"))
+        shared = scratch.table(shared.where(F.size("at") >= 3))
+        # homes that hold it whole from some row on: of these only one that comes before all that hold it earlier
+        sooner = F.min("home").over(Window.partitionBy("g", "sid").orderBy("last", "home").rowsBetween(Window.unboundedPreceding, -1))
+        held = shared.where(F.size("at") == F.col("own")).select("g", "sid", "home", "last").withColumn("_sooner", sooner).where("_sooner IS NULL OR home < _sooner")
+        holding = asking.join(held, ["g", "sid"]).where("last < ord").select("g", "ord", "home")
+        part = shared.where((F.col("of_opening") == F.col("opening")) | ((F.col("own") >= 5) & (F.size("at") >= 0.8 * F.col("own"))))
+        met = asking.drop("own").join(part.select("g", "sid", "home", "own", "at"), ["g", "sid"]).withColumn("common", F.size(F.filter("at", lambda x: x < F.col("ord")))).where("common >= 3").drop("at", "sid")
         n, a, b = F.col("common"), F.col("own"), F.col("size")
-        near = sized.where((n == F.least(a, b)) | ((n >= 4) & (n >= 0.8 * (a + b - n)))).groupBy("g", "ord").agg(F.min("home").alias("near"))
+        near = _before(steps, met).where((n == F.least(a, b)) | ((n >= 4) & (n >= 0.8 * (a + b - n)))).select("g", "ord", "home").union(holding).groupBy("g", "ord").agg(F.min("home").alias("near"))
         return homes.select("g", "ord").join(of_key, ["g", "ord"], "left").join(near, ["g", "ord"], "left").select("g", "ord", F.coalesce(F.least("at_key", "near"), "ord").alias("home"))
 
     return _settled(rows.select("g", "ord", F.col("ord").alias("home")), choose, scratch).select("ord", "home")
